@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_copies as fc
-from ledgerloom.llm import leaks, splitting
+from ledgerloom.llm import bagminhash, leaks, splitting
 from ledgerloom.session import table
 
 
@@ -36,6 +36,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(chunks).select("record_kind", "record_key").distinct()
 
 
+def _near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return bagminhash.near_duplicates(table(spark, d, "document_chunk"), "chunk_id", "text", threshold=0.5, width=3)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = _near_chunks(spark, d)
+    return bagminhash.linked_records(members, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per chunk: its class of equal shingle sets, the class's size and its links to other classes."""
+    members, links = _near_chunks(spark, d)
+    return bagminhash.class_report(members, links).withColumnRenamed("record", "chunk_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     hits = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
     return hits.select("doc_id", "item_id").distinct()
