@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_copies as fc
-from ledgerloom.llm import bagminhash, leaks, splitting
+from ledgerloom.llm import bagminhash, leaks, quantised_search, splitting
 from ledgerloom.session import table
 
 
@@ -51,6 +51,18 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return bagminhash.class_report(members, links).withColumnRenamed("record", "chunk_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = quantised_search.all_neighbours(table(spark, d, "document_chunk"), "chunk_id", "embedding", k=10, floor=0.9)
+    return near.select(F.least("record", "neighbour").alias("chunk_id_a"), F.greatest("record", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p6_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest of all chunks for every chunk whose hashed id is divisible by 100."""
+    chunks = table(spark, d, "document_chunk")
+    asked = chunks.where(F.pmod(F.crc32(F.col("chunk_id").cast("binary")), F.lit(100)) == 0)
+    return quantised_search.search(chunks, asked, "chunk_id", "embedding")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     hits = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
     return hits.select("doc_id", "item_id").distinct()
