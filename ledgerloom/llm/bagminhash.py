@@ -188,31 +188,3 @@ def near_duplicates(
         shared, na, nb = F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")
     links = both.select("a", "b", (shared / (na + nb - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
     return members, links
-
-
-def linked_records(members: DataFrame, links: DataFrame, expand: int = 64) -> DataFrame:
-    """Pairs of records (a < b) that are in one class or in linked classes.
-
-    A class of up to ``expand`` equal records is written out in full; a larger one, a group of exact copies, keeps the
-    form of a star: its least record is paired with each other one, and stands for the class in its links to others.
-    """
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("least"))
-    several = sizes.where("n > 1")
-    inside = members.join(several, "class_id")
-    small = inside.where(F.col("n") <= expand).select("class_id", "record")
-    full = small.alias("x").join(small.alias("y"), "class_id").where("x.record < y.record").select(F.col("x.record").alias("a"), F.col("y.record").alias("b"))
-    star = inside.where((F.col("n") > expand) & (F.col("record") > F.col("least"))).select(F.col("least").alias("a"), F.col("record").alias("b"))
-    ends = members.join(sizes, "class_id").where((F.col("n") <= expand) | (F.col("record") == F.col("least"))).select("class_id", "record")
-    across = (
-        links.join(ends.select(F.col("class_id").alias("a"), F.col("record").alias("ra")), "a")
-        .join(ends.select(F.col("class_id").alias("b"), F.col("record").alias("rb")), "b")
-        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    )
-    return full.unionByName(star).unionByName(across)
-
-
-def class_report(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(record, class_id, class_size, links): one row per record; links counts the linked classes."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return members.join(sizes, "class_id").join(ends, "class_id", "left").select("record", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_copies as fc
-from ledgerloom.llm import bagminhash, leaks, quantised_search, splitting
+from ledgerloom.llm import bagminhash, classes, leaks, quantised_search, shared_spans, splitting
 from ledgerloom.session import table
 
 
@@ -42,13 +42,13 @@ def _near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = _near_chunks(spark, d)
-    return bagminhash.linked_records(members, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return classes.linked_records(members, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk: its class of equal shingle sets, the class's size and its links to other classes."""
     members, links = _near_chunks(spark, d)
-    return bagminhash.class_report(members, links).withColumnRenamed("record", "chunk_id")
+    return classes.class_report(members, links).withColumnRenamed("record", "chunk_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +74,28 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(docs, leaks.find_leaks(docs, table(spark, d, "eval_item")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = shared_spans.text_classes(table(spark, d, "documents"), "doc_id", "text", 300)
+    links = shared_spans.shared_spans(texts).select("a", "b").distinct()
+    members = texts.select("record", "class_id").distinct()
+    return classes.linked_records(members, links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches themselves, between the least documents of each class of equal texts."""
+    texts = shared_spans.text_classes(table(spark, d, "documents"), "doc_id", "text", 300)
+    least = texts.groupBy("class_id").agg(F.min("record").alias("doc_id"))
+    spans = shared_spans.shared_spans(texts)
+    out = spans.join(least.select(F.col("class_id").alias("a"), F.col("doc_id").alias("doc_id_a")), "a").join(least.select(F.col("class_id").alias("b"), F.col("doc_id").alias("doc_id_b")), "b")
+    return out.select("doc_id_a", "doc_id_b", "chain", "start_a", "start_b", "length", F.round("identity", 4).alias("identity"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document of at least 300 characters stands in another one too."""
+    texts = shared_spans.text_classes(table(spark, d, "documents"), "doc_id", "text", 300)
+    return shared_spans.shared_report(texts, shared_spans.shared_spans(texts), 300).withColumnRenamed("record", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
