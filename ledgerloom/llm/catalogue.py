@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_copies as fc
-from ledgerloom.llm import bagminhash, classes, leaks, quantised_search, shared_spans, splitting
+from ledgerloom.llm import bagminhash, classes, leaks, mixing, quantised_search, shared_spans, splitting
 from ledgerloom.session import table
 
 
@@ -74,6 +74,15 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(docs, leaks.find_leaks(docs, table(spark, d, "eval_item")))
 
 
+def p8_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents, the source each is used for and how many times."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     texts = shared_spans.text_classes(table(spark, d, "documents"), "doc_id", "text", 300)
     links = shared_spans.shared_spans(texts).select("a", "b").distinct()
