@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_copies as fc
-from ledgerloom.llm import bagminhash, classes, leaks, mixing, quantised_search, shared_spans, splitting
+from ledgerloom.llm import answer_defects, bagminhash, classes, leaks, mixing, quantised_search, shared_spans, splitting
 from ledgerloom.session import table
 
 
@@ -23,6 +23,20 @@ def p1_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.where("record = least").select(F.col("record").alias("chunk_id"), "copies").distinct()
 
 
+def _answer_labels(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.label_answers(table(spark, d, "rag_example"), "sample_id", "question", ("answer", "generated_answer"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = answer_defects.single_label(_answer_labels(spark, d))
+    return found.select(F.col("key").alias("sample_id"), F.col("field").alias("answer_field"), "defect")
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every label kept, with its posterior: an answer may have several."""
+    return _answer_labels(spark, d).select(F.col("key").alias("sample_id"), F.col("field").alias("answer_field"), "defect", F.round("posterior", 4).alias("posterior"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Ordered pieces of every filing text and chunk text of more than 512 tokens; a re-delivered row is split once."""
     docs = splitting.split_oversized(table(spark, d, "parsed_document"), "document", "doc_id", "cleaned_text")
