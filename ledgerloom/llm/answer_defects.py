@@ -35,18 +35,19 @@ CUTOFFS = {"empty": 0.5, "question_copy": 0.5, "refusal": 0.5, "other_language":
 # Words that say nothing, frequent words of five languages, and ways to refuse.
 PLACEHOLDERS = frozenset("n a|na|null|none|nan|nil|tbd|tba|tbc|todo|blank|empty|no answer|no response|not available|not applicable|missing|pending|undefined|unknown|placeholder|keine angabe|k a|sans objet|sin datos|nessuna risposta|keine antwort|sin respuesta|pas de réponse|no data|void|xxx|lorem ipsum".split("|"))
 FUNCTION_WORDS = {
-    "en": "the of and to in a is was were that for on with as by from at it its this which what how why did does do or an be are has have had not would could than their into about but because while during said will cannot there so who when where after before between under over",
+    "en": "the of and to in a is was were that for on with as by from at it its this which what how why did does do or an be are has have had not would could than their into about but because while during said will cannot there so who when where after before between under over no not despite stayed came points names name change",
     "de": "der die das und ist war wie im von für den dem des ein eine einer einem einen zu mit auf bei sich nicht auch nach aus um wurde wurden dass warum welche welcher hoch hat haben noch nur über durch zum zur oder als wird werden liegen lag damit weshalb gegenüber zwischen seit",
-    "fr": "le la les et des du un une est était en dans pour que qui sur par avec au aux ce cette ne pas plus pourquoi quel quelle quels a ont son sa ses soit été entre depuis si bien seraient cours se sont comme mais ou où",
+    "fr": "le la les de et des du un une est était en dans pour que qui sur par avec au aux ce cette ne pas plus pourquoi quel quelle quels a ont son sa ses soit été entre depuis si bien seraient cours se sont comme mais ou où",
     "es": "el la los las y de del un una es fue en por para que con al se su sus no lo como qué cuál más entre desde hasta lugar ello quedó cambió supone este esta pero sin sobre año ejercicio fueron han sido",
     "it": "il lo la gli le e di del della dei delle un una è era in per che con al si su non come qual quale perché più tra da dal dalla nel nella nell dell all sono stato stata fino perciò anno ha hanno dopo ma anche o",
 }
 _STOP = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
+_SHARED = {w: [lang for lang, stop in _STOP.items() if w in stop] for stop in _STOP.values() for w in stop}
 _MARKS = {"de": re.compile(r"[äöüß]|\b\w+(?:ung|ungen|keit|schaft)\b"), "fr": re.compile(r"[àâçèêëîïôœùû]|\b[ldnsjcq]u?['’]"), "es": re.compile(r"[ñ¿¡áíóú]|\b\w+ción\b"), "it": re.compile(r"[òì]|\b\w+(?:zione|zioni)\b|\b(?:nell|dell|all|sull|dall|un|l)['’]"), "en": re.compile(r"\b\w+(?:ing|ed)\b|\bth(?:e|at|is)\b")}
 _DANGLING = frozenset("the of and to in a an is was were that for on with as by from at its which or than their into about but because while between per der die das und im von für den dem des ein eine einer einem einen zu mit auf bei um dass oder als le les et des du un une en dans pour que qui sur par avec au aux el los las y de del por con al il lo gli e di della dei delle che si tra da dal dalla nel nella".split())
 _ABBREVIATION = regex.compile(r"(?i)(?:\b(?:inc|corp|co|ltd|mio|mrd|no|vs|approx|dr|mr|mrs|st|e\.g|i\.e|etc|thsd|ca|nr|jan|feb|aug|sept|oct|nov|dec))\.$")
 _END = regex.compile(r"[.!?。！？][\"'”’»)\]]*$")
-_OPEN = regex.compile(r"(?:[(\[{,;:/&–—-]|\.{2,}|…)[\"'”’»]*$")
+_OPEN = regex.compile(r"(?:[(\[{,;:/&$€£¥–—-]|[(\[]?(?:\.{2,}|…)[)\]]?)[\"'”’»]*$")
 
 _REFUSALS = [
     re.compile(r"\b(?:i|we)(?:['’]m| am| are)?\b[^.?!]{0,40}\b(?:can(?:no|['’])t|cannot|unable|not able|won['’]?t|will not|must decline|decline|don['’]?t have|do not have|am afraid|refuse)\b|\b(?:decline|unable) to (?:answer|respond|comment|say|determine|help|provide)\b|\bnot possible for me\b|\bas an? (?:ai|language model|assistant)\b"),
@@ -58,16 +59,23 @@ _META = re.compile(r"\b(?:context|question|passages?|excerpts?|documents?|provid
 _REPORTED = re.compile(r"^(?:the (?:company|filing|board|management|group|firm)|management|analysts?|the (?:chief|audit|treasurer)|in |about |no change|for )|\b(?:said|told|indicated|stressed|warned|reported) (?:that )?it\b|\bwas unable to quantify\b")
 
 
+def _clear(scores: dict[str, float], least: float, lead: float) -> str | None:
+    (best, n), (_, second) = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+    return best if n >= least and n - second >= lead else None
+
+
 def language(text: str) -> tuple[str | None, str | None]:
-    """Language by frequent words and by spelling marks; None where there is too little to say."""
-    words = split_words(text)
-    hits = Counter({lang: sum(w in stop for w in words) for lang, stop in _STOP.items()})
-    (best, n), (_, second) = hits.most_common(2)
-    by_words = best if n >= 2 and n > second else None
+    """Language by frequent words, and by those together with spelling marks; None where there is too little to say.
+
+    A word of several languages counts in each by its share of them.
+    """
+    scores = dict.fromkeys(_STOP, 0.0)
+    for w in split_words(text):
+        for lang in _SHARED.get(w, ()):
+            scores[lang] += 1 / len(_SHARED[w])
     low = text.lower()
-    marks = Counter({lang: len(p.findall(low)) for lang, p in _MARKS.items()})
-    (mark, m), (_, other) = marks.most_common(2)
-    return by_words, mark if m >= 2 and m > other else None
+    both = {lang: n + 0.5 * min(4, len(_MARKS[lang].findall(low))) for lang, n in scores.items()}
+    return _clear(scores, 1.5, 0.7), _clear(both, 1.5, 0.7)
 
 
 def is_open(text: str) -> bool:
@@ -90,20 +98,30 @@ def contexts(t: list[str], i: int) -> list[str]:
     return [" ".join(padded[-k:]) for k in (1, 2, 3)]
 
 
-def _rows(pairs: DataFrame) -> DataFrame:
-    return pairs.select("key", "field", "question", "answer")
+SHORT = 5  # words of a reply that may be complete without a sentence
+
+
+def whole(t: list[str]) -> str:
+    """Key of a text's tokens from its start; distinct from every context."""
+    return "$ " + " ".join(t)
 
 
 def _context_counts(pairs: DataFrame) -> DataFrame:
-    """(context, ends, goes_on) over the answers that end properly, combined within each batch before the shuffle."""
+    """(context, ends, goes_on) over the answers that end properly, and how often an open answer is just its first
+    tokens or an answer goes on after them; combined within each batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ends, on = Counter(), Counter()
             for a in b["answer"]:
-                if a is None or is_open(a):
+                if a is None:
                     continue
                 t = tokens(a)
+                on.update(whole(t[:i]) for i in range(1, min(len(t), 2 * SHORT + 1)))
+                if is_open(a):
+                    if len(t) <= 2 * SHORT:
+                        ends[whole(t)] += 1
+                    continue
                 for i in range(len(t)):
                     (ends if i == len(t) - 1 else on).update(contexts(t, i))
             keys = ends.keys() | on.keys()
@@ -154,7 +172,8 @@ def _vote(yes: bool, no: bool = False) -> str:
 
 
 def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]] | None, top: dict[str, int], rules: np.ndarray) -> dict[str, str]:
-    """Vote patterns of all defects; ``seen`` has (ends, goes on) of the answer's closing contexts of 1, 2, 3 tokens."""
+    """Vote patterns of all defects; ``seen`` has (ends, goes on) of the answer's closing contexts of 1, 2, 3 tokens
+    and of the whole answer."""
     text = (answer or "").strip()
     words, asked = split_words(text), split_words(question)
     bare = " ".join(words)
@@ -162,7 +181,7 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
 
     nothing = not words
     placeholder = bare in PLACEHOLDERS
-    out["empty"] = _vote(nothing, not nothing) + _vote(placeholder or nothing, len(words) > 3) + _vote(len(bare) < 2 and not bare.isdigit(), len(bare) > 8)
+    out["empty"] = _vote(nothing, len(words) > 3) + _vote(placeholder or nothing, not placeholder and len(words) > 1) + _vote((len(bare) < 2 and not bare.isdigit()) or placeholder, len(words) > 3)
     if nothing or placeholder:
         return out | {"question_copy": "000", "refusal": "000000", "other_language": "00", "truncated": "0000000"}
 
@@ -179,14 +198,14 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     figures = bool(re.search(r"\d", re.sub(r"(?i)\b(?:fy|q[1-4]|fiscal|quarter of|exercice|ejercicio|esercizio|geschäftsjahr)\s*\d*", "", low)))
     out["refusal"] = "".join(_vote(h) for h in hits) + _vote(any(hits) and not reported and not figures, not any(hits) or reported) + _vote(meta and any(hits) and not reported, not meta or figures)
 
-    (aw, am), (qw, qm) = language(text), language(question or "")
-    a_lang, q_lang = aw or am, qw or qm
-    out["other_language"] = _vote(bool(aw and qw and aw != qw), bool(aw and qw and aw == qw) or len(words) < 4) + _vote(bool(a_lang and q_lang and a_lang != q_lang and (aw == a_lang)), bool(am and qm and am == qm) or a_lang == q_lang or len(words) < 4)
+    (aw, ab), (qw, qb) = language(text), language(question or "")
+    few = len(words) < 4
+    out["other_language"] = _vote(bool(aw and qw and aw != qw) and not few, bool(aw and qw and aw == qw) or few) + _vote(bool(ab and qb and ab != qb) and not few, bool(ab and qb and ab == qb) or few)
 
-    open_end = is_open(text)
+    open_end = is_open(text) or (text[-1] in '"“„«' and not _END.search(text))
     t = tokens(text)
     last = t[-1] if t else ""
-    dangling = bool(_OPEN.search(text)) or text.count("(") > text.count(")")
+    dangling = bool(_OPEN.search(text)) or text.count("(") > text.count(")") or (text[-1] in "\"“„«" and text.count('"') % 2 == 1) or text[-1] in "“„«"
     lacks = False
     if open_end and len(rules):
         first, at = {}, {}
@@ -199,21 +218,22 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
             if any(at.get(int(x), -1) <= i for x in need):
                 lacks = True
                 break
-    short = len(words) <= 5 and not dangling
-    v = [_vote(dangling, not open_end), _vote(open_end and last in _DANGLING, not open_end), _vote(lacks and not short, not open_end)]
+    short = len(words) <= SHORT and not dangling
+    seen = seen or [(0, 0)] * 4
+    alone, beyond = seen[3]
+    usual = short and alone >= 3 and alone >= 0.03 * beyond  # a reply that others give too
+    v = [_vote(dangling, not open_end), _vote(open_end and last in _DANGLING and not usual, not open_end), _vote(lacks and not short, not open_end)]
     for k in range(3):
-        ends, on = seen[k] if seen else (0, 0)
-        if not open_end:
+        ends, on = seen[k]
+        if not open_end or usual:
             v.append("0")
-        elif short and k == 0:
-            v.append(_vote(ends + on == 0 and last not in ("#", "") and len(words) > 1 and False, ends > 0))
         elif k == 0:
-            v.append(_vote(ends + on == 0 and last != "#"))
-        elif ends + on < 3:
+            v.append(_vote(ends + on == 0 and last not in ("#", "") and len(words) > 1, ends > 0 and short))
+        elif ends + on < 8 or short:
             v.append("-")
         else:
             v.append(_vote(ends <= 0.02 * (ends + on), ends >= 0.2 * (ends + on)))
-    v.append(_vote(False, short and not any(x == "1" for x in v)))
+    v.append(_vote(short and beyond >= 8 and alone < 0.01 * beyond, usual))
     out["truncated"] = "".join(v)
     return out
 
@@ -232,7 +252,7 @@ def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str,
             rows = []
             for a in b["answer"].dropna().unique():
                 if is_open(a) and (t := tokens(a)):
-                    rows += [(a, k, c) for k, c in enumerate(contexts(t, len(t) - 1))]
+                    rows += [(a, k, c) for k, c in enumerate([*contexts(t, len(t) - 1), whole(t)])]
             yield pd.DataFrame(rows, columns=["answer", "k", "context"])
 
     wanted = pairs.select("answer").distinct().mapInPandas(closing, "answer string, k int, context string")
