@@ -5,12 +5,14 @@ A port turns a text column into another column, so a model can be an expression,
 
 from __future__ import annotations
 
+import zlib
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from ledgerloom.functions.text import words
+from pyspark.sql import types as T
 
 
 class Tokenizer(Protocol):
@@ -59,10 +61,18 @@ class HashEmbedder:
         self.dim = dim
 
     def embed(self, text: Column) -> Column:
-        buckets = F.transform(words(text), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(self.dim)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, x: t + x * x))
-        return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+        dim = self.dim
+
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def hashed(texts: pd.Series) -> pd.Series:
+            out = []
+            for t in texts:
+                places = [zlib.crc32(w.encode()) % dim for w in (t or "").lower().split()]
+                x = np.bincount(places, minlength=dim).astype(np.float64) if places else np.zeros(dim)
+                out.append((x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32))
+            return pd.Series(out)
+
+        return hashed(text)
 
 
 # Polarity words of financial prose.
