@@ -32,8 +32,8 @@ def sec_sections(docs: DataFrame, text: str = "raw_text") -> DataFrame:
         others = [F.when(_first(rest, o) >= 0, _first(rest, o)) for o in SEC_ITEMS if o != item]
         end = F.coalesce(start + len(item) + F.least(*others), F.length(text))
         found.append(F.struct(F.lit(ord_).alias("ord"), F.lit(section).alias("section"), start.alias("start"), end.alias("end")))
-    rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.explode(F.array(*found)).alias("s"))
-    return rows.where("s.start >= 0").select("doc_id", "s.*")
+    rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.explode(F.array(*found)).alias("_s"))
+    return rows.where("_s.start >= 0").select("doc_id", "_s.*")
 
 
 def section_text(text: Column, start: Column, end: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.chunking import char_slices
@@ -12,8 +12,8 @@ from ledgerloom.ports import EntityTagger, RuleTagger
 def extract_entities(docs: DataFrame, key: str, text: str, tagger: EntityTagger | None = None) -> DataFrame:
     """(key, ord, word, entity_group, start, end, score); places count within the slice that the tagger saw."""
     tagger = tagger or RuleTagger()
-    rows = char_slices(docs, [key], text).select(key, "slice", F.posexplode(tagger.tag(F.col("text"))).alias("i", "e"))
-    return rows.select(key, (F.col("slice").cast("long") * 1_000_000 + F.col("i")).alias("ord"), "e.*")
+    rows = char_slices(docs, [key], text).select(key, "slice", F.posexplode(tagger.tag(F.col("text"))).alias("_i", "_e"))
+    return rows.select(key, (F.col("slice").cast("long") * 1_000_000 + F.col("_i")).alias("ord"), "_e.*")
 
 
 def entity_type_counts(entities: DataFrame, key: str) -> DataFrame:
@@ -24,15 +24,13 @@ def entity_type_counts(entities: DataFrame, key: str) -> DataFrame:
 def top_entity_type(counts: DataFrame, key: str) -> DataFrame:
     """(key, entity_group, n): the most frequent type, of equals the one seen first."""
     best = F.max_by(F.struct("entity_group", "n"), F.struct(F.col("n"), -F.col("first_ord")))
-    return counts.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    return counts.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
 def tag_counts(figures: DataFrame, key: str, sample: int = 15) -> DataFrame:
     """(key, total_tagged, tag_counts, sample): counts by tag and the first figures in order."""
     by_tag = figures.groupBy(key, F.coalesce("tag", F.lit("unknown")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
     tags = by_tag.groupBy(key).agg(F.sum("n").alias("total_tagged"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tag_counts"))
-    from pyspark.sql import Window
-
     first = figures.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where(F.col("_i") <= sample)
     lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "tag", "value"))).alias("sample"))
     return tags.join(lists, key)

@@ -32,16 +32,16 @@ def extract_kpis(texts: DataFrame, key: str, text: str) -> DataFrame:
         return F.transform(found, lambda h, i: F.struct(F.lit(kind).alias("kpi_type"), i.alias("ord"), h["name"].alias("name"), h["number"].alias("number"), h["unit"].alias("unit"), h["raw"].alias("raw_text")))
 
     per_type = [hits(kind, phrase) for kind, phrase in PHRASES.items()]
-    rows = texts.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*per_type)).alias("k"))
-    value = F.replace("k.number", F.lit(","), F.lit("")).try_cast("double")
-    return rows.select(key, "k.kpi_type", F.col("k.ord").cast("int").alias("ord"), "k.name", value.alias("value"), "k.unit", "k.raw_text", F.lit("regex").alias("source")).where("value is not null")
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*per_type)).alias("_k"))
+    value = F.replace("_k.number", F.lit(","), F.lit("")).try_cast("double")
+    return rows.select(key, "_k.kpi_type", F.col("_k.ord").cast("int").alias("ord"), "_k.name", value.alias("value"), "_k.unit", "_k.raw_text", F.lit("regex").alias("source")).where("value is not null")
 
 
 def override_revenue(kpis: DataFrame, tagged: DataFrame, key: str) -> DataFrame:
     """Revenue entries are replaced by the best tagged figure (highest score, first of equals) where there is one."""
     live = tagged.where(F.col("tag").isin(*REVENUE_TAGS) & F.col("value").isNotNull())
-    best = live.groupBy(key).agg(F.max_by(F.struct("tag", "value", "text"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("ord"))).alias("b"))
-    new = best.select(key, F.lit("revenue").alias("kpi_type"), F.lit(0).alias("ord"), F.col("b.tag").alias("name"), F.col("b.value").alias("value"), F.lit("").alias("unit"), F.coalesce("b.text", F.lit("")).alias("raw_text"), F.lit("financial_ner_model").alias("source"))
+    best = live.groupBy(key).agg(F.max_by(F.struct("tag", "value", "text"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("ord"))).alias("_b"))
+    new = best.select(key, F.lit("revenue").alias("kpi_type"), F.lit(0).alias("ord"), F.col("_b.tag").alias("name"), F.col("_b.value").alias("value"), F.lit("").alias("unit"), F.coalesce("_b.text", F.lit("")).alias("raw_text"), F.lit("financial_ner_model").alias("source"))
     old = kpis.join(new.select(key, "kpi_type"), [key, "kpi_type"], "left_anti")
     return old.select(new.columns).unionByName(new)
 
@@ -49,13 +49,13 @@ def override_revenue(kpis: DataFrame, tagged: DataFrame, key: str) -> DataFrame:
 def derived_margin(kpis: DataFrame, key: str) -> DataFrame:
     """(key, calculated_gross_margin_percent) from the first gross figure that is no percentage and the first revenue."""
     first = lambda kind: F.min_by(F.when(F.col("kpi_type") == kind, F.struct("value", "unit")), F.when(F.col("kpi_type") == kind, F.col("ord")))
-    both = kpis.groupBy(key).agg(first("gross_margin").alias("g"), first("revenue").alias("r"))
-    ok = F.col("g").isNotNull() & F.col("r").isNotNull() & (F.trim("g.unit") != "%") & (F.col("r.value") != 0)
-    return both.where(ok).select(key, (F.col("g.value") / F.col("r.value") * 100).alias("calculated_gross_margin_percent"))
+    both = kpis.groupBy(key).agg(first("gross_margin").alias("_g"), first("revenue").alias("_r"))
+    ok = F.col("_g").isNotNull() & F.col("_r").isNotNull() & (F.trim("_g.unit") != "%") & (F.col("_r.value") != 0)
+    return both.where(ok).select(key, (F.col("_g.value") / F.col("_r.value") * 100).alias("calculated_gross_margin_percent"))
 
 
 def kpi_totals(kpis: DataFrame, margins: DataFrame, key: str) -> DataFrame:
     """(key, kpi_count, calculated, total_kpis)."""
     counts = kpis.groupBy(key).agg(F.count_distinct("kpi_type").alias("kpi_count"))
-    joined = counts.join(margins.select(key, F.lit(1).alias("c")), key, "left")
-    return joined.select(key, "kpi_count", F.coalesce("c", F.lit(0)).alias("calculated"), (F.col("kpi_count") + F.coalesce("c", F.lit(0))).alias("total_kpis"))
+    joined = counts.join(margins.select(key, F.lit(1).alias("_c")), key, "left")
+    return joined.select(key, "kpi_count", F.coalesce("_c", F.lit(0)).alias("calculated"), (F.col("kpi_count") + F.coalesce("_c", F.lit(0))).alias("total_kpis"))
