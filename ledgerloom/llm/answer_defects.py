@@ -160,9 +160,9 @@ def _word_rules(pairs: DataFrame, vocabulary: int) -> tuple[list[str], np.ndarra
     counts = pairs.mapInPandas(run, "u int, x int, n bigint").groupBy("u", "x").agg(F.sum("n").alias("n")).toPandas()
     both, alone = np.zeros((v, v)), np.zeros(v)
     pure = counts[counts["x"] < 0]
-    alone[pure["u"]] = pure["n"]
+    alone[pure["u"].to_numpy(dtype=np.int64)] = pure["n"]
     pair = counts[counts["x"] >= 0]
-    both[pair["u"], pair["x"]] = pair["n"]
+    both[pair["u"].to_numpy(dtype=np.int64), pair["x"].to_numpy(dtype=np.int64)] = pair["n"]
     share = np.where(alone[:, None] >= 20, both / np.maximum(alone[:, None], 1), 0.0)
     return top, share
 
@@ -257,7 +257,9 @@ def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str,
 
     wanted = pairs.select("answer").distinct().mapInPandas(closing, "answer string, k int, context string")
     stats = wanted.join(_context_counts(pairs), "context", "left").groupBy("answer").agg(F.sort_array(F.collect_list(F.struct("k", "ends", "goes_on"))).alias("seen"))
-    joined = pairs.join(stats, "answer", "left")
+    # nulls have no context: each gets a key of its own, so that they don't meet in one task
+    spread = F.coalesce("answer", F.concat(F.lit("\u0000"), F.col("key").cast("string")))
+    joined = pairs.withColumn("_a", spread).join(stats.withColumnRenamed("answer", "_a"), "_a", "left")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, r = model.value

@@ -123,5 +123,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+# DuckDB's \s is ASCII: white space is spelled out.
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "list_transform(range(1, len(w) - {0} + 2), lambda i: array_to_string(w[i : i + {0} - 1], ' '))"
+
+SQL = {
+    "p4_found": f"SELECT DISTINCT record_kind, record_key FROM (SELECT 'document' AS record_kind, doc_id AS record_key, cleaned_text AS t FROM parsed_document UNION ALL SELECT 'chunk', chunk_id, text FROM document_chunk) WHERE len(regexp_extract_all(t, '[^{_SPACE}]+')) > 512",
+    "p5_found": f"WITH s AS (SELECT DISTINCT chunk_id, unnest({_GRAMS.format(3)}) AS g FROM (SELECT chunk_id, {_WORDS.format('text')} AS w FROM document_chunk WHERE text IS NOT NULL AND chunk_id IS NOT NULL) WHERE len(w) >= 3), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2) SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.5",
+    "p6_found": "WITH v AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM document_chunk WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1), r AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY s DESC, b.chunk_id) <= 10) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE s >= 0.9",
+    "p7_found": f"WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(12)}) AS g FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12), i AS (SELECT DISTINCT item_id, unnest({_GRAMS.format(12)}) AS g FROM (SELECT item_id, {_WORDS.format('t')} AS w FROM (SELECT item_id, unnest([question, passage]) AS t FROM eval_item) WHERE t IS NOT NULL) WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g",
+    "p9_found": "WITH w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 298), lambda i: text[i : i + 299])) AS s FROM documents WHERE length(text) >= 300) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+QUERIES = queries()

@@ -216,7 +216,8 @@ def shared_spans(classes: DataFrame, least: int = 300, k: int = 120) -> DataFram
     matches = left.join(right.hint("shuffle_merge"), "seed").where("a < b")
     pairs = checkpointed(matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("anchors")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    texts = classes.select("class_id", "text").join(ends, "class_id", "left_semi").dropDuplicates(["class_id"])
+    # copies are combined before the shuffle, so that a class of very many is a few rows in its task
+    texts = classes.groupBy("class_id").agg(F.min("text").alias("text")).join(ends, "class_id", "left_semi")
     both = pairs.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b")
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
