@@ -27,9 +27,10 @@ def extract_kpis(texts: DataFrame, key: str, text: str) -> DataFrame:
     is whatever letters follow, so it may be the next word.
     """
     def hits(kind: str, phrase: str) -> Column:
-        rx = F.lit("(?i)" + phrase + TAIL)
-        found = F.arrays_zip(*[F.regexp_extract_all(text, rx, i).alias(n) for i, n in ((0, "raw"), (1, "name"), (2, "number"), (3, "unit"))])
-        return F.transform(found, lambda h, i: F.struct(F.lit(kind).alias("kpi_type"), i.alias("ord"), h["name"].alias("name"), h["number"].alias("number"), h["unit"].alias("unit"), h["raw"].alias("raw_text")))
+        rx = "(?i)" + phrase + TAIL
+        # one pass over the text for the matches; their groups are taken from the short matches
+        part = lambda m, i: F.regexp_extract(m, rx, i)
+        return F.transform(F.regexp_extract_all(text, F.lit(rx), 0), lambda m, i: F.struct(F.lit(kind).alias("kpi_type"), i.alias("ord"), part(m, 1).alias("name"), part(m, 2).alias("number"), part(m, 3).alias("unit"), m.alias("raw_text")))
 
     per_type = [hits(kind, phrase) for kind, phrase in PHRASES.items()]
     rows = texts.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*per_type)).alias("_k"))

@@ -104,19 +104,23 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, query_col: str, k:
     for i in range(parts):
         block = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i).toArrow()
         x, ok = _unit(block.column("v"))
-        sent = spark.sparkContext.broadcast((np.array(block.column("q").to_pylist(), dtype=object)[ok], np.array(block.column("g").to_pylist(), dtype=object)[ok], x[ok]))
+        names = block.column("g").to_pylist()
+        known = {g: j for j, g in enumerate(sorted({g for g in names if g is not None}))}
+        codes = np.array([-1 if g is None else known[g] for g in names], dtype=np.int64)  # -1: every row
+        sent = spark.sparkContext.broadcast((np.array(block.column("q").to_pylist(), dtype=object)[ok], codes[ok], known, x[ok]))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, groups, xq = sent.value
+            ids, groups, known, xq = sent.value
             for b in batches:
                 xd, good = _unit(b.column("v"))
-                own, mine = np.array(b.column("id").to_pylist(), dtype=object), np.array(b.column("g").to_pylist(), dtype=object)
+                own = np.array(b.column("id").to_pylist(), dtype=object)
                 if not len(ids) or not good.any() or xd.shape[1] != xq.shape[1]:
                     continue
                 s = xq @ xd.T
                 s[:, ~good] = -np.inf
                 if group:
-                    s[(groups[:, None] != mine[None, :]) & (groups != None)[:, None]] = -np.inf  # noqa: E711
+                    mine = np.array([known.get(g, -2) for g in b.column("g").to_pylist()], dtype=np.int64)
+                    s[(groups[:, None] != mine[None, :]) & (groups >= 0)[:, None]] = -np.inf
                 if exclude_self:
                     s[ids[:, None] == own[None, :]] = -np.inf
                 if floor is not None:
