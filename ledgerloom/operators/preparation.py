@@ -65,3 +65,19 @@ def decode_labels(rows: DataFrame, key: str, ids: str, names: list[str]) -> Data
     """(key, tags): label names of the ids, ignored places left out."""
     table = F.array(*[F.lit(n) for n in names])
     return rows.select(key, F.transform(F.filter(ids, lambda i: i != -100), lambda i: F.try_element_at(table, i + 1)).alias("tags"))
+
+
+def titled_passages(corpus: DataFrame, ident: str, title: str, text: str) -> DataFrame:
+    """(doc_id, passage): title and text with a space between, trimmed."""
+    return corpus.select(F.col(ident).alias("doc_id"), F.trim(F.concat_ws(" ", title, text)).alias("passage"))
+
+
+def relevant_sets(qrels: DataFrame) -> DataFrame:
+    """(query_id, doc_ids) of the positive judgements."""
+    return qrels.where("score > 0").groupBy("query_id").agg(F.collect_set("doc_id").alias("doc_ids"))
+
+
+def benchmark_log(logs: DataFrame, text: str) -> DataFrame:
+    """(sequential, parallel, speedup) from a benchmark's log lines; null where a line is missing."""
+    seconds = lambda name: F.regexp_extract(text, rf"(?i){name}\s*\(median\):\s*([0-9.]+)\s*s", 1).try_cast("double")
+    return logs.select(seconds("sequential").alias("sequential"), seconds("parallel").alias("parallel")).withColumn("speedup", F.try_divide("sequential", "parallel"))
