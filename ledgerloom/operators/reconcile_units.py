@@ -1,13 +1,17 @@
 """Problem 3: quantities recorded in different units.
 
-Each history (the recorded values of one entity in order of time) is segmented by exact penalised changepoint search
-(PELT: optimal partitioning with pruning) on log values. A shift between the levels of two segments that matches a
-known factor, the ratio of two currencies' rates times two scales, marks a change of unit, which is reversed.
+The words decide: an amount's unit is parsed from them, and what they leave open is US dollars and whole units, as the
+results are defined. Two records of an entity are one amount in different units where they are equal in dollars and
+their recorded numbers differ. A level shift may not overrule this, and every such pair counts, however close the rates.
+
+Beside that each history (the recorded values of one entity in order of time) is segmented by exact penalised
+changepoint search (PELT: optimal partitioning with pruning) on log values; segments and levels are reported with the
+dollars and decide no pair.
 
 A history is cut beforehand at jumps so large that every optimal segmentation cuts there (jump squared / 2 above three
 penalties), so the pieces are independent and the search stays exact and short. Histories are range-partitioned by
 entity and time, so one entity with a third of all rows is spread over many tasks. A piece that crosses a partition's
-edge or holds more than ``piece_rows`` values is cut there; a cut without a shift of level marks no change of unit.
+edge or holds more than ``piece_rows`` values is cut there.
 
 Defined results: null, zero and non-finite values have no log and no segment (they keep amounts as they are); values
 of different sign are never in one segment; an empty table gives an empty result.
@@ -155,23 +159,17 @@ def _differ(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b))
 
 
-def unit_changes(records: DataFrame, tolerance: float = 0.005, match: float = 0.03) -> DataFrame:
-    """Pairs (one of kpi_example, one of kpi_agent) of an entity whose segments' levels differ by a known factor.
+def unit_changes(records: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Pairs (one of kpi_example, one of kpi_agent) of an entity that are one amount recorded in different units.
 
-    The log of the recorded values shifts by the ratio of their units' factors; the pair is then checked exactly: equal
-    in dollars within ``tolerance`` of the larger, recorded numbers further apart than that. The join is on the entity
-    and a band of the amount, so an entity with very many records isn't joined all to all.
+    Both are equal in dollars within ``tolerance`` of the larger, and the recorded numbers further apart than that. The
+    join is on the entity and a band of the amount, so an entity with very many records isn't joined all to all.
     """
-    seg = checkpointed(segment_histories(records, "doc_id", "at", "id", "value"))
-    band = F.floor(F.log(F.abs(F.col("usd"))) / F.lit(0.01)).cast("long")
-    seg = seg.where("usd is not null and usd <> 0").withColumn("band", band)
-    left = seg.where("kind <> 'agent'").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    left = left.select("doc_id", "band", F.col("kind").alias("kpi_side"), F.col("id").alias("sample_id"), *[F.col(c).alias(f"l_{c}") for c in ("value", "usd", "factor", "level", "segment")])
-    right = seg.where("kind = 'agent'").select("doc_id", "band", F.col("id").alias("entry_id"), *[F.col(c).alias(f"r_{c}") for c in ("value", "usd", "factor", "level", "segment")])
-    shift = F.col("l_level") - F.col("r_level")
-    known = F.log(F.col("r_factor") / F.col("l_factor"))
-    both = left.join(right, ["doc_id", "band"]).where(
-        (F.col("l_segment") != F.col("r_segment")) & (F.abs(shift - known) <= match)
-        & (_differ(F.col("l_usd"), F.col("r_usd")) <= tolerance) & (_differ(F.col("l_value"), F.col("r_value")) > tolerance)
-    )
+    usd = F.abs(F.col("usd"))
+    band = F.floor(F.log(usd) / F.lit(0.01)).cast("long")
+    some = checkpointed(records.where((usd > 0) & (usd < float("inf")) & ~F.isnan("usd") & F.col("doc_id").isNotNull()).withColumn("band", band))
+    left = some.where("kind <> 'agent'").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    left = left.select("doc_id", "band", F.col("kind").alias("kpi_side"), F.col("id").alias("sample_id"), *[F.col(c).alias(f"l_{c}") for c in ("value", "usd", "factor")])
+    right = some.where("kind = 'agent'").select("doc_id", "band", F.col("id").alias("entry_id"), *[F.col(c).alias(f"r_{c}") for c in ("value", "usd", "factor")])
+    both = left.join(right, ["doc_id", "band"]).where((_differ(F.col("l_usd"), F.col("r_usd")) <= tolerance) & (_differ(F.col("l_value"), F.col("r_value")) > tolerance))
     return both.select("sample_id", "kpi_side", "entry_id", (F.col("r_factor") / F.col("l_factor")).alias("unit_ratio")).distinct()

@@ -67,6 +67,14 @@ def test_pairs_in_other_units(spark):
     assert got == {(1, "reference", 10), (1, "reference", 11), (1, "extracted", 10)}
 
 
+def test_pairs_in_currencies_of_close_rates(spark):
+    rows = [("d", "reference", 1, 1000.0, "EUR"), ("d", "agent", 10, 1005.6, "USD"), ("d", "agent", 11, 1000.0, "EUR"), ("d", "agent", 12, 1020.0, None), ("d", "agent", 13, 1.0056, None), (None, "agent", 14, 1005.6, "USD")]
+    records = spark.createDataFrame([(*r[:4], (r[4], None)) for r in rows], "doc_id string, kind string, id long, value double, unit struct<currency:string,scale:double>").selectExpr("*", "timestamp'2020-01-01' AS at")
+    rates = spark.createDataFrame([("USD", 1.0), ("EUR", 1.0056)], "currency string, usd_rate double")
+    got = {(r.sample_id, r.kpi_side, r.entry_id) for r in ru.unit_changes(ru.to_dollars(records, rates)).collect()}
+    assert got == {(1, "reference", 10)}
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "sample_id long, doc_id string, text string, reference_kpis map<string,double>, extracted_kpis map<string,double>, reference_unit string, created_at timestamp")
     a = spark.createDataFrame([], "entry_id long, doc_id string, kpi_type string, value double, unit string, raw_text string, extracted_at timestamp")
