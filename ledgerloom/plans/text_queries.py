@@ -70,7 +70,9 @@ def speaker_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filings(spark: SparkSession, d: str) -> DataFrame:
-    parts = [F.lit("Contents\n"), F.lit("Item 7. "), F.substring("cleaned_text", 1, 200), F.lit("\nItem 1A. "), F.substring("cleaned_text", 201, 300), F.lit("\nITEM 8 "), F.substring("cleaned_text", 501, 100)]
+    """Whole filing texts with an item heading before each third of their length."""
+    x, third = F.col("cleaned_text"), F.floor(F.length("cleaned_text") / 3).cast("int")
+    parts = [F.lit("Contents\n"), F.lit("Item 7. "), F.substr(x, F.lit(1), third), F.lit("\nItem 1A. "), F.substr(x, third + 1, third), F.lit("\nITEM 8 "), F.substr(x, 2 * third + 1)]
     docs = table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(F.max("cleaned_text").alias("cleaned_text"))
     return docs.select("doc_id", F.concat(*parts).alias("raw_text"))
 

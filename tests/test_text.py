@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import chunking as ch
+from ledgerloom.plans import text_queries
 
 
 def one(spark, f, *values):
@@ -70,6 +71,15 @@ def test_windows_of_nothing_and_sections(spark):
     assert [(r.section, text[r.start : r.end]) for r in got] == [("risk_factors", "item 1a risks "), ("mda", "Item 7. outlook "), ("financial_statements", "ITEM 8 numbers")]
 
 
+def test_sections_of_whole_filings(spark, tmp_path):
+    rows = [("d", "ab " * 1000), ("late", "x" * 900 + " item 1b " + "y" * 91), ("tiny", "z"), ("n", None)]
+    spark.createDataFrame(rows, "doc_id string, cleaned_text string").write.parquet(f"{tmp_path}/parsed_document.parquet")
+    got = {(r.doc_id, r.section): (r.start, r.end) for r in text_queries.sec_sections(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "d"} == {("d", "mda"): (9, 1018), ("d", "risk_factors"): (1018, 2028), ("d", "financial_statements"): (2028, 3035)}
+    assert got["late", "financial_statements"] == (694, 936) and got["late", "unresolved_staff_comments"] == (936, 1035)
+    assert got["tiny", "financial_statements"] == (28, 36)
+
+
 def test_chunk_ids_repeat(spark):
     docs = spark.createDataFrame([("d", "One two. Three.")], "doc_id string, cleaned_text string")
     a, b = (ch.chunk_documents(docs).collect() for _ in range(2))
