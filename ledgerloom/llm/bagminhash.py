@@ -117,28 +117,29 @@ def _weighted(shingles: np.ndarray, weighting: str) -> tuple[np.ndarray, np.ndar
 
 
 def signed(records: DataFrame, key: str, text: str, width: int, weighting: str) -> DataFrame:
-    """(record, class_id, shingles, counts): class_id is a hash of the whole weighted shingle set."""
+    """(record, class_id, text_id, shingles, counts): class_id is a hash of the whole weighted shingle set, text_id of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("t").to_pylist()
-            keys, ids, sh, cn = [], [], [], []
-            for k, s in zip(b.column("record").to_pylist(), shingle_arrays(texts, width)):
+            keys, ids, tx, sh, cn = [], [], [], [], []
+            for k, x, s in zip(b.column("record").to_pylist(), b.column("text_id").to_pylist(), shingle_arrays(texts, width)):
                 if not len(s):
                     continue
                 e, n = _weighted(s, weighting)
                 keys.append(k)
+                tx.append(x)
                 with np.errstate(over="ignore"):
                     ids.append(int(mix(np.bitwise_xor.reduce(mix(e + n.astype(np.uint64) * _GOLD), keepdims=True) + np.uint64(len(e))).view(np.int64)[0]))
                 sh.append((e >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 cn.append(n.astype(np.int32) if weighting == "count" else None)
             yield pa.record_batch(
-                [pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(sh, pa.list_(pa.int32())), pa.array(cn, pa.list_(pa.int32()))],
-                names=["record", "class_id", "shingles", "counts"],
+                [pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(tx, pa.int64()), pa.array(sh, pa.list_(pa.int32())), pa.array(cn, pa.list_(pa.int32()))],
+                names=["record", "class_id", "text_id", "shingles", "counts"],
             )
 
-    rows = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("t")).where("record is not null and t is not null")
-    return rows.mapInArrow(run, "record string, class_id bigint, shingles array<int>, counts array<int>")
+    rows = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("t"), F.xxhash64(text).alias("text_id")).where("record is not null and t is not null")
+    return rows.mapInArrow(run, "record string, class_id bigint, text_id bigint, shingles array<int>, counts array<int>")
 
 
 def _bands(classes: DataFrame, size: int, rows: int) -> DataFrame:
@@ -163,13 +164,13 @@ def _bands(classes: DataFrame, size: int, rows: int) -> DataFrame:
 def near_duplicates(
     records: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, weighting: str = "set", size: int = 256, rows: int = 4
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has (record, class_id), links the pairs of classes with their similarity.
+    """(members, links): members has (record, class_id, text_id), links the pairs of classes with their similarity.
 
     ``weighting`` "set" compares sets of shingles, "count" multisets. A pair at similarity s is missed with
     probability (1 - s^rows)^(size / rows): 1.6 % at 0.5 and 0.2 % at 0.55 with the defaults.
     """
     sign = signed(records, key, text, width, weighting).where("class_id is not null")
-    members = checkpointed(sign.groupBy("record").agg(F.min("class_id").alias("class_id")))
+    members = checkpointed(sign.groupBy("record").agg(F.min(F.struct("class_id", "text_id")).alias("_m")).select("record", "_m.*"))
     # one exchange by class serves the bands and both sides of the verification
     classes = sign.groupBy("class_id").agg(F.min("shingles").alias("shingles"), *[F.min("counts").alias("counts")] * (weighting == "count"))
     if weighting != "count":

@@ -56,7 +56,7 @@ def _near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = _near_chunks(spark, d)
-    return classes.linked_records(members, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return classes.linked_records(members, links, text="text_id").select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:

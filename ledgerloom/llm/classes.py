@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def linked_records(members: DataFrame, links: DataFrame, expand: int = 64) -> DataFrame:
+def linked_records(members: DataFrame, links: DataFrame, expand: int = 64, text: str = "class_id") -> DataFrame:
     """Pairs of records (a < b) that are in one class or in linked classes.
 
-    A class of up to ``expand`` equal records is written out in full; a larger one, a group of exact copies, keeps the
-    form of a star: its least record is paired with each other one, and stands for the class in its links to others.
+    ``text`` tells the texts of a class apart; by default a class is one text. All pairs are written out but for more
+    than ``expand`` copies of one text, which keep the form of a star: their least record is paired with each other
+    one, and stands for the text in its pairs with other texts of its class and of linked classes.
     """
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("least"))
-    several = sizes.where("n > 1")
-    inside = members.join(several, "class_id")
-    small = inside.where(F.col("n") <= expand).select("class_id", "record")
-    full = small.alias("x").join(small.alias("y"), "class_id").where("x.record < y.record").select(F.col("x.record").alias("a"), F.col("y.record").alias("b"))
-    star = inside.where((F.col("n") > expand) & (F.col("record") > F.col("least"))).select(F.col("least").alias("a"), F.col("record").alias("b"))
-    ends = members.join(sizes, "class_id").where((F.col("n") <= expand) | (F.col("record") == F.col("least"))).select("class_id", "record")
+    copies = members.groupBy("class_id", F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("least"))
+    every = members.select("class_id", F.col(text).alias("text"), "record").join(copies, ["class_id", "text"])
+    star = every.where((F.col("n") > expand) & (F.col("record") > F.col("least"))).select(F.col("least").alias("a"), F.col("record").alias("b"))
+    ends = every.where((F.col("n") <= expand) | (F.col("record") == F.col("least"))).select("class_id", "record")
+    several = members.groupBy("class_id").count().where("count > 1").select("class_id")
+    inside = ends.join(several, "class_id")
+    full = inside.alias("x").join(inside.alias("y"), "class_id").where("x.record < y.record").select(F.col("x.record").alias("a"), F.col("y.record").alias("b"))
     across = (
         links.join(ends.select(F.col("class_id").alias("a"), F.col("record").alias("ra")), "a")
         .join(ends.select(F.col("class_id").alias("b"), F.col("record").alias("rb")), "b")

@@ -1,5 +1,6 @@
 """The operators as Spark jobs: brute force on small tables, nulls, ties, repeats, hot groups, empty tables, clashing names."""
 
+import itertools
 import random
 
 import numpy as np
@@ -86,6 +87,17 @@ def test_large_classes_become_stars(spark):
     assert got == {(0, i) for i in range(1, 10)} | {(20, 21), (0, 20), (0, 21)}
 
 
+def test_only_equal_texts_become_stars(spark, tmp_path):
+    base = "the same passage of standard words in every filing"
+    forms = [" ".join(w.upper() if i >> j & 1 else w for j, w in enumerate(base.split())) for i in range(70)]
+    rows = [(i, t) for i, t in enumerate(forms)] + [(i, forms[0]) for i in range(100, 170)] + [(200, base + " too"), (201, "quite other words than those")]
+    spark.createDataFrame([(str(i), t) for i, t in rows], "chunk_id string, text string").write.parquet(f"{tmp_path}/document_chunk.parquet")
+    got = [tuple(r) for r in catalogue.p5_found(spark, str(tmp_path)).collect()]
+    ends = sorted(str(i) for i in range(70)) + ["200"]  # record 0 stands for its copies 100 to 169
+    want = {tuple(sorted(p)) for p in itertools.combinations(ends, 2)} | {("0", str(i)) for i in range(100, 170)}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 64))
