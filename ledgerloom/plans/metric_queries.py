@@ -175,8 +175,8 @@ def training_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ir_subsample(spark: SparkSession, d: str) -> DataFrame:
-    needed = _qrels(spark, d).where("score > 0 and query_id < 10")
-    return pr.sample_corpus(_corpus(spark, d).select("doc_id"), needed, 200)
+    needed = _qrels(spark, d).where("score > 0")
+    return pr.sample_corpus(_corpus(spark, d).select("doc_id"), needed, 20_000)
 
 
 def timing_median(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.metrics import evaluators as ev
 from ledgerloom.operators import preparation as pr
+from ledgerloom.plans import metric_queries
 
 
 def test_entities(spark):
@@ -80,3 +81,10 @@ def test_evidence_samples(spark):
     df = spark.createDataFrame([(1, "q", "a", ["x", "", None, "y"]), (2, "q", "", ["x"]), (3, "q", "a", [])], "id int, q string, a string, e array<string>")
     rows = pr.evidence_samples(df, "id", "q", "a", "e").collect()
     assert [[tuple(c) for c in r.gold_chunks] for r in rows] == [[("1-0", "x"), ("1-1", "y")]]
+
+
+def test_subsample_needs_every_query(spark, tmp_path):
+    # every third passage is judged 0, the others are needed by one of the 50 queries
+    spark.range(70_000).selectExpr("concat('c', id) AS chunk_id", "CAST(id AS INT) AS ord", "'x' AS text").write.parquet(f"{tmp_path}/document_chunk.parquet")
+    rows = metric_queries.ir_subsample(spark, str(tmp_path)).groupBy("needed").count().collect()
+    assert {r.needed: r["count"] for r in rows} == {True: 46_666, False: 20_000}
