@@ -27,8 +27,11 @@ from ledgerloom.session import checkpointed, shuffle_width
 
 _POINT = regex.compile(r"(?<=\p{Nd})\.(?=\p{Nd})")
 _NOISE = regex.compile(r"[^\p{L}\p{N}\x00]+")
-_SEGMENTS = regex.compile(r"[\n\r|;&]+|,\s+(?=[\"']?\p{L}[\p{L}\p{N}_ /-]{0,40}?[\"']?\s*(?:[:=]|->))")
-_FIELD = regex.compile(r"^[^\p{L}\p{N}]*(\p{L}[\p{L}\p{N}_ /()%-]{0,60}?)[\"'*_\s]*(?::=|=>|->|[:=])\s*(.*?)[\s.]*$", regex.DOTALL)
+# A label takes all it can, without backtracking, so its length needs no limit; it may take the first half of "->".
+_LABEL = r"\p{L}[\p{L}\p{N}_ /()%-]*+"
+_IS = r"[\"'*_\s]*+(?::=|=>|->|(?<=-)>|[:=])"
+_SEGMENTS = regex.compile(rf"[\n\r|;&]+|,\s*+(?=[\"'*_]*+{_LABEL}{_IS})")
+_FIELD = regex.compile(rf"^[^\p{{L}}\p{{N}}]*({_LABEL}){_IS}\s*(.*?)[\s.]*$", regex.DOTALL)
 _TAGGED = regex.compile(r"<(\p{L}[\w.-]*)[^<>]*>([^<>]*)</\1>")
 
 

@@ -33,6 +33,25 @@ def test_canonical(a, b, same):
     assert (fc.canonical(a) == fc.canonical(b)) is same
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("a=1,b=2", "b=2,a=1"),
+        ("a:1,000,b:x,y,c:3", "C = 3; B = x,y; A = 1000"),
+        ("Unit->USD,Opening balance->5", "opening balance -> 5\nunit -> usd"),
+        ("net " * 40 + "debt: 5; unit: USD", "Unit: USD; " + "Net " * 40 + "Debt: 5"),
+        ("Unit: USD, " + "net " * 20 + "debt: 5", "net " * 20 + "debt=5|unit=USD"),
+    ],
+)
+def test_field_lists_in_any_order(a, b):
+    assert len(fc.fields(a)) == len(fc.fields(b)) > 1 and fc.canonical(a) == fc.canonical(b)
+
+
+def test_prose_and_long_texts_are_no_field_lists():
+    assert fc.fields("Sales rose 3,500,and costs fell: see below") is None and fc.fields("word " * 20_000) is None
+    assert fc.fields("a:" + ",b" * 20_000) is None and fc.fields("a" + "_" * 20_000) is None
+
+
 @given(st.lists(st.binary(max_size=12), max_size=300))
 def test_trie_counts(keys):
     trie = fc.CountingTrie(burst=4, stride=2)
