@@ -199,8 +199,7 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     out["refusal"] = "".join(_vote(h) for h in hits) + _vote(any(hits) and not reported and not figures, not any(hits) or reported) + _vote(meta and any(hits) and not reported, not meta or figures)
 
     (aw, ab), (qw, qb) = language(text), language(question or "")
-    few = len(words) < 4
-    out["other_language"] = _vote(bool(aw and qw and aw != qw) and not few, bool(aw and qw and aw == qw) or few) + _vote(bool(ab and qb and ab != qb) and not few, bool(ab and qb and ab == qb) or few)
+    out["other_language"] = _vote(bool(aw and qw and aw != qw), bool(aw and qw and aw == qw)) + _vote(bool(ab and qb and ab != qb), bool(ab and qb and ab == qb))
 
     open_end = is_open(text) or (text[-1] in '"“„«' and not _END.search(text))
     t = tokens(text)

@@ -193,6 +193,11 @@ def test_flow_spreads_before_repeating():
     assert taken == {(("a",), "a"): 10, (("a", "b"), "b"): 10}
 
 
+@pytest.mark.parametrize(("answer", "pattern"), [("Das ist nicht", "11"), ("Das ist falsch.", "11"), ("It was the", "00"), ("Yes.", "--"), ("4.2 %", "--")])
+def test_short_replies_have_a_language_where_it_is_clear(answer, pattern):
+    assert ad.votes("What was the revenue of the company in 2020?", answer, None, {}, np.empty((0, 0)))["other_language"] == pattern
+
+
 def test_label_model_finds_the_defect():
     rng, patterns = np.random.default_rng(0), {}
     truth = rng.random(4000) < 0.15
