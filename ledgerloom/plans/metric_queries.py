@@ -134,7 +134,7 @@ def span_to_iob2(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.functions.text import words
 
     marks = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("tag")) for a, b, t in _MARKS])
-    docs = table(spark, d, "documents").select("doc_id", F.slice(words(F.col("text")), 1, 1_000_000).alias("tokens"), marks.alias("entities"))
+    docs = table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("tokens"), marks.alias("entities"))
     return ev.spans_to_tags(docs, "doc_id", "tokens", "entities")
 
 

@@ -88,3 +88,9 @@ def test_subsample_needs_every_query(spark, tmp_path):
     spark.range(70_000).selectExpr("concat('c', id) AS chunk_id", "CAST(id AS INT) AS ord", "'x' AS text").write.parquet(f"{tmp_path}/document_chunk.parquet")
     rows = metric_queries.ir_subsample(spark, str(tmp_path)).groupBy("needed").count().collect()
     assert {r.needed: r["count"] for r in rows} == {True: 46_666, False: 20_000}
+
+
+def test_tags_of_a_very_long_document(spark, tmp_path):
+    spark.sql("SELECT 1L AS doc_id, repeat('a ', 1000002) AS text UNION ALL SELECT 2L, 'b c' UNION ALL SELECT 3L, NULL").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = metric_queries.span_to_iob2(spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in rows} == {1: 1_000_002, 2: 2}
