@@ -19,4 +19,4 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_dollars(spark: SparkSession, d: str) -> DataFrame:
     """Every recorded revenue in US dollars, with the segment of its history that it belongs to."""
-    return ru.segment_histories(_revenues(spark, d), "doc_id", "at", "id", "value").select("doc_id", "kind", "id", "value", "currency", "scale", "usd", "segment", "level")
+    return ru.segment_histories(_revenues(spark, d), ["doc_id", "kind", "source"], "at", "id", "value").select("doc_id", "kind", "id", "value", "currency", "scale", "usd", "segment", "level")
