@@ -5,8 +5,18 @@ k + window - 1 = ``least``, so that every shared stretch of ``least`` characters
 the matches of a pair are chained in order with gap costs through a Fenwick tree, and each chain is aligned: exact
 stretches are extended to their full length and the gaps between them are compared word by word (fuzzy passages).
 
+Two kinds of seeds would meet too often. In periodic text (rules of dashes, tables) a window's seed is chosen again every
+period: such a run is one seed with its period, and two runs are matched on the few shifts that can hold a longest
+stretch, those that align their ends. A seed that more than ``hot`` places carry, as that of a disclaimer just longer
+than the seed, is replaced by longer ones: a stretch of ``least`` characters has so many (0 to least - k) of them before
+the seed, and each part of that range has its own longer seed, of ten characters less than ``least`` in the end. So
+hardly any two records meet often without sharing a stretch, and none is missed.
+
 Records of equal text form one class beforehand: copies share everything and take part once.
 
+A gap between two stretches of a chain counts as unlike, without comparing its words, where it has 20,000 characters or
+more; a chain ends at gaps of more than ``max_gap`` characters, and the rest is another chain. Neither loses a stretch.
+
 Defined results: null and blank texts and texts shorter than ``least`` share nothing; a character is a code point;
 a repeated (id, text) row counts once; stretches within one record don't count.
 """
@@ -19,6 +29,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +84,57 @@ def winnow(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndarra
     return owner[at], at - (ends - lengths)[owner[at]], h[at]
 
 
+def collapse_runs(owner: np.ndarray, place: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, period): of three or more seeds of one hash in a row, evenly spaced by at most k / 2, the first
+    stays with that period; others have the period 0."""
+    n = len(h)
+    period = np.zeros(n, dtype=np.int64)
+    if n < 3:
+        return owner, place, h, period
+    step = np.where((owner[1:] == owner[:-1]) & (h[1:] == h[:-1]) & (place[1:] - place[:-1] <= k // 2), place[1:] - place[:-1], 0)
+    inner = np.zeros(n, dtype=bool)  # seeds that continue a run
+    inner[2:] = (step[1:] == step[:-1]) & (step[1:] > 0)
+    inner[1:-1] |= inner[2:]
+    first = np.zeros(n, dtype=bool)
+    first[:-1] = inner[1:] & ~inner[:-1]
+    period[:-1][first[:-1]] = step[first[:-1]]
+    keep = ~inner
+    return owner[keep], place[keep], h[keep], period[keep]
+
+
+def periodic_part(x: str, i: int, period: int) -> tuple[int, int]:
+    """Ends of the part of the given period around the place i."""
+    return i - _backward(x, x, i, i + period), i + period + _forward(x, x, i, i + period)
+
+
+def least_period(t: str) -> int:
+    """Length of the shortest stretch that t repeats."""
+    border, k = [0] * len(t), 0
+    for i in range(1, len(t)):
+        while k and t[i] != t[k]:
+            k = border[k - 1]
+        k += t[i] == t[k]
+        border[i] = k
+    return len(t) - border[-1]
+
+
+def run_anchors(x: str, y: str, i: int, j: int, k: int, period: int) -> list[tuple[int, int]]:
+    """Places on the shifts that can hold a longest common stretch of two periodic parts.
+
+    A stretch that leaves a part leaves the other at the same end, so its shift aligns these ends; one that doesn't is
+    no longer than that of a shift of the same phase next to such an alignment.
+    """
+    (l, r), (m, q) = periodic_part(x, i, period), periodic_part(y, j, period)
+    out = set()
+    for shift in (l - m, r - q):
+        least = i - j + (shift - (i - j)) // period * period
+        for d in (least, least + period):
+            start, end = max(l, m + d), min(r, q + d)
+            if end - start >= k:
+                out.add((start, start - d))
+    return sorted(out)
+
+
 class Fenwick:
     """Prefix maxima."""
 
@@ -191,41 +253,97 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFra
 
 
 SPANS = "a bigint, b bigint, chain int, start_a int, start_b int, length int, identity double"
+#: hash, class and place of a seed; its length and the period of a run; the range of the characters that a stretch has
+#: before it; ``run`` marks those that hold whole stretches
+SEEDS = "seed bigint, class_id bigint, place int, size int, period int, low int, high int, run boolean"
+Seed = tuple[int, int, int, int, int, int, bool]  # without the class
 
 
-def shared_spans(classes: DataFrame, least: int = 300, k: int = 120) -> DataFrame:
+def _hash(t: str) -> int:
+    return xxhash.xxh64_intdigest(t.encode("utf-32-le", "surrogatepass")) - 2**63
+
+
+def longer_seeds(text: str, place: int, size: int, low: int, high: int, least: int, parts: int) -> list[Seed]:
+    """Seeds for one that too many places carry.
+
+    A stretch has ``low`` to ``high`` characters before the seed. Each of ``parts`` parts of that range has a longer seed,
+    of all that its stretches have in common. A seed in a periodic part becomes the ends of this part, as a stretch that
+    leaves the part contains one of them, and one seed more where the part may hold whole stretches.
+    """
+    period = least_period(text[place : place + size]) if size else 0
+    if period and period <= size // 2:
+        l, r = periodic_part(text, place, period)
+        whole = [(_hash(f"run {text[place : place + size]}"), place, size, period, 0, 0, True)] if r - l >= least else []
+        return whole + [s for at in (l, r) for s in longer_seeds(text, at, 0, 0, least, least, parts)]
+    out, n = [], min(parts, high - low + 1)
+    for part in range(n):
+        a, b = low + (high - low + 1) * part // n, low + (high - low + 1) * (part + 1) // n - 1
+        start, end = place - a, place + least - b
+        if start >= 0 and end <= len(text):
+            out.append((_hash(f"{a} {text[start:end]}"), place, size, 0, a, b, False))
+    return out
+
+
+def shared_spans(classes: DataFrame, least: int = 300, k: int = 120, hot: int = 64) -> DataFrame:
     """Exact stretches of at least ``least`` characters (and their chain) of every pair of classes a < b."""
     window = least - k + 1
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # classes of this task: a copy has the same seeds
         for whole in batches:
-            texts, ids = whole.column("text").to_pylist(), np.asarray(whole.column("class_id"))
-            at = 0
+            texts, ids = [], []
+            for i, c in enumerate(whole.column("class_id").to_pylist()):
+                if c not in done:
+                    done.add(c)
+                    ids.append(c)
+                    texts.append(whole.column("text")[i].as_py())
+            ids, at = np.array(ids, dtype=np.int64), 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (size == 0 or size + len(texts[end]) < 1_000_000):
                     size += len(texts[end])
                     end += 1
-                owner, place, h = winnow(texts[at:end], k, window)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[at:end][owner], pa.int64()), pa.array(place, pa.int32())], names=["seed", "class_id", "place"])
+                owner, place, h, period = collapse_runs(*winnow(texts[at:end], k, window), k)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[at:end][owner], pa.int64()), pa.array(place, pa.int32()), pa.array(period, pa.int32())], names=["seed", "class_id", "place", "period"])
                 at = end
 
-    found = classes.select("class_id", "text").mapInArrow(seeds, "seed bigint, class_id bigint, place int").distinct()
-    left = found.select("seed", F.col("class_id").alias("a"), F.col("place").alias("i"))
-    right = found.select("seed", F.col("class_id").alias("b"), F.col("place").alias("j"))
-    matches = left.join(right.hint("shuffle_merge"), "seed").where("a < b")
-    pairs = checkpointed(matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("anchors")))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    level = classes.select("class_id", "text").mapInArrow(seeds, "seed bigint, class_id bigint, place int, period int")
+    level = level.select("seed", "class_id", "place", F.lit(k).alias("size"), "period", F.lit(0).alias("low"), F.lit(least - k).alias("high"), F.lit(False).alias("run"))
     # copies are combined before the shuffle, so that a class of very many is a few rows in its task
-    texts = classes.groupBy("class_id").agg(F.min("text").alias("text")).join(ends, "class_id", "left_semi")
+    texts = classes.groupBy("class_id").agg(F.min("text").alias("text"))
+    matches = None
+    for parts in (2, 9, 0):
+        once = level.repartition("seed").distinct()
+        often = once.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        live = checkpointed(once.join(often, "seed"))
+        few = F.col("run") | (F.col("n") <= hot) if parts else F.lit(True)
+        found = _meet(live.where(few), least, k)
+        matches = found if matches is None else matches.unionByName(found)
+        rest = live.where(~few)
+        if not parts or not rest.limit(1).count():
+            break
+
+        def refine(batches: Iterator[pd.DataFrame], parts=parts) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                rows = [(s[0], c, *s[1:]) for c, *seed in df.itertuples(index=False, name=None) for s in longer_seeds(*seed, least, parts)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEEDS.split(", ")])
+
+        level = rest.join(texts, "class_id").select("class_id", "text", "place", "size", "low", "high").mapInPandas(refine, SEEDS)
+    pairs = checkpointed(matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j", "p", "q")).alias("anchors")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    texts = texts.join(ends, "class_id", "left_semi")
     both = pairs.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b")
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = []
             for a, b, anchors, x, y in zip(df["a"], df["b"], df["anchors"], df["x"], df["y"]):
+                at = [(m["i"], m["j"]) for m in anchors if not m["p"] and not m["q"]]
+                for m in anchors:
+                    for period in {m["p"], m["q"]} - {0}:
+                        at += run_anchors(x, y, m["i"], m["j"], k, period)
                 seen: set[tuple[int, int, int]] = set()
-                for c, path in enumerate(chain([(m["i"], m["j"]) for m in anchors], k)):
+                for c, path in enumerate(chain(at, k)):
                     stretches, identity = align(x, y, path, k)
                     for s in stretches:
                         if s[2] >= least and s not in seen:
@@ -237,6 +355,14 @@ def shared_spans(classes: DataFrame, least: int = 300, k: int = 120) -> DataFram
     return both.select("a", "b", "anchors", "x", "y").mapInPandas(chains, SPANS)
 
 
+def _meet(seeds: DataFrame, least: int, k: int) -> DataFrame:
+    """Matches (a, b, i, j) of the classes a < b that carry one seed, at places with k equal characters, and the periods."""
+    at = F.when((F.col("size") > 0) | (F.col("high") <= least - k), F.col("place")).otherwise(F.col("place") - k)
+    left = seeds.select("seed", F.col("class_id").alias("a"), at.alias("i"), F.col("period").alias("p"))
+    right = seeds.select("seed", F.col("class_id").alias("b"), at.alias("j"), F.col("period").alias("q"))
+    return left.join(right.hint("shuffle_merge"), "seed").where("a < b").select("a", "b", "i", "j", "p", "q")
+
+
 def shared_report(classes: DataFrame, spans: DataFrame, least: int) -> DataFrame:
     """(record, chars, shared_chars, spans, copies): how much of each record stands elsewhere too."""
     sides = spans.select(F.col("a").alias("class_id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(

@@ -176,6 +176,23 @@ def test_shared_spans_match_brute_force(spark):
     assert report[21].shared_chars == 300 and report[20].shared_chars == 0 and report[8].shared_chars == 0
 
 
+def test_shared_spans_of_rules_and_disclaimers(spark):
+    """Dashes, and text in all documents, which hot seeds of 120 characters would all make meet."""
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    small, large, tail = make(130), make(400), make(280)
+    rows = [(i, make(150) + small + make(150)) for i in range(60)] + [(100 + i, make(80) + large + make(80)) for i in range(40)]
+    rows += [(200 + i, make(90) + tail + "-" * n + make(90)) for i, n in enumerate((10_000, 10_000, 40, 250, 5, 0))] + [(300 + i, "-" * (280 + 5 * i) + make(40)) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    windows = {i: {t[k : k + 300] for k in range(len(t) - 299)} for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(windows), 2) if windows[a] & windows[b]}
+    found = shared_spans.text_classes(df, "doc_id", "text", 300)
+    for hot in (64, 2):
+        spans = shared_spans.shared_spans(found, hot=hot)
+        got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct()).collect()}
+        assert got == want
+
+
 def test_defects(spark):
     ask = "What was the revenue of Velholm Energy in fiscal 2020?"
     good = ["Revenue of Velholm Energy rose {}% in fiscal 2020, mainly because of lower costs.", "The filing names lower costs as the main reason, followed by price {}.", "Revenue was ${} million in fiscal 2020."]

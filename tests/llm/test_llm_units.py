@@ -123,6 +123,45 @@ def test_winnowing_misses_no_shared_stretch(x, y, common):
     assert set(h[owner == 0].tolist()) & set(h[owner == 1].tolist())
 
 
+def brute_period(t):
+    return next(p for p in range(1, len(t) + 1) if all(t[i] == t[i + p] for i in range(len(t) - p)))
+
+
+@given(st.text(alphabet="ab", min_size=1, max_size=24))
+def test_least_period(t):
+    assert shared_spans.least_period(t) == brute_period(t)
+
+
+def test_a_run_is_one_seed():
+    k, least = 120, 300
+    seeds = shared_spans.winnow(["x" * 50 + "-" * 10_000 + "end", "ab" * 400], k, least - k + 1)
+    owner, place, h, period = shared_spans.collapse_runs(*seeds, k)
+    assert len(seeds[0]) > 9000 and len(owner) < 40
+    assert 1 in period[owner == 0] and 2 in period[owner == 1]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.data())
+def test_runs_and_hot_seeds_miss_no_shared_stretch(data):
+    """Texts of a few repeated parts: a shared stretch is found through each level of seeds alone."""
+    k, least = 8, 20
+    unit = st.sampled_from(["a", "ab", "abc", "aab", "x", "y", "zw", "abcdefghijk"])
+    text = st.lists(st.tuples(unit, st.integers(1, 14)).map(lambda u: u[0] * u[1]), min_size=1, max_size=5).map("".join)
+    texts = [data.draw(text), data.draw(text)]
+    n = longest_common(*texts)
+    owner, place, h, period = shared_spans.collapse_runs(*shared_spans.winnow(texts, k, least - k + 1), k)
+    level = [(o, (int(s), int(i), k, int(p), 0, least - k, False)) for o, i, s, p in zip(owner, place, h, period)]
+    for parts in (2, 3, 0):
+        best = 0
+        for _, (s, i, size, p, low, high, run) in (e for e in level if e[0] == 0):
+            for _, (t, j, _, q, _, _, _) in (e for e in level if e[0] == 1 and e[1][0] == s):
+                shift = 0 if size or high <= least - k else k
+                at = [(i - shift, j - shift)] if not p and not q else [x for r in {p, q} - {0} for x in shared_spans.run_anchors(*texts, i, j, k, r)]
+                best = max([best, *(m for a in at for _, _, m in shared_spans.align(*texts, [a], k)[0])])
+        assert best == n or n < least
+        level = [(o, x) for o, s in level for x in ([s] if s[6] else shared_spans.longer_seeds(texts[o], s[1], s[2], s[4], s[5], least, parts))]
+
+
 def longest_common(x, y):
     best, row = 0, [0] * (len(y) + 1)
     for i in range(len(x)):
