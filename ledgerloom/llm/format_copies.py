@@ -5,10 +5,13 @@ lists as sorted label/value pairs), partitioned by recursive radix splits of tho
 and counted in a byte trie per bucket whose terminals carry the counters.
 
 A bucket whose bytes are used up (copies of one passage) is salted by the record's key; the partial terminals of the
-salts are merged afterwards. The driver sees only the prefixes of oversized buckets, at most rows / bucket_rows of them.
+salts, one row each, are merged afterwards. Prefixes of oversized buckets, at most rows / bucket_rows, are a table that
+is joined to the rows, by a broadcast only below a checked size.
 
 Defined results: a null text or key takes no part; a text without letters or digits has empty canonical bytes and
-equals every other such text; repeated (key, text) rows count once; an empty table gives an empty result.
+equals every other such text; repeated (key, text) rows count once; a key with several texts is a copy of each, and is
+counted in each class; an empty table gives an empty result. Numbers keep their digits: 1.50 and 1.5 differ in every
+notation. A field may occur several times, and JSON lists keep the order of their elements.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 from ledgerloom.session import checkpointed, shuffle_width
 
 _POINT = regex.compile(r"(?<=\p{Nd})\.(?=\p{Nd})")
-_NOISE = regex.compile(r"[^\p{L}\p{N}\x00]+")
+_NOISE = regex.compile(r"[^\p{L}\p{N}]+")
 # A label takes all it can, without backtracking, so its length needs no limit; it may take the first half of "->".
 _LABEL = r"\p{L}[\p{L}\p{N}_ /()%-]*+"
 _IS = r"[\"'*_\s]*+(?::=|=>|->|(?<=-)>|[:=])"
@@ -38,25 +42,52 @@ _TAGGED = regex.compile(r"<(\p{L}[\w.-]*)[^<>]*>([^<>]*)</\1>")
 def content(text: str) -> str:
     """Letters and digits in order, case folded, with the points that stand between digits."""
     text = unicodedata.normalize("NFC", text).casefold()
-    return _NOISE.sub("", _POINT.sub("\x00", text)).replace("\x00", ".")
+    return ".".join(_NOISE.sub("", x) for x in _POINT.split(text))
 
 
-def _flat(value: object) -> str:
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+class Fields(list):
+    """Label and value pairs of one JSON object, as often and in the order in which they stand there."""
 
 
-def fields(text: str) -> list[tuple[str, str]] | None:
-    """Label and value pairs when the whole text is a list of at least two labelled fields, else None."""
+_JSON = json.JSONDecoder(object_pairs_hook=Fields, parse_float=str, parse_int=str, parse_constant=str)
+
+
+def _value(value: object) -> str:
+    """Canonical value of a field: its content, or that of nested objects (fields in any order) and lists (in theirs)."""
+    if isinstance(value, Fields):
+        return "\x03" + "\x01".join(sorted(f"{content(k)}\x02{_value(v)}" for k, v in value)) + "\x04"
+    if isinstance(value, list):
+        if any(isinstance(x, list) for x in value):
+            return "\x05" + "\x01".join(map(_value, value)) + "\x06"
+        return content(" ".join(x if isinstance(x, str) else json.dumps(x) for x in value))
+    return content(value if isinstance(value, str) else json.dumps(value))
+
+
+def _parsed(body: str) -> object:
+    try:
+        return _JSON.decode(body)
+    except (ValueError, RecursionError):
+        return None
+
+
+def fields(text: str) -> list[tuple[str, object]] | None:
+    """Label and value pairs when the whole text is a list of at least two labelled fields, else None.
+
+    A JSON list whose objects have one field each and different labels is such a list too. Another JSON list with
+    objects is one value without a label: their order stays, that of the fields in each does not count.
+    """
     body = text.strip()
     if body[:1] in "{[" and body[-1:] in "}]":
-        try:
-            parsed = json.loads(body)
-        except ValueError:
-            body = body[1:-1]
-        else:
-            if isinstance(parsed, list) and parsed and all(isinstance(x, dict) for x in parsed):
-                parsed = {k: v for x in parsed for k, v in x.items()}
-            return [(str(k), _flat(v)) for k, v in parsed.items()] if isinstance(parsed, dict) and len(parsed) > 1 else None
+        parsed = _parsed(body)
+        if isinstance(parsed, list) and not isinstance(parsed, Fields):
+            if not any(isinstance(x, Fields) for x in parsed):
+                return None
+            if not all(isinstance(x, Fields) and len(x) == 1 for x in parsed) or len({x[0][0] for x in parsed}) < len(parsed):
+                return [("", parsed)]
+            parsed = Fields(x[0] for x in parsed)
+        if parsed is not None:
+            return list(parsed) if isinstance(parsed, Fields) and len(parsed) > 1 else None
+        body = body[1:-1]
     tags = _TAGGED.findall(body)
     if len(tags) > 1 and not content(regex.sub(r"<[^<>]*>", "", _TAGGED.sub("", body))):
         return tags
@@ -75,12 +106,17 @@ def canonical(text: str) -> bytes:
     pairs = fields(text) if any(c in text for c in ":=>") else None
     if pairs is None:
         return content(text).encode()
-    return ("\x01" + "\x01".join(sorted(f"{content(k)}\x02{content(v)}" for k, v in pairs))).encode()
+    return ("\x01" + "\x01".join(sorted(f"{content(k)}\x02{_value(v)}" for k, v in pairs))).encode()
 
 
 @F.pandas_udf(T.BinaryType())
 def canonical_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else canonical(t))
+    codes, once = pd.factorize(texts)  # a passage is listed in many samples
+    made = np.array([canonical(t) for t in once] + [None], dtype=object)
+    return pd.Series(made[codes])
+
+
+BROADCAST_BYTES = 16_000_000
 
 
 class CountingTrie:
@@ -122,36 +158,27 @@ class CountingTrie:
 
 
 def _radix_buckets(df: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds ``bucket``: the shortest canonical prefix whose bucket fits, salted where the bytes are used up."""
-    depth, levels, rest = 4, [], df
+    """Adds ``bucket``: the shortest canonical prefix whose bucket fits, and ``salt`` where the bytes are used up.
+
+    A level's prefixes are split further in the next one; only their number comes to the driver. They are broadcast up
+    to BROADCAST_BYTES and joined by a shuffle beyond.
+    """
+    depth, levels, rest = 4, [], df.select("canon")
     while True:
-        big = (
-            rest.groupBy(F.expr(f"substring(canon, 1, {depth})").alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max(F.length("canon")).alias("longest"))
-            .where(F.col("n") > bucket_rows)
-            .collect()  # at most rows / bucket_rows prefixes
-        )
-        if not big:
+        prefix = F.expr(f"substring(canon, 1, {depth})").alias("_p")
+        sizes = rest.groupBy(prefix).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("canon")).alias("longest")).where(F.col("n") > bucket_rows)
+        big = checkpointed(sizes.select("_p", F.when(F.col("longest") <= depth, F.ceil(F.col("n") / bucket_rows)).otherwise(0).cast("int").alias("_s")))
+        many = big.count()
+        if not many:
             break
-        schema = T.StructType([T.StructField("prefix", T.BinaryType()), T.StructField("salts", T.IntegerType())])
-        spent = [(bytes(r.prefix), -(-r.n // bucket_rows) if r.longest <= depth else 0) for r in big]
-        levels.append((depth, df.sparkSession.createDataFrame(spent, schema)))
-        deeper = [p for p in spent if not p[1]]
-        if not deeper:
-            break
-        again = df.sparkSession.createDataFrame(deeper, schema)
-        rest = rest.join(F.broadcast(again), F.expr(f"substring(canon, 1, {depth}) = prefix"), "left_semi")
+        big = F.broadcast(big) if many * (depth + 16) <= BROADCAST_BYTES else big
+        levels.append((depth, big))
+        rest = rest.join(big.where("_s = 0").select("_p"), F.expr(f"substring(canon, 1, {depth}) = _p"), "left_semi")
         depth *= 3
-    out = df.withColumn("bucket", F.expr(f"substring(canon, 1, {levels[0][0] if levels else depth})")).withColumn("salts", F.lit(0))
-    for i, (d, big) in enumerate(levels):
-        nxt = levels[i + 1][0] if i + 1 < len(levels) else d * 3
-        hit = big.select(F.col("prefix").alias("_p"), F.col("salts").alias("_s"))
-        out = (
-            out.join(F.broadcast(hit), F.expr(f"substring(canon, 1, {d}) = _p"), "left")
-            .withColumn("bucket", F.when(F.col("_p").isNull(), F.col("bucket")).otherwise(F.expr(f"substring(canon, 1, {nxt})")))
-            .withColumn("salts", F.coalesce(F.nullif(F.col("_s"), F.lit(0)), F.col("salts")))
-            .drop("_p", "_s")
-        )
+    out = df.withColumn("bucket", F.expr("substring(canon, 1, 4)")).withColumn("salts", F.lit(0))
+    for d, big in levels:
+        hit = out.join(big, F.expr(f"substring(canon, 1, {d}) = _p"), "left")
+        out = hit.withColumn("bucket", F.when(F.col("_s") == 0, F.expr(f"substring(canon, 1, {d * 3})")).otherwise(F.col("bucket"))).withColumn("salts", F.coalesce(F.nullif("_s", F.lit(0)), "salts")).drop("_p", "_s")
     salt = F.when(F.col("salts") > 0, F.pmod(F.xxhash64("record"), F.col("salts"))).otherwise(0)
     return out.withColumn("salt", salt.cast("int")).withColumn("salted", F.col("salts") > 0).drop("salts")
 
@@ -166,8 +193,9 @@ def _count_in_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, records in trie.terminals() if trie else ():
             digest, least = hashlib.md5(key, usedforsecurity=False).digest(), min(records)
-            rows += [(digest, r, least, len(records), salted) for r in records]
-        return pd.DataFrame(rows, columns=["digest", "record", "least", "copies", "salted"]) if rows else None
+            # the first row of a terminal carries its counter
+            rows += [(digest, r, least, len(records), salted, i == 0) for i, r in enumerate(records)]
+        return pd.DataFrame(rows, columns=["digest", "record", "least", "copies", "salted", "terminal"]) if rows else None
 
     for batch in batches:
         for canon, record, bucket, salt, s in zip(batch["canon"], batch["record"], batch["bucket"], batch["salt"], batch["salted"]):
@@ -181,34 +209,26 @@ def _count_in_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def format_copies(records: DataFrame, key: str, text: str, bucket_rows: int = 50_000) -> DataFrame:
-    """One row per record: (record, least, copies): the least key of its class and the number of records in it."""
-    base = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("text"))
-    base = base.where("record is not null and text is not null").distinct()
+    """One row per record and class: (record, digest, least, copies): the class, its least key and its number of records."""
+    base = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("text")).where("record is not null and text is not null")
     canon = checkpointed(base.select("record", canonical_udf("text").alias("canon")).distinct())
     buckets = _radix_buckets(canon, bucket_rows)
     width = shuffle_width(records.sparkSession)
     counted = (
         buckets.repartition(width, "bucket", "salt")
         .sortWithinPartitions("bucket", "salt")
-        .mapInPandas(_count_in_tries, "digest binary, record string, least string, copies bigint, salted boolean")
+        .mapInPandas(_count_in_tries, "digest binary, record string, least string, copies bigint, salted boolean, terminal boolean")
     )
-    whole = counted.where(~F.col("salted")).select("record", "digest", "least", "copies")
     if not buckets.where("salted").limit(1).count():
-        return whole
+        return counted.select("record", "digest", "least", "copies")
     counted = checkpointed(counted)
-    parts = counted.where("salted")
-    # one row per salt of a class: at most rows / bucket_rows in all, so its merge is small
-    merged = (
-        parts.groupBy("digest").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("copies"))
-    )
-    joined = parts.select("record", "digest").join(F.broadcast(merged), "digest").select("record", "digest", "least", "copies")
-    return counted.where(~F.col("salted")).select("record", "digest", "least", "copies").unionByName(joined)
+    # one row per salt of a class: at most twice rows / bucket_rows in all
+    merged = counted.where("salted and terminal").groupBy("digest").agg(F.min("least").alias("least"), F.sum("copies").alias("copies"))
+    parts = counted.where("salted").select("record", "digest").join(merged, "digest").select("record", "digest", "least", "copies")
+    return counted.where(~F.col("salted")).select("record", "digest", "least", "copies").unionByName(parts)
 
 
 def passages(rag: DataFrame) -> DataFrame:
-    """(chunk_id, text) of the gold and retrieved elements whose chunk_id is not null, each once."""
+    """(chunk_id, text) of the gold and retrieved elements whose chunk_id is not null, as often as listed."""
     both = F.concat(F.coalesce("gold_chunks", F.array()), F.coalesce("retrieved_chunks", F.array()))
-    return (
-        rag.select(F.explode(both).alias("c")).select("c.chunk_id", "c.text").where("chunk_id is not null and text is not null")
-        .groupBy("chunk_id", "text").agg(F.count(F.lit(1)).alias("listings"))
-    )
+    return rag.select(F.explode(both).alias("c")).select("c.chunk_id", "c.text").where("chunk_id is not null and text is not null")

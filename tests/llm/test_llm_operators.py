@@ -35,7 +35,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id long, text string").selectExpr("cast(id AS string) AS sid", "id", "text", *CLASH).repartition(5)
 
 
-def test_format_copies_with_hot_and_salted_groups(spark):
+def test_format_copies_with_hot_and_salted_groups(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(f"k{i:04d}", f"Common start {i % 40} {rng.choice(['', '!', ' - '])}", i) for i in range(400)] + [(f"z{i:04d}", rng.choice(["Hot, TEXT 1.5", "hot text: 1.5", "HOT-text 1.5;"]), i) for i in range(200)]
     rows += [("n", None, 0), (None, "x", 0), ("e1", "...", 0), ("e2", "", 0), ("k0000", rows[0][1], 9)]
@@ -45,7 +45,8 @@ def test_format_copies_with_hot_and_salted_groups(spark):
         if k is not None and t is not None:
             want.setdefault(format_copies.canonical(t), set()).add(k)
     want = {k: (min(g), len(g)) for g in want.values() for k in g}
-    for limit in (30, 50_000):  # with and without splits and salts
+    for limit, size in ((30, 16_000_000), (30, 0), (50_000, 0)):  # with and without splits and salts, broadcast or not
+        monkeypatch.setattr(format_copies, "BROADCAST_BYTES", size)
         got = {r.record: (r.least, r.copies) for r in format_copies.format_copies(df, "id", "t", bucket_rows=limit).collect()}
         assert got == want
 

@@ -47,6 +47,30 @@ def test_field_lists_in_any_order(a, b):
     assert len(fc.fields(a)) == len(fc.fields(b)) > 1 and fc.canonical(a) == fc.canonical(b)
 
 
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ('[{"a":1,"b":2},{"a":3,"b":4}]', '[{"a":9,"b":7},{"a":3,"b":4}]', False),
+        ('[{"a":1,"b":2},{"a":3,"b":4}]', '[{"b":2,"a":1},\n{"b":4,"a":3}]', True),
+        ('[{"a":1,"b":2},{"a":3,"b":4}]', '[{"a":3,"b":4},{"a":1,"b":2}]', False),
+        ('{"a":1,"a":2,"b":3}', '{"a":2,"b":3}', False),
+        ('{"a":1,"a":2,"b":3}', "b: 3; a: 2; a: 1", True),
+        ('{"a":12345678901234567.8,"b":1}', '{"a":12345678901234567.9,"b":1}', False),
+        ('{"rev":1.50,"b":1}', "rev: 1.50; b: 1", True),
+        ('{"rev":1.50,"b":1}', "rev: 1.5; b: 1", False),
+        ('[{"a": 1}, {"b": "x"}]', "B = x | A = 1", True),
+        ('{"a": ["x", "y"], "b": 1}', "b: 1; a: x, y", True),
+        ('{"a": {"x": 1, "y": 2}, "b": 1}', '{"b": 1, "a": {"y": 2, "x": 1}}', True),
+        ('["x", "y"]', "x y", True),
+        ("1\x005", "1.5", False),
+        ("1\x005", "15", True),
+        ("[" * 100_000, "", True),
+    ],
+)
+def test_canonical_form_drops_no_content(a, b, same):
+    assert (fc.canonical(a) == fc.canonical(b)) is same
+
+
 def test_prose_and_long_texts_are_no_field_lists():
     assert fc.fields("Sales rose 3,500,and costs fell: see below") is None and fc.fields("word " * 20_000) is None
     assert fc.fields("a:" + ",b" * 20_000) is None and fc.fields("a" + "_" * 20_000) is None
