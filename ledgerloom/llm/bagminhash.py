@@ -6,7 +6,12 @@ earliest point. Points above an element's weight are thinned, so two sets agree
 their weighted Jaccard similarity. Each process is followed only until its time passes the signature's largest value.
 
 Signatures are cut into bands; records that agree in a band are candidates, and every candidate is verified by the
-overlap of its shingles. Records with equal shingle sets form one class beforehand, so copies never meet in a band.
+overlap of its shingles, as hashes of 32 bits (one shingle in some ten million is taken for another). Records with equal
+shingle sets form one class beforehand, so copies never meet in a band.
+
+Candidates that aren't alike would grow with the square of the collection. So a band has one position more for each
+sixteen times of classes above a million: at the background similarity b of texts, each position more leaves b times the
+candidates, and bands are added so that the share of missed pairs stays the same at every size.
 
 Defined results: texts of fewer words than a shingle have no shingles and take no part; null texts and keys neither;
 a repeated key with the same text counts once, one with several texts takes part with the least of them.
@@ -14,6 +19,7 @@ a repeated key with the same text counts once, one with several texts takes part
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,7 @@ from ledgerloom.session import checkpointed
 from ledgerloom.llm.words import mix, split_words, window_hashes, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 _UNIT = 2.0**32
 
 
@@ -107,12 +114,13 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.broadcast_to(np.arange(size // rows, dtype=np.uint64) * _GOLD, (n, size // rows)).copy()
         for j in range(rows):
-            out = mix(out ^ bits[:, :, j]) * np.uint64(0xD6E8FEB86659FD93)
+            out = mix(out ^ bits[:, :, j]) * _BASE
     return out
 
 
 def _weighted(shingles: np.ndarray, weighting: str) -> tuple[np.ndarray, np.ndarray]:
-    e, n = np.unique(shingles, return_counts=True)
+    """Distinct shingles, as the upper 32 bits of their hashes, and their weights."""
+    e, n = np.unique((shingles >> np.uint64(32)).astype(np.uint32), return_counts=True)
     return e, n if weighting == "count" else np.ones(len(e))
 
 
@@ -130,8 +138,8 @@ def signed(records: DataFrame, key: str, text: str, width: int, weighting: str)
                 keys.append(k)
                 tx.append(x)
                 with np.errstate(over="ignore"):
-                    ids.append(int(mix(np.bitwise_xor.reduce(mix(e + n.astype(np.uint64) * _GOLD), keepdims=True) + np.uint64(len(e))).view(np.int64)[0]))
-                sh.append((e >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    ids.append(int(mix(np.bitwise_xor.reduce(mix(e * _BASE + n.astype(np.uint64) * _GOLD), keepdims=True) + np.uint64(len(e))).view(np.int64)[0]))
+                sh.append(e.view(np.int32))
                 cn.append(n.astype(np.int32) if weighting == "count" else None)
             yield pa.record_batch(
                 [pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(tx, pa.int64()), pa.array(sh, pa.list_(pa.int32())), pa.array(cn, pa.list_(pa.int32()))],
@@ -161,16 +169,26 @@ def _bands(classes: DataFrame, size: int, rows: int) -> DataFrame:
     return classes.mapInArrow(run, "band bigint, class_id bigint")
 
 
-def near_duplicates(
-    records: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, weighting: str = "set", size: int = 256, rows: int = 4
-) -> tuple[DataFrame, DataFrame]:
+#: Share of the pairs right at the threshold that may be missed.
+MISS = 0.0165
+
+
+def banding(classes: int, threshold: float, rows: int = 4) -> tuple[int, int]:
+    """(signature size, positions a band) for a number of classes."""
+    rows += max(0, math.ceil(math.log(max(classes, 1) / 1e6, 16) - 1e-9))
+    bands = math.ceil(math.log(MISS) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+    return bands * rows, rows
+
+
+def near_duplicates(records: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, weighting: str = "set", rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has (record, class_id, text_id), links the pairs of classes with their similarity.
 
     ``weighting`` "set" compares sets of shingles, "count" multisets. A pair at similarity s is missed with
-    probability (1 - s^rows)^(size / rows): 1.6 % at 0.5 and 0.2 % at 0.55 with the defaults.
+    probability (1 - s^rows)^(size / rows), at the threshold MISS: 1.6 % at 0.5 and 0.2 % at 0.55.
     """
-    sign = signed(records, key, text, width, weighting).where("class_id is not null")
-    members = checkpointed(sign.groupBy("record").agg(F.min(F.struct("class_id", "text_id")).alias("_m")).select("record", "_m.*"))
+    sign = checkpointed(signed(records, key, text, width, weighting).where("class_id is not null"))
+    members = sign.groupBy("record").agg(F.min(F.struct("class_id", "text_id")).alias("_m")).select("record", "_m.*")
+    size, rows = banding(sign.count(), threshold, rows)
     # one exchange by class serves the bands and both sides of the verification
     classes = sign.groupBy("class_id").agg(F.min("shingles").alias("shingles"), *[F.min("counts").alias("counts")] * (weighting == "count"))
     if weighting != "count":

@@ -50,19 +50,29 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(chunks).select("record_kind", "record_key").distinct()
 
 
-def _near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return bagminhash.near_duplicates(table(spark, d, "document_chunk"), "chunk_id", "text", threshold=0.5, width=3)
+#: More byte-equal copies of one text than these are written as a star instead of all pairs.
+COPIES = 64
+
+
+def _near_chunks(spark: SparkSession, d: str, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
+    return bagminhash.near_duplicates(table(spark, d, "document_chunk"), "chunk_id", "text", threshold=0.5, width=3, weighting=weighting)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = _near_chunks(spark, d)
-    return classes.linked_records(members, links, text="text_id").select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return classes.linked_records(members, links, COPIES, text="text_id").select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk: its class of equal shingle sets, the class's size and its links to other classes."""
     members, links = _near_chunks(spark, d)
-    return classes.class_report(members, links).withColumnRenamed("record", "chunk_id")
+    return classes.class_report(members, links).withColumnsRenamed({"record": "chunk_id", "first": "class_chunk_id"})
+
+
+def p5_multisets(spark: SparkSession, d: str) -> DataFrame:
+    """The same for multisets of shingles: a repeated passage counts as often as it stands in the text."""
+    members, links = _near_chunks(spark, d, "count")
+    return classes.class_report(members, links).withColumnsRenamed({"record": "chunk_id", "first": "class_chunk_id"})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +111,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     texts = shared_spans.text_classes(table(spark, d, "documents"), "doc_id", "text", 300)
     links = shared_spans.shared_spans(texts).select("a", "b").distinct()
     members = texts.select("record", "class_id").distinct()
-    return classes.linked_records(members, links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return classes.linked_records(members, links, COPIES).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -128,9 +138,29 @@ _SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = "list_transform(range(1, len(w) - {0} + 2), lambda i: array_to_string(w[i : i + {0} - 1], ' '))"
 
+
+
+def _near_report(name: str) -> str:
+    """Classes and links of the chunks by brute force; ``name`` names the x-th occurrence of a shingle s in its chunk, so
+    that a multiset is a set of names."""
+    return (
+        f"WITH w AS (SELECT DISTINCT chunk_id, {_WORDS.format('text')} AS w FROM document_chunk WHERE text IS NOT NULL AND chunk_id IS NOT NULL),"
+        f" u AS (SELECT chunk_id, unnest({_GRAMS.format(3)}) AS s FROM w WHERE len(w) >= 3),"
+        f" g AS (SELECT chunk_id, list(DISTINCT {name}) AS g FROM (SELECT chunk_id, s, row_number() OVER (PARTITION BY chunk_id, s) AS x FROM u) GROUP BY 1),"
+        " k AS (SELECT chunk_id, g, md5(array_to_string(list_sort(g), '|')) AS k FROM g), c AS (SELECT k, min(chunk_id) AS first, count(*) AS class_size, any_value(g) AS g FROM k GROUP BY 1),"
+        " s AS (SELECT k, unnest(g) AS s FROM c), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),"
+        " p AS (SELECT a.k AS a, b.k AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.k < b.k GROUP BY 1, 2),"
+        " l AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE m / (x.n + y.n - m)::DOUBLE >= 0.5),"
+        " e AS (SELECT k, count(*) AS links FROM (SELECT a AS k FROM l UNION ALL SELECT b FROM l) GROUP BY 1)"
+        " SELECT chunk_id, first AS class_chunk_id, class_size, coalesce(links, 0) AS links FROM k JOIN c USING (k) LEFT JOIN e USING (k)"
+    )
+
+
 SQL = {
     "p4_found": f"SELECT DISTINCT record_kind, record_key FROM (SELECT 'document' AS record_kind, doc_id AS record_key, cleaned_text AS t FROM parsed_document UNION ALL SELECT 'chunk', chunk_id, text FROM document_chunk) WHERE len(regexp_extract_all(t, '[^{_SPACE}]+')) > 512",
     "p5_found": f"WITH s AS (SELECT DISTINCT chunk_id, unnest({_GRAMS.format(3)}) AS g FROM (SELECT chunk_id, {_WORDS.format('text')} AS w FROM document_chunk WHERE text IS NOT NULL AND chunk_id IS NOT NULL) WHERE len(w) >= 3), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2) SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.5",
+    "p5_classes": _near_report("s"),
+    "p5_multisets": _near_report("s || ' ' || x"),
     "p6_found": "WITH v AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM document_chunk WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1), r AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY s DESC, b.chunk_id) <= 10) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE s >= 0.9",
     "p7_found": f"WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(12)}) AS g FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12), i AS (SELECT DISTINCT item_id, unnest({_GRAMS.format(12)}) AS g FROM (SELECT item_id, {_WORDS.format('t')} AS w FROM (SELECT item_id, unnest([question, passage]) AS t FROM eval_item) WHERE t IS NOT NULL) WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g",
     "p9_found": "WITH w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 298), lambda i: text[i : i + 299])) AS s FROM documents WHERE length(text) >= 300) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def linked_records(members: DataFrame, links: DataFrame, expand: int = 64, text: str = "class_id") -> DataFrame:
+def linked_records(members: DataFrame, links: DataFrame, expand: int, text: str = "class_id") -> DataFrame:
     """Pairs of records (a < b) that are in one class or in linked classes.
 
     ``text`` tells the texts of a class apart; by default a class is one text. All pairs are written out but for more
     than ``expand`` copies of one text, which keep the form of a star: their least record is paired with each other
-    one, and stands for the text in its pairs with other texts of its class and of linked classes.
+    one, and stands for the text in its pairs with other texts of its class and of linked classes. ``class_report`` has
+    all members of every class, so nothing is lost.
     """
     copies = members.groupBy("class_id", F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("least"))
     every = members.select("class_id", F.col(text).alias("text"), "record").join(copies, ["class_id", "text"])
@@ -29,7 +30,8 @@ def linked_records(members: DataFrame, links: DataFrame, expand: int = 64, text:
 
 
 def class_report(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(record, class_id, class_size, links): one row per record; links counts the linked classes."""
+    """(record, first, class_size, links): one row per record: its class, named by its least record, the class's size and
+    the number of classes linked to it."""
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return members.join(sizes, "class_id").join(ends, "class_id", "left").select("record", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    sizes = members.groupBy("class_id").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("class_size"))
+    return members.select("record", "class_id").join(sizes, "class_id").join(ends, "class_id", "left").select("record", "first", "class_size", F.coalesce("links", F.lit(0)).alias("links"))

@@ -65,7 +65,7 @@ def test_pieces(spark, texts):
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_near_duplicates_match_brute_force(spark, texts, weighting):
     members, links = bagminhash.near_duplicates(frame(spark, texts), "sid", "text", threshold=0.5, width=3, weighting=weighting)
-    got = {(r.a, r.b) for r in classes.linked_records(members, links).collect()}
+    got = {(r.a, r.b) for r in classes.linked_records(members, links, 64).collect()}
     bags = {}
     for i, t in texts:
         w = split_words(t)
@@ -168,7 +168,7 @@ def test_shared_spans_match_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *CLASH)
     found = shared_spans.text_classes(df, "doc_id", "text", 300)
     spans = shared_spans.shared_spans(found)
-    got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct()).collect()}
+    got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct(), 64).collect()}
     live = {i: t for i, t in rows if t and len(t) >= 300}
     windows = {i: {t[k : k + 300] for k in range(len(t) - 299)} for i, t in live.items()}
     assert got == {(a, b) for a in live for b in live if a < b and windows[a] & windows[b]}
@@ -190,7 +190,7 @@ def test_shared_spans_of_rules_and_disclaimers(spark):
     found = shared_spans.text_classes(df, "doc_id", "text", 300)
     for hot in (64, 2):
         spans = shared_spans.shared_spans(found, hot=hot)
-        got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct()).collect()}
+        got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct(), 64).collect()}
         assert got == want
 
 
@@ -215,7 +215,7 @@ def test_empty_tables(spark):
     assert format_copies.format_copies(docs, "id", "text").count() == 0
     assert splitting.split_oversized(docs, "x", "id", "text").count() == 0
     members, links = bagminhash.near_duplicates(docs, "id", "text")
-    assert classes.linked_records(members, links).count() == 0
+    assert classes.linked_records(members, links, 64).count() == 0
     vectors = spark.createDataFrame([], "id string, e array<float>")
     assert quantised_search.all_neighbours(vectors, "id", "e").count() == 0
     assert quantised_search.search(vectors, vectors, "id", "e").count() == 0
