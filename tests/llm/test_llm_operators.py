@@ -126,6 +126,44 @@ def test_vectors_match_brute_force(spark):
     assert hits >= 0.9 * 60
 
 
+def cloud(n, seed=0):
+    """Vectors around few centres of very uneven weight, every second one with a near copy."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 64))
+    x = centres[np.minimum(rng.geometric(0.15, n) - 1, 39)] * 0.5 + rng.normal(size=(n, 64))
+    x[1::2] = x[::2] + 0.25 * rng.normal(size=(n // 2, 64))
+    return x.astype("float32")
+
+
+def test_lists_of_large_lists(spark):
+    """With centroids from a small sample, lists get lists of their own: the codes scanned a vector stay about as many."""
+    scanned = {}
+    for n in (3000, 24_000):
+        x = cloud(n)
+        df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "role int, vid bigint, v array<float>")
+        q = quantised_search.fit_quantiser(quantised_search._matrix(df.limit(400).select("v").toArrow().column("v").combine_chunks(), 64), 50)
+        sizes = {}
+        for limit in (200, 10**9):
+            placed = quantised_search.list_rows_of(df, 64, q, 3, 3, 50, limit)
+            per = placed.groupBy("list", "block").agg({"role": "sum", "vid": "count"}).collect()
+            sizes[limit] = sum((r["count(vid)"] - r["sum(role)"]) * r["count(vid)"] for r in per) / n
+            assert {r.vid for r in placed.where("role = 0").select("vid").distinct().collect()} == set(range(n))
+        scanned[n] = sizes
+    assert scanned[24_000][10**9] > 5 * scanned[3000][10**9]
+    assert scanned[24_000][200] < 2 * scanned[3000][200] + 200
+    names = spark.createDataFrame([(f"v{i:05d}", v.tolist()) for i, v in enumerate(x)], "id string, e array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = quantised_search.all_neighbours(names, "id", "e", k=5, sample_rows=400, list_rows=50, list_limit=200).collect()
+    got = {(int(r.record[1:]), int(r.neighbour[1:])) for r in near}
+    asked = range(0, 24_000, 100)
+    want = {i: np.argsort(-np.where(np.arange(len(u)) == i, -2, u @ u[i]))[:5] for i in asked}
+    pairs = {(i, j) for i, js in want.items() for j in js.tolist() if u[i] @ u[j] >= 0.9}
+    assert len(pairs & got) >= 0.97 * len(pairs) > 100
+    top = quantised_search.search(names, names.where("id like '%00'"), "id", "e", k=5, probe=24, sample_rows=400, list_rows=50, list_limit=200).collect()
+    hits = sum(int(r.neighbour[1:]) in want[int(r.record[1:])] for r in top)
+    assert len(top) == 5 * len(asked) and hits >= 0.9 * 5 * len(asked)
+
+
 def test_leaks_by_both_ways_and_removal(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = [(1, f"Before. {item.upper().replace(' ', ', ')} after"), (2, "nothing here"), (3, None), (4, ""), (5, item[4:]), (6, " ".join(item.split()[:11])), (None, item)]
