@@ -1,53 +1,54 @@
 """Problem 2: broken prompt and response pairs.
 
 Several noisy labelling functions vote on each defect; a label model (expectation-maximisation over the vote patterns)
-turns them into posteriors, and every label whose posterior exceeds its cutoff is kept. Whether an open-ended answer
-breaks off is learned from the answers that end properly: how often a context of one to three tokens ends a sentence
-or goes on, and which words nearly always bring another word after them.
+turns them into posteriors, and every label whose posterior exceeds its cutoff is kept. Some functions are patterns,
+others are learned: languages from labelled texts (``languages``), refusals from the answers that the patterns agree on,
+and whether an open-ended answer breaks off from the answers that end properly: how often a context of one to three
+tokens ends a sentence or goes on.
 
-The statistics cover all rows: context counts stay distributed and are joined to the open answers; only the most
-frequent words (``vocabulary``) and their co-occurrence table reach the driver.
+Cutoffs are validated in every run: defects are planted into a sample of the answers (cut, copied, emptied, swapped for
+one in another language, or replaced by refusals that no pattern was written for), the planted answers pass the same
+functions and the fitted model, and of a grid of cutoffs that of the greatest F1 is taken. ``validated_cutoffs`` reports
+them with precision and recall.
+
+The statistics cover all rows: context counts stay distributed and are joined to the open answers. What is fitted on the
+driver (languages, refusal words, planted answers) sees a sample of at most 2 * SAMPLE answers.
 
 Defined results: a null answer is empty; a null question makes nothing but the question's own comparisons abstain;
-repeated rows count as often as they stand in the statistics and give one row each key.
+repeated rows count as often as they stand in the statistics and give one row each key; rows with a null key take part
+in the statistics alone.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.label_model import fit_posteriors
+from ledgerloom.llm.label_model import best_cutoff, fit_posteriors
+from ledgerloom.llm.languages import Languages, learn_languages
 from ledgerloom.llm.words import split_words
 from ledgerloom.session import checkpointed
 
 #: Order of precedence for the single label of an answer.
 DEFECTS = ("empty", "question_copy", "refusal", "other_language", "truncated")
-CUTOFFS = {"empty": 0.5, "question_copy": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.5}
+#: Answers sampled to learn from, and defects of each kind planted among them.
+SAMPLE, PLANTED = 5000, 300
 
-# Words that say nothing, frequent words of five languages, and ways to refuse.
+# Words that say nothing, words that can't end a sentence, ways to refuse, and refusals to validate with.
 PLACEHOLDERS = frozenset("n a|na|null|none|nan|nil|tbd|tba|tbc|todo|blank|empty|no answer|no response|not available|not applicable|missing|pending|undefined|unknown|placeholder|keine angabe|k a|sans objet|sin datos|nessuna risposta|keine antwort|sin respuesta|pas de réponse|no data|void|xxx|lorem ipsum".split("|"))
-FUNCTION_WORDS = {
-    "en": "the of and to in a is was were that for on with as by from at it its this which what how why did does do or an be are has have had not would could than their into about but because while during said will cannot there so who when where after before between under over no not despite stayed came points names name change",
-    "de": "der die das und ist war wie im von für den dem des ein eine einer einem einen zu mit auf bei sich nicht auch nach aus um wurde wurden dass warum welche welcher hoch hat haben noch nur über durch zum zur oder als wird werden liegen lag damit weshalb gegenüber zwischen seit",
-    "fr": "le la les de et des du un une est était en dans pour que qui sur par avec au aux ce cette ne pas plus pourquoi quel quelle quels a ont son sa ses soit été entre depuis si bien seraient cours se sont comme mais ou où",
-    "es": "el la los las y de del un una es fue en por para que con al se su sus no lo como qué cuál más entre desde hasta lugar ello quedó cambió supone este esta pero sin sobre año ejercicio fueron han sido",
-    "it": "il lo la gli le e di del della dei delle un una è era in per che con al si su non come qual quale perché più tra da dal dalla nel nella nell dell all sono stato stata fino perciò anno ha hanno dopo ma anche o",
-}
-_STOP = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
-_SHARED = {w: [lang for lang, stop in _STOP.items() if w in stop] for stop in _STOP.values() for w in stop}
-_MARKS = {"de": re.compile(r"[äöüß]|\b\w+(?:ung|ungen|keit|schaft)\b"), "fr": re.compile(r"[àâçèêëîïôœùû]|\b[ldnsjcq]u?['’]"), "es": re.compile(r"[ñ¿¡áíóú]|\b\w+ción\b"), "it": re.compile(r"[òì]|\b\w+(?:zione|zioni)\b|\b(?:nell|dell|all|sull|dall|un|l)['’]"), "en": re.compile(r"\b\w+(?:ing|ed)\b|\bth(?:e|at|is)\b")}
 _DANGLING = frozenset("the of and to in a an is was were that for on with as by from at its which or than their into about but because while between per der die das und im von für den dem des ein eine einer einem einen zu mit auf bei um dass oder als le les et des du un une en dans pour que qui sur par avec au aux el los las y de del por con al il lo gli e di della dei delle che si tra da dal dalla nel nella".split())
 _ABBREVIATION = regex.compile(r"(?i)(?:\b(?:inc|corp|co|ltd|mio|mrd|no|vs|approx|dr|mr|mrs|st|e\.g|i\.e|etc|thsd|ca|nr|jan|feb|aug|sept|oct|nov|dec))\.$")
 _END = regex.compile(r"[.!?。！？][\"'”’»)\]]*$")
 _OPEN = regex.compile(r"(?:[(\[{,;:/&$€£¥–—-]|[(\[]?(?:\.{2,}|…)[)\]]?)[\"'”’»]*$")
+_CUT = regex.compile(r"(?:\.{2,}|…|[(\[])[)\]]?$")
 
 _REFUSALS = [
     re.compile(r"\b(?:i|we)(?:['’]m| am| are)?\b[^.?!]{0,40}\b(?:can(?:no|['’])t|cannot|unable|not able|won['’]?t|will not|must decline|decline|don['’]?t have|do not have|am afraid|refuse)\b|\b(?:decline|unable) to (?:answer|respond|comment|say|determine|help|provide)\b|\bnot possible for me\b|\bas an? (?:ai|language model|assistant)\b"),
@@ -55,29 +56,14 @@ _REFUSALS = [
     re.compile(r"\b(?:insufficient|not enough|no(?:t| ) (?:enough|sufficient)|nothing)\b[^.?!]{0,40}\b(?:context|information|excerpts?|passages?|documents?|answer)\b|\bdo(?:es)? not (?:contain|include|provide)\b[^.?!]{0,30}\b(?:information|answer|enough)\b|\bno answer can be given\b|\boutside (?:of )?what i can\b|\bcannot be (?:answered|determined)\b"),
     re.compile(r"\bkann (?:ich|dazu|diese|leider)\b[^.?!]*\bnicht\b|\bkeine (?:auskunft|angaben|antwort)\b|\bnicht beantworten\b|\bnicht genügend informationen\b|\bne (?:me|peux|puis|permet|contient)\b[^.?!]*\bpas\b|\bpas suffisamment\b|\bno (?:puedo|contiene|dispongo|es posible|me es posible)\b|\binformación suficiente\b|\bnon (?:posso|mi consente|contiene|sono in grado|è possibile)\b|\binformazioni sufficienti\b"),
 ]
+UNSEEN_REFUSALS = [
+    "That is something I would rather not discuss.", "I have no way of telling you this.", "Please consult a qualified expert; I cannot advise on it.", "My instructions keep me from replying here.",
+    "I do not know the answer to this question.", "It is beyond my abilities to give you these figures.", "I'd prefer not to comment on that.", "We regret that no information can be shared.",
+]
 _META = re.compile(r"\b(?:context|question|passages?|excerpts?|documents?|provided|request|access|information|speculate|professional advi[sc]er|frage|unterlagen|auskunft|kontext|contexte|question|documents|contexto|pregunta|información|contesto|domanda|rispondere|répondre|responder|beantworten)\b")
 _REPORTED = re.compile(r"^(?:the (?:company|filing|board|management|group|firm)|management|analysts?|the (?:chief|audit|treasurer)|in |about |no change|for )|\b(?:said|told|indicated|stressed|warned|reported) (?:that )?it\b|\bwas unable to quantify\b")
 
 
-def _clear(scores: dict[str, float], least: float, lead: float) -> str | None:
-    (best, n), (_, second) = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
-    return best if n >= least and n - second >= lead else None
-
-
-def language(text: str) -> tuple[str | None, str | None]:
-    """Language by frequent words, and by those together with spelling marks; None where there is too little to say.
-
-    A word of several languages counts in each by its share of them.
-    """
-    scores = dict.fromkeys(_STOP, 0.0)
-    for w in split_words(text):
-        for lang in _SHARED.get(w, ()):
-            scores[lang] += 1 / len(_SHARED[w])
-    low = text.lower()
-    both = {lang: n + 0.5 * min(4, len(_MARKS[lang].findall(low))) for lang, n in scores.items()}
-    return _clear(scores, 1.5, 0.7), _clear(both, 1.5, 0.7)
-
-
 def is_open(text: str) -> bool:
     """No sign that the last sentence is over; an abbreviation's point is no such sign."""
     t = text.rstrip()
@@ -130,50 +116,51 @@ def _context_counts(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "context string, ends bigint, goes_on bigint").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
 
 
-def _word_rules(pairs: DataFrame, vocabulary: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of properly ended answers, and the share of those with u that have v behind it."""
-    complete = F.col("answer").rlike(r"[.!?]\s*$")
-    words = pairs.where(complete).select(F.explode(F.array_distinct(F.split(F.lower("answer"), r"[^\p{L}]+"))).alias("w")).where("w <> ''")
-    top = [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary).collect()]
-    index = {w: i for i, w in enumerate(top)}
-    v = len(top)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both, alone = np.zeros((v, v), dtype=np.int64), np.zeros(v, dtype=np.int64)
-        for b in batches:
-            for a in b["answer"]:
-                if a is None or is_open(a):
-                    continue
-                first, last = {}, {}
-                for i, w in enumerate(tokens(a)):
-                    if w in index:
-                        first.setdefault(index[w], i)
-                        last[index[w]] = i
-                for u, i in first.items():
-                    alone[u] += 1
-                    for x, j in last.items():
-                        if j > i:
-                            both[u, x] += 1
-        u, x = np.nonzero(both)
-        yield pd.DataFrame({"u": np.concatenate([u, np.arange(v)]), "x": np.concatenate([x, np.full(v, -1)]), "n": np.concatenate([both[u, x], alone])})
-
-    counts = pairs.mapInPandas(run, "u int, x int, n bigint").groupBy("u", "x").agg(F.sum("n").alias("n")).toPandas()
-    both, alone = np.zeros((v, v)), np.zeros(v)
-    pure = counts[counts["x"] < 0]
-    alone[pure["u"].to_numpy(dtype=np.int64)] = pure["n"]
-    pair = counts[counts["x"] >= 0]
-    both[pair["u"].to_numpy(dtype=np.int64), pair["x"].to_numpy(dtype=np.int64)] = pair["n"]
-    share = np.where(alone[:, None] >= 20, both / np.maximum(alone[:, None], 1), 0.0)
-    return top, share
+class RefusalWords:
+    """Words and pairs of words that tell refusals from other answers, learned from the sampled answers: those that the
+    patterns call refusals, without a figure or a report of what others said, against all others."""
+
+    def __init__(self, answers: list[str]):
+        counts, sizes = (Counter(), Counter()), [0, 0]
+        for a in set(answers):
+            said = set(self._parts(a))
+            kind = int(sum(_refusal_signs(a)[0]) > 0 and not _refusal_signs(a)[1])
+            counts[kind].update(said)
+            sizes[kind] += 1
+        self.odds = {}
+        if min(sizes) >= 5:
+            for w in counts[0].keys() | counts[1].keys():
+                if counts[0][w] + counts[1][w] >= 3:
+                    self.odds[w] = math.log((counts[1][w] + 0.5) / (sizes[1] + 1)) - math.log((counts[0][w] + 0.5) / (sizes[0] + 1))
+
+    @staticmethod
+    def _parts(a: str) -> list[str]:
+        w = [x for x in split_words(a) if x.isalpha()]
+        return w + [f"{x} {y}" for x, y in zip(w, w[1:])]
+
+    def score(self, a: str) -> float | None:
+        """Mean log odds of the known parts; None where fewer than three are known."""
+        known = [self.odds[x] for x in self._parts(a) if x in self.odds]
+        return sum(known) / len(known) if len(known) >= 3 else None
+
+
+def _refusal_signs(text: str) -> tuple[list[bool], bool]:
+    """Which patterns of refusals match, and whether the text reports what others said or names a figure."""
+    low = text.lower()
+    hits = [bool(p.search(low)) for p in _REFUSALS]
+    if not any(hits):
+        return hits, False
+    figures = bool(re.search(r"\d", re.sub(r"(?i)\b(?:fy|q[1-4]|fiscal|quarter of|exercice|ejercicio|esercizio|geschäftsjahr)\s*\d*", "", low)))
+    return hits, figures or (bool(_REPORTED.search(low)) and not hits[0])
 
 
 def _vote(yes: bool, no: bool = False) -> str:
     return "1" if yes else "0" if no else "-"
 
 
-def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]] | None, top: dict[str, int], rules: np.ndarray) -> dict[str, str]:
+def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]] | None, languages: Languages, refusals: RefusalWords, asked_in: tuple | None = None) -> dict[str, str]:
     """Vote patterns of all defects; ``seen`` has (ends, goes on) of the answer's closing contexts of 1, 2, 3 tokens
-    and of the whole answer."""
+    and of the whole answer, ``asked_in`` the question's language if it is known already."""
     text = (answer or "").strip()
     words, asked = split_words(text), split_words(question)
     bare = " ".join(words)
@@ -182,8 +169,8 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     nothing = not words
     placeholder = bare in PLACEHOLDERS
     out["empty"] = _vote(nothing, len(words) > 3) + _vote(placeholder or nothing, not placeholder and len(words) > 1) + _vote((len(bare) < 2 and not bare.isdigit()) or placeholder, len(words) > 3)
-    if nothing or placeholder:
-        return out | {"question_copy": "000", "refusal": "000000", "other_language": "00", "truncated": "0000000"}
+    if nothing or placeholder:  # nothing for the others to judge
+        return out | {"question_copy": "---", "refusal": "-------", "other_language": "---", "truncated": "-------"}
 
     within = bool(asked) and f" {bare} " in f" {' '.join(asked)} "
     cover = len(words) / len(asked) if asked else 0.0
@@ -191,37 +178,24 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     own = sum(spare.values()) / len(words)
     out["question_copy"] = _vote(within and cover >= 0.5, own > 0.3 or cover < 0.3) + _vote(own == 0 and cover >= 0.5, own > 0.1) + _vote(own < 0.1 and "?" in text[-3:], own > 0.2 or cover < 0.3)
 
-    low = text.lower()
-    hits = [bool(p.search(low)) for p in _REFUSALS]
-    reported = bool(_REPORTED.search(low)) and not hits[0]
-    meta = bool(_META.search(low))
-    figures = bool(re.search(r"\d", re.sub(r"(?i)\b(?:fy|q[1-4]|fiscal|quarter of|exercice|ejercicio|esercizio|geschäftsjahr)\s*\d*", "", low)))
-    out["refusal"] = "".join(_vote(h) for h in hits) + _vote(any(hits) and not reported and not figures, not any(hits) or reported) + _vote(meta and any(hits) and not reported, not meta or figures)
+    hits, other = _refusal_signs(text)
+    meta = any(hits) and bool(_META.search(text.lower()))
+    learned = refusals.score(text)
+    out["refusal"] = "".join(_vote(h) for h in hits) + _vote(any(hits) and not other, other) + _vote(meta and not other, other)
+    out["refusal"] += _vote(learned is not None and learned >= REFUSED and not other, learned is not None and learned < 0)
 
-    (aw, ab), (qw, qb) = language(text), language(question or "")
-    out["other_language"] = _vote(bool(aw and qw and aw != qw), bool(aw and qw and aw == qw)) + _vote(bool(ab and qb and ab != qb), bool(ab and qb and ab == qb))
+    pairs = zip(languages.of(text), asked_in or languages.of(question))
+    out["other_language"] = "".join(_vote(bool(a and q and a != q), bool(a and q and a == q)) for a, q in pairs)
 
     open_end = is_open(text) or (text[-1] in '"“„«' and not _END.search(text))
     t = tokens(text)
     last = t[-1] if t else ""
     dangling = bool(_OPEN.search(text)) or text.count("(") > text.count(")") or (text[-1] in "\"“„«" and text.count('"') % 2 == 1) or text[-1] in "“„«"
-    lacks = False
-    if open_end and len(rules):
-        first, at = {}, {}
-        for i, w in enumerate(t):
-            if w in top:
-                first.setdefault(top[w], i)
-                at[top[w]] = i
-        for u, i in first.items():
-            need = np.flatnonzero(rules[u] >= 0.97)
-            if any(at.get(int(x), -1) <= i for x in need):
-                lacks = True
-                break
     short = len(words) <= SHORT and not dangling
     seen = seen or [(0, 0)] * 4
     alone, beyond = seen[3]
     usual = short and alone >= 3 and alone >= 0.03 * beyond  # a reply that others give too
-    v = [_vote(dangling, not open_end), _vote(open_end and last in _DANGLING and not usual, not open_end), _vote(lacks and not short, not open_end)]
+    v = [_vote(dangling, not open_end), _vote(bool(_CUT.search(text)), not open_end), _vote(open_end and last in _DANGLING and not usual, not open_end)]
     for k in range(3):
         ends, on = seen[k]
         if not open_end or usual:
@@ -237,14 +211,47 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     return out
 
 
-def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str, ...], vocabulary: int = 300, cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """(key, field, defect, posterior): every label whose posterior exceeds its cutoff, for every answer column."""
-    cutoffs = CUTOFFS | (cutoffs or {})
+#: Mean log odds from which the learned words call an answer a refusal.
+REFUSED = 1.5
+
+
+def plant(sample: list[tuple[str | None, str | None]], languages: Languages, per_defect: int = PLANTED, seed: int = 11) -> list[tuple[str, str | None, str | None]]:
+    """(defect or "none", question, answer): defects made of sampled answers that end properly."""
+    rng = random.Random(seed)
+    good = [(q, a) for q, a in sample if q and a and not is_open(a) and len(split_words(a)) >= 8 and not any(_refusal_signs(a)[0]) and split_words(a) != split_words(q)]
+    if not good:
+        return []
+    rng.shuffle(good)
+    good = good[:per_defect]
+    out: list[tuple[str, str | None, str | None]] = [("none", q, a) for q, a in good]
+    for q, a in good:
+        cut = a[: rng.randrange(len(a) * 3 // 10, len(a) * 9 // 10)].rstrip()
+        out.append(("truncated", q, cut + rng.choice(["", "", "", "...", " [...]", " ("])))
+        out.append(("question_copy", q, rng.choice([q, q.lower(), q.upper(), q.rstrip("?. ") + ".", q.split(" ", 1)[-1]])))
+        out.append(("empty", q, rng.choice([None, "", " ", "...", "-", "N/A", "none"])))
+        said = rng.choice(UNSEEN_REFUSALS)
+        if languages.of(said)[2] in (None, languages.of(q)[2]):
+            out.append(("refusal", q, said))
+    told = [(q, a, languages.of(q)[2], languages.of(a)[2]) for q, a in good]
+    for q, _, asked, _ in told:
+        others = [a for _, a, _, said in told if said and asked and said != asked]
+        if others:
+            out.append(("other_language", q, rng.choice(others)))
+    return out
+
+
+def _ballots(rows: DataFrame, key: str, question: str, answers: tuple[str, ...], samples: DataFrame | None) -> DataFrame:
+    """(key, field, defect, pattern) of every answer; those planted have a null key and their defect, after a #, as field."""
     spark = rows.sparkSession
     fields = F.explode(F.array(*[F.struct(F.lit(a).alias("field"), F.col(a).alias("answer")) for a in answers]))
-    pairs = rows.select(F.col(key).alias("key"), F.col(question).alias("question"), fields.alias("p")).select("key", "question", "p.field", "p.answer").where("key is not null")
-    top, rules = _word_rules(pairs, vocabulary)
-    model = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top)}, rules))
+    pairs = rows.select(F.col(key).alias("key"), F.col(question).alias("question"), fields.alias("p")).select("key", "question", "p.field", "p.answer")
+    n = rows.count() * len(answers)
+    some = pairs.where(F.pmod(F.xxhash64("question", "answer"), F.lit(max(1, n // SAMPLE))) == 0).select("question", "answer").limit(2 * SAMPLE).collect()
+    sample = sorted(((r.question, r.answer) for r in some), key=str)
+    languages = learn_languages(samples, sorted({t for pair in sample for t in pair if t}))
+    model = spark.sparkContext.broadcast((languages, RefusalWords([a for _, a in sample if a])))
+    made = [(None, q, f"#{d}", a) for d, q, a in plant(sample, languages)]
+    planted = spark.createDataFrame(made, pairs.schema)
 
     def closing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -254,34 +261,75 @@ def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str,
                     rows += [(a, k, c) for k, c in enumerate([*contexts(t, len(t) - 1), whole(t)])]
             yield pd.DataFrame(rows, columns=["answer", "k", "context"])
 
-    wanted = pairs.select("answer").distinct().mapInPandas(closing, "answer string, k int, context string")
+    # answers that may be open: no point after a word of more than six letters
+    maybe = ~F.col("answer").rlike(r"\w{7}[.!?][\"'”’»)\]]*\s*$")
+    every = pairs.where("key is not null").unionByName(planted)
+    wanted = every.select("answer").where(maybe).distinct().mapInPandas(closing, "answer string, k int, context string")
     stats = wanted.join(_context_counts(pairs), "context", "left").groupBy("answer").agg(F.sort_array(F.collect_list(F.struct("k", "ends", "goes_on"))).alias("seen"))
-    # nulls have no context: each gets a key of its own, so that they don't meet in one task
-    spread = F.coalesce("answer", F.concat(F.lit("\u0000"), F.col("key").cast("string")))
-    joined = pairs.withColumn("_a", spread).join(stats.withColumnRenamed("answer", "_a"), "_a", "left")
+    # answers that have no context get a key of their own, so that frequent ones (null, blank) don't meet in one task
+    spread = F.when(maybe & (F.trim("answer") != ""), F.col("answer")).otherwise(F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+    joined = every.withColumn("_a", spread).join(stats.withColumnRenamed("answer", "_a"), "_a", "left")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, r = model.value
+        languages, refusals = model.value
+        asked: dict[str, tuple] = {}
         for b in batches:
             out = []
             for k, f, q, a, s in zip(b["key"], b["field"], b["question"], b["answer"], b["seen"]):
                 seen = [(int(x["ends"] or 0), int(x["goes_on"] or 0)) for x in s] if s is not None else None
-                out += [(k, f, d, p) for d, p in votes(q, a, seen, vocab, r).items()]
-            yield pd.DataFrame(out, columns=["key", "field", "defect", "pattern"])
-
-    ballots = checkpointed(joined.select("key", "field", "question", "answer", "seen").mapInPandas(judge, "key bigint, field string, defect string, pattern string"))
-    counted = ballots.groupBy("defect", "pattern").count().collect()  # at most 3 ** functions patterns a defect
-    posteriors = []
+                if q not in asked:
+                    if len(asked) > 20_000:
+                        asked.clear()
+                    asked[q] = languages.of(q)
+                out += [(k, f, d, p) for d, p in votes(q, a, seen, languages, refusals, asked[q]).items()]
+            yield pd.DataFrame(out, columns=["key", "field", "defect", "pattern"]).astype({"key": b["key"].dtype})
+
+    schema = pairs.select("key", "field", F.lit("").alias("defect"), F.lit("").alias("pattern")).schema
+    return checkpointed(joined.select("key", "field", "question", "answer", "seen").mapInPandas(judge, schema))
+
+
+def _posteriors(ballots: DataFrame) -> tuple[dict[tuple[str, str], float], dict[str, tuple[float, float, float]], dict[str, int]]:
+    """Posterior of each (defect, pattern), (cutoff, precision, recall) and number of planted answers of each defect."""
+    true = F.when(F.col("key").isNull(), F.expr("substring(field, 2)"))
+    counted = ballots.groupBy("defect", "pattern", true.alias("truth")).count().collect()  # at most 3 ** functions patterns a defect
+    table, cutoffs, planted = {}, {}, {}
     for d in DEFECTS:
-        mine = sorted((r.pattern, r["count"]) for r in counted if r.defect == d)
-        fitted = fit_posteriors([p for p, _ in mine], [n for _, n in mine])
+        mine = Counter()
+        for r in counted:
+            if r.defect == d and r.truth is None:
+                mine[r.pattern] += r["count"]
+        seen = sorted({r.pattern for r in counted if r.defect == d})
+        fitted = fit_posteriors(seen, [mine[p] for p in seen]) if mine else {}
         # a pattern without a vote for the defect is no evidence for it
-        posteriors += [(d, p, x) for p, x in fitted.items() if x > cutoffs[d] and "1" in p]
-    table = spark.createDataFrame(posteriors, "defect string, pattern string, posterior double")
-    return ballots.join(F.broadcast(table), ["defect", "pattern"]).select("key", "field", "defect", "posterior").distinct()
+        fitted = {p: x if "1" in p else 0.0 for p, x in fitted.items()}
+        table |= {(d, p): x for p, x in fitted.items()}
+        tried = [(fitted.get(r.pattern, 0.0), r.truth == d) for r in counted if r.defect == d and r.truth is not None for _ in range(r["count"])]
+        planted[d] = sum(t for _, t in tried)
+        cutoffs[d] = best_cutoff(tried) if planted[d] else (0.5, None, None)
+    return table, cutoffs, planted
+
+
+def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str, ...], samples: DataFrame | None = None, cutoffs: dict[str, float] | None = None) -> DataFrame:
+    """(key, field, defect, posterior): every label whose posterior exceeds its cutoff, for every answer column.
+
+    ``samples`` (text, lang) are texts to learn languages from; without it no answer is called one in another language.
+    ``cutoffs`` replace those validated.
+    """
+    ballots = _ballots(rows, key, question, answers, samples)
+    table, chosen, _ = _posteriors(ballots)
+    at = {d: c[0] for d, c in chosen.items()} | (cutoffs or {})
+    kept = [(d, p, float(x)) for (d, p), x in table.items() if x > at[d]]
+    known = rows.sparkSession.createDataFrame(kept, "defect string, pattern string, posterior double")
+    return ballots.where("key is not null").join(F.broadcast(known), ["defect", "pattern"]).select("key", "field", "defect", "posterior").distinct()
+
+
+def validated_cutoffs(rows: DataFrame, key: str, question: str, answers: tuple[str, ...], samples: DataFrame | None = None) -> DataFrame:
+    """(defect, planted, cutoff, precision, recall) on the planted answers; null figures where none could be planted."""
+    _, chosen, planted = _posteriors(_ballots(rows, key, question, answers, samples))
+    return rows.sparkSession.createDataFrame([(d, planted[d], *chosen[d]) for d in DEFECTS], "defect string, planted long, cutoff double, precision double, recall double")
 
 
 def single_label(labels: DataFrame) -> DataFrame:
-    """The first label of each answer in the order of precedence."""
+    """The label of the greatest posterior of each answer, of equal ones (to three places) the first in the order of precedence."""
     order = F.array_position(F.array(*[F.lit(d) for d in DEFECTS]), F.col("defect"))
-    return labels.groupBy("key", "field").agg(F.min_by("defect", order).alias("defect"))
+    return labels.groupBy("key", "field").agg(F.max_by("defect", F.struct(F.round("posterior", 3), -order)).alias("defect"))

@@ -23,8 +23,12 @@ def p1_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.where("record = least").select(F.col("record").alias("chunk_id"), "copies").distinct()
 
 
+def _answers(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "rag_example"), "sample_id", "question", ("answer", "generated_answer"), table(spark, d, "documents").select("text", "lang")
+
+
 def _answer_labels(spark: SparkSession, d: str) -> DataFrame:
-    return answer_defects.label_answers(table(spark, d, "rag_example"), "sample_id", "question", ("answer", "generated_answer"))
+    return answer_defects.label_answers(*_answers(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +41,11 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     return _answer_labels(spark, d).select(F.col("key").alias("sample_id"), F.col("field").alias("answer_field"), "defect", F.round("posterior", 4).alias("posterior"))
 
 
+def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The cutoff of each defect with its precision and recall on planted defects."""
+    return answer_defects.validated_cutoffs(*_answers(spark, d))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Ordered pieces of every filing text and chunk text of more than 512 tokens; a re-delivered row is split once."""
     docs = splitting.split_oversized(table(spark, d, "parsed_document"), "document", "doc_id", "cleaned_text")

@@ -8,6 +8,7 @@ import pytest
 
 from ledgerloom.llm import answer_defects, bagminhash, catalogue, classes, format_copies, leaks, mixing, quantised_search, shared_spans, splitting
 from ledgerloom.llm.words import split_words
+from test_llm_units import labelled
 
 CLASH = [f"{i} AS {n}" for i, n in enumerate(("record", "class_id", "h", "a", "b", "q", "n", "v", "canon", "bucket"))]
 
@@ -242,10 +243,18 @@ def test_defects(spark):
         1007: ("The filing names lower costs as the", "truncated"), 1008: ("Revenue of Velholm Energy rose 4% in fis", "truncated"), 1009: ("The filing names lower costs...", "truncated"),
     }
     rows += [(k, ask, a, good[0].format(k)) for k, (a, _) in bad.items()] + [(2000, ask, "Revenue was $5 million in fiscal 2020", "4.2%"), (None, ask, "x", "y"), (2001, None, good[0].format(1), good[1].format(2)), rows[0]]
-    df = spark.createDataFrame(rows, "sample_id long, question string, answer string, generated_answer string").selectExpr("*", "1 AS key", "2 AS field", "3 AS seen", "4 AS defect")
-    labels = answer_defects.label_answers(df, "sample_id", "question", ("answer", "generated_answer"))
+    bad[1010] = ("De onderneming verwacht dit jaar een daling vanwege hogere kosten.", "other_language")
+    bad[1011] = ("My instructions do not let me answer this question for you.", "refusal")  # no pattern has it
+    rows += [(k, ask, bad[k][0], good[0].format(k)) for k in (1010, 1011)]
+    rows += [(3000 + i, ask, f"I cannot answer {w} from the context provided.", good[1].format(i)) for i, w in enumerate(("this question", "that for you", "this for me", "you", "my question", "this") * 2)]
+    df = spark.createDataFrame([(str(k) if k else k, *r) for k, *r in rows], "sample_id string, question string, answer string, generated_answer string").selectExpr("*", "1 AS key", "2 AS field", "3 AS seen", "4 AS defect")
+    samples = spark.createDataFrame(labelled(), "text string, lang string")
+    labels = answer_defects.label_answers(df, "sample_id", "question", ("answer", "generated_answer"), samples)
     got = {(r.key, r.field): r.defect for r in answer_defects.single_label(labels).collect()}
-    assert got == {(k, "answer"): d for k, (_, d) in bad.items()}
+    want = {(str(k), "answer"): d for k, (_, d) in bad.items()} | {(str(3000 + i), "answer"): "refusal" for i in range(12)}
+    assert got == want
+    report = {r.defect: r for r in answer_defects.validated_cutoffs(df, "sample_id", "question", ("answer", "generated_answer"), samples).collect()}
+    assert all(0 < report[d].cutoff < 1 for d in answer_defects.DEFECTS) and report["empty"].recall == report["empty"].precision == 1.0
 
 
 def test_empty_tables(spark):

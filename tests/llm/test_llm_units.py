@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from ledgerloom.llm import answer_defects as ad
 from ledgerloom.llm import bagminhash as bm
 from ledgerloom.llm import format_copies as fc
-from ledgerloom.llm import label_model, leaks, mixing, shared_spans, splitting
+from ledgerloom.llm import label_model, languages, leaks, mixing, shared_spans, splitting
 from ledgerloom.llm import quantised_search as qs
 from ledgerloom.llm.words import split_words, window_hashes, word_hashes
 
@@ -256,11 +256,6 @@ def test_flow_spreads_before_repeating():
     assert taken == {(("a",), "a"): 10, (("a", "b"), "b"): 10}
 
 
-@pytest.mark.parametrize(("answer", "pattern"), [("Das ist nicht", "11"), ("Das ist falsch.", "11"), ("It was the", "00"), ("Yes.", "--"), ("4.2 %", "--")])
-def test_short_replies_have_a_language_where_it_is_clear(answer, pattern):
-    assert ad.votes("What was the revenue of the company in 2020?", answer, None, {}, np.empty((0, 0)))["other_language"] == pattern
-
-
 def test_label_model_finds_the_defect():
     rng, patterns = np.random.default_rng(0), {}
     truth = rng.random(4000) < 0.15
@@ -275,12 +270,56 @@ def test_label_model_finds_the_defect():
     assert label_model.fit_posteriors([], []) == {}
 
 
+SENTENCES = {
+    "en": "The company names lower costs as the main reason|Revenue of the group rose because of higher prices|Management said that it expects a decline this year|What was the result of the business in the last quarter|The customers have ordered less than before",
+    "de": "Die Gesellschaft rechnet wegen höherer Kosten mit einem Rückgang|Der Umsatz des Konzerns ist im letzten Jahr gestiegen|Das ist nicht der wichtigste Grund für die Entwicklung|Wie hoch war das Ergebnis des Unternehmens im Quartal|Die Kunden haben weniger bestellt als im Vorjahr",
+    "fr": "La société prévoit une baisse en raison du coût de l'énergie|Le chiffre d'affaires du groupe a augmenté cette année|Les clients ont commandé moins que l'année dernière|Quel était le résultat de la société pour le trimestre|La direction a indiqué que les coûts sont plus élevés",
+    "es": "La dirección señaló que se cerrarán centros y se invertirán fondos|La cifra de ventas del grupo creció este año|Los clientes pidieron menos que el año anterior|Cuál fue el resultado de la empresa en el trimestre|La empresa espera una caída por el coste de la energía",
+    "it": "La società prevede un calo a causa dei costi dell'energia|Il fatturato del gruppo è cresciuto quest'anno|I clienti hanno ordinato meno rispetto all'anno scorso|Quale era il risultato della società nel trimestre|La direzione ha detto che i costi sono più alti",
+    "nl": "De onderneming verwacht een daling vanwege hogere kosten|De omzet van de groep is dit jaar gestegen|De klanten hebben minder besteld dan vorig jaar|Wat was het resultaat van het bedrijf in het kwartaal|Het bestuur zei dat de prijzen zijn verhoogd",
+}
+
+
+def labelled(n=30):
+    rng = random.Random(3)
+    return [(". ".join(rng.choice(s.split("|")) for _ in range(6)), lang) for lang, s in SENTENCES.items() for _ in range(n)]
+
+
 @pytest.mark.parametrize(
     ("text", "lang"),
-    [("Die Gesellschaft rechnet wegen höherer Kosten mit einem Rückgang.", "de"), ("La société prévoit une baisse en raison du coût de l'énergie.", "fr"), ("La dirección señaló que se cerrarán centros y se invertirán fondos.", "es"), ("La società prevede un calo a causa dei costi dell'energia.", "it"), ("The filing names the reason.", "en"), ("FY2020", None)],
+    [("Die Kosten des Unternehmens sind höher als im Jahr", "de"), ("Le résultat de la société est plus élevé", "fr"), ("La empresa pidieron que el resultado de ventas creció", "es"), ("Il risultato della società è più alto", "it"), ("The result of the company rose", "en"), ("Het resultaat van de onderneming is gestegen", "nl"), ("FY2020", None), ("4.2 %", None), ("", None), (None, None)],
 )
 def test_language(text, lang):
-    assert ad.language(text)[1] == lang
+    assert languages.Languages(labelled()).of(text)[2] == lang
+
+
+def test_languages_without_samples():
+    assert languages.Languages([]).of("The result of the company") == (None, None, None)
+    assert languages.Languages([("only one language here", "en")] * 30).of("only one language") == (None, None, None)
+
+
+def test_unseen_refusals_score_above_answers():
+    known = ["I cannot answer this question.", "I am unable to say that from the context.", "I'm sorry, but I do not have the information.", "Sorry, I can't help you with that.", "As a language model I am not able to give you figures."]
+    good = [f"{a} of the company {b} by {n}% because of {c}." for a in ("Revenue", "Net debt") for b in ("rose", "fell") for n in range(9) for c in ("lower costs", "higher prices")]
+    r = ad.RefusalWords(known * 9 + [f"{k} Case {i}." for i, k in enumerate(known * 2)] + good)
+    assert r.score("I do not know the answer to that question.") > ad.REFUSED > 0 > r.score(good[0])
+    assert r.score("Quite other words") is None and ad.RefusalWords([]).score("I cannot answer") is None
+
+
+def test_single_functions_can_decide():
+    """A vote of one function alone is evidence where the others abstain; posteriors are not all 0 or 1."""
+    rng, patterns = np.random.default_rng(1), {}
+    for _ in range(5000):
+        t = rng.random() < 0.1
+        p = "".join("-" if rng.random() < 0.6 else "01"[int(t if rng.random() < a else not t)] for a in (0.95, 0.8, 0.7))
+        patterns.setdefault(p, [0, 0])
+        patterns[p][int(t)] += 1
+    post = label_model.fit_posteriors(list(patterns), [sum(c) for c in patterns.values()])
+    assert post["1--"] > post["-1-"] > post["--1"] and 0.02 < post["--1"] < 0.9
+    found = [(post[p], bool(t)) for p, c in patterns.items() for t in (0, 1) for _ in range(c[t])]
+    cutoff, precision, recall = label_model.best_cutoff(found)
+    assert 0 < cutoff < 1 and precision > 0.4 and recall > 0.4
+    assert label_model.best_cutoff([(0.9, True), (0.2, False)])[1:] == (1.0, 1.0)
 
 
 @pytest.mark.parametrize(("text", "open_end"), [("It ends.", False), ("It ends", True), ("of Mondova Inc.", True), ("it goes on...", True), ("because (", True), ('He said "yes."', False), ("of [...]", True)])
