@@ -72,9 +72,27 @@ def normalize_amounts(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_amounts_py, na_action="ignore")
 
 
+_TAGS = re.compile("<[^>]+>")
+_FOLD = str.maketrans(*DASHES_AND_QUOTES)
+
+
+def clean_text_py(text: str) -> str:
+    text = _TAGS.sub("", html.unescape(text) if "&" in text else text).translate(_FOLD)
+    # as Python sees white space, which str.split shares
+    return " ".join((normalize_amounts_py(text) if "$" in text or "%" in text or "ercent" in text.lower() else text).split())
+
+
+@F.pandas_udf(T.StringType())
+def _clean_text(texts: pd.Series) -> pd.Series:
+    return texts.map(clean_text_py, na_action="ignore")
+
+
 def clean_text(c: Column) -> Column:
-    """Entities, tags, dashes and quotes, amounts, white space, in this order; null stays null."""
-    return collapse_whitespace(normalize_amounts(fold_punctuation(strip_tags(html_unescape(c)))))
+    """Entities, tags, dashes and quotes, amounts, white space, in this order; null stays null.
+
+    Entities and amounts need Python, so all steps are taken in one trip there.
+    """
+    return _clean_text(c)
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("groups", T.ArrayType(T.StringType()))]))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import collapse_whitespace, words
 from ledgerloom.settings import DEFAULT
@@ -67,9 +72,11 @@ def canonical_label(c: Column, strict: bool = True) -> Column:
 
 
 def confusion_matrix(df: DataFrame, reference: str = "reference", predicted: str = "predicted") -> DataFrame:
-    """(reference, negative, neutral, positive) with zeros; a missing prediction is neutral."""
+    """(reference, negative, neutral, positive) for each of the three classes, with zeros; a missing prediction is neutral."""
     rows = df.select(F.col(reference).alias("reference"), F.coalesce(F.col(predicted), F.lit("neutral")).alias("predicted"))
-    return rows.groupBy("reference").pivot("predicted", list(CLASSES)).count().na.fill(0)
+    cells = [F.count(F.when((F.col("reference") == r) & (F.col("predicted") == p), 1)).alias(f"{r}_{p}") for r in CLASSES for p in CLASSES]
+    lines = F.array(*[F.struct(F.lit(r).alias("reference"), *[F.col(f"{r}_{p}").alias(p) for p in CLASSES]) for r in CLASSES])
+    return rows.agg(*cells).select(F.explode(lines).alias("l")).select("l.*")
 
 
 def class_scores(df: DataFrame, reference: str = "reference", predicted: str = "predicted") -> DataFrame:
@@ -94,8 +101,9 @@ KPI_TYPES = ("revenue", "gross_margin", "operating_income", "net_income", "eps",
 
 
 def _numbers(c: Column) -> Column:
-    """The entries of a map that are numbers."""
-    return F.map_filter(F.coalesce(c, F.create_map().cast("map<string,double>")), lambda k, v: v.isNotNull() & ~F.isnan(v))
+    """The entries of a map that are numbers, or texts of numbers."""
+    values = F.transform_values(F.coalesce(c, F.create_map().cast("map<string,double>")), lambda k, v: v.try_cast("double"))
+    return F.map_filter(values, lambda k, v: v.isNotNull() & ~F.isnan(v))
 
 
 def kpi_errors(df: DataFrame, key: str, reference: str, extracted: str, types: tuple[str, ...] = KPI_TYPES) -> DataFrame:
@@ -227,20 +235,51 @@ def ranking_scores(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataF
 # --- tags ---------------------------------------------------------------------------------------------------------
 
 
+_TAGGED = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("tag", T.StringType())]))
+
+
+@F.pandas_udf(_TAGGED)
+def _tagged(tokens: pd.Series, entities: pd.Series) -> pd.Series:
+    def one(words: list[str] | None, spans: list[dict] | None) -> list[tuple[str, str]] | None:
+        if words is None:
+            return None
+        ends = list(itertools.accumulate(len(w) + 1 for w in words))
+        tags = ["O"] * len(words)
+        for e in spans if spans is not None else ():
+            if e is None or e["start"] is None or e["end"] is None or e["end"] <= e["start"]:
+                continue
+            # the tokens that the entity touches: the first that ends behind its start, up to the last that begins before its end
+            first = bisect.bisect_right(ends, e["start"] + 1)
+            for i in range(first, len(words)):
+                if (ends[i - 1] if i else 0) >= e["end"]:
+                    break
+                tags[i] = f"{'B' if i == first else 'I'}-{e['tag']}"
+        return list(zip(words, tags))
+
+    return pd.Series([one(w, e) for w, e in zip(tokens, entities)])
+
+
 def spans_to_tags(df: DataFrame, key: str, tokens: str, entities: str) -> DataFrame:
     """(key, i, token, tag): IOB2 tags of tokens joined by single spaces; of overlapping entities the later one holds.
 
-    ``entities`` is an array of (start, end, tag) over that text. The first token that an entity touches begins it.
+    ``entities`` is an array of (start, end, tag) over that text; those without characters tag nothing. The first token
+    that an entity touches begins it. A document is tagged in one step, so nothing is shuffled.
     """
-    lengths = F.transform(tokens, lambda t: F.length(t) + 1)
-    rows = df.select(key, entities, F.posexplode(F.arrays_zip(F.col(tokens).alias("token"), lengths.alias("n"))).alias("i", "t"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select(key, entities, "i", "t.token", (F.sum("t.n").over(w) - F.col("t.n")).alias("start")).withColumn("end", F.col("start") + F.length("token"))
-    # an entity begins in the token that touches it while the one before (ending a space earlier) doesn't
-    touch = F.filter(entities, lambda e: (F.col("start") < e["end"]) & (F.col("end") > e["start"]))
-    last = F.when(F.size(touch) > 0, F.element_at(touch, -1))
-    begins = (F.col("i") == 0) | (F.col("start") - 1 <= last["start"])
-    return rows.select(key, "i", "token", F.when(last.isNull(), "O").otherwise(F.concat(F.when(begins, "B-").otherwise("I-"), last["tag"])).alias("tag"))
+    return df.select(key, F.posexplode(_tagged(F.col(tokens), F.col(entities))).alias("i", "_t")).select(key, "i", "_t.token", "_t.tag")
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    """Median of a column; only the values between two approximate percentiles close to it are ranked in one task."""
+    live = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    near = live.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [0.4998, 0.5002], 10_000).alias("p"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not near.n:
+        return None
+    few = near.n < 20_000
+    low, high = (near.lo, near.hi) if few else near.p
+    inside = F.col("v").between(low, high)
+    below, m = live.agg(F.sum((F.col("v") < low).cast("long")), F.sum(inside.cast("long"))).first()
+    rank = (near.n - 1) / 2 - below
+    return live.where(inside).agg(F.percentile("v", rank / (m - 1) if m > 1 else 0.5)).first()[0]
 
 
 def tag_spans(rows: DataFrame, key: str, place: str, tag: str) -> DataFrame:
@@ -270,3 +309,9 @@ PUBLISHED = [
 
 def published(spark) -> DataFrame:
     return spark.createDataFrame(PUBLISHED, "benchmark string, metric string, value double")
+
+
+def compare_runs(before: DataFrame, after: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
+    """(metric, before, after, delta) of the metrics that both runs have."""
+    old, new = before.select(metric, F.col(value).alias("before")), after.select(metric, F.col(value).alias("after"))
+    return old.join(new, metric).withColumn("delta", F.col("after") - F.col("before"))

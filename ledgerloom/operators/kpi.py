@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Phrases that name each figure, and the tags that stand for revenue.
 PHRASES = {
@@ -20,22 +24,29 @@ TAIL = r"\s*(?:of|to|was|is|reached|totaled|stood at)?\s*(?:[:$]\s*){0,2}([\d,\.
 REVENUE_TAGS = ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "RevenueFromRelatedParties", "RevenueRemainingPerformanceObligation")
 
 
+_PATTERNS = [(kind, re.compile(phrase + TAIL, re.IGNORECASE | re.ASCII)) for kind, phrase in PHRASES.items()]
+_MATCHES = T.ArrayType(T.StructType([T.StructField("kpi_type", T.StringType()), T.StructField("ord", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("name", "number", "unit", "raw_text")]]))
+
+
+@F.pandas_udf(_MATCHES)
+def _kpi_matches(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[tuple] | None:
+        if text is None:
+            return None
+        return [(kind, i, m[1], m[2], m[3], m[0]) for kind, pattern in _PATTERNS for i, m in enumerate(pattern.finditer(text))]
+
+    return texts.map(one)
+
+
 def extract_kpis(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kpi_type, ord, name, value, unit, raw_text, source): all matches whose number is one.
 
     ``ord`` counts the matches of a type in order; a match without a number keeps its place but gives no row. The unit
-    is whatever letters follow, so it may be the next word.
+    is whatever letters follow, so it may be the next word. Texts without a digit never reach Python.
     """
-    def hits(kind: str, phrase: str) -> Column:
-        rx = "(?i)" + phrase + TAIL
-        # one pass over the text for the matches; their groups are taken from the short matches
-        part = lambda m, i: F.regexp_extract(m, rx, i)
-        return F.transform(F.regexp_extract_all(text, F.lit(rx), 0), lambda m, i: F.struct(F.lit(kind).alias("kpi_type"), i.alias("ord"), part(m, 1).alias("name"), part(m, 2).alias("number"), part(m, 3).alias("unit"), m.alias("raw_text")))
-
-    per_type = [hits(kind, phrase) for kind, phrase in PHRASES.items()]
-    rows = texts.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*per_type)).alias("_k"))
+    rows = texts.where(F.col(text).rlike("[0-9]")).select(key, F.explode(_kpi_matches(F.col(text))).alias("_k"))
     value = F.replace("_k.number", F.lit(","), F.lit("")).try_cast("double")
-    return rows.select(key, "_k.kpi_type", F.col("_k.ord").cast("int").alias("ord"), "_k.name", value.alias("value"), "_k.unit", "_k.raw_text", F.lit("regex").alias("source")).where("value is not null")
+    return rows.select(key, "_k.kpi_type", "_k.ord", "_k.name", value.alias("value"), "_k.unit", "_k.raw_text", F.lit("regex").alias("source")).where("value is not null")
 
 
 def override_revenue(kpis: DataFrame, tagged: DataFrame, key: str) -> DataFrame:

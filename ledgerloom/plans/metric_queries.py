@@ -181,9 +181,9 @@ def ir_subsample(spark: SparkSession, d: str) -> DataFrame:
 
 def timing_median(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    overall = events.agg(F.median("value")).scalar()
+    overall = ev.exact_median(events, "value")
     per = events.groupBy("event_type").agg(F.median("value").alias("m"))
-    return per.select("event_type", F.round("m", 6).alias("median_value"), F.round(F.try_divide(overall, "m"), 6).alias("speedup"))
+    return per.select("event_type", F.round("m", 6).alias("median_value"), F.round(F.try_divide(F.lit(overall), "m"), 6).alias("speedup"))
 
 
 def published_results(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +249,7 @@ SQL = {
     "eval_finer": f"WITH {_TAGS} " + _prf(f"SELECT l_orderkey, entity, start, \"end\", max(p) AS in_p, max(r) AS in_r FROM (SELECT *, 1 AS p, 0 AS r FROM {_SPANS('predicted')} UNION ALL SELECT *, 0, 1 FROM {_SPANS('reference')}) GROUP BY ALL", "entity"),
     "corpus_dedupe": "SELECT chunk_id, arg_min(text, struct_pack(sample_id, i)) AS text FROM (SELECT sample_id, i, coalesce(nullif(c.chunk_id, ''), 'chunk-' || md5(c.text)) AS chunk_id, c.text AS text FROM (SELECT sample_id, unnest(range(0, len(gold_chunks))) AS i, unnest(gold_chunks) AS c FROM rag_example) WHERE c.text IS NOT NULL) GROUP BY 1",
     "training_pairs": f"SELECT r.query_id, r.doc_id, e.question AS query, c.passage FROM {_QRELS} r JOIN eval_item e ON r.query_id = e.item_id JOIN (SELECT chunk_id, max(text) AS passage FROM document_chunk GROUP BY 1) c ON c.chunk_id = r.doc_id WHERE score > 0",
-    "ir_subsample": f"WITH c AS (SELECT DISTINCT chunk_id AS doc_id FROM document_chunk WHERE chunk_id IS NOT NULL), n AS (SELECT DISTINCT doc_id FROM {_QRELS} WHERE score > 0 AND query_id < 10) SELECT doc_id, true AS needed FROM c WHERE doc_id IN (SELECT doc_id FROM n) UNION ALL (SELECT doc_id, false FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n) ORDER BY md5('42:' || doc_id), doc_id LIMIT 200)",
+    "ir_subsample": f"WITH c AS (SELECT DISTINCT chunk_id AS doc_id FROM document_chunk WHERE chunk_id IS NOT NULL), n AS (SELECT DISTINCT doc_id FROM {_QRELS} WHERE score > 0) SELECT doc_id, true AS needed FROM c WHERE doc_id IN (SELECT doc_id FROM n) UNION ALL (SELECT doc_id, false FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n) ORDER BY md5('42:' || doc_id), doc_id LIMIT 20000)",
     "timing_median": "SELECT event_type, round(median(value), 6) AS median_value, round((SELECT median(value) FROM events) / nullif(median(value), 0), 6) AS speedup FROM events GROUP BY 1",
     "published_results": "SELECT * FROM (VALUES " + ", ".join(f"({q.quote(a)}, {q.quote(b)}, {v}::DOUBLE)" for a, b, v in ev.PUBLISHED) + ") t(benchmark, metric, value)",
 }

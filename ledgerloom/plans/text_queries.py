@@ -141,7 +141,7 @@ def _sections_sql() -> str:
         rest = f"substr(low, start + 1 + {len(item)})"
         others = ", ".join(at(rest, o) for _, (o, _s) in items if o != item)
         out.append(f"SELECT doc_id, {i} AS ord, '{section}' AS section, CAST(start AS INTEGER) AS start, CAST(coalesce(start + {len(item)} + least({others}), n) AS INTEGER) AS \"end\" FROM (SELECT doc_id, low, length(low) AS n, {at('low', item)} AS start FROM t) WHERE start IS NOT NULL")
-    base = "WITH t AS (SELECT doc_id, lower('Contents' || chr(10) || 'Item 7. ' || substr(x, 1, 200) || chr(10) || 'Item 1A. ' || substr(x, 201, 300) || chr(10) || 'ITEM 8 ' || substr(x, 501, 100)) AS low FROM (SELECT doc_id, max(cleaned_text) AS x FROM parsed_document WHERE cleaned_text IS NOT NULL GROUP BY doc_id))"
+    base = "WITH t AS (SELECT doc_id, lower('Contents' || chr(10) || 'Item 7. ' || substr(x, 1, k) || chr(10) || 'Item 1A. ' || substr(x, k + 1, k) || chr(10) || 'ITEM 8 ' || substr(x, 2 * k + 1)) AS low FROM (SELECT doc_id, max(cleaned_text) AS x, CAST(floor(length(max(cleaned_text)) / 3) AS INTEGER) AS k FROM parsed_document WHERE cleaned_text IS NOT NULL GROUP BY doc_id))"
     return base + " UNION ALL ".join(out)
 
 

@@ -84,9 +84,8 @@ class LexiconSentiment:
     """Balance of polarity words: |p - n| / (p + n) with the sign as label; neutral with confidence 1 where it is even."""
 
     def classify(self, text: Column) -> Column:
-        w = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+")
-        p = F.size(F.filter(w, lambda x: x.isin(*POSITIVE)))
-        n = F.size(F.filter(w, lambda x: x.isin(*NEGATIVE)))
+        low = F.lower(F.coalesce(text, F.lit("")))
+        p, n = (F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{'|'.join(x)})(?![a-z])")) for x in (POSITIVE, NEGATIVE))
         label = F.when(p > n, "positive").when(p < n, "negative").otherwise("neutral")
         confidence = F.when(p == n, F.lit(1.0)).otherwise(F.abs(p - n) / (p + n))
         return F.struct(label.alias("label"), confidence.alias("confidence"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,20 +160,74 @@ def read_documents(spark: SparkSession, path: str, pdf: PdfReader | None = None,
 
     Without a PDF reader, PDF files are rejects. ``fixed`` mends file types without hyphen and the detection of calls.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
-    files = files.withColumn("format", F.coalesce(*[F.when(suffix == s, F.lit(f)) for s, f in FORMATS.items()]))
+    files = found.withColumn("format", F.coalesce(*[F.when(suffix == s, F.lit(f)) for s, f in FORMATS.items()]))
     raw = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
     text = F.when(F.col("format") == "html", html_text(raw)).when(F.col("format") == "json", json_text(raw)).when(F.col("format") == "txt", raw)
+    readable = F.col("format").isin("html", "json", "txt")
     if pdf is not None:
-        pages = F.pandas_udf(lambda c: c.map(lambda x: "\n".join(pdf.pages(x)), na_action="ignore"), T.StringType())
-        text = text.when(F.col("format") == "pdf", pages(F.col("content")))
-    named = files.withColumn("raw_text", text)
+        text = text.when(F.col("format") == "pdf", F.array_join(F.transform(pdf_pages(F.col("content"), pdf), lambda p: F.coalesce(p, F.lit(""))), "\n"))
+        readable = F.col("format").isNotNull()
+    named = files.where(readable).select("path", "content", "format").withColumn("raw_text", text)
     call = earnings_call_flag(F.col("raw_text"), fixed) & (F.col("format") == "txt")
     meta = filename_metadata(F.col("path"), F.when(call, "earnings_call").otherwise("unknown"), fixed)
     docs = named.where("raw_text is not null").select(F.sha2("path", 256).alias("doc_id"), F.col("path").alias("source_path"), meta.alias("m"), "raw_text", "format")
-    reason = F.when(F.col("format").isNull(), "unsupported format").when(F.col("format") == "pdf", "no PDF reader").otherwise("not readable")
-    return docs.select("doc_id", "source_path", "m.doc_type", "m.ticker", "m.fiscal_period", "raw_text", "format"), named.where("raw_text is null").select("path", reason.alias("reason"))
+    # contents are read again only for the formats whose parsing can fail
+    reason = F.when(F.col("format").isNull(), "unsupported format").otherwise("no PDF reader")
+    refused = files.where(~F.coalesce(readable, F.lit(False))).select("path", reason.alias("reason"))
+    failed = named.where(F.col("format").isin("json", "pdf") & F.col("raw_text").isNull()).select("path", F.lit("not readable").alias("reason"))
+    return docs.select("doc_id", "source_path", "m.doc_type", "m.ticker", "m.fiscal_period", "raw_text", "format"), refused.unionByName(failed)
+
+
+def pdf_pages(content: Column, pdf: PdfReader) -> Column:
+    """Texts of a file's pages in order; null for a file that can't be read."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def read(files: pd.Series) -> pd.Series:
+        def one(x: bytes | None) -> list[str] | None:
+            try:
+                return None if x is None else list(pdf.pages(x))
+            except Exception:  # a port may fail in any way; the file becomes a reject
+                return None
+
+        return files.map(one)
+
+    return read(content)
+
+
+def page_map(pages: Column) -> Column:
+    """page_1, page_2, ... -> characters on the pages up to it; the separators between pages don't count."""
+    lengths = F.transform(pages, lambda p: F.length(F.coalesce(p, F.lit(""))))
+    return F.map_from_entries(F.transform(pages, lambda p, i: F.struct(F.concat(F.lit("page_"), (i + 1).cast("string")), F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda t, n: t + n))))
+
+
+def page_offsets(pages: DataFrame, key: str, number: str, text: str) -> DataFrame:
+    """(key, number, start, end): places of the pages in the text that joins them by a line break."""
+    w = Window.partitionBy(key).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pages.select(key, number, F.length(F.coalesce(text, F.lit(""))).alias("_n"))
+    end = F.sum("_n").over(w) + F.row_number().over(Window.partitionBy(key).orderBy(number)) - 1
+    return rows.withColumn("end", end.cast("long")).select(key, number, (F.col("end") - F.col("_n")).alias("start"), "end")
+
+
+def pdf_tables(files: DataFrame, key: str, content: str, pdf: PdfReader) -> DataFrame:
+    """(key, page, table_ord, row_ord, cells, source): rows of the tables of PDF files; unreadable files give none."""
+    kind = files.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, x in zip(b["k"], b["c"]):
+                try:
+                    tables = list(pdf.tables(x))
+                except Exception:  # as above
+                    continue
+                for i, (page, table) in enumerate(tables):
+                    rows += [(k, page, i, j, [None if c is None else str(c) for c in r], "pdf") for j, r in enumerate(table)]
+            yield pd.DataFrame(rows, columns=[key, "page", "table_ord", "row_ord", "cells", "source"])
+
+    live = files.where(F.col(content).isNotNull()).select(F.col(key).alias("k"), F.col(content).alias("c"))
+    return live.mapInPandas(run, f"{key} {kind}, page int, table_ord int, row_ord int, cells array<string>, source string")
 
 
 # Keys under which an evaluation file may hold its samples.
