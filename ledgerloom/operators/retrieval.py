@@ -29,16 +29,18 @@ def routing(n: Column, average: Column, retries: Column, s: Settings = DEFAULT)
     return ((n < s.min_chunks) | (average < s.routing_similarity)) & (retries < s.max_retries)
 
 
-def requery(queries: DataFrame, search: Callable[[DataFrame, int], DataFrame], key: str = "query", s: Settings = DEFAULT) -> DataFrame:
-    """(key, attempt, rank, id, similarity): the hits of the last attempt made for each query.
+def requery(queries: DataFrame, search: Callable[[DataFrame, int], DataFrame], key: str = "query", s: Settings = DEFAULT, loop: bool = True) -> DataFrame:
+    """(key, attempt, rank, id, similarity): the hits of the last attempt made for each query; of the first without ``loop``.
 
     ``search(queries, attempt)`` gives the hits of an attempt. Only queries whose hits are too few or too weak are
     searched again, at most ``max_retries`` times; the last attempt's hits count even where they are worse. Each
     attempt's hits are checkpointed, as they decide about the next.
     """
     left, out = queries, None
-    for attempt in range(s.max_retries + 1):
+    for attempt in range(s.max_retries + 1 if loop else 1):
         hits = checkpointed(search(left, attempt))
+        if not loop:
+            return hits.withColumn("attempt", F.lit(0))
         stats = left.select(key).distinct().join(hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("a")), key, "left")
         again = stats.where(routing(F.coalesce("n", F.lit(0)), F.coalesce("a", F.lit(0.0)), F.lit(attempt), s)).select(key)
         kept = hits.join(again, key, "left_anti").withColumn("attempt", F.lit(attempt))

@@ -24,26 +24,51 @@ class AnalysisPipeline:
         parts = chunking.chunk_documents(docs, sections).drop("sec_ord")
         return vectors.embed(parts.join(docs.select("doc_id", "ticker"), "doc_id"), embedder=self.embedder)
 
-    def retrieve(self, index: DataFrame, questions: DataFrame) -> DataFrame:
-        """Hits of the re-query loop for (query_id, query, ticker)."""
+    def _search(self, index: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+        vectors_ = asked.withColumn("embedding", self.embedder.embed(retrieval.reformulate(F.col("query"), F.lit(n))))
+        return vectors.search(index, vectors_, "chunk_id", "query_id", k=self.s.top_k, floor=self.s.similarity_floor, group="ticker").withColumnRenamed("query", "query_id")
+
+    def retrieve(self, index: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = True) -> DataFrame:
+        """Hits (query_id, attempt, rank, id, similarity) of (query_id, query, ticker); by the re-query loop, or of one
+        attempt without it.
+
+        Questions that say the same of the same ticker are asked once. The first attempt takes the ``supplied`` hits
+        (query_id, rank, id, similarity) of those questions that have any; later ones always search.
+        """
+        text = F.struct("query", "ticker")
+        named = questions.select("query_id", "query", "ticker", F.sha2(F.to_json(text), 256).alias("_same"))
+        if supplied is None:
+            once = named.groupBy(F.col("_same").alias("query_id")).agg(F.first("query").alias("query"), F.first("ticker").alias("ticker"))
+            hits = retrieval.requery(once, lambda left, n: self._search(index, left, n), key="query_id", s=self.s, loop=loop)
+            return hits.withColumnRenamed("query_id", "_same").join(named.select("query_id", "_same"), "_same").drop("_same").select("query_id", "attempt", "rank", "id", "similarity")
 
         def attempt(left: DataFrame, n: int) -> DataFrame:
-            asked = left.withColumn("embedding", self.embedder.embed(retrieval.reformulate(F.col("query"), F.lit(n))))
-            return vectors.search(index, asked, "chunk_id", "query_id", k=self.s.top_k, floor=self.s.similarity_floor, group="ticker").withColumnRenamed("query", "query_id")
+            if n:
+                return self._search(index, left, n)
+            given = supplied.select("query_id", "rank", "id", "similarity").join(left.select("query_id"), "query_id", "left_semi")
+            return given.unionByName(self._search(index, left.join(supplied.select("query_id"), "query_id", "left_anti"), 0).select(given.columns))
+
+        return retrieval.requery(named.drop("_same"), attempt, key="query_id", s=self.s, loop=loop)
+
+    def _full(self, chunks: DataFrame, hits: DataFrame) -> DataFrame:
+        """(query_id, hits, attempt, average): the hits of each question with their texts, in order."""
+        full = hits.join(chunks.select(F.col("chunk_id").alias("id"), "text", "section", "chunk_type", "page_number"), "id")
+        fields = F.struct("rank", F.col("id").alias("chunk_id"), "text", "section", "chunk_type", "page_number", "similarity")
+        return full.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("hits"), F.max("attempt").alias("attempt"), F.avg("similarity").alias("average"))
 
-        return retrieval.requery(questions, attempt, key="query_id", s=self.s)
+    def answer(self, chunks: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = False) -> DataFrame:
+        """questions with hits, attempt, average, reasoning and answer: one search (``loop`` for the re-query loop) and the
+        answer from what it finds."""
+        found = self._full(chunks, self.retrieve(chunks, questions, supplied, loop))
+        empty = F.array().cast(found.schema["hits"].dataType)
+        joined = questions.join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", empty))
+        return retrieval.generate(joined, self.llm)
 
     def analyze(self, docs: DataFrame, questions: DataFrame, sections: DataFrame | None = None, tagged: DataFrame | None = None) -> DataFrame:
         """docs (doc_id, ticker, doc_type, fiscal_period, cleaned_text), questions (doc_id, query_id, query, ticker)."""
         s = self.s
         chunks = checkpointed(self.chunks(docs, sections))  # read by every attempt of the search and by the sentiment
-        hits = self.retrieve(chunks, questions.select("query_id", "query", "ticker"))
-        full = hits.join(chunks.select(F.col("chunk_id").alias("id"), "text", "section", "chunk_type", "page_number"), "id")
-        fields = F.struct("rank", F.col("id").alias("chunk_id"), "text", "section", "chunk_type", "page_number", "similarity")
-        found = full.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("hits"), F.max("attempt").alias("attempt"), F.avg("similarity").alias("average"))
-        asked = questions.join(found, "query_id", "left")
-        empty = F.array().cast(found.schema["hits"].dataType)
-        asked = retrieval.generate(asked.withColumn("hits", F.coalesce("hits", empty)), self.llm)
+        asked = self.answer(chunks, questions, loop=True)
 
         ents = entities.extract_entities(docs, "doc_id", "cleaned_text", self.tagger)
         types = entities.entity_type_counts(ents, "doc_id")

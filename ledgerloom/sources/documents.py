@@ -160,7 +160,11 @@ def read_documents(spark: SparkSession, path: str, pdf: PdfReader | None = None,
 
     Without a PDF reader, PDF files are rejects. ``fixed`` mends file types without hyphen and the detection of calls.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), pdf, fixed)
+
+
+def parse_files(found: DataFrame, pdf: PdfReader | None = None, fixed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of files (path, content), as ``read_documents`` makes them."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
     files = found.withColumn("format", F.coalesce(*[F.when(suffix == s, F.lit(f)) for s, f in FORMATS.items()]))
     raw = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
