@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_text
 from ledgerloom.metrics import evaluators as ev
-from ledgerloom.operators import kpi, sentiment
+from ledgerloom.operators import entities, kpi, preparation, vectors
 from ledgerloom.operators.chunking import sec_sections
 from ledgerloom.pipeline import AnalysisPipeline
-from ledgerloom.ports import LexiconSentiment, RuleTagger
-from ledgerloom.session import open_session
+from ledgerloom.ports import FigureTagger, LexiconSentiment, RuleTagger
+from ledgerloom.session import checkpointed, open_session
 from ledgerloom.sources.documents import alias, read_documents, read_eval_set
 from ledgerloom.sources.sinks import write_metrics, write_reports
 
@@ -37,8 +37,11 @@ def _entities(column: Column) -> Column:
     return F.transform(live, lambda e: F.struct(F.coalesce(e["word"], e["text"]).alias("word"), F.coalesce(e["entity"], e["entity_group"], e["label"], F.lit("unknown")).alias("entity")))
 
 
-def evaluate(samples: DataFrame, kind: str, predict: bool = False) -> DataFrame:
-    """Metrics of an evaluation set (sample_id, sample); ``predict`` fills the predictions with the default operators."""
+def evaluate(samples: DataFrame, kind: str, predict: bool = False, figures: FigureTagger | None = None) -> DataFrame:
+    """Metrics of an evaluation set (sample_id, sample); ``predict`` fills the predictions with the default operators.
+
+    For answers these search the set's own gold passages; tags of figures come from ``figures``, and are all O without.
+    """
     s = F.col("sample")
     text = alias(s, "text")
     if kind == "ner":
@@ -61,14 +64,24 @@ def evaluate(samples: DataFrame, kind: str, predict: bool = False) -> DataFrame:
         return ev.macro(ev.kpi_scores(rows, "sample_id", "r", "e"), ["numeric_accuracy", "extraction_recall", "type_coverage", "mean_absolute_error", "rmse"])
     if kind == "rag":
         chunks = lambda *names: F.coalesce(F.from_json(alias(s, *names), _CHUNKS), F.transform(F.from_json(alias(s, *names), "array<string>"), lambda t: F.struct(F.lit(None).cast("string").alias("chunk_id"), t.alias("text"))))
-        rows = samples.select("sample_id", chunks("retrieved_chunks", "retrieved").alias("r"), chunks("gold_chunks", "gold", "evidence").alias("g"), alias(s, "generated_answer").alias("a"), alias(s, "answer", "reference_answer").alias("w"))
+        rows = samples.select("sample_id", chunks("retrieved_chunks", "retrieved").alias("r"), chunks("gold_chunks", "gold", "evidence").alias("g"), alias(s, "generated_answer").alias("a"), alias(s, "answer", "reference_answer").alias("w"), alias(s, "question", "query").alias("question"))
+        if predict:
+            corpus = checkpointed(vectors.embed(preparation.corpus_passages(rows, "sample_id", "g")))
+            said = preparation.predict_answers(rows, corpus)
+            rows = rows.drop("r", "a").join(said.select("sample_id", F.col("retrieved_chunks").alias("r"), F.col("generated_answer").alias("a")), "sample_id")
         both = ev.retrieval_scores(rows, "sample_id", "r", "g").join(ev.generation_scores(rows, "sample_id", "a", "w"), "sample_id")
         return ev.macro(both, ["hit_rate_top1", "hit_rate_top5", "mrr", "ndcg", "exact_match", "rouge_l", "bleu"])
     if kind == "finer":
         tags = lambda name: F.from_json(alias(s, name), "array<string>")
         spans = lambda c: ev.tag_spans(samples.select("sample_id", F.posexplode(c).alias("i", "tag")), "sample_id", "i", "tag")
-        predicted = F.coalesce(tags("predicted_tags"), F.transform(tags("tags"), lambda t: F.lit("O")))
-        return ev.tagging_scores(spans(predicted), spans(tags("tags")), "sample_id")
+        none = F.transform(tags("tags"), lambda t: F.lit("O"))
+        if not predict:
+            return ev.tagging_scores(spans(F.coalesce(tags("predicted_tags"), none)), spans(tags("tags")), "sample_id")
+        if figures is None:
+            return ev.tagging_scores(spans(none), spans(tags("tags")), "sample_id")
+        found = samples.select("sample_id", tags("tokens").alias("tokens")).withColumn("found", entities.reshape_spans(figures.tag(F.array_join("tokens", " "))))
+        told = ev.spans_to_tags(found, "sample_id", "tokens", "found")
+        return ev.tagging_scores(ev.tag_spans(told, "sample_id", "i", "tag"), spans(tags("tags")), "sample_id")
     raise ValueError(f"unknown kind of evaluation: {kind}")
 
 

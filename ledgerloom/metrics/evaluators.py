@@ -102,7 +102,7 @@ KPI_TYPES = ("revenue", "gross_margin", "operating_income", "net_income", "eps",
 
 def _numbers(c: Column) -> Column:
     """The entries of a map that are numbers, or texts of numbers."""
-    values = F.transform_values(F.coalesce(c, F.create_map().cast("map<string,double>")), lambda k, v: v.try_cast("double"))
+    values = F.coalesce(F.transform_values(c, lambda k, v: v.try_cast("double")), F.create_map().cast("map<string,double>"))
     return F.map_filter(values, lambda k, v: v.isNotNull() & ~F.isnan(v))
 
 

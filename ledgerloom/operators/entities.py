@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.chunking import char_slices
-from ledgerloom.ports import EntityTagger, RuleTagger
+from ledgerloom.functions.text import parse_number
+from ledgerloom.ports import EntityTagger, FigureTagger, RuleTagger
 
 
 def extract_entities(docs: DataFrame, key: str, text: str, tagger: EntityTagger | None = None) -> DataFrame:
@@ -34,3 +35,31 @@ def tag_counts(figures: DataFrame, key: str, sample: int = 15) -> DataFrame:
     first = figures.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where(F.col("_i") <= sample)
     lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "tag", "value"))).alias("sample"))
     return tags.join(lists, key)
+
+
+def reshape_spans(spans: Column) -> Column:
+    """Spans of a tagger as figures (text, tag, value, score, start, end); a span without type is unknown, without score 0."""
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            F.coalesce(s["word"], F.lit("")).alias("text"), F.coalesce(s["entity_group"], F.lit("unknown")).alias("tag"), parse_number(s["word"]).alias("value"),
+            F.coalesce(s["score"].cast("double"), F.lit(0.0)).alias("score"), s["start"].alias("start"), s["end"].alias("end"),
+        ),
+    )
+
+
+FIGURES = "ord bigint, text string, tag string, value double, score double, start int, end int"
+
+
+def tag_figures(chunks: DataFrame, key: str, order: list[str], text: str, tagger: FigureTagger | None = None) -> DataFrame:
+    """(key, ord, text, tag, value, score, start, end): the tagged figures of the chunks that aren't blank, in order.
+
+    Without a tagger, and where it fails, there are none.
+    """
+    if tagger is None:
+        kind = chunks.select(key).schema[0].dataType.simpleString()
+        return chunks.sparkSession.createDataFrame([], f"{key} {kind}, {FIGURES}")
+    live = chunks.where(F.trim(text) != "").select(key, *order, F.posexplode(reshape_spans(tagger.tag(F.col(text)))).alias("_i", "_f"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, "_i")) - 1
+    f = F.col("_f")
+    return live.select(key, place.cast("long").alias("ord"), f["text"].alias("text"), f["tag"].alias("tag"), f["value"].cast("double").alias("value"), f["score"].alias("score"), f["start"].cast("int").alias("start"), f["end"].cast("int").alias("end"))

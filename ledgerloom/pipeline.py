@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import chunking, entities, kpi, report, retrieval, sentiment, vectors
-from ledgerloom.ports import Embedder, EntityTagger, HashEmbedder, LanguageModel, SentimentModel
+from ledgerloom.ports import Embedder, EntityTagger, FigureTagger, HashEmbedder, LanguageModel, SentimentModel
 from ledgerloom.session import checkpointed
 from ledgerloom.settings import DEFAULT, Settings
 
@@ -14,10 +14,12 @@ from ledgerloom.settings import DEFAULT, Settings
 class AnalysisPipeline:
     """Every model is a port; without any, deterministic defaults are used.
 
-    ``tagged`` figures (doc_id, ord, tag, value, score, text) replace revenue found by patterns where given.
+    Figures (doc_id, ord, tag, value, score, text) that are given as ``tagged``, or that ``figures`` finds in the chunks,
+    replace revenue found by patterns.
     """
 
-    def __init__(self, embedder: Embedder | None = None, tagger: EntityTagger | None = None, sentiment_model: SentimentModel | None = None, llm: LanguageModel | None = None, settings: Settings = DEFAULT):
+    def __init__(self, embedder: Embedder | None = None, tagger: EntityTagger | None = None, sentiment_model: SentimentModel | None = None, llm: LanguageModel | None = None, settings: Settings = DEFAULT, figures: FigureTagger | None = None):
+        self.figures = figures
         self.embedder, self.tagger, self.model, self.llm, self.s = embedder or HashEmbedder(), tagger, sentiment_model, llm, settings
 
     def chunks(self, docs: DataFrame, sections: DataFrame | None = None) -> DataFrame:
@@ -36,7 +38,8 @@ class AnalysisPipeline:
         (query_id, rank, id, similarity) of those questions that have any; later ones always search.
         """
         text = F.struct("query", "ticker")
-        named = questions.select("query_id", "query", "ticker", F.sha2(F.to_json(text), 256).alias("_same"))
+        # every attempt starts from the questions again
+        named = checkpointed(questions.select("query_id", "query", "ticker", F.sha2(F.to_json(text), 256).alias("_same")))
         if supplied is None:
             once = named.groupBy(F.col("_same").alias("query_id")).agg(F.first("query").alias("query"), F.first("ticker").alias("ticker"))
             hits = retrieval.requery(once, lambda left, n: self._search(index, left, n), key="query_id", s=self.s, loop=loop)
@@ -74,6 +77,8 @@ class AnalysisPipeline:
         types = entities.entity_type_counts(ents, "doc_id")
         top = entities.top_entity_type(types, "doc_id").select("doc_id", F.col("entity_group").alias("top_type"), F.col("n").alias("top_count"))
         per_doc = types.groupBy("doc_id").agg(F.sum("n").alias("entities"), F.count(F.lit(1)).alias("entity_types"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_group", "n")))).alias("type_counts")).join(top, "doc_id")
+        if tagged is None and self.figures is not None:
+            tagged = entities.tag_figures(chunks, "doc_id", ["section", "ord"], "text", self.figures)
         figures = kpi.extract_kpis(docs, "doc_id", "cleaned_text")
         if tagged is not None:
             figures = kpi.override_revenue(figures, tagged, "doc_id")

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class Tokenizer(Protocol):
-    def count(self, text: Column) -> Column: ...
-
-
 class Embedder(Protocol):
     dim: int
 
@@ -37,6 +33,13 @@ class EntityTagger(Protocol):
         ...
 
 
+class FigureTagger(Protocol):
+    def tag(self, text: Column) -> Column:
+        """An array of structs (word, entity_group, score, start, end), with the reporting concept as entity_group; null
+        where tagging fails."""
+        ...
+
+
 class PdfReader(Protocol):
     def pages(self, content: bytes) -> list[str]: ...
 
@@ -47,13 +50,6 @@ class LanguageModel(Protocol):
     def complete(self, prompts: Column) -> Column: ...
 
 
-class SpaceTokenizer:
-    """Words between single spaces."""
-
-    def count(self, text: Column) -> Column:
-        return F.when(text.isNull() | (text == ""), 0).otherwise(F.size(F.split(text, " ")))
-
-
 class HashEmbedder:
     """Feature hashing of lower-cased words into ``dim`` buckets, then unit length; a text without words is all zero."""
 

@@ -258,7 +258,11 @@ def read_eval_set(spark: SparkSession, path: str, limit: int | None = None) -> D
 
         return raw.map(one)
 
-    rows = whole.select(F.posexplode(samples(F.col("value"))).alias("sample_id", "sample"))
+    files = whole.select(F.input_file_name().alias("_f"), samples(F.col("value")).alias("_s"))
+    # files in the order of their names; one small row a file decides where its numbers start
+    names = files.select("_f", F.size("_s").alias("_n"))
+    start = names.select("_f", (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_b"))
+    rows = files.join(F.broadcast(start), "_f").select("_b", F.posexplode("_s").alias("_i", "sample")).select((F.col("_b") + F.col("_i")).cast("int").alias("sample_id"), "sample")
     return rows if limit is None else rows.where(F.col("sample_id") < limit)
 
 
