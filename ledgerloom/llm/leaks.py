@@ -2,7 +2,8 @@
 
 The normalised word n-grams of all evaluation items form a hash set; every document's token windows are scanned
 against it, hits are verified word by word, and the spans (or the documents) can be removed. The set is broadcast only
-when its size, counted first, is within ``broadcast_grams``; beyond it the windows are joined to the set by hash.
+when its size, counted first, is within ``broadcast_grams``; beyond it the windows, as hashes and places, are joined to the
+set by hash and what meets is verified against the text.
 
 Defined results: an item field of fewer than n words can't leak; null or blank texts leak nothing; a repeated row
 leaks what its text leaks; an empty evaluation table gives an empty result.
@@ -22,7 +23,11 @@ from ledgerloom.llm.words import WORD, split_words, window_hashes, word_hashes
 
 _BITS = np.uint64(44)  # the top 20 bits address the bitmap
 
-HITS = "doc_id bigint, item_id bigint, first_word int, last_word int, start_char int, end_char int"
+HITS = ["doc_id", "item_id", "first_word", "last_word", "start_char", "end_char"]
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 class GramIndex:
@@ -30,13 +35,11 @@ class GramIndex:
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n = n
-        self.at: dict[int, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
+        self.at: dict[int, dict[tuple[object, tuple[str, ...]], None]] = defaultdict(dict)  # in order, each once
         for item, text in items:
             w = split_words(text)
             for i, h in enumerate(window_hashes(word_hashes(w), n).tolist()):
-                entry = (item, tuple(w[i : i + n]))
-                if entry not in self.at[h]:
-                    self.at[h].append(entry)
+                self.at[h][item, tuple(w[i : i + n])] = None
         self.keys = np.sort(np.fromiter(self.at, dtype=np.uint64, count=len(self.at)))
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[self.keys >> _BITS] = True
@@ -72,12 +75,12 @@ class GramIndex:
 
 
 def item_texts(items: DataFrame, item_id: str, fields: list[str]) -> DataFrame:
-    return items.select(F.col(item_id).cast("bigint").alias("item_id"), F.explode(F.array(*fields)).alias("t")).where("item_id is not null and t is not null").distinct()
+    return items.select(F.col(item_id).alias("item_id"), F.explode(F.array(*fields)).alias("t")).where("item_id is not null and t is not null").distinct()
 
 
 def _spans(texts: list[str], runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
     out, at, places = [], -1, []
-    for doc, item, a, b in sorted(runs):
+    for doc, item, a, b in sorted(runs, key=lambda r: (r[0], r[2], r[3])):
         if doc != at:
             at, places = doc, [m.span() for m in WORD.finditer(texts[doc].lower())]
         out.append((doc, item, a, b, places[a][0], places[b - 1][1]))
@@ -88,9 +91,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """One row per maximal run of leaked words: document, item, word and character span."""
     texts = item_texts(items, item_id, list(fields))
     size = texts.select(F.sum(F.length("t")).alias("c")).first().c or 0
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {_kind(texts, 'item_id')}, first_word int, last_word int, start_char int, end_char int"
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     if size // 2 > broadcast_grams:  # at most one gram a word, a word has a character and a gap
-        return _find_by_join(base, texts, n)
+        return _find_by_join(base, texts, n, schema)
     index = docs.sparkSession.sparkContext.broadcast(GramIndex([(r.item_id, r.t) for r in texts.collect()], n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,44 +102,51 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             found = _spans(b["text"].tolist(), index.value.scan(b["text"].tolist()))
             if found:
                 ids = b["doc_id"].to_numpy()
-                yield pd.DataFrame([(ids[d], i, x, y, s, e) for d, i, x, y, s, e in found], columns=[c.split()[0] for c in HITS.split(", ")])
+                yield pd.DataFrame([(ids[d], *rest) for d, *rest in found], columns=HITS)
+
+    return base.mapInPandas(run, schema)
 
-    return base.mapInPandas(run, HITS)
 
+def _grams(rows: DataFrame, key: str, text: str, n: int, words: bool) -> DataFrame:
+    """(key, h, at) of every window of n words, with the window itself if ``words``."""
 
-def _grams(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, t in zip(b[key], b[text]):
                 w = split_words(t)
                 h = window_hashes(word_hashes(w), n).view(np.int64)
                 if len(h):
-                    yield pd.DataFrame({key: k, "h": h, "at": np.arange(len(h), dtype=np.int32), "gram": [" ".join(w[i : i + n]) for i in range(len(h))]})
+                    out = pd.DataFrame({key: k, "h": h, "at": np.arange(len(h), dtype=np.int32)})
+                    yield out.assign(gram=[" ".join(w[i : i + n]) for i in range(len(h))]) if words else out
 
-    return rows.select(key, text).mapInPandas(run, f"{key} bigint, h bigint, at int, gram string")
+    return rows.select(key, text).mapInPandas(run, f"{key} {_kind(rows, key)}, h bigint, at int" + (", gram string" if words else ""))
 
 
-def _find_by_join(base: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _find_by_join(base: DataFrame, texts: DataFrame, n: int, schema: str) -> DataFrame:
     """The same runs for an evaluation set too large to broadcast; one row per item and gram keeps hot grams apart."""
-    items = _grams(texts.withColumnRenamed("t", "text"), "item_id", "text", n).select("item_id", "h", "gram").distinct()
-    hits = _grams(base, "doc_id", "text", n).join(items, ["h", "gram"]).select("doc_id", "item_id", "at").distinct()
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", "item_id").orderBy("at")
-    fresh = F.when(F.col("at") - F.lag("at").over(w) <= n, 0).otherwise(1)
-    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy("doc_id", "item_id", "run")
-    runs = runs.agg(F.min("at").alias("a"), (F.max("at") + n).alias("b")).join(base, "doc_id")
+    items = _grams(texts.withColumnRenamed("t", "text"), "item_id", "text", n, True).select("item_id", "h", "gram").distinct()
+    hits = _grams(base, "doc_id", "text", n, False).join(items, "h").select("doc_id", "item_id", "at", "gram")
+    per_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "item_id", "gram")).alias("hits")).join(base, "doc_id")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, i, x, y, t in zip(b["doc_id"], b["item_id"], b["a"], b["b"], b["text"]):
-                s = [m.span() for m in WORD.finditer(t.lower())]
-                if y <= len(s):
-                    rows.append((d, i, x, y, s[x][0], s[y - 1][1]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HITS.split(", ")])
-
-    return runs.select("doc_id", "item_id", "a", "b", "text").mapInPandas(place, HITS)
+            for d, found, t in zip(b["doc_id"], b["hits"], b["text"]):
+                w, runs, last = split_words(t), [], {}
+                for x in sorted(found, key=lambda x: x["at"]):
+                    at, item = x["at"], x["item_id"]
+                    if " ".join(w[at : at + n]) != x["gram"]:
+                        continue
+                    k = last.get(item)
+                    if k is not None and runs[k][3] >= at:
+                        runs[k] = (0, item, runs[k][2], at + n)
+                    else:
+                        last[item] = len(runs)
+                        runs.append((0, item, at, at + n))
+                rows += [(d, *rest) for _, *rest in _spans([t], runs)]
+            yield pd.DataFrame(rows, columns=HITS)
+
+    return per_doc.select("doc_id", "hits", "text").mapInPandas(place, schema).distinct()
 
 
 def remove_leaks(docs: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

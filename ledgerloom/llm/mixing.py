@@ -33,26 +33,30 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=4)
-def load_tokenizer(path: str):
+def make_tokenizer(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, source, text_key, tokens) of the documents with a text and a source."""
+    """(doc_id, source, text_key, tokens) of the documents with a text and a source.
+
+    The vocabulary, a file of one to two MB on the driver, is broadcast.
+    """
+    with open(path, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(path).encode_ordinary
+        encode = make_tokenizer(sent.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("source"), b.column("text_key"), pa.array(n, pa.int64())], names=["doc_id", "source", "text_key", "tokens"])
 
     live = docs.where("text is not null and source is not null and doc_id is not null").where(F.length(F.trim("text")) > 0)
-    rows = live.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, source string, text_key bigint, tokens bigint")
+    rows = live.select("doc_id", "source", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, text_key bigint, tokens bigint")
 
 
 class Flow:

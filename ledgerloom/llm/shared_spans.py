@@ -118,14 +118,19 @@ def least_period(t: str) -> int:
     return len(t) - border[-1]
 
 
-def run_anchors(x: str, y: str, i: int, j: int, k: int, period: int) -> list[tuple[int, int]]:
+def run_anchors(x: str, y: str, i: int, j: int, k: int, period: int, least: int) -> list[tuple[int, int]]:
     """Places on the shifts that can hold a longest common stretch of two periodic parts.
 
     A stretch that leaves a part leaves the other at the same end, so its shift aligns these ends; one that doesn't is
-    no longer than that of a shift of the same phase next to such an alignment.
+    no longer than that of a shift of the same phase next to such an alignment. Shifts in between, each by the length of
+    the shorter part, tell what else of the longer one stands there.
     """
     (l, r), (m, q) = periodic_part(x, i, period), periodic_part(y, j, period)
     out = set()
+    step = max(period, min(r - l, q - m) // period * period)
+    first, last = sorted((l - m, r - q))
+    between = range(i - j + -(-(first - (i - j)) // period) * period, last + 1, step) if last - first > step >= least else ()
+    out |= {(max(l, m + d), max(l, m + d) - d) for d in between if min(r, q + d) - max(l, m + d) >= k}
     for shift in (l - m, r - q):
         least = i - j + (shift - (i - j)) // period * period
         for d in (least, least + period):
@@ -341,7 +346,7 @@ def shared_spans(classes: DataFrame, least: int = 300, k: int = 120, hot: int =
                 at = [(m["i"], m["j"]) for m in anchors if not m["p"] and not m["q"]]
                 for m in anchors:
                     for period in {m["p"], m["q"]} - {0}:
-                        at += run_anchors(x, y, m["i"], m["j"], k, period)
+                        at += run_anchors(x, y, m["i"], m["j"], k, period, least)
                 seen: set[tuple[int, int, int]] = set()
                 for c, path in enumerate(chain(at, k)):
                     stretches, identity = align(x, y, path, k)

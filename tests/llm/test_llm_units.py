@@ -180,7 +180,7 @@ def test_runs_and_hot_seeds_miss_no_shared_stretch(data):
         for _, (s, i, size, p, low, high, run) in (e for e in level if e[0] == 0):
             for _, (t, j, _, q, _, _, _) in (e for e in level if e[0] == 1 and e[1][0] == s):
                 shift = 0 if size or high <= least - k else k
-                at = [(i - shift, j - shift)] if not p and not q else [x for r in {p, q} - {0} for x in shared_spans.run_anchors(*texts, i, j, k, r)]
+                at = [(i - shift, j - shift)] if not p and not q else [x for r in {p, q} - {0} for x in shared_spans.run_anchors(*texts, i, j, k, r, least)]
                 best = max([best, *(m for a in at for _, _, m in shared_spans.align(*texts, [a], k)[0])])
         assert best == n or n < least
         level = [(o, x) for o, s in level for x in ([s] if s[6] else shared_spans.longer_seeds(texts[o], s[1], s[2], s[4], s[5], least, parts))]
