@@ -174,8 +174,8 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
 
     within = bool(asked) and f" {bare} " in f" {' '.join(asked)} "
     cover = len(words) / len(asked) if asked else 0.0
-    spare = Counter(words) - Counter(asked)
-    own = sum(spare.values()) / len(words)
+    known = set(asked)
+    own = sum(w not in known for w in words) / len(words)  # a question said twice has no words of its own either
     out["question_copy"] = _vote(within and cover >= 0.5, own > 0.3 or cover < 0.3) + _vote(own == 0 and cover >= 0.5, own > 0.1) + _vote(own < 0.1 and "?" in text[-3:], own > 0.2 or cover < 0.3)
 
     hits, other = _refusal_signs(text)
@@ -227,7 +227,7 @@ def plant(sample: list[tuple[str | None, str | None]], languages: Languages, per
     for q, a in good:
         cut = a[: rng.randrange(len(a) * 3 // 10, len(a) * 9 // 10)].rstrip()
         out.append(("truncated", q, cut + rng.choice(["", "", "", "...", " [...]", " ("])))
-        out.append(("question_copy", q, rng.choice([q, q.lower(), q.upper(), q.rstrip("?. ") + ".", q.split(" ", 1)[-1]])))
+        out.append(("question_copy", q, rng.choice([q, q.lower(), q.upper(), q.rstrip("?. ") + ".", q.split(" ", 1)[-1], f"{q} {q}"])))
         out.append(("empty", q, rng.choice([None, "", " ", "...", "-", "N/A", "none"])))
         said = rng.choice(UNSEEN_REFUSALS)
         if languages.of(said)[2] in (None, languages.of(q)[2]):

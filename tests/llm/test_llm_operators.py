@@ -243,9 +243,10 @@ def test_defects(spark):
         1007: ("The filing names lower costs as the", "truncated"), 1008: ("Revenue of Velholm Energy rose 4% in fis", "truncated"), 1009: ("The filing names lower costs...", "truncated"),
     }
     rows += [(k, ask, a, good[0].format(k)) for k, (a, _) in bad.items()] + [(2000, ask, "Revenue was $5 million in fiscal 2020", "4.2%"), (None, ask, "x", "y"), (2001, None, good[0].format(1), good[1].format(2)), rows[0]]
+    bad[1012] = (f"{ask} {ask}", "question_copy")
     bad[1010] = ("De onderneming verwacht dit jaar een daling vanwege hogere kosten.", "other_language")
     bad[1011] = ("My instructions do not let me answer this question for you.", "refusal")  # no pattern has it
-    rows += [(k, ask, bad[k][0], good[0].format(k)) for k in (1010, 1011)]
+    rows += [(k, ask, bad[k][0], good[0].format(k)) for k in (1010, 1011, 1012)]
     rows += [(3000 + i, ask, f"I cannot answer {w} from the context provided.", good[1].format(i)) for i, w in enumerate(("this question", "that for you", "this for me", "you", "my question", "this") * 2)]
     df = spark.createDataFrame([(str(k) if k else k, *r) for k, *r in rows], "sample_id string, question string, answer string, generated_answer string").selectExpr("*", "1 AS key", "2 AS field", "3 AS seen", "4 AS defect")
     samples = spark.createDataFrame(labelled(), "text string, lang string")
