@@ -9,7 +9,7 @@ from ledgerloom.functions import text as tx
 from ledgerloom.operators import entities as en
 from ledgerloom.operators import kpi as kp
 from ledgerloom.operators import sentiment as se
-from ledgerloom.ports import NEGATIVE, POSITIVE
+from ledgerloom.ports import NEGATIVE, POSITIVE, RuleTagger
 from ledgerloom.plans import sqltools as q
 from ledgerloom.session import table
 from ledgerloom.sources import documents as src
@@ -74,6 +74,11 @@ def ner_entities(spark: SparkSession, d: str) -> DataFrame:
     return en.extract_entities(table(spark, d, "documents"), "doc_id", "text")
 
 
+def ner_words(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document names each entity."""
+    return ner_entities(spark, d).groupBy("doc_id", "word", "entity_group").agg(F.count(F.lit(1)).alias("n"))
+
+
 def entity_type_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts by type over entities given as rows: the event types of each user."""
     rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("entity_group"), F.col("event_id").alias("ord"))
@@ -130,6 +135,7 @@ def _kpi_sql(source: str, key: str) -> str:
     return f"SELECT {key}, kpi_type, CAST(i AS INTEGER) AS ord, name, try_cast(replace(number, ',', '') AS DOUBLE) AS value, unit, raw_text, 'regex' AS source FROM ({' UNION ALL '.join(out)}) WHERE try_cast(replace(number, ',', '') AS DOUBLE) IS NOT NULL"
 
 
+_NAMES = RuleTagger.pattern.replace("\\s", q.SPACE)
 _ORDER_KPIS = _kpi_sql(f"SELECT o_orderkey, {_ORDERS_TEXT_SQL} AS text FROM orders", "o_orderkey")
 _MARGINS = f"WITH k AS ({_ORDER_KPIS}), g AS (SELECT o_orderkey, arg_min(value, ord) AS gv, arg_min(unit, ord) AS gu FROM k WHERE kpi_type = 'gross_margin' GROUP BY 1), r AS (SELECT o_orderkey, arg_min(value, ord) AS rv FROM k WHERE kpi_type = 'revenue' GROUP BY 1), m AS (SELECT o_orderkey, round(gv / rv * 100, 6) AS calculated_gross_margin_percent FROM g JOIN r USING (o_orderkey) WHERE trim(gu) <> '%' AND rv <> 0)"
 _TAGGED_SQL = "SELECT l_orderkey AS o_orderkey, l_linenumber AS ord, CASE WHEN l_linenumber % 3 = 0 THEN 'Revenues' WHEN l_orderkey % 3 = 0 THEN 'DebtInstrumentFaceAmount' ELSE 'RevenueFromRelatedParties' END AS tag, l_quantity AS value, CAST(CAST(trunc(l_discount * 100) AS INTEGER) AS DOUBLE) AS score, '$ ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS text, l_partkey, l_suppkey FROM lineitem"
@@ -160,6 +166,7 @@ SQL = {
     "kpi_override": f"WITH k AS ({_ORDER_KPIS}), l AS (SELECT o_orderkey, ord, arg_max(struct_pack(tag, value, score, text), struct_pack(score, l_partkey, l_suppkey, value)) AS b FROM ({_TAGGED_SQL}) GROUP BY 1, 2), c AS (SELECT o_orderkey, ord, b.tag AS tag, b.value AS value, b.score AS score, b.text AS text FROM l WHERE b.tag IN ({', '.join(q.quote(x) for x in kp.REVENUE_TAGS)}) AND b.value IS NOT NULL AND o_orderkey IN (SELECT o_orderkey FROM orders)), n AS (SELECT o_orderkey, 'revenue' AS kpi_type, 0 AS ord, tag AS name, value, '' AS unit, text AS raw_text, 'financial_ner_model' AS source FROM c QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, ord) = 1) SELECT o_orderkey, kpi_type, ord, name, value, unit, raw_text, source FROM k WHERE NOT (kpi_type = 'revenue' AND o_orderkey IN (SELECT o_orderkey FROM n)) UNION ALL SELECT * FROM n",
     "xbrl_numeric_parse": "SELECT entry_id, try_cast(regexp_replace(raw_text, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS value, try_cast(regexp_replace(concat_ws('', '$', unit), '[^0-9.\\-]', '', 'g') AS DOUBLE) AS from_unit, try_cast(replace(replace(replace(trim(regexp_extract(raw_text, '[$]?[\\d,.]+%?$')), ',', ''), '$', ''), '%', '') AS DOUBLE) AS amount FROM kpi_agent",
     "xbrl_tag_counts": f"WITH t AS ({_TAGGED_SQL}), n AS (SELECT o_orderkey, count(*) AS total_tagged FROM t GROUP BY 1) SELECT t.o_orderkey, any_value(total_tagged) AS total_tagged, tag, count(*) AS n, CAST(least(any_value(total_tagged), 15) AS INTEGER) AS sampled FROM t JOIN n USING (o_orderkey) GROUP BY t.o_orderkey, tag",
+    "ner_words": f"WITH t AS (SELECT doc_id, unnest(list_transform(range(0, CAST(ceil(length(text) / 2048.0) AS BIGINT)), lambda s: text[s * 2048 + 1 : s * 2048 + 2048])) AS t FROM documents WHERE length(text) > 0), m AS (SELECT doc_id, unnest(regexp_extract_all(t, {q.quote(_NAMES)}, 0)) AS word, unnest(regexp_extract_all(t, {q.quote(_NAMES)}, 1)) AS org FROM t) SELECT doc_id, word, CASE WHEN coalesce(org, '') <> '' THEN 'ORG' ELSE 'MISC' END AS entity_group, count(*) AS n FROM m GROUP BY ALL",
     "entity_type_counts": "SELECT user_id, coalesce(event_type, 'unknown') AS entity_group, count(*) AS n, min(event_id) AS first_ord FROM events GROUP BY 1, 2",
     "top_entity_type": "SELECT user_id, entity_group, n FROM (SELECT user_id, coalesce(event_type, 'unknown') AS entity_group, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
     "sentiment_document": f"WITH j AS ({_judged_sql(_SENTENCES, 'doc_id', 's')}), a AS (SELECT d.doc_id, coalesce(avg(score), 0.0::DOUBLE) AS score FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY 1) SELECT doc_id, CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END AS label, round(score, 6) AS score, score > 0.5 AS is_positive FROM a",
