@@ -119,11 +119,17 @@ def fit_quantiser(sample: np.ndarray, lists: int, width: int = 4, threshold: flo
     return q
 
 
+def padded(dim: int) -> int:
+    """Numbers of a vector with the zeros that make pairs of subspaces of four."""
+    return -(-dim // 8) * 8
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors, padded with zeros, which change no product."""
     x = np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dim)
     big = np.abs(x).max(1, keepdims=True)  # before squaring: lengths near the ends of the range
     x = x / big
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, padded(dim) - dim)))
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -287,7 +293,7 @@ def list_rows_of(found: DataFrame, dim: int, quantiser: Quantiser, spread: int,
             edge = np.flatnonzero((np.diff(lists) != 0) | (np.diff(part) != 0) | ((role[:-1] < 0) != (role[1:] < 0))) + 1
             for s, e in zip([0, *edge], [*edge, len(vid)]):
                 if role[s] < 0:
-                    centroids = np.frombuffer(b.column("x")[int(s)].as_py(), dtype=np.float32).reshape(-1, dim)
+                    centroids = np.frombuffer(b.column("x")[int(s)].as_py(), dtype=np.float32).reshape(-1, padded(dim))
                     continue
                 x, c = _rows(b.column("x").slice(s, e - s), np.float32), int(lists[s])
                 rows, sub = _spread(x, role[s:e], centroids, SUB_SPREAD, max(SUB_SPREAD, probe // 2))

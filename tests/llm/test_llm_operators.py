@@ -165,6 +165,21 @@ def test_lists_of_large_lists(spark):
     assert len(top) == 5 * len(asked) and hits >= 0.9 * 5 * len(asked)
 
 
+@pytest.mark.parametrize("dim", [1, 3, 50])
+def test_vectors_of_any_length(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(200, dim)).astype("float32")
+    df = spark.createDataFrame([(f"v{i}", r.tolist()) for i, r in enumerate(x)], "id string, e array<float>")
+    u = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {}
+    for r in quantised_search.search(df, df.where("id < 'v2'"), "id", "e", dim=dim, k=3).collect():
+        got.setdefault(int(r.record[1:]), []).append(s[int(r.record[1:]), int(r.neighbour[1:])])
+    assert len(got) == df.where("id < 'v2'").count()
+    assert all(np.allclose(sorted(v), np.sort(s[i])[-3:], atol=1e-5) for i, v in got.items())
+
+
 def test_leaks_by_both_ways_and_removal(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = [(1, f"Before. {item.upper().replace(' ', ', ')} after"), (2, "nothing here"), (3, None), (4, ""), (5, item[4:]), (6, " ".join(item.split()[:11])), (None, item)]
