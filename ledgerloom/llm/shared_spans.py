@@ -318,7 +318,8 @@ def shared_spans(classes: DataFrame, least: int = 300, k: int = 120, hot: int =
     texts = classes.groupBy("class_id").agg(F.min("text").alias("text"))
     matches = None
     for parts in (2, 9, 0):
-        once = level.repartition("seed").distinct()
+        # rows are spread by all their columns, counts are combined before their shuffle, and the join can split a hot seed
+        once = level.distinct()
         often = once.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         live = checkpointed(once.join(often, "seed"))
         few = F.col("run") | (F.col("n") <= hot) if parts else F.lit(True)
