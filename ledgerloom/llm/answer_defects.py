@@ -159,8 +159,8 @@ def _vote(yes: bool, no: bool = False) -> str:
 
 
 def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]] | None, languages: Languages, refusals: RefusalWords, asked_in: tuple | None = None) -> dict[str, str]:
-    """Vote patterns of all defects; ``seen`` has (ends, goes on) of the answer's closing contexts of 1, 2, 3 tokens
-    and of the whole answer, ``asked_in`` the question's language if it is known already."""
+    """Vote patterns of all defects; ``seen`` has (ends, goes on) of the answer's closing contexts of 1, 2, 3 tokens,
+    of the whole answer and of the token before the last, ``asked_in`` the question's language if it is known already."""
     text = (answer or "").strip()
     words, asked = split_words(text), split_words(question)
     bare = " ".join(words)
@@ -170,7 +170,7 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     placeholder = bare in PLACEHOLDERS
     out["empty"] = _vote(nothing, len(words) > 3) + _vote(placeholder or nothing, not placeholder and len(words) > 1) + _vote((len(bare) < 2 and not bare.isdigit()) or placeholder, len(words) > 3)
     if nothing or placeholder:  # nothing for the others to judge
-        return out | {"question_copy": "---", "refusal": "-------", "other_language": "---", "truncated": "-------"}
+        return out | {"question_copy": "---", "refusal": "-------", "other_language": "---", "truncated": "--------"}
 
     within = bool(asked) and f" {bare} " in f" {' '.join(asked)} "
     cover = len(words) / len(asked) if asked else 0.0
@@ -184,22 +184,29 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     out["refusal"] = "".join(_vote(h) for h in hits) + _vote(any(hits) and not other, other) + _vote(meta and not other, other)
     out["refusal"] += _vote(learned is not None and learned >= REFUSED and not other, learned is not None and learned < 0)
 
-    pairs = zip(languages.of(text), asked_in or languages.of(question))
+    open_end = is_open(text) or (text[-1] in '"“„«' and not _END.search(text))
+    # the last word of an open answer may be a part of one, which says nothing of the language
+    said = text.rsplit(maxsplit=1)[0] if open_end and len(words) > 3 else text
+    pairs = zip(languages.of(said), asked_in or languages.of(question))
     out["other_language"] = "".join(_vote(bool(a and q and a != q), bool(a and q and a == q)) for a, q in pairs)
 
-    open_end = is_open(text) or (text[-1] in '"“„«' and not _END.search(text))
     t = tokens(text)
     last = t[-1] if t else ""
     dangling = bool(_OPEN.search(text)) or text.count("(") > text.count(")") or (text[-1] in "\"“„«" and text.count('"') % 2 == 1) or text[-1] in "“„«"
     short = len(words) <= SHORT and not dangling
-    seen = seen or [(0, 0)] * 4
+    seen = seen or [(0, 0)] * 5
     alone, beyond = seen[3]
     usual = short and alone >= 3 and alone >= 0.03 * beyond  # a reply that others give too
-    v = [_vote(dangling, not open_end), _vote(bool(_CUT.search(text)), not open_end), _vote(open_end and last in _DANGLING and not usual, not open_end)]
+    cut = bool(_CUT.search(text))
+    # a small word that never follows the one before it, however often that stands: part of a word
+    broken = open_end and not cut and not usual and len(t) > 1 and last.isalpha() and text.endswith(last) and sum(seen[1]) == 0 and seen[4][1] >= 50
+    v = [_vote(dangling, not open_end), _vote(cut, not open_end), _vote(open_end and last in _DANGLING and not usual, not open_end), _vote(broken, not open_end)]
     for k in range(3):
         ends, on = seen[k]
         if not open_end or usual:
             v.append("0")
+        elif cut:  # the mark tells that more was to come, whatever stands before it
+            v.append("-")
         elif k == 0:
             v.append(_vote(ends + on == 0 and last not in ("#", "") and len(words) > 1, ends > 0 and short))
         elif ends + on < 8 or short:
@@ -258,7 +265,8 @@ def _ballots(rows: DataFrame, key: str, question: str, answers: tuple[str, ...],
             rows = []
             for a in b["answer"].dropna().unique():
                 if is_open(a) and (t := tokens(a)):
-                    rows += [(a, k, c) for k, c in enumerate([*contexts(t, len(t) - 1), whole(t)])]
+                    before = contexts(t, len(t) - 2)[0] if len(t) > 1 else whole(t)
+                    rows += [(a, k, c) for k, c in enumerate([*contexts(t, len(t) - 1), whole(t), before])]
             yield pd.DataFrame(rows, columns=["answer", "k", "context"])
 
     # answers that may be open: no point after a word of more than six letters
