@@ -44,24 +44,40 @@ SAMPLE, PLANTED = 5000, 300
 
 # Words that say nothing, words that can't end a sentence, ways to refuse, and refusals to validate with.
 PLACEHOLDERS = frozenset("n a|na|null|none|nan|nil|tbd|tba|tbc|todo|blank|empty|no answer|no response|not available|not applicable|missing|pending|undefined|unknown|placeholder|keine angabe|k a|sans objet|sin datos|nessuna risposta|keine antwort|sin respuesta|pas de réponse|no data|void|xxx|lorem ipsum".split("|"))
-_DANGLING = frozenset("the of and to in a an is was were that for on with as by from at its which or than their into about but because while between per der die das und im von für den dem des ein eine einer einem einen zu mit auf bei um dass oder als le les et des du un une en dans pour que qui sur par avec au aux el los las y de del por con al il lo gli e di della dei delle che si tra da dal dalla nel nella".split())
-_ABBREVIATION = regex.compile(r"(?i)(?:\b(?:inc|corp|co|ltd|mio|mrd|no|vs|approx|dr|mr|mrs|st|e\.g|i\.e|etc|thsd|ca|nr|jan|feb|aug|sept|oct|nov|dec))\.$")
+_DANGLING = frozenset(
+    "the of and to in a an is was were that for on with as by from at its which or than their into about but because while between per der die das und im von für den dem des ein eine einer einem einen zu mit auf bei um dass oder als le les et des du un une en dans pour que qui sur par avec au aux el los las y de del por con al il lo gli e di della dei delle che si tra da dal dalla nel nella".split()
+)
+_ABBREVIATION = regex.compile(
+    r"(?i)(?:\b(?:inc|corp|co|ltd|mio|mrd|no|vs|approx|dr|mr|mrs|st|e\.g|i\.e|etc|thsd|ca|nr|jan|feb|aug|sept|oct|nov|dec))\.$"
+)
 _END = regex.compile(r"[.!?。！？][\"'”’»)\]]*$")
 _OPEN = regex.compile(r"(?:[(\[{,;:/&$€£¥–—-]|[(\[]?(?:\.{2,}|…)[)\]]?)[\"'”’»]*$")
 _CUT = regex.compile(r"(?:\.{2,}|…|[(\[])[)\]]?$")
 
 _REFUSALS = [
-    re.compile(r"\b(?:i|we)(?:['’]m| am| are)?\b[^.?!]{0,40}\b(?:can(?:no|['’])t|cannot|unable|not able|won['’]?t|will not|must decline|decline|don['’]?t have|do not have|am afraid|refuse)\b|\b(?:decline|unable) to (?:answer|respond|comment|say|determine|help|provide)\b|\bnot possible for me\b|\bas an? (?:ai|language model|assistant)\b"),
-    re.compile(r"\b(?:sorry|apolog(?:y|ies|ise|ize)|unfortunately|regret)\b|\b(?:tut mir leid|leider)\b|\b(?:désolée?|malheureusement|regrette)\b|\b(?:lo siento|lamentablemente|disculp)|\b(?:mi dispiace|purtroppo|spiacente)\b"),
-    re.compile(r"\b(?:insufficient|not enough|no(?:t| ) (?:enough|sufficient)|nothing)\b[^.?!]{0,40}\b(?:context|information|excerpts?|passages?|documents?|answer)\b|\bdo(?:es)? not (?:contain|include|provide)\b[^.?!]{0,30}\b(?:information|answer|enough)\b|\bno answer can be given\b|\boutside (?:of )?what i can\b|\bcannot be (?:answered|determined)\b"),
-    re.compile(r"\bkann (?:ich|dazu|diese|leider)\b[^.?!]*\bnicht\b|\bkeine (?:auskunft|angaben|antwort)\b|\bnicht beantworten\b|\bnicht genügend informationen\b|\bne (?:me|peux|puis|permet|contient)\b[^.?!]*\bpas\b|\bpas suffisamment\b|\bno (?:puedo|contiene|dispongo|es posible|me es posible)\b|\binformación suficiente\b|\bnon (?:posso|mi consente|contiene|sono in grado|è possibile)\b|\binformazioni sufficienti\b"),
+    re.compile(
+        r"\b(?:i|we)(?:['’]m| am| are)?\b[^.?!]{0,40}\b(?:can(?:no|['’])t|cannot|unable|not able|won['’]?t|will not|must decline|decline|don['’]?t have|do not have|am afraid|refuse)\b|\b(?:decline|unable) to (?:answer|respond|comment|say|determine|help|provide)\b|\bnot possible for me\b|\bas an? (?:ai|language model|assistant)\b"
+    ),
+    re.compile(
+        r"\b(?:sorry|apolog(?:y|ies|ise|ize)|unfortunately|regret)\b|\b(?:tut mir leid|leider)\b|\b(?:désolée?|malheureusement|regrette)\b|\b(?:lo siento|lamentablemente|disculp)|\b(?:mi dispiace|purtroppo|spiacente)\b"
+    ),
+    re.compile(
+        r"\b(?:insufficient|not enough|no(?:t| ) (?:enough|sufficient)|nothing)\b[^.?!]{0,40}\b(?:context|information|excerpts?|passages?|documents?|answer)\b|\bdo(?:es)? not (?:contain|include|provide)\b[^.?!]{0,30}\b(?:information|answer|enough)\b|\bno answer can be given\b|\boutside (?:of )?what i can\b|\bcannot be (?:answered|determined)\b"
+    ),
+    re.compile(
+        r"\bkann (?:ich|dazu|diese|leider)\b[^.?!]*\bnicht\b|\bkeine (?:auskunft|angaben|antwort)\b|\bnicht beantworten\b|\bnicht genügend informationen\b|\bne (?:me|peux|puis|permet|contient)\b[^.?!]*\bpas\b|\bpas suffisamment\b|\bno (?:puedo|contiene|dispongo|es posible|me es posible)\b|\binformación suficiente\b|\bnon (?:posso|mi consente|contiene|sono in grado|è possibile)\b|\binformazioni sufficienti\b"
+    ),
 ]
 UNSEEN_REFUSALS = [
     "That is something I would rather not discuss.", "I have no way of telling you this.", "Please consult a qualified expert; I cannot advise on it.", "My instructions keep me from replying here.",
     "I do not know the answer to this question.", "It is beyond my abilities to give you these figures.", "I'd prefer not to comment on that.", "We regret that no information can be shared.",
 ]
-_META = re.compile(r"\b(?:context|question|passages?|excerpts?|documents?|provided|request|access|information|speculate|professional advi[sc]er|frage|unterlagen|auskunft|kontext|contexte|question|documents|contexto|pregunta|información|contesto|domanda|rispondere|répondre|responder|beantworten)\b")
-_REPORTED = re.compile(r"^(?:the (?:company|filing|board|management|group|firm)|management|analysts?|the (?:chief|audit|treasurer)|in |about |no change|for )|\b(?:said|told|indicated|stressed|warned|reported) (?:that )?it\b|\bwas unable to quantify\b")
+_META = re.compile(
+    r"\b(?:context|question|passages?|excerpts?|documents?|provided|request|access|information|speculate|professional advi[sc]er|frage|unterlagen|auskunft|kontext|contexte|question|documents|contexto|pregunta|información|contesto|domanda|rispondere|répondre|responder|beantworten)\b"
+)
+_REPORTED = re.compile(
+    r"^(?:the (?:company|filing|board|management|group|firm)|management|analysts?|the (?:chief|audit|treasurer)|in |about |no change|for )|\b(?:said|told|indicated|stressed|warned|reported) (?:that )?it\b|\bwas unable to quantify\b"
+)
 
 
 def is_open(text: str) -> bool:
@@ -113,7 +129,9 @@ def _context_counts(pairs: DataFrame) -> DataFrame:
             keys = ends.keys() | on.keys()
             yield pd.DataFrame([(k, ends[k], on[k]) for k in keys], columns=["context", "ends", "goes_on"])
 
-    return pairs.mapInPandas(run, "context string, ends bigint, goes_on bigint").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    return pairs.mapInPandas(run, "context string, ends bigint, goes_on bigint").groupBy("context").agg(
+        F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")
+    )
 
 
 class RefusalWords:
@@ -150,7 +168,9 @@ def _refusal_signs(text: str) -> tuple[list[bool], bool]:
     hits = [bool(p.search(low)) for p in _REFUSALS]
     if not any(hits):
         return hits, False
-    figures = bool(re.search(r"\d", re.sub(r"(?i)\b(?:fy|q[1-4]|fiscal|quarter of|exercice|ejercicio|esercizio|geschäftsjahr)\s*\d*", "", low)))
+    figures = bool(
+        re.search(r"\d", re.sub(r"(?i)\b(?:fy|q[1-4]|fiscal|quarter of|exercice|ejercicio|esercizio|geschäftsjahr)\s*\d*", "", low))
+    )
     return hits, figures or (bool(_REPORTED.search(low)) and not hits[0])
 
 
@@ -158,7 +178,14 @@ def _vote(yes: bool, no: bool = False) -> str:
     return "1" if yes else "0" if no else "-"
 
 
-def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]] | None, languages: Languages, refusals: RefusalWords, asked_in: tuple | None = None) -> dict[str, str]:
+def votes(
+    question: str | None,
+    answer: str | None,
+    seen: list[tuple[int, int]] | None,
+    languages: Languages,
+    refusals: RefusalWords,
+    asked_in: tuple | None = None
+) -> dict[str, str]:
     """Vote patterns of all defects; ``seen`` has (ends, goes on) of the answer's closing contexts of 1, 2, 3 tokens,
     of the whole answer and of the token before the last, ``asked_in`` the question's language if it is known already."""
     text = (answer or "").strip()
@@ -168,7 +195,9 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
 
     nothing = not words
     placeholder = bare in PLACEHOLDERS
-    out["empty"] = _vote(nothing, len(words) > 3) + _vote(placeholder or nothing, not placeholder and len(words) > 1) + _vote((len(bare) < 2 and not bare.isdigit()) or placeholder, len(words) > 3)
+    out["empty"] = _vote(nothing, len(words) > 3) + _vote(placeholder or nothing, not placeholder and len(words) > 1) + _vote(
+        (len(bare) < 2 and not bare.isdigit()) or placeholder, len(words) > 3
+    )
     if nothing or placeholder:  # nothing for the others to judge
         return out | {"question_copy": "---", "refusal": "-------", "other_language": "---", "truncated": "--------"}
 
@@ -176,7 +205,11 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
     cover = len(words) / len(asked) if asked else 0.0
     known = set(asked)
     own = sum(w not in known for w in words) / len(words)  # a question said twice has no words of its own either
-    out["question_copy"] = _vote(within and cover >= 0.5, own > 0.3 or cover < 0.3) + _vote(own == 0 and cover >= 0.5, own > 0.1) + _vote(own < 0.1 and "?" in text[-3:], own > 0.2 or cover < 0.3)
+    out["question_copy"] = _vote(
+        within and cover >= 0.5, own > 0.3 or cover < 0.3
+    ) + _vote(own == 0 and cover >= 0.5, own > 0.1) + _vote(
+        own < 0.1 and "?" in text[-3:], own > 0.2 or cover < 0.3
+    )
 
     hits, other = _refusal_signs(text)
     meta = any(hits) and bool(_META.search(text.lower()))
@@ -192,15 +225,24 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
 
     t = tokens(text)
     last = t[-1] if t else ""
-    dangling = bool(_OPEN.search(text)) or text.count("(") > text.count(")") or (text[-1] in "\"“„«" and text.count('"') % 2 == 1) or text[-1] in "“„«"
+    dangling = bool(_OPEN.search(text)) or text.count("(") > text.count(")") or (
+        text[-1] in "\"“„«" and text.count('"') % 2 == 1
+    ) or text[-1] in "“„«"
     short = len(words) <= SHORT and not dangling
     seen = seen or [(0, 0)] * 5
     alone, beyond = seen[3]
     usual = short and alone >= 3 and alone >= 0.03 * beyond  # a reply that others give too
     cut = bool(_CUT.search(text))
     # a small word that never follows the one before it, however often that stands: part of a word
-    broken = open_end and not cut and not usual and len(t) > 1 and last.isalpha() and text.endswith(last) and sum(seen[1]) == 0 and seen[4][1] >= 50
-    v = [_vote(dangling, not open_end), _vote(cut, not open_end), _vote(open_end and last in _DANGLING and not usual, not open_end), _vote(broken, not open_end)]
+    broken = open_end and not cut and not usual and len(t) > 1 and last.isalpha() and text.endswith(last) and sum(
+        seen[1]
+    ) == 0 and seen[4][1] >= 50
+    v = [
+        _vote(dangling, not open_end),
+        _vote(cut, not open_end),
+        _vote(open_end and last in _DANGLING and not usual, not open_end),
+        _vote(broken, not open_end)
+    ]
     for k in range(3):
         ends, on = seen[k]
         if not open_end or usual:
@@ -222,10 +264,18 @@ def votes(question: str | None, answer: str | None, seen: list[tuple[int, int]]
 REFUSED = 1.5
 
 
-def plant(sample: list[tuple[str | None, str | None]], languages: Languages, per_defect: int = PLANTED, seed: int = 11) -> list[tuple[str, str | None, str | None]]:
+def plant(
+    sample: list[tuple[str | None, str | None]], languages: Languages, per_defect: int = PLANTED, seed: int = 11
+) -> list[tuple[str, str | None, str | None]]:
     """(defect or "none", question, answer): defects made of sampled answers that end properly."""
     rng = random.Random(seed)
-    good = [(q, a) for q, a in sample if q and a and not is_open(a) and len(split_words(a)) >= 8 and not any(_refusal_signs(a)[0]) and split_words(a) != split_words(q)]
+    good = [
+        (q, a)
+        for q, a in sample
+        if q and a and not is_open(a) and len(split_words(a)) >= 8 and not any(
+            _refusal_signs(a)[0]
+        ) and split_words(a) != split_words(q)
+    ]
     if not good:
         return []
     rng.shuffle(good)
@@ -234,7 +284,9 @@ def plant(sample: list[tuple[str | None, str | None]], languages: Languages, per
     for q, a in good:
         cut = a[: rng.randrange(len(a) * 3 // 10, len(a) * 9 // 10)].rstrip()
         out.append(("truncated", q, cut + rng.choice(["", "", "", "...", " [...]", " ("])))
-        out.append(("question_copy", q, rng.choice([q, q.lower(), q.upper(), q.rstrip("?. ") + ".", q.split(" ", 1)[-1], f"{q} {q}"])))
+        out.append(
+            ("question_copy", q, rng.choice([q, q.lower(), q.upper(), q.rstrip("?. ") + ".", q.split(" ", 1)[-1], f"{q} {q}"]))
+        )
         out.append(("empty", q, rng.choice([None, "", " ", "...", "-", "N/A", "none"])))
         said = rng.choice(UNSEEN_REFUSALS)
         if languages.of(said)[2] in (None, languages.of(q)[2]):
@@ -251,9 +303,13 @@ def _ballots(rows: DataFrame, key: str, question: str, answers: tuple[str, ...],
     """(key, field, defect, pattern) of every answer; those planted have a null key and their defect, after a #, as field."""
     spark = rows.sparkSession
     fields = F.explode(F.array(*[F.struct(F.lit(a).alias("field"), F.col(a).alias("answer")) for a in answers]))
-    pairs = rows.select(F.col(key).alias("key"), F.col(question).alias("question"), fields.alias("p")).select("key", "question", "p.field", "p.answer")
+    pairs = rows.select(F.col(key).alias("key"), F.col(question).alias("question"), fields.alias("p")).select(
+        "key", "question", "p.field", "p.answer"
+    )
     n = rows.count() * len(answers)
-    some = pairs.where(F.pmod(F.xxhash64("question", "answer"), F.lit(max(1, n // SAMPLE))) == 0).select("question", "answer").limit(2 * SAMPLE).collect()
+    some = pairs.where(
+        F.pmod(F.xxhash64("question", "answer"), F.lit(max(1, n // SAMPLE))) == 0
+    ).select("question", "answer").limit(2 * SAMPLE).collect()
     sample = sorted(((r.question, r.answer) for r in some), key=str)
     languages = learn_languages(samples, sorted({t for pair in sample for t in pair if t}))
     model = spark.sparkContext.broadcast((languages, RefusalWords([a for _, a in sample if a])))
@@ -273,9 +329,13 @@ def _ballots(rows: DataFrame, key: str, question: str, answers: tuple[str, ...],
     maybe = ~F.col("answer").rlike(r"\w{7}[.!?][\"'”’»)\]]*\s*$")
     every = pairs.where("key is not null").unionByName(planted)
     wanted = every.select("answer").where(maybe).distinct().mapInPandas(closing, "answer string, k int, context string")
-    stats = wanted.join(_context_counts(pairs), "context", "left").groupBy("answer").agg(F.sort_array(F.collect_list(F.struct("k", "ends", "goes_on"))).alias("seen"))
+    stats = wanted.join(_context_counts(pairs), "context", "left").groupBy("answer").agg(
+        F.sort_array(F.collect_list(F.struct("k", "ends", "goes_on"))).alias("seen")
+    )
     # answers that have no context get a key of their own, so that frequent ones (null, blank) don't meet in one task
-    spread = F.when(maybe & (F.trim("answer") != ""), F.col("answer")).otherwise(F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+    spread = F.when(maybe & (F.trim("answer") != ""), F.col("answer")).otherwise(
+        F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+    )
     joined = every.withColumn("_a", spread).join(stats.withColumnRenamed("answer", "_a"), "_a", "left")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,13 +371,25 @@ def _posteriors(ballots: DataFrame) -> tuple[dict[tuple[str, str], float], dict[
         # a pattern without a vote for the defect is no evidence for it
         fitted = {p: x if "1" in p else 0.0 for p, x in fitted.items()}
         table |= {(d, p): x for p, x in fitted.items()}
-        tried = [(fitted.get(r.pattern, 0.0), r.truth == d) for r in counted if r.defect == d and r.truth is not None for _ in range(r["count"])]
+        tried = [
+            (fitted.get(r.pattern, 0.0), r.truth == d)
+            for r in counted
+            if r.defect == d and r.truth is not None
+            for _ in range(r["count"])
+        ]
         planted[d] = sum(t for _, t in tried)
         cutoffs[d] = best_cutoff(tried) if planted[d] else (0.5, None, None)
     return table, cutoffs, planted
 
 
-def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str, ...], samples: DataFrame | None = None, cutoffs: dict[str, float] | None = None) -> DataFrame:
+def label_answers(
+    rows: DataFrame,
+    key: str,
+    question: str,
+    answers: tuple[str, ...],
+    samples: DataFrame | None = None,
+    cutoffs: dict[str, float] | None = None
+) -> DataFrame:
     """(key, field, defect, posterior): every label whose posterior exceeds its cutoff, for every answer column.
 
     ``samples`` (text, lang) are texts to learn languages from; without it no answer is called one in another language.
@@ -328,13 +400,20 @@ def label_answers(rows: DataFrame, key: str, question: str, answers: tuple[str,
     at = {d: c[0] for d, c in chosen.items()} | (cutoffs or {})
     kept = [(d, p, float(x)) for (d, p), x in table.items() if x > at[d]]
     known = rows.sparkSession.createDataFrame(kept, "defect string, pattern string, posterior double")
-    return ballots.where("key is not null").join(F.broadcast(known), ["defect", "pattern"]).select("key", "field", "defect", "posterior").distinct()
+    return ballots.where("key is not null").join(
+        F.broadcast(known), ["defect", "pattern"]
+    ).select("key", "field", "defect", "posterior").distinct()
 
 
-def validated_cutoffs(rows: DataFrame, key: str, question: str, answers: tuple[str, ...], samples: DataFrame | None = None) -> DataFrame:
+def validated_cutoffs(
+    rows: DataFrame, key: str, question: str, answers: tuple[str, ...], samples: DataFrame | None = None
+) -> DataFrame:
     """(defect, planted, cutoff, precision, recall) on the planted answers; null figures where none could be planted."""
     _, chosen, planted = _posteriors(_ballots(rows, key, question, answers, samples))
-    return rows.sparkSession.createDataFrame([(d, planted[d], *chosen[d]) for d in DEFECTS], "defect string, planted long, cutoff double, precision double, recall double")
+    return rows.sparkSession.createDataFrame(
+        [(d, planted[d], *chosen[d]) for d in DEFECTS],
+        "defect string, planted long, cutoff double, precision double, recall double"
+    )
 
 
 def single_label(labels: DataFrame) -> DataFrame:

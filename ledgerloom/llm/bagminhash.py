@@ -138,15 +138,30 @@ def signed(records: DataFrame, key: str, text: str, width: int, weighting: str)
                 keys.append(k)
                 tx.append(x)
                 with np.errstate(over="ignore"):
-                    ids.append(int(mix(np.bitwise_xor.reduce(mix(e * _BASE + n.astype(np.uint64) * _GOLD), keepdims=True) + np.uint64(len(e))).view(np.int64)[0]))
+                    ids.append(
+                        int(
+                            mix(
+                                np.bitwise_xor.reduce(mix(e * _BASE + n.astype(np.uint64) * _GOLD), keepdims=True)
+                                + np.uint64(len(e))
+                            ).view(np.int64)[0]
+                        )
+                    )
                 sh.append(e.view(np.int32))
                 cn.append(n.astype(np.int32) if weighting == "count" else None)
             yield pa.record_batch(
-                [pa.array(keys, pa.string()), pa.array(ids, pa.int64()), pa.array(tx, pa.int64()), pa.array(sh, pa.list_(pa.int32())), pa.array(cn, pa.list_(pa.int32()))],
+                [
+                    pa.array(keys, pa.string()),
+                    pa.array(ids, pa.int64()),
+                    pa.array(tx, pa.int64()),
+                    pa.array(sh, pa.list_(pa.int32())),
+                    pa.array(cn, pa.list_(pa.int32()))
+                ],
                 names=["record", "class_id", "text_id", "shingles", "counts"],
             )
 
-    rows = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("t"), F.xxhash64(text).alias("text_id")).where("record is not null and t is not null")
+    rows = records.select(
+        F.col(key).cast("string").alias("record"), F.col(text).alias("t"), F.xxhash64(text).alias("text_id")
+    ).where("record is not null and t is not null")
     return rows.mapInArrow(run, "record string, class_id bigint, text_id bigint, shingles array<int>, counts array<int>")
 
 
@@ -164,7 +179,9 @@ def _bands(classes: DataFrame, size: int, rows: int) -> DataFrame:
                     continue
                 h = band_hashes(bagminhash(sets, size), rows)
                 n = h.shape[1]
-                yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, n))], names=["band", "class_id"])
+                yield pa.record_batch(
+                    [pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, n))], names=["band", "class_id"]
+                )
 
     return classes.mapInArrow(run, "band bigint, class_id bigint")
 
@@ -180,7 +197,9 @@ def banding(classes: int, threshold: float, rows: int = 4) -> tuple[int, int]:
     return bands * rows, rows
 
 
-def near_duplicates(records: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, weighting: str = "set", rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    records: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, weighting: str = "set", rows: int = 4
+) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has (record, class_id, text_id), links the pairs of classes with their similarity.
 
     ``weighting`` "set" compares sets of shingles, "count" multisets. A pair at similarity s is missed with
@@ -190,7 +209,9 @@ def near_duplicates(records: DataFrame, key: str, text: str, threshold: float =
     members = sign.groupBy("record").agg(F.min(F.struct("class_id", "text_id")).alias("_m")).select("record", "_m.*")
     size, rows = banding(sign.count(), threshold, rows)
     # one exchange by class serves the bands and both sides of the verification
-    classes = sign.groupBy("class_id").agg(F.min("shingles").alias("shingles"), *[F.min("counts").alias("counts")] * (weighting == "count"))
+    classes = sign.groupBy("class_id").agg(
+        F.min("shingles").alias("shingles"), *[F.min("counts").alias("counts")] * (weighting == "count")
+    )
     if weighting != "count":
         classes = classes.withColumn("counts", F.lit(None).cast("array<int>"))
     bands = _bands(classes, size, rows)
@@ -201,7 +222,11 @@ def near_duplicates(records: DataFrame, key: str, text: str, threshold: float =
     both = pairs.join(left, "a").join(right, "b")
     if weighting == "count":
         m = F.map_from_arrays("sb", "cb")
-        shared = F.aggregate(F.arrays_zip("sa", "ca"), F.lit(0), lambda t, x: t + F.least(x["ca"], F.coalesce(F.try_element_at(m, x["sa"]), F.lit(0))))
+        shared = F.aggregate(
+            F.arrays_zip("sa", "ca"),
+            F.lit(0),
+            lambda t, x: t + F.least(x["ca"], F.coalesce(F.try_element_at(m, x["sa"]), F.lit(0)))
+        )
         na, nb = (F.aggregate(c, F.lit(0), lambda t, x: t + x) for c in ("ca", "cb"))
     else:
         shared, na, nb = F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")

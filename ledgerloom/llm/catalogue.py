@@ -27,7 +27,9 @@ def p1_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> tuple:
-    return table(spark, d, "rag_example"), "sample_id", "question", ("answer", "generated_answer"), table(spark, d, "documents").select("text", "lang")
+    return table(spark, d, "rag_example"), "sample_id", "question", (
+        "answer", "generated_answer"
+    ), table(spark, d, "documents").select("text", "lang")
 
 
 def _answer_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +39,9 @@ def _answer_labels(spark: SparkSession, d: str) -> DataFrame:
 def p1_prose(spark: SparkSession, d: str) -> DataFrame:
     """Copies among the passages that have no mark of a field list."""
     prose = fc.passages(table(spark, d, "rag_example")).where(~F.col("text").rlike("[:=>]"))
-    return fc.format_copies(prose, "chunk_id", "text").select(F.col("record").alias("chunk_id"), F.col("least").alias("same_as"), "copies")
+    return fc.format_copies(prose, "chunk_id", "text").select(
+        F.col("record").alias("chunk_id"), F.col("least").alias("same_as"), "copies"
+    )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +51,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every label kept, with its posterior: an answer may have several."""
-    return _answer_labels(spark, d).select(F.col("key").alias("sample_id"), F.col("field").alias("answer_field"), "defect", F.round("posterior", 4).alias("posterior"))
+    return _answer_labels(spark, d).select(
+        F.col("key").alias("sample_id"), F.col("field").alias("answer_field"), "defect", F.round("posterior", 4).alias("posterior")
+    )
 
 
 def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
@@ -64,15 +70,29 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_checks(spark: SparkSession, d: str) -> DataFrame:
     """Whether the pieces of each long text are within the limits, in order, and give back the text."""
-    texts = table(spark, d, "document_chunk").where("chunk_id is not null and text is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    texts = table(spark, d, "document_chunk").where(
+        "chunk_id is not null and text is not null"
+    ).groupBy("chunk_id").agg(F.max("text").alias("text"))
     pieces = splitting.split_oversized(texts, "chunk", "chunk_id", "text").withColumn("chars", F.length("text"))
-    per = pieces.groupBy(F.col("record_key").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "start_char", "text", "token_count", "chars"))).alias("p"), F.max("pieces").alias("pieces"))
+    per = pieces.groupBy(F.col("record_key").alias("chunk_id")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "start_char", "text", "token_count", "chars"))).alias("p"),
+        F.max("pieces").alias("pieces")
+    )
     end = lambda x: x["start_char"] + x["chars"]
     given_back = F.aggregate("p", F.lit(""), lambda t, x: F.concat(F.substr(t, F.lit(1), x["start_char"]), x["text"]))
     overlaps = F.transform(F.filter("p", lambda x: x["ord"] > 0), lambda x: end(F.element_at("p", x["ord"])) - x["start_char"])
-    repeated = F.forall(F.arrays_zip(F.filter("p", lambda x: x["ord"] > 0).alias("x"), overlaps.alias("n")), lambda z: (z["n"] >= 0) & (F.size(F.filter(F.split(F.substr(z["x"]["text"], F.lit(1), z["n"]), _SPACES), lambda w: w != "")) <= 64))
+    repeated = F.forall(
+        F.arrays_zip(F.filter("p", lambda x: x["ord"] > 0).alias("x"), overlaps.alias("n")),
+        lambda z: (z["n"] >= 0) & (
+            F.size(F.filter(F.split(F.substr(z["x"]["text"], F.lit(1), z["n"]), _SPACES), lambda w: w != "")) <= 64
+        )
+    )
     return per.join(texts, "chunk_id").select(
-        "chunk_id", F.forall("p", lambda x: x["token_count"] <= 512).alias("within_limit"), (F.size("p") == F.col("pieces")).alias("all_there"), (given_back == F.col("text")).alias("gives_text_back"), repeated.alias("within_overlap")
+        "chunk_id", F.forall(
+            "p", lambda x: x["token_count"] <= 512
+        ).alias("within_limit"), (F.size("p") == F.col(
+            "pieces"
+        )).alias("all_there"), (given_back == F.col("text")).alias("gives_text_back"), repeated.alias("within_overlap")
     )
 
 
@@ -87,12 +107,16 @@ COPIES = 64
 
 
 def _near_chunks(spark: SparkSession, d: str, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
-    return bagminhash.near_duplicates(table(spark, d, "document_chunk"), "chunk_id", "text", threshold=0.5, width=3, weighting=weighting)
+    return bagminhash.near_duplicates(
+        table(spark, d, "document_chunk"), "chunk_id", "text", threshold=0.5, width=3, weighting=weighting
+    )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = _near_chunks(spark, d)
-    return classes.linked_records(members, links, COPIES, text="text_id").select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return classes.linked_records(members, links, COPIES, text="text_id").select(
+        F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b")
+    )
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +133,9 @@ def p5_multisets(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     near = quantised_search.all_neighbours(table(spark, d, "document_chunk"), "chunk_id", "embedding", k=10, floor=0.9)
-    return near.select(F.least("record", "neighbour").alias("chunk_id_a"), F.greatest("record", "neighbour").alias("chunk_id_b")).distinct()
+    return near.select(
+        F.least("record", "neighbour").alias("chunk_id_a"), F.greatest("record", "neighbour").alias("chunk_id_b")
+    ).distinct()
 
 
 def p6_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -145,19 +171,32 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     hits = leaks.find_leaks(docs, items)
     clean = leaks.remove_leaks(docs, hits).where("items_removed > 0")
     left = leaks.find_leaks(clean, items).select("doc_id").distinct().withColumn("leaks", F.lit(True))
-    return clean.join(left, "doc_id", "left").select("doc_id", F.col("items_removed").alias("items"), (F.length("text") < F.col("chars_before")).alias("shorter"), F.coalesce("leaks", F.lit(False)).alias("still_leaks"))
+    return clean.join(left, "doc_id", "left").select(
+        "doc_id",
+        F.col("items_removed").alias("items"),
+        (F.length("text") < F.col("chars_before")).alias("shorter"),
+        F.coalesce("leaks", F.lit(False)).alias("still_leaks")
+    )
 
 
 def p8_checks(spark: SparkSession, d: str) -> DataFrame:
     """Whether each source keeps its cap and, of what all sources with documents may have, comes to its share."""
     chosen, report = mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target"))
-    used = chosen.groupBy("source").agg(F.max("repeats").alias("most"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("documents"))
+    used = chosen.groupBy("source").agg(
+        F.max("repeats").alias("most"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("documents")
+    )
     live = F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share")).otherwise(0.0)).over(Window.partitionBy())
     wanted = F.when(F.col("available_tokens") > 0, F.col("target_share") / live).otherwise(0.0)
-    rows = report.withColumn("wanted", wanted).join(used.drop("documents").join(used.select("source", F.col("documents").alias("n")), "source"), "source", "left")
+    rows = report.withColumn("wanted", wanted).join(
+        used.drop("documents").join(used.select("source", F.col("documents").alias("n")), "source"), "source", "left"
+    )
     return rows.select(
-        "source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (F.col("times_over") <= F.col("max_repeats") + 1e-9).alias("within_size"),
-        (F.abs(F.col("actual_share") - F.col("wanted")) < 0.02).alias("has_share"), (F.coalesce("rows", F.lit(0)) == F.coalesce("n", F.lit(0))).alias("rows_distinct"),
+        "source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (
+            F.col("times_over") <= F.col("max_repeats") + 1e-9
+        ).alias("within_size"),
+        (F.abs(F.col("actual_share") - F.col("wanted")) < 0.02).alias("has_share"), (
+            F.coalesce("rows", F.lit(0)) == F.coalesce("n", F.lit(0))
+        ).alias("rows_distinct"),
     )
 
 
@@ -173,7 +212,9 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     texts = shared_spans.text_classes(table(spark, d, "documents"), "doc_id", "text", 300)
     least = texts.groupBy("class_id").agg(F.min("record").alias("doc_id"))
     spans = shared_spans.shared_spans(texts)
-    out = spans.join(least.select(F.col("class_id").alias("a"), F.col("doc_id").alias("doc_id_a")), "a").join(least.select(F.col("class_id").alias("b"), F.col("doc_id").alias("doc_id_b")), "b")
+    out = spans.join(least.select(F.col("class_id").alias("a"), F.col("doc_id").alias("doc_id_a")), "a").join(
+        least.select(F.col("class_id").alias("b"), F.col("doc_id").alias("doc_id_b")), "b"
+    )
     return out.select("doc_id_a", "doc_id_b", "chain", "start_a", "start_b", "length", F.round("identity", 4).alias("identity"))
 
 

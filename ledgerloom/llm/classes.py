@@ -14,13 +14,19 @@ def linked_records(members: DataFrame, links: DataFrame, expand: int, text: str
     one, and stands for the text in its pairs with other texts of its class and of linked classes. ``class_report`` has
     all members of every class, so nothing is lost.
     """
-    copies = members.groupBy("class_id", F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("least"))
+    copies = members.groupBy("class_id", F.col(text).alias("text")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("record").alias("least")
+    )
     every = members.select("class_id", F.col(text).alias("text"), "record").join(copies, ["class_id", "text"])
-    star = every.where((F.col("n") > expand) & (F.col("record") > F.col("least"))).select(F.col("least").alias("a"), F.col("record").alias("b"))
+    star = every.where((F.col("n") > expand) & (F.col("record") > F.col("least"))).select(
+        F.col("least").alias("a"), F.col("record").alias("b")
+    )
     ends = every.where((F.col("n") <= expand) | (F.col("record") == F.col("least"))).select("class_id", "record")
     several = members.groupBy("class_id").count().where("count > 1").select("class_id")
     inside = ends.join(several, "class_id")
-    full = inside.alias("x").join(inside.alias("y"), "class_id").where("x.record < y.record").select(F.col("x.record").alias("a"), F.col("y.record").alias("b"))
+    full = inside.alias("x").join(inside.alias("y"), "class_id").where("x.record < y.record").select(
+        F.col("x.record").alias("a"), F.col("y.record").alias("b")
+    )
     across = (
         links.join(ends.select(F.col("class_id").alias("a"), F.col("record").alias("ra")), "a")
         .join(ends.select(F.col("class_id").alias("b"), F.col("record").alias("rb")), "b")
@@ -34,4 +40,6 @@ def class_report(members: DataFrame, links: DataFrame) -> DataFrame:
     the number of classes linked to it."""
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     sizes = members.groupBy("class_id").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return members.select("record", "class_id").join(sizes, "class_id").join(ends, "class_id", "left").select("record", "first", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.select("record", "class_id").join(sizes, "class_id").join(ends, "class_id", "left").select(
+        "record", "first", "class_size", F.coalesce("links", F.lit(0)).alias("links")
+    )

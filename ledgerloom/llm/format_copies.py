@@ -166,8 +166,14 @@ def _radix_buckets(df: DataFrame, bucket_rows: int) -> DataFrame:
     depth, levels, rest = 4, [], df.select("canon")
     while True:
         prefix = F.expr(f"substring(canon, 1, {depth})").alias("_p")
-        sizes = rest.groupBy(prefix).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("canon")).alias("longest")).where(F.col("n") > bucket_rows)
-        big = checkpointed(sizes.select("_p", F.when(F.col("longest") <= depth, F.ceil(F.col("n") / bucket_rows)).otherwise(0).cast("int").alias("_s")))
+        sizes = rest.groupBy(prefix).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.length("canon")).alias("longest")
+        ).where(F.col("n") > bucket_rows)
+        big = checkpointed(
+            sizes.select(
+                "_p", F.when(F.col("longest") <= depth, F.ceil(F.col("n") / bucket_rows)).otherwise(0).cast("int").alias("_s")
+            )
+        )
         many = big.count()
         if not many:
             break
@@ -178,7 +184,11 @@ def _radix_buckets(df: DataFrame, bucket_rows: int) -> DataFrame:
     out = df.withColumn("bucket", F.expr("substring(canon, 1, 4)")).withColumn("salts", F.lit(0))
     for d, big in levels:
         hit = out.join(big, F.expr(f"substring(canon, 1, {d}) = _p"), "left")
-        out = hit.withColumn("bucket", F.when(F.col("_s") == 0, F.expr(f"substring(canon, 1, {d * 3})")).otherwise(F.col("bucket"))).withColumn("salts", F.coalesce(F.nullif("_s", F.lit(0)), "salts")).drop("_p", "_s")
+        out = hit.withColumn(
+            "bucket", F.when(F.col("_s") == 0, F.expr(f"substring(canon, 1, {d * 3})")).otherwise(F.col("bucket"))
+        ).withColumn(
+            "salts", F.coalesce(F.nullif("_s", F.lit(0)), "salts")
+        ).drop("_p", "_s")
     salt = F.when(F.col("salts") > 0, F.pmod(F.xxhash64("record"), F.col("salts"))).otherwise(0)
     return out.withColumn("salt", salt.cast("int")).withColumn("salted", F.col("salts") > 0).drop("salts")
 
@@ -210,7 +220,9 @@ def _count_in_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def format_copies(records: DataFrame, key: str, text: str, bucket_rows: int = 50_000) -> DataFrame:
     """One row per record and class: (record, digest, least, copies): the class, its least key and its number of records."""
-    base = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("text")).where("record is not null and text is not null")
+    base = records.select(F.col(key).cast("string").alias("record"), F.col(text).alias("text")).where(
+        "record is not null and text is not null"
+    )
     canon = checkpointed(base.select("record", canonical_udf("text").alias("canon")).distinct())
     buckets = _radix_buckets(canon, bucket_rows)
     width = shuffle_width(records.sparkSession)
@@ -223,7 +235,9 @@ def format_copies(records: DataFrame, key: str, text: str, bucket_rows: int = 50
         return counted.select("record", "digest", "least", "copies")
     counted = checkpointed(counted)
     # one row per salt of a class: at most twice rows / bucket_rows in all
-    merged = counted.where("salted and terminal").groupBy("digest").agg(F.min("least").alias("least"), F.sum("copies").alias("copies"))
+    merged = counted.where("salted and terminal").groupBy("digest").agg(
+        F.min("least").alias("least"), F.sum("copies").alias("copies")
+    )
     parts = counted.where("salted").select("record", "digest").join(merged, "digest").select("record", "digest", "least", "copies")
     return counted.where(~F.col("salted")).select("record", "digest", "least", "copies").unionByName(parts)
 

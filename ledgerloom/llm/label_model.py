@@ -9,7 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit_posteriors(patterns: list[str], counts: list[int], rounds: int = 100, prior: float = 0.1, floor: float = 0.001) -> dict[str, float]:
+def fit_posteriors(
+    patterns: list[str], counts: list[int], rounds: int = 100, prior: float = 0.1, floor: float = 0.001
+) -> dict[str, float]:
     """Posterior of the defect for each pattern (one character a function: '1', '0' or '-').
 
     Each class has a rate of either vote and of abstaining, re-estimated from the posteriors. A vote is weighed by its
@@ -55,7 +57,14 @@ def best_cutoff(found: list[tuple[float, bool]], grid: int = 20) -> tuple[float,
     for i in range(1, grid):
         kept = posterior > i / grid
         both = float((kept & truth).sum())
-        rows.append((2 * both / max(1.0, kept.sum() + truth.sum()), i / grid, both / max(1.0, float(kept.sum())), both / max(1.0, float(truth.sum()))))
+        rows.append(
+            (
+                2 * both / max(1.0, kept.sum() + truth.sum()),
+                i / grid,
+                both / max(1.0, float(kept.sum())),
+                both / max(1.0, float(truth.sum()))
+            )
+        )
     top = max(r[0] for r in rows)
     best = [r for r in rows if r[0] == top]
     return best[len(best) // 2][1:]

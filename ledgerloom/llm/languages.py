@@ -67,15 +67,26 @@ class Languages:
         return self._clear(a), self._clear(b), self._clear(a + b)
 
 
-def learn_languages(samples: DataFrame | None, more: list[str] | None = None, text: str = "text", lang: str = "lang", per_language: int = 1000, least: int = 20) -> Languages:
+def learn_languages(
+    samples: DataFrame | None,
+    more: list[str] | None = None,
+    text: str = "text",
+    lang: str = "lang",
+    per_language: int = 1000,
+    least: int = 20
+) -> Languages:
     """Profiles from labelled texts, and from the texts of ``more`` whose language those tell by letters and by both."""
     if samples is None:
         return Languages([])
-    rows = samples.select(F.col(text).alias("t"), F.lower(F.substring(F.trim(lang), 1, 2)).alias("l")).where("t is not null and length(l) = 2")
+    rows = samples.select(
+        F.col(text).alias("t"), F.lower(F.substring(F.trim(lang), 1, 2)).alias("l")
+    ).where("t is not null and length(l) = 2")
     sizes = {r.l: r["count"] for r in rows.groupBy("l").count().where(F.col("count") >= least).collect()}  # at most 36 ** 2 labels
     if not sizes:
         return Languages([])
-    keep = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, max(1, n // per_language))]), F.col("l"))
+    keep = F.element_at(
+        F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, max(1, n // per_language))]), F.col("l")
+    )
     some = rows.where(F.col("l").isin(*sizes)).where(F.pmod(F.xxhash64("t"), keep) == 0)
     told = [(r.t, r.l) for r in some.limit(2 * per_language * len(sizes)).collect()]
     first = Languages(told)

@@ -75,7 +75,9 @@ class GramIndex:
 
 
 def item_texts(items: DataFrame, item_id: str, fields: list[str]) -> DataFrame:
-    return items.select(F.col(item_id).alias("item_id"), F.explode(F.array(*fields)).alias("t")).where("item_id is not null and t is not null").distinct()
+    return items.select(F.col(item_id).alias("item_id"), F.explode(F.array(*fields)).alias("t")).where(
+        "item_id is not null and t is not null"
+    ).distinct()
 
 
 def _spans(texts: list[str], runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -87,7 +89,16 @@ def _spans(texts: list[str], runs: list[tuple[int, int, int, int]]) -> list[tupl
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("question", "passage"), n: int = 12, broadcast_grams: int = 2_000_000) -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    fields: tuple[str, ...] = ("question", "passage"),
+    n: int = 12,
+    broadcast_grams: int = 2_000_000
+) -> DataFrame:
     """One row per maximal run of leaked words: document, item, word and character span."""
     texts = item_texts(items, item_id, list(fields))
     size = texts.select(F.sum(F.length("t")).alias("c")).first().c or 0
@@ -119,7 +130,9 @@ def _grams(rows: DataFrame, key: str, text: str, n: int, words: bool) -> DataFra
                     out = pd.DataFrame({key: k, "h": h, "at": np.arange(len(h), dtype=np.int32)})
                     yield out.assign(gram=[" ".join(w[i : i + n]) for i in range(len(h))]) if words else out
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {_kind(rows, key)}, h bigint, at int" + (", gram string" if words else ""))
+    return rows.select(key, text).mapInPandas(
+        run, f"{key} {_kind(rows, key)}, h bigint, at int" + (", gram string" if words else "")
+    )
 
 
 def _find_by_join(base: DataFrame, texts: DataFrame, n: int, schema: str) -> DataFrame:
@@ -151,14 +164,26 @@ def _find_by_join(base: DataFrame, texts: DataFrame, n: int, schema: str) -> Dat
 
 def remove_leaks(docs: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the leaked spans cut out, and how many characters and items that were."""
-    spans = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("spans"), F.count_distinct("item_id").alias("items"))
+    spans = hits.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("spans"), F.count_distinct("item_id").alias("items")
+    )
     merged = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
         lambda acc, s: F.when(s["end_char"] <= acc["at"], acc).otherwise(
-            F.struct(F.concat(acc["kept"], F.substring(F.col("_t"), acc["at"] + 1, F.greatest(s["start_char"] - acc["at"], F.lit(0)))).alias("kept"), s["end_char"].alias("at"))
+            F.struct(
+                F.concat(
+                    acc["kept"], F.substring(F.col("_t"), acc["at"] + 1, F.greatest(s["start_char"] - acc["at"], F.lit(0)))
+                ).alias("kept"),
+                s["end_char"].alias("at")
+            )
         ),
         lambda acc: F.concat(acc["kept"], F.substring(F.col("_t"), acc["at"] + 1, F.length("_t"))),
     )
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).join(spans, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("_t")).otherwise(merged).alias("text"), F.coalesce("items", F.lit(0)).alias("items_removed"), F.length("_t").alias("chars_before"))
+    return joined.select(
+        "doc_id",
+        F.when(F.col("spans").isNull(), F.col("_t")).otherwise(merged).alias("text"),
+        F.coalesce("items", F.lit(0)).alias("items_removed"),
+        F.length("_t").alias("chars_before")
+    )

@@ -52,11 +52,16 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
         encode = make_tokenizer(sent.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("source"), b.column("text_key"), pa.array(n, pa.int64())], names=["doc_id", "source", "text_key", "tokens"])
+            yield pa.record_batch(
+                [b.column("doc_id"), b.column("source"), b.column("text_key"), pa.array(n, pa.int64())],
+                names=["doc_id", "source", "text_key", "tokens"]
+            )
 
     live = docs.where("text is not null and source is not null and doc_id is not null").where(F.length(F.trim("text")) > 0)
     rows = live.select("doc_id", "source", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, text_key bigint, tokens bigint")
+    return rows.mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, text_key bigint, tokens bigint"
+    )
 
 
 class Flow:
@@ -103,7 +108,9 @@ class Flow:
             total += push
 
 
-def route(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int], total: int) -> tuple[dict[tuple[tuple[str, ...], str], int], int]:
+def route(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int], total: int) -> tuple[
+    dict[tuple[tuple[str, ...], str], int], int
+]:
     """Tokens that each source takes of each pattern for a mix of ``total`` tokens, and how many were placed."""
     flow, sources = Flow(), sorted(shares)
     node = {s: 2 + i for i, s in enumerate(sources)}
@@ -134,23 +141,50 @@ def largest_total(patterns: dict[tuple[str, ...], int], shares: dict[str, float]
     return low
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, tokenizer: str = f"{TOKENIZERS}/{VOCABULARY}", order_bits: int = 12) -> tuple[DataFrame, DataFrame]:
+def mix_sources(
+    docs: DataFrame,
+    targets: DataFrame,
+    seed: int = 17,
+    total_tokens: int | None = None,
+    tokenizer: str = f"{TOKENIZERS}/{VOCABULARY}",
+    order_bits: int = 12
+) -> tuple[DataFrame, DataFrame]:
     """(chosen, report): chosen has (doc_id, source, tokens, repeats), report each source's target and real share.
 
     Without ``total_tokens`` the mix is the largest in which every source that has documents gets its share (scaled, if
     targets have no documents). With a larger total the caps hold and the report shows what is short.
     """
     spark = docs.sparkSession
-    goal = [r for r in targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).collect() if r.source is not None]
-    goals = spark.createDataFrame([(r.source, float(r.target_share or 0), int(r.max_repeats or 0)) for r in goal], "source string, target_share double, max_repeats int")
+    goal = [
+        r
+        for r in targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).collect()
+        if r.source is not None
+    ]
+    goals = spark.createDataFrame(
+        [(r.source, float(r.target_share or 0), int(r.max_repeats or 0)) for r in goal],
+        "source string, target_share double, max_repeats int"
+    )
     counted = count_tokens(docs.join(F.broadcast(goals.select("source")), "source", "left_semi"), tokenizer)
     own = counted.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
-    texts = checkpointed(own.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("tokens").alias("tokens")))
-    texts = texts.withColumn("pattern", F.array_join("members.source", "\u0000")).withColumn("h", F.xxhash64("text_key", F.lit(seed)))
+    texts = checkpointed(
+        own.groupBy("text_key").agg(
+            F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("tokens").alias("tokens")
+        )
+    )
+    texts = texts.withColumn("pattern", F.array_join("members.source", "\u0000")).withColumn(
+        "h", F.xxhash64("text_key", F.lit(seed))
+    )
     texts = texts.withColumn("bucket", F.shiftrightunsigned("h", 64 - order_bits))
-    patterns = {tuple(r.pattern.split("\u0000")): int(r.n) for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).where("n > 0").collect()}
+    patterns = {
+        tuple(r.pattern.split("\u0000")): int(r.n)
+        for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).where("n > 0").collect()
+    }
     have = {s for p in patterns for s in p}
-    raw = {r.source: float(r.target_share) for r in goal if r.target_share and r.target_share > 0 and (r.max_repeats or 0) > 0 and r.source in have}
+    raw = {
+        r.source: float(r.target_share)
+        for r in goal
+        if r.target_share and r.target_share > 0 and (r.max_repeats or 0) > 0 and r.source in have
+    }
     shares = {s: w / sum(raw.values()) for s, w in raw.items()}
     repeats = {r.source: int(r.max_repeats or 0) for r in goal}
     total = largest_total(patterns, shares, repeats) if total_tokens is None else total_tokens
@@ -165,15 +199,26 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 17, total_token
     sums = texts.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("pattern", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    inside = F.sum("tokens").over(Window.partitionBy("pattern", "bucket").orderBy("h", "text_key").rowsBetween(Window.unboundedPreceding, -1))
-    placed = texts.withColumn("inner", F.coalesce(inside, F.lit(0))).join(sums, ["pattern", "bucket"]).withColumn("place", F.col("base") + F.col("inner"))
+    inside = F.sum("tokens").over(
+        Window.partitionBy("pattern", "bucket").orderBy("h", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = texts.withColumn("inner", F.coalesce(inside, F.lit(0))).join(sums, ["pattern", "bucket"]).withColumn(
+        "place", F.col("base") + F.col("inner")
+    )
     used = placed.join(F.broadcast(arcs), "pattern")
     laps = F.expr("ceil((arc_end - place) / double(round)) - ceil((arc_start - place) / double(round))").cast("int")
     doc = F.filter("members", lambda m: m["source"] == F.col("source"))[0]["doc_id"]
     chosen = used.select(doc.alias("doc_id"), "source", "tokens", laps.alias("repeats")).where("repeats > 0")
     size = {s: sum(n for p, n in patterns.items() if s in p) for s in have}
-    known = spark.createDataFrame([(r.source, float(r.target_share or 0), int(r.max_repeats or 0), size.get(r.source, 0)) for r in goal], "source string, target_share double, max_repeats int, available_tokens bigint")
-    spent = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
+    known = spark.createDataFrame(
+        [(r.source, float(r.target_share or 0), int(r.max_repeats or 0), size.get(r.source, 0)) for r in goal],
+        "source string, target_share double, max_repeats int, available_tokens bigint"
+    )
+    spent = chosen.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"),
+        F.count(F.lit(1)).alias("documents"),
+        F.max("repeats").alias("most_repeats")
+    )
     everything = F.sum("used_tokens").over(Window.partitionBy())  # one row a source
     report = known.join(spent, "source", "left").na.fill(0, ["used_tokens", "documents", "most_repeats"])
     report = report.withColumn("actual_share", F.coalesce(F.try_divide("used_tokens", everything), F.lit(0.0)))

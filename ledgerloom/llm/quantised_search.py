@@ -89,7 +89,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
     return c.astype(np.float32)
 
 
-def fit_quantiser(sample: np.ndarray, lists: int, width: int = 4, threshold: float = 0.2, rounds: int = 6, seed: int = 7) -> Quantiser:
+def fit_quantiser(
+    sample: np.ndarray, lists: int, width: int = 4, threshold: float = 0.2, rounds: int = 6, seed: int = 7
+) -> Quantiser:
     """Coarse centroids and anisotropic codebooks from unit vectors; ``threshold`` is the score from which errors matter."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
@@ -97,7 +99,16 @@ def fit_quantiser(sample: np.ndarray, lists: int, width: int = 4, threshold: flo
     centroids = _kmeans(sample, min(lists, len(sample)), 8, rng, True)
     part = sample[rng.permutation(len(sample))[:10_000]]
     m = dim // width
-    books = np.stack([_kmeans(np.ascontiguousarray(part[:, j * width : (j + 1) * width]), CODES, 8, rng, False) if len(part) >= CODES else np.resize(part[:, j * width : (j + 1) * width], (CODES, width)) for j in range(m)])
+    books = np.stack(
+        [
+            _kmeans(
+                np.ascontiguousarray(part[:, j * width : (j + 1) * width]), CODES, 8, rng, False
+            ) if len(part) >= CODES else np.resize(
+                part[:, j * width : (j + 1) * width], (CODES, width)
+            )
+            for j in range(m)
+        ]
+    )
     q = Quantiser(centroids, books.astype(np.float32), max(1.0, eta))
     parts = part.reshape(len(part), m, width)
     for _ in range(rounds if len(part) >= CODES else 0):
@@ -135,8 +146,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """(record, v): finite, non-zero vectors of the right length."""
     v = F.col("v")
-    ok = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(key).cast("string").alias("record"), F.col(vector).cast("array<float>").alias("v")).where("record is not null and v is not null").where(ok)
+    ok = (F.size(v) == dim) & F.forall(
+        v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    ) & F.exists(v, lambda x: x != 0)
+    return vectors.select(
+        F.col(key).cast("string").alias("record"), F.col(vector).cast("array<float>").alias("v")
+    ).where("record is not null and v is not null").where(ok)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -156,7 +171,17 @@ def _nearest_lists(x: np.ndarray, centroids: np.ndarray, spread: int) -> np.ndar
     return np.argpartition(-score, s - 1, axis=1)[:, :s]
 
 
-def _rerank(q: Quantiser, xq: np.ndarray, idq: np.ndarray, xd: np.ndarray, idd: np.ndarray, codes: np.ndarray, k: int, floor: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rerank(
+    q: Quantiser,
+    xq: np.ndarray,
+    idq: np.ndarray,
+    xd: np.ndarray,
+    idd: np.ndarray,
+    codes: np.ndarray,
+    k: int,
+    floor: float,
+    keep: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best k of the data for each query: table scan, then exact products of the ``keep`` best."""
     out = []
     for at in range(0, len(xq), 512):
@@ -171,14 +196,18 @@ def _rerank(q: Quantiser, xq: np.ndarray, idq: np.ndarray, xd: np.ndarray, idd:
             near, exact = np.take_along_axis(near, best, 1), np.take_along_axis(exact, best, 1)
         r, c = np.nonzero(exact >= floor)
         out.append((ids[r], idd[near[r, c]], exact[r, c]))
-    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (
+        np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    )
 
 
 FOUND = "q bigint, n bigint, sim float"
 
 
 def _pairs_batch(q: np.ndarray, n: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(q, pa.int64()), pa.array(n, pa.int64()), pa.array(sim.astype(np.float32), pa.float32())], names=["q", "n", "sim"])
+    return pa.record_batch(
+        [pa.array(q, pa.int64()), pa.array(n, pa.int64()), pa.array(sim.astype(np.float32), pa.float32())], names=["q", "n", "sim"]
+    )
 
 
 SUB_SAMPLE, SUB_SPREAD = 4096, 2
@@ -188,7 +217,11 @@ PLACED = "list bigint, block int, role int, vid bigint, x binary, codes binary"
 def _binary(x: np.ndarray) -> pa.Array:
     """The rows of a matrix as binary values."""
     width = x.shape[1] * x.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+    return pa.Array.from_buffers(
+        pa.large_binary(),
+        len(x),
+        [None, pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x).tobytes())]
+    ).cast(pa.binary())
 
 
 def _rows(column: pa.Array, dtype: type) -> np.ndarray:
@@ -208,7 +241,9 @@ def _spread(x: np.ndarray, role: np.ndarray, centroids: np.ndarray, spread: int,
     return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _placed(q: Quantiser, x: np.ndarray, vid: np.ndarray, role: np.ndarray, rows: np.ndarray, lists: np.ndarray, blocks: np.ndarray) -> pa.RecordBatch:
+def _placed(
+    q: Quantiser, x: np.ndarray, vid: np.ndarray, role: np.ndarray, rows: np.ndarray, lists: np.ndarray, blocks: np.ndarray
+) -> pa.RecordBatch:
     """A row a list; where the list has blocks, a held vector is in one of them and queries the others."""
     own = (vid[rows].view(np.uint64) >> np.uint64(7)) % blocks.astype(np.uint64)
     if (blocks > 1).any():
@@ -220,11 +255,20 @@ def _placed(q: Quantiser, x: np.ndarray, vid: np.ndarray, role: np.ndarray, rows
         block, kind = own, role[rows]
     codes = q.encode(x)
     packed = codes[:, ::2] << 4 | codes[:, 1::2]
-    columns = [pa.array(lists, pa.int64()), pa.array(block.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(vid[rows]), _binary(x[rows]), _binary(packed[rows])]
+    columns = [
+        pa.array(lists, pa.int64()),
+        pa.array(block.astype(np.int32)),
+        pa.array(kind.astype(np.int32)),
+        pa.array(vid[rows]),
+        _binary(x[rows]),
+        _binary(packed[rows])
+    ]
     return pa.record_batch(columns, names=[c.split()[0] for c in PLACED.split(", ")])
 
 
-def list_rows_of(found: DataFrame, dim: int, quantiser: Quantiser, spread: int, probe: int, list_rows: int, list_limit: int) -> DataFrame:
+def list_rows_of(
+    found: DataFrame, dim: int, quantiser: Quantiser, spread: int, probe: int, list_rows: int, list_limit: int
+) -> DataFrame:
     """PLACED rows of the vectors (role, vid, v): role 0 is held and queried, role 1 only queries."""
     spark = found.sparkSession
     sent = spark.sparkContext.broadcast(quantiser)
@@ -235,7 +279,9 @@ def list_rows_of(found: DataFrame, dim: int, quantiser: Quantiser, spread: int,
                 ids, n = np.unique(_nearest_lists(_matrix(b.column("v"), dim), sent.value.centroids, spread), return_counts=True)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["list", "n"])
 
-    sizes = found.where("role = 0").select("v").mapInArrow(lists_of, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n"))
+    sizes = found.where("role = 0").select("v").mapInArrow(
+        lists_of, "list bigint, n bigint"
+    ).groupBy("list").agg(F.sum("n").alias("n"))
     large = {r.list: r.n for r in sizes.where(F.col("n") > list_limit).collect()}  # at most as many as centroids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +317,16 @@ def list_rows_of(found: DataFrame, dim: int, quantiser: Quantiser, spread: int,
             if sample:
                 mine = (role[rows] == 0) & (salt % every[at] == 0)
                 rows, lists, at, salt = rows[mine], lists[mine], at[mine], salt[mine]
-            yield pa.record_batch([pa.array(lists, pa.int64()), pa.array((salt % many[at]).astype(np.int32)), pa.array(role[rows].astype(np.int32)), pa.array(vid[rows]), _binary(x[rows])], names=["list", "part", "role", "vid", "x"])
+            yield pa.record_batch(
+                [
+                    pa.array(lists, pa.int64()),
+                    pa.array((salt % many[at]).astype(np.int32)),
+                    pa.array(role[rows].astype(np.int32)),
+                    pa.array(vid[rows]),
+                    _binary(x[rows])
+                ],
+                names=["list", "part", "role", "vid", "x"]
+            )
 
     def fit(table: pa.Table) -> pa.Table:
         """Centroids of one list from its sample, as a row of role -1 for each of its parts."""
@@ -281,7 +336,15 @@ def list_rows_of(found: DataFrame, dim: int, quantiser: Quantiser, spread: int,
         k = max(1, min(wanted[c], len(x) // 8))
         blob = _kmeans(x, k, 8, np.random.default_rng(c), True).tobytes()
         n = parts[c]
-        return pa.table({"list": pa.array([c] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "role": pa.array([-1] * n, pa.int32()), "vid": pa.array([0] * n, pa.int64()), "x": pa.array([blob] * n, pa.binary())})
+        return pa.table(
+            {
+                "list": pa.array([c] * n, pa.int64()),
+                "part": pa.array(range(n), pa.int32()),
+                "role": pa.array([-1] * n, pa.int32()),
+                "vid": pa.array([0] * n, pa.int64()),
+                "x": pa.array([blob] * n, pa.binary())
+            }
+        )
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by list, part and role: first the list's centroids, then its vectors."""
@@ -301,11 +364,25 @@ def list_rows_of(found: DataFrame, dim: int, quantiser: Quantiser, spread: int,
 
     centroids = found.where("role = 0").mapInArrow(lambda it: within(it, True), middle).groupBy("list").applyInArrow(fit, middle)
     spread_out = found.mapInArrow(lambda it: within(it, False), middle).unionByName(centroids)
-    deeper = spread_out.repartition(shuffle_width(spark), "list", "part").sortWithinPartitions("list", "part", "role").mapInArrow(again, PLACED)
+    deeper = spread_out.repartition(
+        shuffle_width(spark), "list", "part"
+    ).sortWithinPartitions("list", "part", "role").mapInArrow(again, PLACED)
     return placed.unionByName(deeper)
 
 
-def _neighbours(found: DataFrame, dim: int, k: int, floor: float, spread: int, probe: int, list_rows: int, sample_rows: int, list_limit: int, keep: int, mutual: bool) -> DataFrame | None:
+def _neighbours(
+    found: DataFrame,
+    dim: int,
+    k: int,
+    floor: float,
+    spread: int,
+    probe: int,
+    list_rows: int,
+    sample_rows: int,
+    list_limit: int,
+    keep: int,
+    mutual: bool
+) -> DataFrame | None:
     """(q, n, sim): the k best held vectors for each vector of role 1, or with ``mutual`` for each held one; None without any."""
     spark = found.sparkSession
     held = found.where("role = 0")
@@ -350,25 +427,54 @@ def _neighbours(found: DataFrame, dim: int, k: int, floor: float, spread: int, p
             yield _pairs_batch(*_rerank(shared.value, xs, v, xs, v, cs, k, floor, keep))
 
     placed = list_rows_of(found, dim, quantiser, spread, probe, list_rows, list_limit)
-    met = placed.repartition(shuffle_width(spark), "list", "block").sortWithinPartitions("list", "block", "role").mapInArrow(meet, FOUND)
+    met = placed.repartition(
+        shuffle_width(spark), "list", "block"
+    ).sortWithinPartitions("list", "block", "role").mapInArrow(meet, FOUND)
     return met.groupBy("q", "n").agg(F.max("sim").alias("sim"))
 
 
 RESULT = "record string, neighbour string, similarity double, rank int"
 
 
-def all_neighbours(vectors: DataFrame, key: str, vector: str, dim: int = 64, k: int = 10, floor: float = 0.9, spread: int = 3, list_rows: int = 300, sample_rows: int = 20_000, list_limit: int = 20_000, keep: int = 24) -> DataFrame:
+def all_neighbours(
+    vectors: DataFrame,
+    key: str,
+    vector: str,
+    dim: int = 64,
+    k: int = 10,
+    floor: float = 0.9,
+    spread: int = 3,
+    list_rows: int = 300,
+    sample_rows: int = 20_000,
+    list_limit: int = 20_000,
+    keep: int = 24
+) -> DataFrame:
     """(record, neighbour, similarity, rank): up to k neighbours of similarity at least ``floor`` of every usable vector."""
     rows = usable(vectors, key, vector, dim)
     members = checkpointed(_classes(rows))
-    distinct = rows.select(F.lit(0).alias("role"), F.xxhash64("v").alias("vid"), "v").groupBy("role", "vid").agg(F.min("v").alias("v"))
+    distinct = rows.select(
+        F.lit(0).alias("role"), F.xxhash64("v").alias("vid"), "v"
+    ).groupBy("role", "vid").agg(F.min("v").alias("v"))
     pairs = _neighbours(distinct, dim, k, floor, spread, spread, list_rows, sample_rows, list_limit, keep, True)
     if pairs is None:
         return vectors.sparkSession.createDataFrame([], RESULT)
     return _written_out(members, members, pairs, k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, dim: int = 64, k: int = 10, spread: int = 1, probe: int = 64, list_rows: int = 300, sample_rows: int = 20_000, list_limit: int = 20_000, keep: int = 160) -> DataFrame:
+def search(
+    vectors: DataFrame,
+    queries: DataFrame,
+    key: str,
+    vector: str,
+    dim: int = 64,
+    k: int = 10,
+    spread: int = 1,
+    probe: int = 64,
+    list_rows: int = 300,
+    sample_rows: int = 20_000,
+    list_limit: int = 20_000,
+    keep: int = 160
+) -> DataFrame:
     """(record, neighbour, similarity, rank): the k nearest of all vectors for each of a stated query set.
 
     A vector is in ``spread`` lists and a query looks into the ``probe`` nearest ones; recall is that of random vectors at
@@ -376,8 +482,22 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, dim: i
     """
     data, asked = usable(vectors, key, vector, dim), usable(queries, key, vector, dim)
     members, askers = checkpointed(_classes(data)), checkpointed(_classes(asked))
-    both = data.select(F.lit(0).alias("role"), "v").unionByName(asked.select(F.lit(1).alias("role"), "v")).withColumn("vid", F.xxhash64("v"))
-    pairs = _neighbours(both.groupBy("role", "vid").agg(F.min("v").alias("v")), dim, k, -2.0, spread, probe, list_rows, sample_rows, list_limit, keep, False)
+    both = data.select(F.lit(0).alias("role"), "v").unionByName(
+        asked.select(F.lit(1).alias("role"), "v")
+    ).withColumn("vid", F.xxhash64("v"))
+    pairs = _neighbours(
+        both.groupBy("role", "vid").agg(F.min("v").alias("v")),
+        dim,
+        k,
+        -2.0,
+        spread,
+        probe,
+        list_rows,
+        sample_rows,
+        list_limit,
+        keep,
+        False
+    )
     if pairs is None:
         return vectors.sparkSession.createDataFrame([], RESULT)
     return _written_out(members, askers, pairs, k)
@@ -388,8 +508,14 @@ def _written_out(members: DataFrame, askers: DataFrame, pairs: DataFrame, k: int
     first = Window.partitionBy("vid").orderBy("record")
     least = members.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1)
     best = pairs.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))).where(F.col("i") <= k)
-    near = best.join(least.select(F.col("vid").alias("n"), F.col("record").alias("neighbour")), "n").select(F.col("q").alias("vid"), "neighbour", "sim")
-    twins = least.groupBy("vid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(least, "vid").select("vid", F.col("record").alias("neighbour"), F.lit(1.0).cast("float").alias("sim"))
+    near = best.join(least.select(F.col("vid").alias("n"), F.col("record").alias("neighbour")), "n").select(
+        F.col("q").alias("vid"), "neighbour", "sim"
+    )
+    twins = least.groupBy("vid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(least, "vid").select(
+        "vid", F.col("record").alias("neighbour"), F.lit(1.0).cast("float").alias("sim")
+    )
     every = near.unionByName(twins).join(askers, "vid").where("neighbour <> record")
     rank = F.row_number().over(Window.partitionBy("record").orderBy(F.desc("sim"), "neighbour"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("record", "neighbour", F.col("sim").cast("double").alias("similarity"), "rank")
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "record", "neighbour", F.col("sim").cast("double").alias("similarity"), "rank"
+    )

@@ -68,7 +68,9 @@ def winnow(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndarra
     if n < 1:
         return none, none, np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * _powers(_BASE, len(flat)), dtype=np.uint64)])
+        sums = np.concatenate(
+            [np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * _powers(_BASE, len(flat)), dtype=np.uint64)]
+        )
         h = mix((sums[k:] - sums[:-k]) * _powers(_BACK, n))
     key = (h >> np.uint64(_TIE) << np.uint64(_TIE)) | (np.uint64(2**_TIE - 1) - np.arange(n, dtype=np.uint64) % np.uint64(2**_TIE))
     ends = np.cumsum(lengths)
@@ -77,14 +79,22 @@ def winnow(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndarra
     w = min(window, n)
     least = _sliding(np.minimum, key, w, 2**64 - 1)
     if len(least) >= w:
-        chosen = np.concatenate([np.maximum.accumulate(least[: w - 1]), _sliding(np.maximum, least, w, 0), np.maximum.accumulate(least[: -w : -1])[::-1]])[:n] if w > 1 else least
+        chosen = np.concatenate(
+            [
+                np.maximum.accumulate(least[: w - 1]),
+                _sliding(np.maximum, least, w, 0),
+                np.maximum.accumulate(least[: -w : -1])[::-1]
+            ]
+        )[:n] if w > 1 else least
     else:
         chosen = np.array([least[max(0, i - w + 1) : i + 1].max() for i in range(n)], dtype=np.uint64)
     at = np.flatnonzero((chosen == key) & (key != np.uint64(2**64 - 1)))
     return owner[at], at - (ends - lengths)[owner[at]], h[at]
 
 
-def collapse_runs(owner: np.ndarray, place: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def collapse_runs(owner: np.ndarray, place: np.ndarray, h: np.ndarray, k: int) -> tuple[
+    np.ndarray, np.ndarray, np.ndarray, np.ndarray
+]:
     """(text, place, hash, period): of three or more seeds of one hash in a row, evenly spaced by at most k / 2, the first
     stays with that period; others have the period 0."""
     n = len(h)
@@ -309,11 +319,28 @@ def shared_spans(classes: DataFrame, least: int = 300, k: int = 120, hot: int =
                     size += len(texts[end])
                     end += 1
                 owner, place, h, period = collapse_runs(*winnow(texts[at:end], k, window), k)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[at:end][owner], pa.int64()), pa.array(place, pa.int32()), pa.array(period, pa.int32())], names=["seed", "class_id", "place", "period"])
+                yield pa.record_batch(
+                    [
+                        pa.array(h.view(np.int64)),
+                        pa.array(ids[at:end][owner], pa.int64()),
+                        pa.array(place, pa.int32()),
+                        pa.array(period, pa.int32())
+                    ],
+                    names=["seed", "class_id", "place", "period"]
+                )
                 at = end
 
     level = classes.select("class_id", "text").mapInArrow(seeds, "seed bigint, class_id bigint, place int, period int")
-    level = level.select("seed", "class_id", "place", F.lit(k).alias("size"), "period", F.lit(0).alias("low"), F.lit(least - k).alias("high"), F.lit(False).alias("run"))
+    level = level.select(
+        "seed",
+        "class_id",
+        "place",
+        F.lit(k).alias("size"),
+        "period",
+        F.lit(0).alias("low"),
+        F.lit(least - k).alias("high"),
+        F.lit(False).alias("run")
+    )
     # copies are combined before the shuffle, so that a class of very many is a few rows in its task
     texts = classes.groupBy("class_id").agg(F.min("text").alias("text"))
     matches = None
@@ -331,14 +358,20 @@ def shared_spans(classes: DataFrame, least: int = 300, k: int = 120, hot: int =
 
         def refine(batches: Iterator[pd.DataFrame], parts=parts) -> Iterator[pd.DataFrame]:
             for df in batches:
-                rows = [(s[0], c, *s[1:]) for c, *seed in df.itertuples(index=False, name=None) for s in longer_seeds(*seed, least, parts)]
+                rows = [
+                    (s[0], c, *s[1:])
+                    for c, *seed in df.itertuples(index=False, name=None)
+                    for s in longer_seeds(*seed, least, parts)
+                ]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEEDS.split(", ")])
 
         level = rest.join(texts, "class_id").select("class_id", "text", "place", "size", "low", "high").mapInPandas(refine, SEEDS)
     pairs = checkpointed(matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j", "p", "q")).alias("anchors")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     texts = texts.join(ends, "class_id", "left_semi")
-    both = pairs.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b"
+    )
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -377,12 +410,17 @@ def shared_report(classes: DataFrame, spans: DataFrame, least: int) -> DataFrame
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("s", "e"))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")),
-        lambda t, x: F.struct((t["n"] + F.greatest(x["e"] - F.greatest(x["s"], t["at"]), F.lit(0))).alias("n"), F.greatest(x["e"], t["at"]).alias("at")),
+        lambda t, x: F.struct(
+            (t["n"] + F.greatest(x["e"] - F.greatest(x["s"], t["at"]), F.lit(0))).alias("n"),
+            F.greatest(x["e"], t["at"]).alias("at")
+        ),
         lambda t: t["n"],
     )
     per_class = sides.distinct().groupBy("class_id").agg(covered.alias("covered"), F.count(F.lit(1)).alias("spans"))
     rows = classes.select("record", "class_id", F.length("text").alias("chars")).distinct()
     copies = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
     return rows.join(copies, "class_id").join(per_class, "class_id", "left").select(
-        "record", "chars", F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared_chars"), F.coalesce("spans", F.lit(0)).alias("spans"), "copies"
+        "record", "chars", F.when(
+            F.col("copies") > 1, F.col("chars")
+        ).otherwise(F.coalesce("covered", F.lit(0))).alias("shared_chars"), F.coalesce("spans", F.lit(0)).alias("spans"), "copies"
     )

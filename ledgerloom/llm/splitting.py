@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 TOKEN = regex.compile(r"\S+")
 #: Strength of the pause after a token: blank line, line, sentence, clause, none.
 PARAGRAPH, LINE, SENTENCE, CLAUSE = 4, 3, 2, 1
-_ABBREVIATIONS = frozenset("inc. corp. co. ltd. vs. no. mr. mrs. ms. dr. st. e.g. i.e. etc. approx. fig. jan. feb. mar. apr. jun. jul. aug. sep. sept. oct. nov. dec. mio. mrd. thsd. z.b. ca. bzw.".split())
+_ABBREVIATIONS = frozenset(
+    "inc. corp. co. ltd. vs. no. mr. mrs. ms. dr. st. e.g. i.e. etc. approx. fig. jan. feb. mar. apr. jun. jul. aug. sep. sept. oct. nov. dec. mio. mrd. thsd. z.b. ca. bzw.".split()
+)
 _OPENING = regex.compile(r"^[\p{Ps}\p{Pi}\"'#*•\-–—]*[\p{Lu}\p{N}\p{Lo}]")
 
 

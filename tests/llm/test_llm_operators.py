@@ -28,17 +28,23 @@ def texts(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((100 + i, " ".join(w)))
     hot = words(rng, 80)
-    rows += [(1000 + i, hot) for i in range(50)] + [(2000, None), (2001, ""), (2002, " "), (2003, "one two"), (0, rows[0][1]), (None, hot)]
+    rows += [(1000 + i, hot) for i in range(50)] + [
+        (2000, None), (2001, ""), (2002, " "), (2003, "one two"), (0, rows[0][1]), (None, hot)
+    ]
     return rows
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "id long, text string").selectExpr("cast(id AS string) AS sid", "id", "text", *CLASH).repartition(5)
+    return spark.createDataFrame(rows, "id long, text string").selectExpr(
+        "cast(id AS string) AS sid", "id", "text", *CLASH
+    ).repartition(5)
 
 
 def test_format_copies_with_hot_and_salted_groups(spark, monkeypatch):
     rng = random.Random(1)
-    rows = [(f"k{i:04d}", f"Common start {i % 40} {rng.choice(['', '!', ' - '])}", i) for i in range(400)] + [(f"z{i:04d}", rng.choice(["Hot, TEXT 1.5", "hot text: 1.5", "HOT-text 1.5;"]), i) for i in range(200)]
+    rows = [(f"k{i:04d}", f"Common start {i % 40} {rng.choice(['', '!', ' - '])}", i) for i in range(400)] + [
+        (f"z{i:04d}", rng.choice(["Hot, TEXT 1.5", "hot text: 1.5", "HOT-text 1.5;"]), i) for i in range(200)
+    ]
     rows += [("n", None, 0), (None, "x", 0), ("e1", "...", 0), ("e2", "", 0), ("k0000", rows[0][1], 9)]
     df = spark.createDataFrame(rows, "id string, t string, record int").selectExpr("*", "1 AS text", "2 AS canon", "3 AS salt")
     want = {}
@@ -92,8 +98,12 @@ def test_large_classes_become_stars(spark):
 def test_only_equal_texts_become_stars(spark, tmp_path):
     base = "the same passage of standard words in every filing"
     forms = [" ".join(w.upper() if i >> j & 1 else w for j, w in enumerate(base.split())) for i in range(70)]
-    rows = [(i, t) for i, t in enumerate(forms)] + [(i, forms[0]) for i in range(100, 170)] + [(200, base + " too"), (201, "quite other words than those")]
-    spark.createDataFrame([(str(i), t) for i, t in rows], "chunk_id string, text string").write.parquet(f"{tmp_path}/document_chunk.parquet")
+    rows = [(i, t) for i, t in enumerate(forms)] + [(i, forms[0]) for i in range(100, 170)] + [
+        (200, base + " too"), (201, "quite other words than those")
+    ]
+    spark.createDataFrame(
+        [(str(i), t) for i, t in rows], "chunk_id string, text string"
+    ).write.parquet(f"{tmp_path}/document_chunk.parquet")
     got = [tuple(r) for r in catalogue.p5_found(spark, str(tmp_path)).collect()]
     ends = sorted(str(i) for i in range(70)) + ["200"]  # record 0 stands for its copies 100 to 169
     want = {tuple(sorted(p)) for p in itertools.combinations(ends, 2)} | {("0", str(i)) for i in range(100, 170)}
@@ -106,7 +116,17 @@ def test_vectors_match_brute_force(spark):
     x[200:300] = x[:100] + 0.3 * rng.normal(size=(100, 64))
     x[300:] = x[299]  # a quarter of all rows is one vector
     rows = [(f"v{i:03d}", r.tolist()) for i, r in enumerate(x.astype("float32"))]
-    bad = [("b0", None), ("b1", [0.0] * 64), ("b2", [1.0] * 63), ("b3", [float("nan")] * 64), ("b4", [float("inf")] * 64), ("b5", [None] * 64), (None, rows[0][1]), rows[3], ("big", [1e30] * 64)]
+    bad = [
+        ("b0", None),
+        ("b1", [0.0] * 64),
+        ("b2", [1.0] * 63),
+        ("b3", [float("nan")] * 64),
+        ("b4", [float("inf")] * 64),
+        ("b5", [None] * 64),
+        (None, rows[0][1]),
+        rows[3],
+        ("big", [1e30] * 64)
+    ]
     df = spark.createDataFrame(rows + bad, "id string, e array<float>").selectExpr("*", *CLASH)
     for limit in (20_000, 60):  # whole and split lists
         got = quantised_search.all_neighbours(df, "id", "e", k=5, floor=0.9, list_rows=40, list_limit=limit).collect()
@@ -142,7 +162,9 @@ def test_lists_of_large_lists(spark):
     for n in (3000, 24_000):
         x = cloud(n)
         df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "role int, vid bigint, v array<float>")
-        q = quantised_search.fit_quantiser(quantised_search._matrix(df.limit(400).select("v").toArrow().column("v").combine_chunks(), 64), 50)
+        q = quantised_search.fit_quantiser(
+            quantised_search._matrix(df.limit(400).select("v").toArrow().column("v").combine_chunks(), 64), 50
+        )
         sizes = {}
         for limit in (200, 10**9):
             placed = quantised_search.list_rows_of(df, 64, q, 3, 3, 50, limit)
@@ -160,7 +182,9 @@ def test_lists_of_large_lists(spark):
     want = {i: np.argsort(-np.where(np.arange(len(u)) == i, -2, u @ u[i]))[:5] for i in asked}
     pairs = {(i, j) for i, js in want.items() for j in js.tolist() if u[i] @ u[j] >= 0.9}
     assert len(pairs & got) >= 0.97 * len(pairs) > 100
-    top = quantised_search.search(names, names.where("id like '%00'"), "id", "e", k=5, probe=24, sample_rows=400, list_rows=50, list_limit=200).collect()
+    top = quantised_search.search(
+        names, names.where("id like '%00'"), "id", "e", k=5, probe=24, sample_rows=400, list_rows=50, list_limit=200
+    ).collect()
     hits = sum(int(r.neighbour[1:]) in want[int(r.record[1:])] for r in top)
     assert len(top) == 5 * len(asked) and hits >= 0.9 * 5 * len(asked)
 
@@ -182,9 +206,19 @@ def test_vectors_of_any_length(spark, dim):
 
 def test_leaks_by_both_ways_and_removal(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    docs = [(1, f"Before. {item.upper().replace(' ', ', ')} after"), (2, "nothing here"), (3, None), (4, ""), (5, item[4:]), (6, " ".join(item.split()[:11])), (None, item)]
+    docs = [
+        (1, f"Before. {item.upper().replace(' ', ', ')} after"),
+        (2, "nothing here"),
+        (3, None),
+        (4, ""),
+        (5, item[4:]),
+        (6, " ".join(item.split()[:11])),
+        (None, item)
+    ]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS question", "3 AS spans")
-    items = spark.createDataFrame([(7, item, None), (8, None, "too short"), (9, item, item)], "item_id long, question string, passage string")
+    items = spark.createDataFrame(
+        [(7, item, None), (8, None, "too short"), (9, item, item)], "item_id long, question string, passage string"
+    )
     for limit in (2_000_000, 1):
         hits = leaks.find_leaks(df, items, broadcast_grams=limit)
         rows = {(r.doc_id, r.item_id): (r.first_word, r.last_word) for r in hits.collect()}
@@ -195,10 +229,18 @@ def test_leaks_by_both_ways_and_removal(spark):
 
 def test_mix_keeps_shares_and_caps(spark):
     rng = random.Random(2)
-    rows = [(i, words(rng, rng.randrange(5, 60)), "ab"[i % 4 == 0]) for i in range(300)] + [(1000 + i, f"small {i} text of few words", "c") for i in range(10)]
-    rows += [(2000 + i, rows[i][1], "c") for i in range(3)] + [(3000, None, "a"), (3001, " ", "a"), (3002, "x", None), (3003, "x", "other"), (3004, rows[1][1], "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS tokens", "2 AS pattern", "3 AS place")
-    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
+    rows = [(i, words(rng, rng.randrange(5, 60)), "ab"[i % 4 == 0]) for i in range(300)] + [
+        (1000 + i, f"small {i} text of few words", "c") for i in range(10)
+    ]
+    rows += [(2000 + i, rows[i][1], "c") for i in range(3)] + [
+        (3000, None, "a"), (3001, " ", "a"), (3002, "x", None), (3003, "x", "other"), (3004, rows[1][1], "a")
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "*", "1 AS tokens", "2 AS pattern", "3 AS place"
+    )
+    goal = spark.createDataFrame(
+        [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int"
+    )
     chosen, report = mixing.mix_sources(df, goal)
     r = {x.source: x for x in report.collect()}
     for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.1)):
@@ -222,7 +264,12 @@ def test_shared_spans_match_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *CLASH)
     found = shared_spans.text_classes(df, "doc_id", "text", 300)
     spans = shared_spans.shared_spans(found)
-    got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct(), 64).collect()}
+    got = {
+        (r.a, r.b)
+        for r in classes.linked_records(
+            found.select("record", "class_id").distinct(), spans.select("a", "b").distinct(), 64
+        ).collect()
+    }
     live = {i: t for i, t in rows if t and len(t) >= 300}
     windows = {i: {t[k : k + 300] for k in range(len(t) - 299)} for i, t in live.items()}
     assert got == {(a, b) for a in live for b in live if a < b and windows[a] & windows[b]}
@@ -237,40 +284,78 @@ def test_shared_spans_of_rules_and_disclaimers(spark):
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     small, large, tail = make(130), make(400), make(280)
     rows = [(i, make(150) + small + make(150)) for i in range(60)] + [(100 + i, make(80) + large + make(80)) for i in range(40)]
-    rows += [(200 + i, make(90) + tail + "-" * n + make(90)) for i, n in enumerate((10_000, 10_000, 40, 250, 5, 0))] + [(300 + i, "-" * (280 + 5 * i) + make(40)) for i in range(8)]
+    rows += [(200 + i, make(90) + tail + "-" * n + make(90)) for i, n in enumerate((10_000, 10_000, 40, 250, 5, 0))] + [
+        (300 + i, "-" * (280 + 5 * i) + make(40)) for i in range(8)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     windows = {i: {t[k : k + 300] for k in range(len(t) - 299)} for i, t in rows}
     want = {(a, b) for a, b in itertools.combinations(sorted(windows), 2) if windows[a] & windows[b]}
     found = shared_spans.text_classes(df, "doc_id", "text", 300)
     for hot in (64, 2):
         spans = shared_spans.shared_spans(found, hot=hot)
-        got = {(r.a, r.b) for r in classes.linked_records(found.select("record", "class_id").distinct(), spans.select("a", "b").distinct(), 64).collect()}
+        got = {
+            (r.a, r.b)
+            for r in classes.linked_records(
+                found.select("record", "class_id").distinct(), spans.select("a", "b").distinct(), 64
+            ).collect()
+        }
         assert got == want
 
 
 def test_defects(spark):
     ask = "What was the revenue of Velholm Energy in fiscal 2020?"
-    good = ["Revenue of Velholm Energy rose {}% in fiscal 2020, mainly because of lower costs.", "The filing names lower costs as the main reason, followed by price {}.", "Revenue was ${} million in fiscal 2020."]
+    good = [
+        "Revenue of Velholm Energy rose {}% in fiscal 2020, mainly because of lower costs.",
+        "The filing names lower costs as the main reason, followed by price {}.",
+        "Revenue was ${} million in fiscal 2020."
+    ]
     rows = [(i, ask, good[i % 3].format(i), good[(i + 1) % 3].format(i)) for i in range(300)]
     bad = {
-        1000: (None, "empty"), 1001: (" \n", "empty"), 1002: ("N/A", "empty"), 1003: ("I cannot answer this question from the context provided.", "refusal"), 1004: ("Lo siento, no puedo responder a esta pregunta.", "refusal"),
-        1005: ("WHAT WAS THE REVENUE OF VELHOLM ENERGY IN FISCAL 2020", "question_copy"), 1006: ("Die Gesellschaft rechnet wegen höherer Kosten mit einem Rückgang um 5 %.", "other_language"),
-        1007: ("The filing names lower costs as the", "truncated"), 1008: ("Revenue of Velholm Energy rose 4% in fis", "truncated"), 1009: ("The filing names lower costs...", "truncated"),
+        1000: (None, "empty"), 1001: (" \n", "empty"), 1002: ("N/A", "empty"), 1003: (
+            "I cannot answer this question from the context provided.", "refusal"
+        ), 1004: (
+            "Lo siento, no puedo responder a esta pregunta.", "refusal"
+        ),
+        1005: ("WHAT WAS THE REVENUE OF VELHOLM ENERGY IN FISCAL 2020", "question_copy"), 1006: (
+            "Die Gesellschaft rechnet wegen höherer Kosten mit einem Rückgang um 5 %.", "other_language"
+        ),
+        1007: ("The filing names lower costs as the", "truncated"), 1008: (
+            "Revenue of Velholm Energy rose 4% in fis", "truncated"
+        ), 1009: (
+            "The filing names lower costs...", "truncated"
+        ),
     }
-    rows += [(k, ask, a, good[0].format(k)) for k, (a, _) in bad.items()] + [(2000, ask, "Revenue was $5 million in fiscal 2020", "4.2%"), (None, ask, "x", "y"), (2001, None, good[0].format(1), good[1].format(2)), rows[0]]
+    rows += [(k, ask, a, good[0].format(k)) for k, (a, _) in bad.items()] + [
+        (2000, ask, "Revenue was $5 million in fiscal 2020", "4.2%"),
+        (None, ask, "x", "y"),
+        (2001, None, good[0].format(1), good[1].format(2)),
+        rows[0]
+    ]
     bad[1012] = (f"{ask} {ask}", "question_copy")
     bad[1010] = ("De onderneming verwacht dit jaar een daling vanwege hogere kosten.", "other_language")
     bad[1011] = ("My instructions do not let me answer this question for you.", "refusal")  # no pattern has it
     rows += [(k, ask, bad[k][0], good[0].format(k)) for k in (1010, 1011, 1012)]
-    rows += [(3000 + i, ask, f"I cannot answer {w} from the context provided.", good[1].format(i)) for i, w in enumerate(("this question", "that for you", "this for me", "you", "my question", "this") * 2)]
-    df = spark.createDataFrame([(str(k) if k else k, *r) for k, *r in rows], "sample_id string, question string, answer string, generated_answer string").selectExpr("*", "1 AS key", "2 AS field", "3 AS seen", "4 AS defect")
+    rows += [
+        (3000 + i, ask, f"I cannot answer {w} from the context provided.", good[1].format(i))
+        for i, w in enumerate(("this question", "that for you", "this for me", "you", "my question", "this") * 2)
+    ]
+    df = spark.createDataFrame(
+        [(str(k) if k else k, *r) for k, *r in rows], "sample_id string, question string, answer string, generated_answer string"
+    ).selectExpr(
+        "*", "1 AS key", "2 AS field", "3 AS seen", "4 AS defect"
+    )
     samples = spark.createDataFrame(labelled(), "text string, lang string")
     labels = answer_defects.label_answers(df, "sample_id", "question", ("answer", "generated_answer"), samples)
     got = {(r.key, r.field): r.defect for r in answer_defects.single_label(labels).collect()}
     want = {(str(k), "answer"): d for k, (_, d) in bad.items()} | {(str(3000 + i), "answer"): "refusal" for i in range(12)}
     assert got == want
-    report = {r.defect: r for r in answer_defects.validated_cutoffs(df, "sample_id", "question", ("answer", "generated_answer"), samples).collect()}
-    assert all(0 < report[d].cutoff < 1 for d in answer_defects.DEFECTS) and report["empty"].recall == report["empty"].precision == 1.0
+    report = {
+        r.defect: r
+        for r in answer_defects.validated_cutoffs(df, "sample_id", "question", ("answer", "generated_answer"), samples).collect()
+    }
+    assert all(
+        0 < report[d].cutoff < 1 for d in answer_defects.DEFECTS
+    ) and report["empty"].recall == report["empty"].precision == 1.0
 
 
 def test_empty_tables(spark):
@@ -292,9 +377,20 @@ def test_empty_tables(spark):
     assert answer_defects.label_answers(pairs, "key", "question", ("answer",)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_selected", "p9_found"])
+@pytest.mark.parametrize(
+    "name", ["p1_found", "p2_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_selected", "p9_found"]
+)
 def test_catalogue_runs(spark, small, name):
     df = catalogue.queries()[name](spark, small)
-    want = {"p1_found": "chunk_id_a chunk_id_b", "p2_found": "sample_id answer_field defect", "p4_found": "record_kind record_key", "p5_found": "chunk_id_a chunk_id_b", "p6_found": "chunk_id_a chunk_id_b", "p7_found": "doc_id item_id", "p8_selected": "doc_id source tokens repeats", "p9_found": "doc_id_a doc_id_b"}
+    want = {
+        "p1_found": "chunk_id_a chunk_id_b",
+        "p2_found": "sample_id answer_field defect",
+        "p4_found": "record_kind record_key",
+        "p5_found": "chunk_id_a chunk_id_b",
+        "p6_found": "chunk_id_a chunk_id_b",
+        "p7_found": "doc_id item_id",
+        "p8_selected": "doc_id source tokens repeats",
+        "p9_found": "doc_id_a doc_id_b"
+    }
     assert df.columns == want[name].split()
     assert df.count() == df.distinct().count()

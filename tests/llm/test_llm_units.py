@@ -22,7 +22,11 @@ from ledgerloom.llm.words import split_words, window_hashes, word_hashes
         ("Net sales of $1,000.5 (up)", "net SALES of 1000.5 -- up;", True),
         ("1.5 m", "15 m", False),
         ("a. 5", "a 5", True),
-        ('{"Ticker": "AB", "Unit": "USD million", "Opening": "1,000.5"}', "unit = usd million ; opening = 1000.5 ; ticker = ab;", True),
+        (
+            '{"Ticker": "AB", "Unit": "USD million", "Opening": "1,000.5"}',
+            "unit = usd million ; opening = 1000.5 ; ticker = ab;",
+            True
+        ),
         ("Ticker: AB\nUnit: USD", "UNIT=USD|TICKER=AB", True),
         ("Ticker: AB; Unit: USD.", "Ticker: USD; Unit: AB", False),
         ("Straße", "STRASSE", True),
@@ -87,7 +91,9 @@ def test_trie_counts(keys):
 
 
 @settings(deadline=None, max_examples=60)
-@given(st.lists(st.sampled_from(["word", "End.", "semi;", "a\n\nb", "x", "e.g.", "é ü"]), min_size=0, max_size=400), st.integers(8, 60))
+@given(
+    st.lists(st.sampled_from(["word", "End.", "semi;", "a\n\nb", "x", "e.g.", "é ü"]), min_size=0, max_size=400), st.integers(8, 60)
+)
 def test_pieces_give_back_the_text(parts, limit):
     text = " ".join(parts)
     overlap = limit // 4
@@ -101,7 +107,9 @@ def test_pieces_give_back_the_text(parts, limit):
 
 
 def test_pieces_break_at_sentences():
-    text = " ".join(f"word{i}" + ("." if i % 20 == 19 else "") + ("" if i % 20 else "") for i in range(1500)).replace(". word", ". Word")
+    text = " ".join(
+        f"word{i}" + ("." if i % 20 == 19 else "") + ("" if i % 20 else "") for i in range(1500)
+    ).replace(". word", ". Word")
     cuts = [p[5] for p in splitting.split_text(text)[:-1]]
     assert cuts and all(c >= splitting.SENTENCE for c in cuts)
 
@@ -139,7 +147,11 @@ def test_signatures_dont_depend_on_the_batch():
 
 
 @settings(deadline=None, max_examples=50)
-@given(st.text(alphabet="ab \n", max_size=120), st.text(alphabet="ab \n", max_size=120), st.text(alphabet="abc", min_size=30, max_size=40))
+@given(
+    st.text(alphabet="ab \n", max_size=120),
+    st.text(alphabet="ab \n", max_size=120),
+    st.text(alphabet="abc", min_size=30, max_size=40)
+)
 def test_winnowing_misses_no_shared_stretch(x, y, common):
     k, least = 12, 30
     texts = [x + common + x[:5], y + "|" + common]
@@ -180,10 +192,16 @@ def test_runs_and_hot_seeds_miss_no_shared_stretch(data):
         for _, (s, i, size, p, low, high, run) in (e for e in level if e[0] == 0):
             for _, (t, j, _, q, _, _, _) in (e for e in level if e[0] == 1 and e[1][0] == s):
                 shift = 0 if size or high <= least - k else k
-                at = [(i - shift, j - shift)] if not p and not q else [x for r in {p, q} - {0} for x in shared_spans.run_anchors(*texts, i, j, k, r, least)]
+                at = [(i - shift, j - shift)] if not p and not q else [
+                    x for r in {p, q} - {0} for x in shared_spans.run_anchors(*texts, i, j, k, r, least)
+                ]
                 best = max([best, *(m for a in at for _, _, m in shared_spans.align(*texts, [a], k)[0])])
         assert best == n or n < least
-        level = [(o, x) for o, s in level for x in ([s] if s[6] else shared_spans.longer_seeds(texts[o], s[1], s[2], s[4], s[5], least, parts))]
+        level = [
+            (o, x)
+            for o, s in level
+            for x in ([s] if s[6] else shared_spans.longer_seeds(texts[o], s[1], s[2], s[4], s[5], least, parts))
+        ]
 
 
 def longest_common(x, y):
@@ -287,7 +305,18 @@ def labelled(n=30):
 
 @pytest.mark.parametrize(
     ("text", "lang"),
-    [("Die Kosten des Unternehmens sind höher als im Jahr", "de"), ("Le résultat de la société est plus élevé", "fr"), ("La empresa pidieron que el resultado de ventas creció", "es"), ("Il risultato della società è più alto", "it"), ("The result of the company rose", "en"), ("Het resultaat van de onderneming is gestegen", "nl"), ("FY2020", None), ("4.2 %", None), ("", None), (None, None)],
+    [
+        ("Die Kosten des Unternehmens sind höher als im Jahr", "de"),
+        ("Le résultat de la société est plus élevé", "fr"),
+        ("La empresa pidieron que el resultado de ventas creció", "es"),
+        ("Il risultato della società è più alto", "it"),
+        ("The result of the company rose", "en"),
+        ("Het resultaat van de onderneming is gestegen", "nl"),
+        ("FY2020", None),
+        ("4.2 %", None),
+        ("", None),
+        (None, None)
+    ],
 )
 def test_language(text, lang):
     assert languages.Languages(labelled()).of(text)[2] == lang
@@ -299,8 +328,20 @@ def test_languages_without_samples():
 
 
 def test_unseen_refusals_score_above_answers():
-    known = ["I cannot answer this question.", "I am unable to say that from the context.", "I'm sorry, but I do not have the information.", "Sorry, I can't help you with that.", "As a language model I am not able to give you figures."]
-    good = [f"{a} of the company {b} by {n}% because of {c}." for a in ("Revenue", "Net debt") for b in ("rose", "fell") for n in range(9) for c in ("lower costs", "higher prices")]
+    known = [
+        "I cannot answer this question.",
+        "I am unable to say that from the context.",
+        "I'm sorry, but I do not have the information.",
+        "Sorry, I can't help you with that.",
+        "As a language model I am not able to give you figures."
+    ]
+    good = [
+        f"{a} of the company {b} by {n}% because of {c}."
+        for a in ("Revenue", "Net debt")
+        for b in ("rose", "fell")
+        for n in range(9)
+        for c in ("lower costs", "higher prices")
+    ]
     r = ad.RefusalWords(known * 9 + [f"{k} Case {i}." for i, k in enumerate(known * 2)] + good)
     assert r.score("I do not know the answer to that question.") > ad.REFUSED > 0 > r.score(good[0])
     assert r.score("Quite other words") is None and ad.RefusalWords([]).score("I cannot answer") is None
@@ -322,7 +363,18 @@ def test_single_functions_can_decide():
     assert label_model.best_cutoff([(0.9, True), (0.2, False)])[1:] == (1.0, 1.0)
 
 
-@pytest.mark.parametrize(("text", "open_end"), [("It ends.", False), ("It ends", True), ("of Mondova Inc.", True), ("it goes on...", True), ("because (", True), ('He said "yes."', False), ("of [...]", True)])
+@pytest.mark.parametrize(
+    ("text", "open_end"),
+    [
+        ("It ends.", False),
+        ("It ends", True),
+        ("of Mondova Inc.", True),
+        ("it goes on...", True),
+        ("because (", True),
+        ('He said "yes."', False),
+        ("of [...]", True)
+    ]
+)
 def test_open_ends(text, open_end):
     assert ad.is_open(text) is open_end
 
