@@ -34,7 +34,13 @@ def analyze(spark: SparkSession, path: str, query: str, output: str) -> DataFram
 def _entities(column: Column) -> Column:
     """Entities with their several spellings of word and type."""
     live = F.coalesce(F.from_json(column, _ENTITIES), F.from_json(F.lit("[]"), _ENTITIES))
-    return F.transform(live, lambda e: F.struct(F.coalesce(e["word"], e["text"]).alias("word"), F.coalesce(e["entity"], e["entity_group"], e["label"], F.lit("unknown")).alias("entity")))
+    return F.transform(
+        live,
+        lambda e: F.struct(
+            F.coalesce(e["word"], e["text"]).alias("word"),
+            F.coalesce(e["entity"], e["entity_group"], e["label"], F.lit("unknown")).alias("entity")
+        )
+    )
 
 
 def evaluate(samples: DataFrame, kind: str, predict: bool = False, figures: FigureTagger | None = None) -> DataFrame:
@@ -46,29 +52,57 @@ def evaluate(samples: DataFrame, kind: str, predict: bool = False, figures: Figu
     text = alias(s, "text")
     if kind == "ner":
         guess = RuleTagger().tag(text) if predict else None
-        predicted = F.transform(guess, lambda e: F.struct(e["word"].alias("word"), e["entity_group"].alias("entity"))) if predict else _entities(alias(s, "predictions"))
+        predicted = F.transform(
+            guess, lambda e: F.struct(e["word"].alias("word"), e["entity_group"].alias("entity"))
+        ) if predict else _entities(alias(s, "predictions"))
         rows = lambda c: samples.select("sample_id", F.explode(c).alias("e")).select("sample_id", "e.*")
         return ev.entity_scores(rows(predicted), rows(_entities(alias(s, "references", "entities"))))
     if kind == "sentiment":
-        guess = LexiconSentiment().classify(text)["label"] if predict else alias(s, "prediction", "predicted_sentiment", "predicted")
-        rows = samples.select(ev.canonical_label(alias(s, "sentiment", "label")).alias("reference"), ev.canonical_label(guess).alias("predicted"))
+        guess = LexiconSentiment().classify(text)["label"] if predict else alias(
+            s, "prediction", "predicted_sentiment", "predicted"
+        )
+        rows = samples.select(
+            ev.canonical_label(alias(s, "sentiment", "label")).alias("reference"), ev.canonical_label(guess).alias("predicted")
+        )
         return ev.class_summary(ev.class_scores(rows))
     if kind == "kpi":
         numbers = lambda *names: F.from_json(alias(s, *names), "map<string,double>")
-        rows = samples.select("sample_id", numbers("reference_kpis", "gold_kpis").alias("r"), numbers("extracted_kpis", "predicted_kpis", "predictions").alias("e"))
+        rows = samples.select(
+            "sample_id",
+            numbers("reference_kpis", "gold_kpis").alias("r"),
+            numbers("extracted_kpis", "predicted_kpis", "predictions").alias("e")
+        )
         if predict:
             found = kpi.extract_kpis(samples.select("sample_id", text.alias("text")), "sample_id", "text")
             first = found.groupBy("sample_id", "kpi_type").agg(F.min_by("value", "ord").alias("value"))
             maps = first.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("kpi_type", "value"))).alias("e"))
             rows = rows.drop("e").join(maps, "sample_id", "left")
-        return ev.macro(ev.kpi_scores(rows, "sample_id", "r", "e"), ["numeric_accuracy", "extraction_recall", "type_coverage", "mean_absolute_error", "rmse"])
+        return ev.macro(
+            ev.kpi_scores(rows, "sample_id", "r", "e"),
+            ["numeric_accuracy", "extraction_recall", "type_coverage", "mean_absolute_error", "rmse"]
+        )
     if kind == "rag":
-        chunks = lambda *names: F.coalesce(F.from_json(alias(s, *names), _CHUNKS), F.transform(F.from_json(alias(s, *names), "array<string>"), lambda t: F.struct(F.lit(None).cast("string").alias("chunk_id"), t.alias("text"))))
-        rows = samples.select("sample_id", chunks("retrieved_chunks", "retrieved").alias("r"), chunks("gold_chunks", "gold", "evidence").alias("g"), alias(s, "generated_answer").alias("a"), alias(s, "answer", "reference_answer").alias("w"), alias(s, "question", "query").alias("question"))
+        chunks = lambda *names: F.coalesce(
+            F.from_json(alias(s, *names), _CHUNKS),
+            F.transform(
+                F.from_json(alias(s, *names), "array<string>"),
+                lambda t: F.struct(F.lit(None).cast("string").alias("chunk_id"), t.alias("text"))
+            )
+        )
+        rows = samples.select(
+            "sample_id",
+            chunks("retrieved_chunks", "retrieved").alias("r"),
+            chunks("gold_chunks", "gold", "evidence").alias("g"),
+            alias(s, "generated_answer").alias("a"),
+            alias(s, "answer", "reference_answer").alias("w"),
+            alias(s, "question", "query").alias("question")
+        )
         if predict:
             corpus = checkpointed(vectors.embed(preparation.corpus_passages(rows, "sample_id", "g")))
             said = preparation.predict_answers(rows, corpus)
-            rows = rows.drop("r", "a").join(said.select("sample_id", F.col("retrieved_chunks").alias("r"), F.col("generated_answer").alias("a")), "sample_id")
+            rows = rows.drop("r", "a").join(
+                said.select("sample_id", F.col("retrieved_chunks").alias("r"), F.col("generated_answer").alias("a")), "sample_id"
+            )
         both = ev.retrieval_scores(rows, "sample_id", "r", "g").join(ev.generation_scores(rows, "sample_id", "a", "w"), "sample_id")
         return ev.macro(both, ["hit_rate_top1", "hit_rate_top5", "mrr", "ndcg", "exact_match", "rouge_l", "bleu"])
     if kind == "finer":
@@ -79,7 +113,9 @@ def evaluate(samples: DataFrame, kind: str, predict: bool = False, figures: Figu
             return ev.tagging_scores(spans(F.coalesce(tags("predicted_tags"), none)), spans(tags("tags")), "sample_id")
         if figures is None:
             return ev.tagging_scores(spans(none), spans(tags("tags")), "sample_id")
-        found = samples.select("sample_id", tags("tokens").alias("tokens")).withColumn("found", entities.reshape_spans(figures.tag(F.array_join("tokens", " "))))
+        found = samples.select("sample_id", tags("tokens").alias("tokens")).withColumn(
+            "found", entities.reshape_spans(figures.tag(F.array_join("tokens", " ")))
+        )
         told = ev.spans_to_tags(found, "sample_id", "tokens", "found")
         return ev.tagging_scores(ev.tag_spans(told, "sample_id", "i", "tag"), spans(tags("tags")), "sample_id")
     raise ValueError(f"unknown kind of evaluation: {kind}")

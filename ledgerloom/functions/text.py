@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 # White space as Python sees it, dash and quote folding, patterns of amounts and boilerplate.
 SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 DASHES_AND_QUOTES = ("\u2010\u2011\u2012\u2013\u2014\u2015\u201c\u201d\u2018\u2019", "------\"\"''")
-NAMED_ENTITIES = (("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&mdash;", "\u2014"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+NAMED_ENTITIES = (
+    ("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&mdash;", "\u2014"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")
+)
 MONEY = {"B": "billion|B", "M": "million|M", "K": "thousand|K"}
 PERCENT = r"([\d,]+(?:\.\d+)?)\s*(?:percent|percentage|%)"
 SAFE_HARBOUR = r"(?i)(safe\s+harbour|forward[-\s]?looking\s+statements?|forward[-\s]?looking\s+information)"
@@ -95,7 +97,15 @@ def clean_text(c: Column) -> Column:
     return _clean_text(c)
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("groups", T.ArrayType(T.StringType()))]))
+_SPANS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("groups", T.ArrayType(T.StringType()))
+        ]
+    )
+)
 
 
 def regex_spans(c: Column, pattern: str, flags: int = 0) -> Column:
@@ -135,12 +145,19 @@ def filename_metadata(path: Column, prior_type: Column | None = None, fixed: boo
     return F.struct(
         F.nullif(F.upper(F.regexp_extract(stem, TICKER_IN_NAME, 1)), F.lit("")).alias("ticker"),
         F.nullif(period, F.lit("")).alias("fiscal_period"),
-        F.when(kind.isin("10-K", "10-Q"), kind).otherwise(prior_type if prior_type is not None else F.lit("unknown")).alias("doc_type"),
+        F.when(kind.isin("10-K", "10-Q"), kind).otherwise(
+            prior_type if prior_type is not None else F.lit("unknown")
+        ).alias("doc_type"),
     )
 
 
 # Signs of an earnings call.
-CALL_SIGNS = (r"\b(Operator|Moderator):", r"\b(Analysts?|Participants?|Speakers?):", r"(Q&A|Question and Answer)", r"\b(earnings call|earnings? (conference )?call)\b")
+CALL_SIGNS = (
+    r"\b(Operator|Moderator):",
+    r"\b(Analysts?|Participants?|Speakers?):",
+    r"(Q&A|Question and Answer)",
+    r"\b(earnings call|earnings? (conference )?call)\b"
+)
 
 
 def earnings_call_flag(c: Column, fixed: bool = False) -> Column:

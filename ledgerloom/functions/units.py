@@ -23,7 +23,9 @@ SCALES = {
     1e12: ["trillions", "trillion", "tn", "Tn"],
 }
 _CURRENCY = {s.lower(): c for c, names in CURRENCIES.items() for s in names}
-_SCALE = {s: f for f, names in SCALES.items() for s in names} | {s.lower(): f for f, names in SCALES.items() for s in names if len(s) > 2}
+_SCALE = {s: f for f, names in SCALES.items() for s in names} | {
+    s.lower(): f for f, names in SCALES.items() for s in names if len(s) > 2
+}
 
 
 def _any(names: list[str]) -> str:

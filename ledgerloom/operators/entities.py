@@ -19,7 +19,9 @@ def extract_entities(docs: DataFrame, key: str, text: str, tagger: EntityTagger
 
 def entity_type_counts(entities: DataFrame, key: str) -> DataFrame:
     """(key, entity_group, n, first_ord)."""
-    return entities.groupBy(key, F.coalesce("entity_group", F.lit("unknown")).alias("entity_group")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+    return entities.groupBy(key, F.coalesce("entity_group", F.lit("unknown")).alias("entity_group")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord")
+    )
 
 
 def top_entity_type(counts: DataFrame, key: str) -> DataFrame:
@@ -31,7 +33,9 @@ def top_entity_type(counts: DataFrame, key: str) -> DataFrame:
 def tag_counts(figures: DataFrame, key: str, sample: int = 15) -> DataFrame:
     """(key, total_tagged, tag_counts, sample): counts by tag and the first figures in order."""
     by_tag = figures.groupBy(key, F.coalesce("tag", F.lit("unknown")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-    tags = by_tag.groupBy(key).agg(F.sum("n").alias("total_tagged"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tag_counts"))
+    tags = by_tag.groupBy(key).agg(
+        F.sum("n").alias("total_tagged"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tag_counts")
+    )
     first = figures.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where(F.col("_i") <= sample)
     lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "tag", "value"))).alias("sample"))
     return tags.join(lists, key)
@@ -42,7 +46,9 @@ def reshape_spans(spans: Column) -> Column:
     return F.transform(
         spans,
         lambda s: F.struct(
-            F.coalesce(s["word"], F.lit("")).alias("text"), F.coalesce(s["entity_group"], F.lit("unknown")).alias("tag"), parse_number(s["word"]).alias("value"),
+            F.coalesce(s["word"], F.lit("")).alias("text"), F.coalesce(
+                s["entity_group"], F.lit("unknown")
+            ).alias("tag"), parse_number(s["word"]).alias("value"),
             F.coalesce(s["score"].cast("double"), F.lit(0.0)).alias("score"), s["start"].alias("start"), s["end"].alias("end"),
         ),
     )
@@ -59,7 +65,18 @@ def tag_figures(chunks: DataFrame, key: str, order: list[str], text: str, tagger
     if tagger is None:
         kind = chunks.select(key).schema[0].dataType.simpleString()
         return chunks.sparkSession.createDataFrame([], f"{key} {kind}, {FIGURES}")
-    live = chunks.where(F.trim(text) != "").select(key, *order, F.posexplode(reshape_spans(tagger.tag(F.col(text)))).alias("_i", "_f"))
+    live = chunks.where(F.trim(text) != "").select(
+        key, *order, F.posexplode(reshape_spans(tagger.tag(F.col(text)))).alias("_i", "_f")
+    )
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order, "_i")) - 1
     f = F.col("_f")
-    return live.select(key, place.cast("long").alias("ord"), f["text"].alias("text"), f["tag"].alias("tag"), f["value"].cast("double").alias("value"), f["score"].alias("score"), f["start"].cast("int").alias("start"), f["end"].cast("int").alias("end"))
+    return live.select(
+        key,
+        place.cast("long").alias("ord"),
+        f["text"].alias("text"),
+        f["tag"].alias("tag"),
+        f["value"].cast("double").alias("value"),
+        f["score"].alias("score"),
+        f["start"].cast("int").alias("start"),
+        f["end"].cast("int").alias("end")
+    )

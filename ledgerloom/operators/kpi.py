@@ -21,11 +21,25 @@ PHRASES = {
     "roe": r"(return\s+on\s+equity|ROE)",
 }
 TAIL = r"\s*(?:of|to|was|is|reached|totaled|stood at)?\s*(?:[:$]\s*){0,2}([\d,\.]+)\s*([A-Z\%]*)"
-REVENUE_TAGS = ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "RevenueFromRelatedParties", "RevenueRemainingPerformanceObligation")
+REVENUE_TAGS = (
+    "Revenues",
+    "RevenueFromContractWithCustomerExcludingAssessedTax",
+    "RevenueFromContractWithCustomerIncludingAssessedTax",
+    "RevenueFromRelatedParties",
+    "RevenueRemainingPerformanceObligation"
+)
 
 
 _PATTERNS = [(kind, re.compile(phrase + TAIL, re.IGNORECASE | re.ASCII)) for kind, phrase in PHRASES.items()]
-_MATCHES = T.ArrayType(T.StructType([T.StructField("kpi_type", T.StringType()), T.StructField("ord", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("name", "number", "unit", "raw_text")]]))
+_MATCHES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("kpi_type", T.StringType()),
+            T.StructField("ord", T.IntegerType()),
+            *[T.StructField(n, T.StringType()) for n in ("name", "number", "unit", "raw_text")]
+        ]
+    )
+)
 
 
 @F.pandas_udf(_MATCHES)
@@ -46,21 +60,36 @@ def extract_kpis(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = texts.where(F.col(text).rlike("[0-9]")).select(key, F.explode(_kpi_matches(F.col(text))).alias("_k"))
     value = F.replace("_k.number", F.lit(","), F.lit("")).try_cast("double")
-    return rows.select(key, "_k.kpi_type", "_k.ord", "_k.name", value.alias("value"), "_k.unit", "_k.raw_text", F.lit("regex").alias("source")).where("value is not null")
+    return rows.select(
+        key, "_k.kpi_type", "_k.ord", "_k.name", value.alias("value"), "_k.unit", "_k.raw_text", F.lit("regex").alias("source")
+    ).where("value is not null")
 
 
 def override_revenue(kpis: DataFrame, tagged: DataFrame, key: str) -> DataFrame:
     """Revenue entries are replaced by the best tagged figure (highest score, first of equals) where there is one."""
     live = tagged.where(F.col("tag").isin(*REVENUE_TAGS) & F.col("value").isNotNull())
-    best = live.groupBy(key).agg(F.max_by(F.struct("tag", "value", "text"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("ord"))).alias("_b"))
-    new = best.select(key, F.lit("revenue").alias("kpi_type"), F.lit(0).alias("ord"), F.col("_b.tag").alias("name"), F.col("_b.value").alias("value"), F.lit("").alias("unit"), F.coalesce("_b.text", F.lit("")).alias("raw_text"), F.lit("financial_ner_model").alias("source"))
+    best = live.groupBy(key).agg(
+        F.max_by(F.struct("tag", "value", "text"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("ord"))).alias("_b")
+    )
+    new = best.select(
+        key,
+        F.lit("revenue").alias("kpi_type"),
+        F.lit(0).alias("ord"),
+        F.col("_b.tag").alias("name"),
+        F.col("_b.value").alias("value"),
+        F.lit("").alias("unit"),
+        F.coalesce("_b.text", F.lit("")).alias("raw_text"),
+        F.lit("financial_ner_model").alias("source")
+    )
     old = kpis.join(new.select(key, "kpi_type"), [key, "kpi_type"], "left_anti")
     return old.select(new.columns).unionByName(new)
 
 
 def derived_margin(kpis: DataFrame, key: str) -> DataFrame:
     """(key, calculated_gross_margin_percent) from the first gross figure that is no percentage and the first revenue."""
-    first = lambda kind: F.min_by(F.when(F.col("kpi_type") == kind, F.struct("value", "unit")), F.when(F.col("kpi_type") == kind, F.col("ord")))
+    first = lambda kind: F.min_by(
+        F.when(F.col("kpi_type") == kind, F.struct("value", "unit")), F.when(F.col("kpi_type") == kind, F.col("ord"))
+    )
     both = kpis.groupBy(key).agg(first("gross_margin").alias("_g"), first("revenue").alias("_r"))
     ok = F.col("_g").isNotNull() & F.col("_r").isNotNull() & (F.trim("_g.unit") != "%") & (F.col("_r.value") != 0)
     return both.where(ok).select(key, (F.col("_g.value") / F.col("_r.value") * 100).alias("calculated_gross_margin_percent"))
@@ -70,4 +99,9 @@ def kpi_totals(kpis: DataFrame, margins: DataFrame, key: str) -> DataFrame:
     """(key, kpi_count, calculated, total_kpis)."""
     counts = kpis.groupBy(key).agg(F.count_distinct("kpi_type").alias("kpi_count"))
     joined = counts.join(margins.select(key, F.lit(1).alias("_c")), key, "left")
-    return joined.select(key, "kpi_count", F.coalesce("_c", F.lit(0)).alias("calculated"), (F.col("kpi_count") + F.coalesce("_c", F.lit(0))).alias("total_kpis"))
+    return joined.select(
+        key,
+        "kpi_count",
+        F.coalesce("_c", F.lit(0)).alias("calculated"),
+        (F.col("kpi_count") + F.coalesce("_c", F.lit(0))).alias("total_kpis")
+    )

@@ -21,14 +21,21 @@ def sentiment_samples(rows: DataFrame, text: str = "sentence", label: str = "lab
 def evidence_samples(rows: DataFrame, ident: str, question: str, answer: str, evidence: str) -> DataFrame:
     """(id, question, answer, gold_chunks) of rows that have all three; chunk ids are the row's id and the place."""
     texts = F.filter(evidence, lambda t: F.coalesce(t, F.lit("")) != "")
-    gold = F.transform(texts, lambda t, i: F.struct(F.concat_ws("-", F.col(ident).cast("string"), i.cast("string")).alias("chunk_id"), t.alias("text")))
+    gold = F.transform(
+        texts,
+        lambda t, i: F.struct(F.concat_ws("-", F.col(ident).cast("string"), i.cast("string")).alias("chunk_id"), t.alias("text"))
+    )
     ok = (F.coalesce(question, F.lit("")) != "") & (F.coalesce(answer, F.lit("")) != "") & (F.size(texts) > 0)
-    return rows.where(ok).select(F.col(ident).alias("id"), F.col(question).alias("question"), F.col(answer).alias("answer"), gold.alias("gold_chunks"))
+    return rows.where(ok).select(
+        F.col(ident).alias("id"), F.col(question).alias("question"), F.col(answer).alias("answer"), gold.alias("gold_chunks")
+    )
 
 
 def program_samples(rows: DataFrame, ident: str, program: str, answer: str) -> DataFrame:
     """(id, operator, operands, expected) of the programs of one operation; others are dropped."""
-    return rows.select(F.col(ident).alias("id"), parse_program(F.col(program), F.col(answer)).alias("p")).where("p is not null").select("id", "p.*")
+    return rows.select(
+        F.col(ident).alias("id"), parse_program(F.col(program), F.col(answer)).alias("p")
+    ).where("p is not null").select("id", "p.*")
 
 
 def finqa_samples(rows: DataFrame, keep: int = 4000) -> DataFrame:
@@ -40,9 +47,19 @@ def finqa_samples(rows: DataFrame, keep: int = 4000) -> DataFrame:
     side = lambda c: F.nullif(F.array_join(c, " "), F.lit(""))
     text = F.substring(F.concat_ws(" ", side(F.col("pre_text")), side(F.col("post_text"))), 1, keep)
     step = parse_program(F.col("program"), F.col("answer"))
-    found = rows.select(text.alias("text"), F.coalesce("question", F.lit("")).alias("question"), step.alias("_p")).where("_p is not null")
-    steps = F.array(F.struct(F.col("_p.operands").alias("operands"), F.col("_p.operator").alias("operator"), F.col("_p.expected").alias("expected_result")))
-    return found.select("text", "question", F.create_map().cast("map<string,double>").alias("reference_kpis"), steps.alias("calculation_steps"))
+    found = rows.select(
+        text.alias("text"), F.coalesce("question", F.lit("")).alias("question"), step.alias("_p")
+    ).where("_p is not null")
+    steps = F.array(
+        F.struct(
+            F.col("_p.operands").alias("operands"),
+            F.col("_p.operator").alias("operator"),
+            F.col("_p.expected").alias("expected_result")
+        )
+    )
+    return found.select(
+        "text", "question", F.create_map().cast("map<string,double>").alias("reference_kpis"), steps.alias("calculation_steps")
+    )
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +98,15 @@ def read_program_set(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a file with pre_text, post_text, question, program_re or program, and answer or final_result."""
     rows = _rows(spark, path)
     part = lambda n: F.col(n).cast("array<string>") if n in rows.columns else F.array().cast("array<string>")
-    return finqa_samples(rows.select(part("pre_text").alias("pre_text"), part("post_text").alias("post_text"), _either(rows, "question").alias("question"), _either(rows, "program_re", "program").alias("program"), _either(rows, "answer", "final_result").alias("answer")))
+    return finqa_samples(
+        rows.select(
+            part("pre_text").alias("pre_text"),
+            part("post_text").alias("post_text"),
+            _either(rows, "question").alias("question"),
+            _either(rows, "program_re", "program").alias("program"),
+            _either(rows, "answer", "final_result").alias("answer")
+        )
+    )
 
 
 def read_retrieval_set(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,7 +116,11 @@ def read_retrieval_set(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return (
         titled_passages(corpus, ident(corpus), "title", "text"),
         queries.select(F.col(ident(queries)).cast("string").alias("query_id"), F.col("text").alias("query")),
-        qrels.select(F.col("query-id").cast("string").alias("query_id"), F.col("corpus-id").cast("string").alias("doc_id"), F.col("score").cast("double").alias("score")),
+        qrels.select(
+            F.col("query-id").cast("string").alias("query_id"),
+            F.col("corpus-id").cast("string").alias("doc_id"),
+            F.col("score").cast("double").alias("score")
+        ),
     )
 
 
@@ -102,25 +131,60 @@ def read_tagging_set(spark: SparkSession, path: str, names: list[str]) -> DataFr
     return rows.select("_key", "tokens").join(tags, "_key").drop("_key")
 
 
-def index_corpus(index: VectorIndex, samples: DataFrame, key: str = "sample_id", chunks: str = "gold_chunks", ticker: str = "eval") -> None:
+def index_corpus(
+    index: VectorIndex, samples: DataFrame, key: str = "sample_id", chunks: str = "gold_chunks", ticker: str = "eval"
+) -> None:
     """Puts the distinct gold passages of an evaluation set into a collection of their own."""
     rows = corpus_passages(samples, key, chunks)
-    index.upsert(rows.select("chunk_id", "text", F.lit(ticker).alias("ticker"), F.lit("general").alias("chunk_type"), F.lit(None).cast("int").alias("page_number")))
+    index.upsert(
+        rows.select(
+            "chunk_id",
+            "text",
+            F.lit(ticker).alias("ticker"),
+            F.lit("general").alias("chunk_type"),
+            F.lit(None).cast("int").alias("page_number")
+        )
+    )
 
 
-def predict_answers(samples: DataFrame, corpus: DataFrame, pipeline: AnalysisPipeline | None = None, key: str = "sample_id", question: str = "question", loop: bool = False) -> DataFrame:
+def predict_answers(
+    samples: DataFrame,
+    corpus: DataFrame,
+    pipeline: AnalysisPipeline | None = None,
+    key: str = "sample_id",
+    question: str = "question",
+    loop: bool = False
+) -> DataFrame:
     """(key, retrieved_chunks, generated_answer) of every sample, from a corpus (chunk_id, text, embedding).
 
     A sample without a question gets no chunks and an empty answer.
     """
     line = pipeline or AnalysisPipeline()
-    chunks = corpus.select("chunk_id", "text", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("string").alias("section"), F.lit("general").alias("chunk_type"), F.lit(-1).alias("page_number"), "embedding")
-    asked = samples.select(F.col(key).alias("query_id"), F.coalesce(question, F.lit("")).alias("query"), F.lit(None).cast("string").alias("ticker"))
+    chunks = corpus.select(
+        "chunk_id",
+        "text",
+        F.lit(None).cast("string").alias("ticker"),
+        F.lit(None).cast("string").alias("section"),
+        F.lit("general").alias("chunk_type"),
+        F.lit(-1).alias("page_number"),
+        "embedding"
+    )
+    asked = samples.select(
+        F.col(key).alias("query_id"), F.coalesce(question, F.lit("")).alias("query"), F.lit(None).cast("string").alias("ticker")
+    )
     said = line.answer(chunks, asked.where("query <> ''"), loop=loop)
-    got = said.select("query_id", F.transform("hits", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["text"].alias("text"))).alias("retrieved_chunks"), F.col("answer").alias("generated_answer"))
+    got = said.select(
+        "query_id",
+        F.transform("hits", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["text"].alias("text"))).alias("retrieved_chunks"),
+        F.col("answer").alias("generated_answer")
+    )
     empty = F.array().cast(got.schema["retrieved_chunks"].dataType)
     rows = asked.select("query_id").join(got, "query_id", "left")
-    return rows.select(F.col("query_id").alias(key), F.coalesce("retrieved_chunks", empty).alias("retrieved_chunks"), F.coalesce("generated_answer", F.lit("")).alias("generated_answer"))
+    return rows.select(
+        F.col("query_id").alias(key),
+        F.coalesce("retrieved_chunks", empty).alias("retrieved_chunks"),
+        F.coalesce("generated_answer", F.lit("")).alias("generated_answer")
+    )
 
 
 def corpus_passages(samples: DataFrame, key: str, chunks: str) -> DataFrame:
@@ -152,7 +216,15 @@ def sample_corpus(corpus: DataFrame, needed: DataFrame, distractors: int, ident:
 
 def align_labels(rows: DataFrame, key: str, word_ids: str, tags: str) -> DataFrame:
     """(key, labels): the tag of a word at its first sub-word, -100 at the others and at special tokens."""
-    return rows.select(key, F.transform(word_ids, lambda w, i: F.when(w.isNull() | (F.coalesce(F.try_element_at(F.col(word_ids), i), F.lit(-1)) == w) & (i > 0), -100).otherwise(F.try_element_at(F.col(tags), w + 1))).alias("labels"))
+    return rows.select(
+        key,
+        F.transform(
+            word_ids,
+            lambda w, i: F.when(
+                w.isNull() | (F.coalesce(F.try_element_at(F.col(word_ids), i), F.lit(-1)) == w) & (i > 0), -100
+            ).otherwise(F.try_element_at(F.col(tags), w + 1))
+        ).alias("labels")
+    )
 
 
 def decode_labels(rows: DataFrame, key: str, ids: str, names: list[str]) -> DataFrame:
@@ -174,4 +246,6 @@ def relevant_sets(qrels: DataFrame) -> DataFrame:
 def benchmark_log(logs: DataFrame, text: str) -> DataFrame:
     """(sequential, parallel, speedup) from a benchmark's log lines; null where a line is missing."""
     seconds = lambda name: F.regexp_extract(text, rf"(?i){name}\s*\(median\):\s*([0-9.]+)\s*s", 1).try_cast("double")
-    return logs.select(seconds("sequential").alias("sequential"), seconds("parallel").alias("parallel")).withColumn("speedup", F.try_divide("sequential", "parallel"))
+    return logs.select(seconds("sequential").alias("sequential"), seconds("parallel").alias("parallel")).withColumn(
+        "speedup", F.try_divide("sequential", "parallel")
+    )

@@ -86,7 +86,9 @@ def level_segments(values: np.ndarray, fresh: np.ndarray | None = None, penalty:
     return number[run], level[number[run]]
 
 
-def segment_histories(rows: DataFrame, history: list[str], time: str, tie: str, value: str, penalty: float = PENALTY, block: str = "month") -> DataFrame:
+def segment_histories(
+    rows: DataFrame, history: list[str], time: str, tie: str, value: str, penalty: float = PENALTY, block: str = "month"
+) -> DataFrame:
     """The rows with a usable value, with ``segment`` (differs between all segments) and ``level`` (mean log of its values)."""
     usable = F.col(value).isNotNull() & (F.abs(F.col(value)) > 0) & (F.abs(F.col(value)) < float("inf")) & ~F.isnan(value)
     known = F.lit(True)
@@ -94,7 +96,9 @@ def segment_histories(rows: DataFrame, history: list[str], time: str, tie: str,
         known &= F.col(c).isNotNull()
     when = F.coalesce(F.unix_micros(F.date_trunc(block, time)), F.pmod(F.xxhash64(tie), F.lit(64)))
     live = rows.where(usable & known).withColumn("_history", F.xxhash64(*history, F.signum(value), when))
-    parts = live.repartition(shuffle_width(rows.sparkSession), "_history").sortWithinPartitions("_history", *history, time, tie, value)
+    parts = live.repartition(
+        shuffle_width(rows.sparkSession), "_history"
+    ).sortWithinPartitions("_history", *history, time, tie, value)
     schema = rows.select("*", F.lit(0).cast("long").alias("segment"), F.lit(0.0).alias("level")).schema
 
     def close(df: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +113,9 @@ def segment_histories(rows: DataFrame, history: list[str], time: str, tie: str,
         # named after its history and its first value's place there
         starts = np.maximum.accumulate(np.where(fresh, np.arange(len(df)), 0))
         with np.errstate(over="ignore"):
-            name = df["_history"].to_numpy().view(np.uint64)[lead] + (lead - starts[lead] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            name = df["_history"].to_numpy().view(np.uint64)[lead] + (
+                lead - starts[lead] + 1
+            ).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return df.drop(columns="_history").assign(segment=name.view(np.int64)[number], level=level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,11 +156,43 @@ def revenue_records(examples: DataFrame, agent: DataFrame) -> DataFrame:
 
     A re-delivered row repeats its key and content, so it stays one record.
     """
-    e = examples.select("doc_id", F.col("sample_id").alias("id"), F.col("created_at").alias("at"), "text", "reference_unit", F.try_element_at("reference_kpis", F.lit("revenue")).alias("ref"), F.try_element_at("extracted_kpis", F.lit("revenue")).alias("ext"))
+    e = examples.select(
+        "doc_id",
+        F.col("sample_id").alias("id"),
+        F.col("created_at").alias("at"),
+        "text",
+        "reference_unit",
+        F.try_element_at("reference_kpis", F.lit("revenue")).alias("ref"),
+        F.try_element_at("extracted_kpis", F.lit("revenue")).alias("ext")
+    )
     nothing = F.lit(None).cast("string")
-    reference = e.select("doc_id", F.lit("reference").alias("kind"), F.lit("").alias("source"), "id", "at", F.col("ref").alias("value"), _reference_unit("ref", "text", "reference_unit").alias("unit"))
-    extracted = e.select("doc_id", F.lit("extracted").alias("kind"), F.lit("").alias("source"), "id", "at", F.col("ext").alias("value"), _amount_unit("ext", "text", nothing).alias("unit"))
-    a = agent.where("kpi_type = 'revenue'").select("doc_id", F.lit("agent").alias("kind"), F.coalesce("source", F.lit("")).alias("source"), F.col("entry_id").alias("id"), F.col("extracted_at").alias("at"), "value", _amount_unit("value", "raw_text", "unit").alias("unit"))
+    reference = e.select(
+        "doc_id",
+        F.lit("reference").alias("kind"),
+        F.lit("").alias("source"),
+        "id",
+        "at",
+        F.col("ref").alias("value"),
+        _reference_unit("ref", "text", "reference_unit").alias("unit")
+    )
+    extracted = e.select(
+        "doc_id",
+        F.lit("extracted").alias("kind"),
+        F.lit("").alias("source"),
+        "id",
+        "at",
+        F.col("ext").alias("value"),
+        _amount_unit("ext", "text", nothing).alias("unit")
+    )
+    a = agent.where("kpi_type = 'revenue'").select(
+        "doc_id",
+        F.lit("agent").alias("kind"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.col("entry_id").alias("id"),
+        F.col("extracted_at").alias("at"),
+        "value",
+        _amount_unit("value", "raw_text", "unit").alias("unit")
+    )
     every = reference.unionByName(extracted).unionByName(a).where("value is not null")
     return every.groupBy("doc_id", "kind", "source", "id", "value", "unit").agg(F.min("at").alias("at"))
 
@@ -166,8 +204,13 @@ def to_dollars(records: DataFrame, rates: DataFrame) -> DataFrame:
     """
     table = F.broadcast(_rates(rates))  # one row per currency of the world
     named = records.withColumn("named", F.col("unit.currency").isNotNull() | F.col("unit.scale").isNotNull())
-    named = named.withColumn("currency", F.coalesce("unit.currency", F.lit("USD"))).withColumn("scale", F.coalesce("unit.scale", F.lit(1.0)))
-    out = named.join(table, "currency", "left").withColumn("factor", F.col("scale") * F.when(F.col("currency") == "USD", F.coalesce("usd_rate", F.lit(1.0))).otherwise(F.col("usd_rate")))
+    named = named.withColumn("currency", F.coalesce("unit.currency", F.lit("USD"))).withColumn(
+        "scale", F.coalesce("unit.scale", F.lit(1.0))
+    )
+    out = named.join(table, "currency", "left").withColumn(
+        "factor",
+        F.col("scale") * F.when(F.col("currency") == "USD", F.coalesce("usd_rate", F.lit(1.0))).otherwise(F.col("usd_rate"))
+    )
     return out.withColumn("usd", F.col("value") * F.col("factor")).drop("unit", "usd_rate")
 
 
@@ -196,21 +239,35 @@ def reverse_silent(segments: DataFrame, rates: DataFrame) -> DataFrame:
     rows = _rates(rates).where("usd_rate > 0").orderBy("currency").collect()  # the currencies of the world
     if not rows:
         return segments
-    known = F.array(*[F.struct(F.lit(r.currency).alias("c"), F.lit(s).alias("s"), F.lit(r.usd_rate * s).alias("f")) for r in rows for s in units.SCALES])
+    known = F.array(
+        *[
+            F.struct(F.lit(r.currency).alias("c"), F.lit(s).alias("s"), F.lit(r.usd_rate * s).alias("f"))
+            for r in rows
+            for s in units.SCALES
+        ]
+    )
     spoken = F.max("named").over(Window.partitionBy("segment"))
     told = checkpointed(segments.withColumn("_spoken", spoken))
-    anchors = told.where("named").select("doc_id", (F.col("level") + F.log("factor")).alias("to"), F.signum("value").alias("_sign")).distinct().withColumn("band", _bands(F.col("to")))
+    anchors = told.where("named").select(
+        "doc_id", (F.col("level") + F.log("factor")).alias("to"), F.signum("value").alias("_sign")
+    ).distinct().withColumn("band", _bands(F.col("to")))
     open_ones = told.where(~F.col("_spoken")).select("doc_id", "segment", "level", F.signum("value").alias("_sign")).distinct()
-    tried = open_ones.withColumn("_u", F.explode(known)).withColumn("now", F.col("level") + F.log("_u.f")).withColumn("band", _near(F.col("now")))
+    tried = open_ones.withColumn("_u", F.explode(known)).withColumn(
+        "now", F.col("level") + F.log("_u.f")
+    ).withColumn("band", _near(F.col("now")))
     off = F.abs(F.col("now") - F.col("to"))
-    best = tried.join(anchors, ["doc_id", "_sign", "band"]).where(off <= MATCH).groupBy("segment").agg(F.min(F.struct(F.round(off, 6).alias("off"), "_u.f", "_u.c", "_u.s")).alias("_b"))
+    best = tried.join(anchors, ["doc_id", "_sign", "band"]).where(off <= MATCH).groupBy("segment").agg(
+        F.min(F.struct(F.round(off, 6).alias("off"), "_u.f", "_u.c", "_u.s")).alias("_b")
+    )
     out = told.join(best, "segment", "left")
     for name, got in (("currency", "_b.c"), ("scale", "_b.s"), ("factor", "_b.f")):
         out = out.withColumn(name, F.coalesce(got, name))
     return out.withColumn("usd", F.col("value") * F.col("factor")).drop("_b", "_spoken").select(segments.columns)
 
 
-def unit_changes(records: DataFrame, rates: DataFrame | None = None, tolerance: float = 0.005, penalty: float = PENALTY, silent: str = "default") -> DataFrame:
+def unit_changes(
+    records: DataFrame, rates: DataFrame | None = None, tolerance: float = 0.005, penalty: float = PENALTY, silent: str = "default"
+) -> DataFrame:
     """Pairs (one of kpi_example, one of kpi_agent) of an entity that are one amount recorded in different units.
 
     The pairs come from segments of the two sides whose level shift matches the ratio of their units, another than 1;
@@ -221,15 +278,35 @@ def unit_changes(records: DataFrame, rates: DataFrame | None = None, tolerance:
     if silent == "infer":
         found = reverse_silent(found, rates)
     sign = F.signum("value").alias("sign")
-    some = checkpointed(found.where("factor > 0").select("doc_id", "kind", "id", "value", "factor", "usd", sign, "level", (F.col("level") + F.log("factor")).alias("reversed")))
+    some = checkpointed(
+        found.where("factor > 0").select(
+            "doc_id", "kind", "id", "value", "factor", "usd", sign, "level", (F.col("level") + F.log("factor")).alias("reversed")
+        )
+    )
     levels = some.select("doc_id", "sign", "level", "factor", "reversed", (F.col("kind") == "agent").alias("_agent")).distinct()
     mine, theirs = (levels.where(c).drop("_agent") for c in ("not _agent", "_agent"))
-    left = mine.select("doc_id", "sign", _near(F.col("reversed")).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("level", "factor")])
-    right = theirs.select("doc_id", "sign", _bands(F.col("reversed")).alias("band"), *[F.col(c).alias(f"r_{c}") for c in ("level", "factor")])
+    left = mine.select(
+        "doc_id", "sign", _near(F.col("reversed")).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("level", "factor")]
+    )
+    right = theirs.select(
+        "doc_id", "sign", _bands(F.col("reversed")).alias("band"), *[F.col(c).alias(f"r_{c}") for c in ("level", "factor")]
+    )
     known = F.log("l_factor") - F.log("r_factor")
-    shifts = left.join(right, ["doc_id", "sign", "band"]).where((F.col("l_factor") != F.col("r_factor")) & (F.abs(F.col("r_level") - F.col("l_level") - known) <= MATCH))
-    l = some.where("kind <> 'agent'").select("doc_id", "sign", F.col("kind").alias("kpi_side"), F.col("id").alias("sample_id"), *[F.col(c).alias(f"l_{c}") for c in ("value", "usd", "factor", "level")])
-    r = some.where("kind = 'agent'").select("doc_id", "sign", F.col("id").alias("entry_id"), *[F.col(c).alias(f"r_{c}") for c in ("value", "usd", "factor", "level")])
+    shifts = left.join(right, ["doc_id", "sign", "band"]).where(
+        (F.col("l_factor") != F.col("r_factor")) & (F.abs(F.col("r_level") - F.col("l_level") - known) <= MATCH)
+    )
+    l = some.where("kind <> 'agent'").select(
+        "doc_id",
+        "sign",
+        F.col("kind").alias("kpi_side"),
+        F.col("id").alias("sample_id"),
+        *[F.col(c).alias(f"l_{c}") for c in ("value", "usd", "factor", "level")]
+    )
+    r = some.where("kind = 'agent'").select(
+        "doc_id", "sign", F.col("id").alias("entry_id"), *[F.col(c).alias(f"r_{c}") for c in ("value", "usd", "factor", "level")]
+    )
     both = l.join(shifts.drop("band"), ["doc_id", "sign", "l_level", "l_factor"]).join(r, ["doc_id", "sign", "r_level", "r_factor"])
-    both = both.where((_differ(F.col("l_usd"), F.col("r_usd")) <= tolerance) & (_differ(F.col("l_value"), F.col("r_value")) > tolerance))
+    both = both.where(
+        (_differ(F.col("l_usd"), F.col("r_usd")) <= tolerance) & (_differ(F.col("l_value"), F.col("r_value")) > tolerance)
+    )
     return both.select("sample_id", "kpi_side", "entry_id", (F.col("r_factor") / F.col("l_factor")).alias("unit_ratio")).distinct()

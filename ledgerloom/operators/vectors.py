@@ -26,7 +26,9 @@ def embed(chunks: DataFrame, text: str = "text", embedder: Embedder | None = Non
 def collection_rows(chunks: DataFrame) -> DataFrame:
     """Rows as the collection keeps them: embedded chunks only, defaults for missing metadata, known types."""
     kind = F.when(F.col("chunk_type").isin(*CHUNK_TYPES), F.col("chunk_type")).otherwise("general")
-    put = {"ticker": F.coalesce("ticker", F.lit("unknown")), "chunk_type": kind, "page_number": F.coalesce("page_number", F.lit(-1))}
+    put = {
+        "ticker": F.coalesce("ticker", F.lit("unknown")), "chunk_type": kind, "page_number": F.coalesce("page_number", F.lit(-1))
+    }
     if "fiscal_period" in chunks.columns:
         put["fiscal_period"] = F.coalesce("fiscal_period", F.lit("unknown"))
     return chunks.where("chunk_id is not null and embedding is not null").withColumns(put)
@@ -159,7 +161,9 @@ def _unit(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 BLOCK_QUERIES, BLOCK_ROWS = 10_000, 200_000
 
 
-def _best(xq: np.ndarray, xd: np.ndarray, allowed: np.ndarray | None, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(
+    xq: np.ndarray, xd: np.ndarray, allowed: np.ndarray | None, k: int, floor: float | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, similarity) of the k greatest products of each query; ties at the edge are kept for the final rank."""
     s = xq @ xd.T
     if allowed is not None:
@@ -172,7 +176,18 @@ def _best(xq: np.ndarray, xd: np.ndarray, allowed: np.ndarray | None, k: int, fl
     return r, c, s[r, c]
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = DEFAULT.top_k, floor: float | None = None, group: str | None = None, vector: str = "embedding", exclude_self: bool = False, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(
+    index: DataFrame,
+    queries: DataFrame,
+    id_col: str,
+    query_col: str,
+    k: int = DEFAULT.top_k,
+    floor: float | None = None,
+    group: str | None = None,
+    vector: str = "embedding",
+    exclude_self: bool = False,
+    block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """(query, rank, id, similarity): the k rows of greatest cosine for each query of a stated set, exactly.
 
     With ``group`` a query sees the rows of its own group only, and all rows where its group is null. Up to
@@ -193,7 +208,9 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, query_col: str, k:
         apart = asked.where("g is null")
         parts = -(-apart.count() // block_queries)
         for i in range(parts):
-            found = found.unionByName(_scan(rows, apart.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i), schema, k, floor, exclude_self))
+            found = found.unionByName(
+                _scan(rows, apart.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i), schema, k, floor, exclude_self)
+            )
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
 
@@ -206,7 +223,9 @@ def _scan(rows: DataFrame, asked: DataFrame, schema: str, k: int, floor: float |
     names = block.column("g").to_pylist()
     known = {g: j for j, g in enumerate(sorted({g for g in names if g is not None}))}
     codes = np.array([-1 if g is None else known[g] for g in names], dtype=np.int64)  # -1: every row
-    sent = rows.sparkSession.sparkContext.broadcast((np.array(block.column("q").to_pylist(), dtype=object)[ok], codes[ok], known, x[ok]))
+    sent = rows.sparkSession.sparkContext.broadcast(
+        (np.array(block.column("q").to_pylist(), dtype=object)[ok], codes[ok], known, x[ok])
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, groups, known, xq = sent.value
@@ -220,20 +239,41 @@ def _scan(rows: DataFrame, asked: DataFrame, schema: str, k: int, floor: float |
             if exclude_self:
                 allowed &= ids[:, None] != own[None, :]
             r, c, s = _best(xq, xd, allowed, k, floor)
-            yield pa.record_batch([pa.array(ids[r].tolist(), kind), pa.array(own[c].tolist(), b.column("id").type), pa.array(s)], names=["query", "id", "similarity"])
+            yield pa.record_batch(
+                [pa.array(ids[r].tolist(), kind), pa.array(own[c].tolist(), b.column("id").type), pa.array(s)],
+                names=["query", "id", "similarity"]
+            )
 
     return rows.mapInArrow(run, schema)
 
 
-def _by_group(rows: DataFrame, asked: DataFrame, schema: str, k: int, floor: float | None, exclude_self: bool, block_queries: int) -> DataFrame:
+def _by_group(
+    rows: DataFrame, asked: DataFrame, schema: str, k: int, floor: float | None, exclude_self: bool, block_queries: int
+) -> DataFrame:
     """Queries against the rows of their group, in a cell for each block of a group's queries and part of its rows."""
     spark = rows.sparkSession
     sizes = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("_q"))
     sizes = checkpointed(sizes.join(rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_r")), "g"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     q, r = F.pmod(F.xxhash64("q"), F.col("_q")).cast("int"), F.pmod(F.xxhash64("id"), F.col("_r")).cast("int")
-    left = asked.join(sizes, "g").select("g", q.alias("block"), spread(F.col("_r")).alias("part"), F.lit(0).alias("role"), "q", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "v")
-    right = rows.join(sizes, "g").select("g", spread(F.col("_q")).alias("block"), r.alias("part"), F.lit(1).alias("role"), F.lit(None).cast(asked.schema["q"].dataType).alias("q"), "id", "v")
+    left = asked.join(sizes, "g").select(
+        "g",
+        q.alias("block"),
+        spread(F.col("_r")).alias("part"),
+        F.lit(0).alias("role"),
+        "q",
+        F.lit(None).cast(rows.schema["id"].dataType).alias("id"),
+        "v"
+    )
+    right = rows.join(sizes, "g").select(
+        "g",
+        spread(F.col("_q")).alias("block"),
+        r.alias("part"),
+        F.lit(1).alias("role"),
+        F.lit(None).cast(asked.schema["q"].dataType).alias("q"),
+        "id",
+        "v"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come one after the other, their queries first."""
@@ -242,7 +282,14 @@ def _by_group(rows: DataFrame, asked: DataFrame, schema: str, k: int, floor: flo
         for b in batches:
             if not b.num_rows:
                 continue
-            cells = list(zip(b.column("g").to_pylist(), b.column("block").to_pylist(), b.column("part").to_pylist(), b.column("role").to_pylist()))
+            cells = list(
+                zip(
+                    b.column("g").to_pylist(),
+                    b.column("block").to_pylist(),
+                    b.column("part").to_pylist(),
+                    b.column("role").to_pylist()
+                )
+            )
             edges = [0, *[i for i in range(1, len(cells)) if cells[i] != cells[i - 1]], len(cells)]
             for s, e in zip(edges, edges[1:]):
                 if cells[s][:3] != at:
@@ -265,7 +312,12 @@ def _by_group(rows: DataFrame, asked: DataFrame, schema: str, k: int, floor: flo
                 if exclude_self:
                     allowed &= names[:, None] != own[None, :]
                 i, j, sim = _best(xq, xd, allowed, k, floor)
-                yield pa.record_batch([pa.array(names[i].tolist(), b.column("q").type), pa.array(own[j].tolist(), b.column("id").type), pa.array(sim)], names=["query", "id", "similarity"])
-
-    cells = left.unionByName(right).repartition(shuffle_width(spark), "g", "block", "part").sortWithinPartitions("g", "block", "part", "role")
+                yield pa.record_batch(
+                    [pa.array(names[i].tolist(), b.column("q").type), pa.array(own[j].tolist(), b.column("id").type), pa.array(sim)],
+                    names=["query", "id", "similarity"]
+                )
+
+    cells = left.unionByName(right).repartition(
+        shuffle_width(spark), "g", "block", "part"
+    ).sortWithinPartitions("g", "block", "part", "role")
     return cells.mapInArrow(run, schema)

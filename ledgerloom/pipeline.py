@@ -18,7 +18,15 @@ class AnalysisPipeline:
     replace revenue found by patterns.
     """
 
-    def __init__(self, embedder: Embedder | None = None, tagger: EntityTagger | None = None, sentiment_model: SentimentModel | None = None, llm: LanguageModel | None = None, settings: Settings = DEFAULT, figures: FigureTagger | None = None):
+    def __init__(
+        self,
+        embedder: Embedder | None = None,
+        tagger: EntityTagger | None = None,
+        sentiment_model: SentimentModel | None = None,
+        llm: LanguageModel | None = None,
+        settings: Settings = DEFAULT,
+        figures: FigureTagger | None = None
+    ):
         self.figures = figures
         self.embedder, self.tagger, self.model, self.llm, self.s = embedder or HashEmbedder(), tagger, sentiment_model, llm, settings
 
@@ -28,7 +36,9 @@ class AnalysisPipeline:
 
     def _search(self, index: DataFrame, asked: DataFrame, n: int) -> DataFrame:
         vectors_ = asked.withColumn("embedding", self.embedder.embed(retrieval.reformulate(F.col("query"), F.lit(n))))
-        return vectors.search(index, vectors_, "chunk_id", "query_id", k=self.s.top_k, floor=self.s.similarity_floor, group="ticker").withColumnRenamed("query", "query_id")
+        return vectors.search(
+            index, vectors_, "chunk_id", "query_id", k=self.s.top_k, floor=self.s.similarity_floor, group="ticker"
+        ).withColumnRenamed("query", "query_id")
 
     def retrieve(self, index: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = True) -> DataFrame:
         """Hits (query_id, attempt, rank, id, similarity) of (query_id, query, ticker); by the re-query loop, or of one
@@ -41,15 +51,23 @@ class AnalysisPipeline:
         # every attempt starts from the questions again
         named = checkpointed(questions.select("query_id", "query", "ticker", F.sha2(F.to_json(text), 256).alias("_same")))
         if supplied is None:
-            once = named.groupBy(F.col("_same").alias("query_id")).agg(F.first("query").alias("query"), F.first("ticker").alias("ticker"))
+            once = named.groupBy(F.col("_same").alias("query_id")).agg(
+                F.first("query").alias("query"), F.first("ticker").alias("ticker")
+            )
             hits = retrieval.requery(once, lambda left, n: self._search(index, left, n), key="query_id", s=self.s, loop=loop)
-            return hits.withColumnRenamed("query_id", "_same").join(named.select("query_id", "_same"), "_same").drop("_same").select("query_id", "attempt", "rank", "id", "similarity")
+            return hits.withColumnRenamed("query_id", "_same").join(
+                named.select("query_id", "_same"), "_same"
+            ).drop("_same").select(
+                "query_id", "attempt", "rank", "id", "similarity"
+            )
 
         def attempt(left: DataFrame, n: int) -> DataFrame:
             if n:
                 return self._search(index, left, n)
             given = supplied.select("query_id", "rank", "id", "similarity").join(left.select("query_id"), "query_id", "left_semi")
-            return given.unionByName(self._search(index, left.join(supplied.select("query_id"), "query_id", "left_anti"), 0).select(given.columns))
+            return given.unionByName(
+                self._search(index, left.join(supplied.select("query_id"), "query_id", "left_anti"), 0).select(given.columns)
+            )
 
         return retrieval.requery(named.drop("_same"), attempt, key="query_id", s=self.s, loop=loop)
 
@@ -57,7 +75,11 @@ class AnalysisPipeline:
         """(query_id, hits, attempt, average): the hits of each question with their texts, in order."""
         full = hits.join(chunks.select(F.col("chunk_id").alias("id"), "text", "section", "chunk_type", "page_number"), "id")
         fields = F.struct("rank", F.col("id").alias("chunk_id"), "text", "section", "chunk_type", "page_number", "similarity")
-        return full.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("hits"), F.max("attempt").alias("attempt"), F.avg("similarity").alias("average"))
+        return full.groupBy("query_id").agg(
+            F.array_sort(F.collect_list(fields)).alias("hits"),
+            F.max("attempt").alias("attempt"),
+            F.avg("similarity").alias("average")
+        )
 
     def answer(self, chunks: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = False) -> DataFrame:
         """questions with hits, attempt, average, reasoning and answer: one search (``loop`` for the re-query loop) and the
@@ -67,7 +89,9 @@ class AnalysisPipeline:
         joined = questions.join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", empty))
         return retrieval.generate(joined, self.llm)
 
-    def analyze(self, docs: DataFrame, questions: DataFrame, sections: DataFrame | None = None, tagged: DataFrame | None = None) -> DataFrame:
+    def analyze(
+        self, docs: DataFrame, questions: DataFrame, sections: DataFrame | None = None, tagged: DataFrame | None = None
+    ) -> DataFrame:
         """docs (doc_id, ticker, doc_type, fiscal_period, cleaned_text), questions (doc_id, query_id, query, ticker)."""
         s = self.s
         chunks = checkpointed(self.chunks(docs, sections))  # read by every attempt of the search and by the sentiment
@@ -75,16 +99,26 @@ class AnalysisPipeline:
 
         ents = entities.extract_entities(docs, "doc_id", "cleaned_text", self.tagger)
         types = entities.entity_type_counts(ents, "doc_id")
-        top = entities.top_entity_type(types, "doc_id").select("doc_id", F.col("entity_group").alias("top_type"), F.col("n").alias("top_count"))
-        per_doc = types.groupBy("doc_id").agg(F.sum("n").alias("entities"), F.count(F.lit(1)).alias("entity_types"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_group", "n")))).alias("type_counts")).join(top, "doc_id")
+        top = entities.top_entity_type(types, "doc_id").select(
+            "doc_id", F.col("entity_group").alias("top_type"), F.col("n").alias("top_count")
+        )
+        per_doc = types.groupBy("doc_id").agg(
+            F.sum("n").alias("entities"),
+            F.count(F.lit(1)).alias("entity_types"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_group", "n")))).alias("type_counts")
+        ).join(top, "doc_id")
         if tagged is None and self.figures is not None:
             tagged = entities.tag_figures(chunks, "doc_id", ["section", "ord"], "text", self.figures)
         figures = kpi.extract_kpis(docs, "doc_id", "cleaned_text")
         if tagged is not None:
             figures = kpi.override_revenue(figures, tagged, "doc_id")
         totals = kpi.kpi_totals(figures, kpi.derived_margin(figures, "doc_id"), "doc_id")
-        feeling = sentiment.document_sentiment(docs, "doc_id", "cleaned_text", self.model, s).withColumnRenamed("score", "sentiment_score")
-        shares = sentiment.sentiment_distribution(sentiment.chunk_sentiment(chunks, ["doc_id", "chunk_id"], "text", self.model, s), "doc_id")
+        feeling = sentiment.document_sentiment(
+            docs, "doc_id", "cleaned_text", self.model, s
+        ).withColumnRenamed("score", "sentiment_score")
+        shares = sentiment.sentiment_distribution(
+            sentiment.chunk_sentiment(chunks, ["doc_id", "chunk_id"], "text", self.model, s), "doc_id"
+        )
         calls = sentiment.tone(docs.where("doc_type = 'earnings_call'"), "doc_id", "cleaned_text", self.model, s)
         joined = asked.join(docs.select("doc_id", "doc_type", "fiscal_period"), "doc_id")
         for part in (per_doc, totals, feeling, shares, calls):
@@ -92,12 +126,42 @@ class AnalysisPipeline:
         zero = lambda c: F.coalesce(c, F.lit(0))
         return joined.select(
             "doc_id", "query_id",
-            F.struct(F.coalesce("ticker", F.lit("unknown")).alias("ticker"), "doc_type", "fiscal_period", "query").alias("metadata"),
-            F.struct(F.size("hits").alias("chunks_retrieved"), F.coalesce("average", F.lit(0.0)).alias("average_similarity"), F.coalesce("attempt", F.lit(s.max_retries)).alias("retries_performed"), report.format_chunks(F.col("hits")).alias("chunks")).alias("retrieval"),
-            F.struct(zero(F.col("entities")).alias("total_entities"), F.col("type_counts").alias("entity_types")).alias("named_entities"),
-            F.struct(F.col("label").alias("overall_sentiment"), F.col("sentiment_score").alias("confidence_score"), F.struct("positive", "neutral", "negative").alias("sentiment_distribution"), "is_positive", "tone_progression").alias("sentiment_analysis"),
-            F.struct(zero(F.col("total_kpis")).alias("total_kpis"), zero(F.col("kpi_count")).alias("kpi_count"), zero(F.col("calculated")).alias("calculated_kpis")).alias("financial_metrics"),
+            F.struct(
+                F.coalesce("ticker", F.lit("unknown")).alias("ticker"), "doc_type", "fiscal_period", "query"
+            ).alias("metadata"),
+            F.struct(
+                F.size("hits").alias("chunks_retrieved"),
+                F.coalesce("average", F.lit(0.0)).alias("average_similarity"),
+                F.coalesce("attempt", F.lit(s.max_retries)).alias("retries_performed"),
+                report.format_chunks(F.col("hits")).alias("chunks")
+            ).alias("retrieval"),
+            F.struct(
+                zero(F.col("entities")).alias("total_entities"), F.col("type_counts").alias("entity_types")
+            ).alias("named_entities"),
+            F.struct(
+                F.col("label").alias("overall_sentiment"),
+                F.col("sentiment_score").alias("confidence_score"),
+                F.struct("positive", "neutral", "negative").alias("sentiment_distribution"),
+                "is_positive",
+                "tone_progression"
+            ).alias("sentiment_analysis"),
+            F.struct(
+                zero(F.col("total_kpis")).alias("total_kpis"),
+                zero(F.col("kpi_count")).alias("kpi_count"),
+                zero(F.col("calculated")).alias("calculated_kpis")
+            ).alias("financial_metrics"),
             F.struct(F.col("reasoning").alias("chain_of_thought"), F.col("answer").alias("final_answer")).alias("reasoning"),
-            report.findings(F.col("label"), F.col("top_type"), F.col("top_count"), F.col("kpi_count"), F.col("tone_progression")).alias("key_findings"),
-            report.summary(F.col("entities"), F.col("entity_types"), F.col("label"), F.col("sentiment_score"), F.col("total_kpis"), F.col("kpi_count"), F.col("calculated"), F.col("answer")).alias("summary"),
+            report.findings(
+                F.col("label"), F.col("top_type"), F.col("top_count"), F.col("kpi_count"), F.col("tone_progression")
+            ).alias("key_findings"),
+            report.summary(
+                F.col("entities"),
+                F.col("entity_types"),
+                F.col("label"),
+                F.col("sentiment_score"),
+                F.col("total_kpis"),
+                F.col("kpi_count"),
+                F.col("calculated"),
+                F.col("answer")
+            ).alias("summary"),
         )

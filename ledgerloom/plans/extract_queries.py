@@ -19,8 +19,12 @@ def _orders_text() -> Column:
     money = lambda c: F.format_string("%.1f", F.floor(F.col(c) / 1000).cast("double"))
     return F.concat(
         F.lit("Total revenue of $"), money("o_totalprice"), F.lit(" M and "),
-        F.when(F.col("o_orderkey") % 4 == 0, F.lit("gross margin was 38.2%")).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("gross profit reached "), (F.col("o_orderkey") % 97).cast("string"))).otherwise("costs fell"),
-        F.lit(". Net income: $"), (F.col("o_custkey") % 1000).cast("string"), F.lit(",250.5 and EPS of "), F.when(F.col("o_orderkey") % 5 == 0, F.lit(",")).otherwise(F.lit("1.25")), F.lit(" steps"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit("gross margin was 38.2%")).when(
+            F.col("o_orderkey") % 4 == 1, F.concat(F.lit("gross profit reached "), (F.col("o_orderkey") % 97).cast("string"))
+        ).otherwise("costs fell"),
+        F.lit(". Net income: $"), (F.col("o_custkey") % 1000).cast("string"), F.lit(",250.5 and EPS of "), F.when(
+            F.col("o_orderkey") % 5 == 0, F.lit(",")
+        ).otherwise(F.lit("1.25")), F.lit(" steps"),
     )
 
 
@@ -40,7 +44,9 @@ def kpi_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kpi_margin(spark: SparkSession, d: str) -> DataFrame:
-    return kp.derived_margin(_order_kpis(spark, d), "o_orderkey").withColumn("calculated_gross_margin_percent", F.round("calculated_gross_margin_percent", 6))
+    return kp.derived_margin(_order_kpis(spark, d), "o_orderkey").withColumn(
+        "calculated_gross_margin_percent", F.round("calculated_gross_margin_percent", 6)
+    )
 
 
 def kpi_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -50,22 +56,42 @@ def kpi_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """Line items as tagged figures of their orders; every third order has none of revenue."""
-    tag = F.when(F.col("l_linenumber") % 3 == 0, "Revenues").when(F.col("l_orderkey") % 3 == 0, "DebtInstrumentFaceAmount").otherwise("RevenueFromRelatedParties")
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("ord"), tag.alias("tag"), F.col("l_quantity").alias("value"), (F.col("l_discount") * 100).cast("int").cast("double").alias("score"), F.concat(F.lit("$ "), F.col("l_quantity").cast("int").cast("string")).alias("text"), "l_partkey", "l_suppkey")
+    tag = F.when(F.col("l_linenumber") % 3 == 0, "Revenues").when(
+        F.col("l_orderkey") % 3 == 0, "DebtInstrumentFaceAmount"
+    ).otherwise("RevenueFromRelatedParties")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_linenumber").alias("ord"),
+        tag.alias("tag"),
+        F.col("l_quantity").alias("value"),
+        (F.col("l_discount") * 100).cast("int").cast("double").alias("score"),
+        F.concat(F.lit("$ "), F.col("l_quantity").cast("int").cast("string")).alias("text"),
+        "l_partkey",
+        "l_suppkey"
+    )
 
 
 def kpi_override(spark: SparkSession, d: str) -> DataFrame:
-    best = _tagged(spark, d).groupBy("o_orderkey", "ord").agg(F.max_by(F.struct("tag", "value", "score", "text"), F.struct("score", "l_partkey", "l_suppkey", "value")).alias("b")).select("o_orderkey", "ord", "b.*")
+    best = _tagged(spark, d).groupBy("o_orderkey", "ord").agg(
+        F.max_by(F.struct("tag", "value", "score", "text"), F.struct("score", "l_partkey", "l_suppkey", "value")).alias("b")
+    ).select("o_orderkey", "ord", "b.*")
     kept = table(spark, d, "orders").select("o_orderkey")
     return kp.override_revenue(_order_kpis(spark, d), best.join(kept, "o_orderkey", "left_semi"), "o_orderkey")
 
 
 def xbrl_numeric_parse(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "kpi_agent").select("entry_id", tx.parse_number(F.col("raw_text")).alias("value"), tx.parse_number(F.concat_ws("", F.lit("$"), "unit")).alias("from_unit"), tx.parse_amount(F.regexp_extract("raw_text", r"[$]?[\d,.]+%?$", 0)).alias("amount"))
+    return table(spark, d, "kpi_agent").select(
+        "entry_id",
+        tx.parse_number(F.col("raw_text")).alias("value"),
+        tx.parse_number(F.concat_ws("", F.lit("$"), "unit")).alias("from_unit"),
+        tx.parse_amount(F.regexp_extract("raw_text", r"[$]?[\d,.]+%?$", 0)).alias("amount")
+    )
 
 
 def xbrl_tag_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = en.tag_counts(_tagged(spark, d).withColumn("ord", F.col("ord").cast("long") * 1_000_000 + F.col("l_partkey")), "o_orderkey")
+    counts = en.tag_counts(
+        _tagged(spark, d).withColumn("ord", F.col("ord").cast("long") * 1_000_000 + F.col("l_partkey")), "o_orderkey"
+    )
     tags = counts.select("o_orderkey", "total_tagged", F.explode("tag_counts").alias("tag", "n"), F.size("sample").alias("sampled"))
     return tags
 
@@ -94,23 +120,34 @@ def sentiment_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentiment_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return se.chunk_sentiment(table(spark, d, "document_chunk"), ["chunk_id"], "text").select("chunk_id", "label", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+    return se.chunk_sentiment(table(spark, d, "document_chunk"), ["chunk_id"], "text").select(
+        "chunk_id", "label", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence")
+    )
 
 
 def sentiment_distribution(spark: SparkSession, d: str) -> DataFrame:
-    shares = se.sentiment_distribution(se.chunk_sentiment(table(spark, d, "document_chunk"), ["doc_id", "chunk_id"], "text"), "doc_id")
+    shares = se.sentiment_distribution(
+        se.chunk_sentiment(table(spark, d, "document_chunk"), ["doc_id", "chunk_id"], "text"), "doc_id"
+    )
     return shares.select("doc_id", *[F.round(c, 6).alias(c) for c in ("positive", "neutral", "negative")])
 
 
 def tone(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "parsed_document").where("doc_type = 'earnings_call'").groupBy("doc_id").agg(F.max("cleaned_text").alias("cleaned_text"))
+    calls = table(spark, d, "parsed_document").where("doc_type = 'earnings_call'").groupBy("doc_id").agg(
+        F.max("cleaned_text").alias("cleaned_text")
+    )
     return se.tone(calls, "doc_id", "cleaned_text")
 
 
 def _json_rows(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit('{"note": 1, "text": "'), F.col("event_type"), F.lit('"}'))
     content = F.concat(F.lit('{"text": 5, "body": "'), F.col("event_type"), F.lit('", "document": "x"}'))
-    return table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, body).when(F.col("event_id") % 3 == 1, content).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).alias("json"))
+    return table(spark, d, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 3 == 0, body).when(F.col("event_id") % 3 == 1, content).otherwise(
+            F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+        ).alias("json")
+    )
 
 
 def json_source(spark: SparkSession, d: str) -> DataFrame:
@@ -118,20 +155,38 @@ def json_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_source(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("<html><head><style>p {}</style><script>var a = '<b>';</script></head><body><p>"), F.col("p_name"), F.lit(" &amp; "), F.col("p_brand"), F.lit("</p><div>  "), F.col("p_type"), F.lit(" </div></body></html>"))
+    page = F.concat(
+        F.lit("<html><head><style>p {}</style><script>var a = '<b>';</script></head><body><p>"),
+        F.col("p_name"),
+        F.lit(" &amp; "),
+        F.col("p_brand"),
+        F.lit("</p><div>  "),
+        F.col("p_type"),
+        F.lit(" </div></body></html>")
+    )
     return table(spark, d, "part").select("p_partkey", src.html_text(page).alias("text"))
 
 
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("<table><tr><th>name</th><th>size</th></tr><tr><td> "), F.col("p_name"), F.lit(" </td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table><table><tr></tr></table>"))
-    return src.html_tables(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey", "html").select("p_partkey", "table_ord", "row_ord", F.array_join("cells", "|").alias("cells"))
+    page = F.concat(
+        F.lit("<table><tr><th>name</th><th>size</th></tr><tr><td> "),
+        F.col("p_name"),
+        F.lit(" </td><td>"),
+        F.col("p_size").cast("string"),
+        F.lit("</td></tr></table><table><tr></tr></table>")
+    )
+    return src.html_tables(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey", "html").select(
+        "p_partkey", "table_ord", "row_ord", F.array_join("cells", "|").alias("cells")
+    )
 
 
 def _kpi_sql(source: str, key: str) -> str:
     out = []
     for kind, phrase in kp.PHRASES.items():
         rx = q.quote("(?i)" + phrase + kp.TAIL)
-        out.append(f"SELECT {key}, '{kind}' AS kpi_type, unnest(range(0, len(r))) AS i, unnest(r) AS raw_text, unnest(a) AS name, unnest(b) AS number, unnest(u) AS unit FROM (SELECT {key}, regexp_extract_all(text, {rx}, 0) AS r, regexp_extract_all(text, {rx}, 1) AS a, regexp_extract_all(text, {rx}, 2) AS b, regexp_extract_all(text, {rx}, 3) AS u FROM ({source}))")
+        out.append(
+            f"SELECT {key}, '{kind}' AS kpi_type, unnest(range(0, len(r))) AS i, unnest(r) AS raw_text, unnest(a) AS name, unnest(b) AS number, unnest(u) AS unit FROM (SELECT {key}, regexp_extract_all(text, {rx}, 0) AS r, regexp_extract_all(text, {rx}, 1) AS a, regexp_extract_all(text, {rx}, 2) AS b, regexp_extract_all(text, {rx}, 3) AS u FROM ({source}))"
+        )
     return f"SELECT {key}, kpi_type, CAST(i AS INTEGER) AS ord, name, try_cast(replace(number, ',', '') AS DOUBLE) AS value, unit, raw_text, 'regex' AS source FROM ({' UNION ALL '.join(out)}) WHERE try_cast(replace(number, ',', '') AS DOUBLE) IS NOT NULL"
 
 
@@ -157,7 +212,11 @@ _SENTENCES = "SELECT doc_id, substr(s, 1, 512) AS s FROM (SELECT doc_id, unnest(
 _CHUNKS = "SELECT doc_id, chunk_id, substr(text, 1, 512) AS s FROM document_chunk WHERE length(trim(text)) >= 5"
 _CALLS = "SELECT doc_id, {part} AS s FROM (SELECT doc_id, string_split(max(cleaned_text), '.') AS parts FROM parsed_document WHERE doc_type = 'earnings_call' GROUP BY doc_id HAVING trim(max(cleaned_text)) <> '')"
 _OPENING = _judged_sql(_CALLS.format(part="substr(array_to_string(list_slice(parts, 1, 10), ' '), 1, 512)"), "doc_id", "s")
-_CLOSING = _judged_sql(_CALLS.format(part="substr(array_to_string(list_slice(parts, greatest(len(parts) - 9, 1), len(parts)), ' '), 1, 512)"), "doc_id", "s")
+_CLOSING = _judged_sql(
+    _CALLS.format(part="substr(array_to_string(list_slice(parts, greatest(len(parts) - 9, 1), len(parts)), ' '), 1, 512)"),
+    "doc_id",
+    "s"
+)
 
 SQL = {
     "kpi_extract": _kpi_sql("SELECT sample_id, max(text) AS text FROM kpi_example GROUP BY 1", "sample_id"),
@@ -171,7 +230,9 @@ SQL = {
     "top_entity_type": "SELECT user_id, entity_group, n FROM (SELECT user_id, coalesce(event_type, 'unknown') AS entity_group, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
     "sentiment_document": f"WITH j AS ({_judged_sql(_SENTENCES, 'doc_id', 's')}), a AS (SELECT d.doc_id, coalesce(avg(score), 0.0::DOUBLE) AS score FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY 1) SELECT doc_id, CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END AS label, round(score, 6) AS score, score > 0.5 AS is_positive FROM a",
     "sentiment_chunks": f"SELECT chunk_id, label, round(score, 6) AS score, round(confidence, 6) AS confidence FROM ({_judged_sql(_CHUNKS, 'doc_id, chunk_id', 's')})",
-    "sentiment_distribution": "SELECT doc_id, " + ", ".join(f"round(avg(CASE WHEN label = '{x}' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS {x}" for x in ("positive", "neutral", "negative")) + f" FROM ({_judged_sql(_CHUNKS, 'doc_id, chunk_id', 's')}) GROUP BY 1",
+    "sentiment_distribution": "SELECT doc_id, " + ", ".join(
+        f"round(avg(CASE WHEN label = '{x}' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS {x}" for x in ("positive", "neutral", "negative")
+    ) + f" FROM ({_judged_sql(_CHUNKS, 'doc_id, chunk_id', 's')}) GROUP BY 1",
     "tone": f"SELECT o.doc_id, upper(o.label[1]) || o.label[2:] AS opening_tone, sign(o.score)::DOUBLE AS opening_score, upper(c.label[1]) || c.label[2:] AS closing_tone, sign(c.score)::DOUBLE AS closing_score, sign(c.score)::DOUBLE - sign(o.score)::DOUBLE AS tone_progression FROM ({_OPENING}) o JOIN ({_CLOSING}) c ON o.doc_id = c.doc_id",
     "json_source": "SELECT event_id, event_type AS text FROM events",
     "html_source": "SELECT p_partkey, p_name || ' & ' || p_brand || chr(10) || p_type AS text FROM part",

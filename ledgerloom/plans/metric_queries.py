@@ -25,7 +25,9 @@ def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     word = F.concat("event_type", (F.col("event_id") % 40).cast("string"))
     reference = e.select(F.col("user_id").alias("sample_id"), word.alias("word"), kind(F.col("event_id")).alias("entity"))
     guess = F.when(F.col("event_id") % 5 == 0, F.col("event_id") + 1).otherwise(F.col("event_id"))
-    predicted = e.where("event_id % 7 <> 0").select(F.col("user_id").alias("sample_id"), word.alias("word"), kind(guess).alias("entity"))
+    predicted = e.where("event_id % 7 <> 0").select(
+        F.col("user_id").alias("sample_id"), word.alias("word"), kind(guess).alias("entity")
+    )
     return predicted, reference
 
 
@@ -40,7 +42,9 @@ def eval_ner_by_type(spark: SparkSession, d: str) -> DataFrame:
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ev.CLASSES])
     pick = lambda n: F.element_at(names, (F.pmod(n, F.lit(3)) + 1).cast("int"))
-    guess = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("user_id") % 4 == 0, pick(F.col("user_id"))).otherwise(pick(F.col("event_id")))
+    guess = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(
+        F.col("user_id") % 4 == 0, pick(F.col("user_id"))
+    ).otherwise(pick(F.col("event_id")))
     return table(spark, d, "events").select("event_id", pick(F.col("event_id")).alias("reference"), guess.alias("predicted"))
 
 
@@ -80,7 +84,9 @@ def eval_kpi_macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_kpi_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return _round(ev.kpi_accuracy_by_type(_kpis(spark, d), "sample_id", "reference_kpis", "extracted_kpis", types=_KINDS), "accuracy")
+    return _round(
+        ev.kpi_accuracy_by_type(_kpis(spark, d), "sample_id", "reference_kpis", "extracted_kpis", types=_KINDS), "accuracy"
+    )
 
 
 def calc_accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -95,25 +101,41 @@ def _programs(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_orderkey")
     name = F.element_at(F.array(*[F.lit(x) for x in (*ev.PROGRAM_OPERATORS, "exp")]), (n % 5 + 1).cast("int"))
     right = F.when(n % 7 == 0, F.lit("#0")).otherwise(F.concat((n % 13 + 1).cast("string"), F.lit(",000")))
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit(" "), name, F.lit("( "), "o_custkey", F.lit(", "), right, F.lit(")")).alias("program"), F.when(n % 11 == 0, "yes").otherwise(F.concat(F.lit("$"), F.col("o_custkey").cast("string"), F.lit("%"))).alias("answer"))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit(" "), name, F.lit("( "), "o_custkey", F.lit(", "), right, F.lit(")")).alias("program"),
+        F.when(n % 11 == 0, "yes").otherwise(F.concat(F.lit("$"), F.col("o_custkey").cast("string"), F.lit("%"))).alias("answer")
+    )
 
 
 def finqa_program_parse(spark: SparkSession, d: str) -> DataFrame:
     rows = pr.program_samples(_programs(spark, d), "o_orderkey", "program", "answer")
-    return rows.select(F.col("id").alias("o_orderkey"), "operator", F.col("operands")[0].alias("left_operand"), F.col("operands")[1].alias("right_operand"), "expected")
+    return rows.select(
+        F.col("id").alias("o_orderkey"),
+        "operator",
+        F.col("operands")[0].alias("left_operand"),
+        F.col("operands")[1].alias("right_operand"),
+        "expected"
+    )
 
 
 def eval_rag_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    return _round(ev.retrieval_scores(table(spark, d, "rag_example"), "sample_id", "retrieved_chunks", "gold_chunks"), "mrr", "ndcg")
+    return _round(
+        ev.retrieval_scores(table(spark, d, "rag_example"), "sample_id", "retrieved_chunks", "gold_chunks"), "mrr", "ndcg"
+    )
 
 
 def eval_rag_generation(spark: SparkSession, d: str) -> DataFrame:
-    return _round(ev.generation_scores(table(spark, d, "rag_example"), "sample_id", "generated_answer", "answer"), "rouge_l", "bleu")
+    return _round(
+        ev.generation_scores(table(spark, d, "rag_example"), "sample_id", "generated_answer", "answer"), "rouge_l", "bleu"
+    )
 
 
 def eval_rag(spark: SparkSession, d: str) -> DataFrame:
     rag = table(spark, d, "rag_example").dropDuplicates(["sample_id"])
-    both = ev.retrieval_scores(rag, "sample_id", "retrieved_chunks", "gold_chunks").join(ev.generation_scores(rag, "sample_id", "generated_answer", "answer"), "sample_id")
+    both = ev.retrieval_scores(rag, "sample_id", "retrieved_chunks", "gold_chunks").join(
+        ev.generation_scores(rag, "sample_id", "generated_answer", "answer"), "sample_id"
+    )
     names = ["hit_rate_top1", "hit_rate_top5", "mrr", "ndcg", "exact_match", "rouge_l", "bleu"]
     return _round(ev.macro(both, names), *names)
 
@@ -122,8 +144,12 @@ def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Ranking of each queried vector's nearest ten against the vectors of its label with an id divisible by 5."""
     e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    ranked = vx.search(e, asked, "vec_id", "query_id", k=10, exclude_self=True).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("doc_id"))
-    relevant = asked.select("query_id", "label").join(e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("doc_id"), "label"), "label").where("doc_id <> query_id")
+    ranked = vx.search(e, asked, "vec_id", "query_id", k=10, exclude_self=True).select(
+        F.col("query").alias("query_id"), "rank", F.col("id").alias("doc_id")
+    )
+    relevant = asked.select("query_id", "label").join(
+        e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("doc_id"), "label"), "label"
+    ).where("doc_id <> query_id")
     return _round(ev.ranking_scores(ranked, relevant), "ndcg", "mrr", "recall", "precision_at_1")
 
 
@@ -140,10 +166,19 @@ def span_to_iob2(spark: SparkSession, d: str) -> DataFrame:
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
     """Line items of an order as a tagged sentence, with another column as its prediction."""
-    tag = lambda c: F.when(F.col(c) % 5 < 2, "O").when(F.col(c) % 5 == 2, "B-Revenues").when(F.col(c) % 5 == 3, "I-Revenues").otherwise("B-Debt")
+    tag = lambda c: F.when(F.col(c) % 5 < 2, "O").when(
+        F.col(c) % 5 == 2, "B-Revenues"
+    ).when(F.col(c) % 5 == 3, "I-Revenues").otherwise("B-Debt")
     place = F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", place.alias("place")).agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
-    return rows.select("l_orderkey", "place", tag("l_partkey").alias("reference"), F.when(F.col("l_suppkey") % 3 == 0, tag("l_suppkey")).otherwise(tag("l_partkey")).alias("predicted"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", place.alias("place")).agg(
+        F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey")
+    )
+    return rows.select(
+        "l_orderkey",
+        "place",
+        tag("l_partkey").alias("reference"),
+        F.when(F.col("l_suppkey") % 3 == 0, tag("l_suppkey")).otherwise(tag("l_partkey")).alias("predicted")
+    )
 
 
 def iob2_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +187,12 @@ def iob2_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_finer(spark: SparkSession, d: str) -> DataFrame:
     rows = _tags(spark, d)
-    scores = ev.tagging_scores(ev.tag_spans(rows, "l_orderkey", "place", "predicted"), ev.tag_spans(rows, "l_orderkey", "place", "reference"), "l_orderkey", by_type=True)
+    scores = ev.tagging_scores(
+        ev.tag_spans(rows, "l_orderkey", "place", "predicted"),
+        ev.tag_spans(rows, "l_orderkey", "place", "reference"),
+        "l_orderkey",
+        by_type=True
+    )
     return _round(scores, "precision", "recall", "f1_score")
 
 
@@ -166,7 +206,9 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def _qrels(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "document_chunk")
-    return c.select((F.col("ord") % 50).cast("long").alias("query_id"), F.col("chunk_id").alias("doc_id"), (F.col("ord") % 3).alias("score")).distinct()
+    return c.select(
+        (F.col("ord") % 50).cast("long").alias("query_id"), F.col("chunk_id").alias("doc_id"), (F.col("ord") % 3).alias("score")
+    ).distinct()
 
 
 def training_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +225,9 @@ def timing_median(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     overall = ev.exact_median(events, "value")
     per = events.groupBy("event_type").agg(F.median("value").alias("m"))
-    return per.select("event_type", F.round("m", 6).alias("median_value"), F.round(F.try_divide(F.lit(overall), "m"), 6).alias("speedup"))
+    return per.select(
+        "event_type", F.round("m", 6).alias("median_value"), F.round(F.try_divide(F.lit(overall), "m"), 6).alias("speedup")
+    )
 
 
 def published_results(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +262,11 @@ _IDS = lambda c: f"list_transform(coalesce({c}, []), lambda x: coalesce(nullif(x
 _RETRIEVAL = "SELECT sample_id, CAST(coalesce(h[1], 0) AS DOUBLE) AS hit_rate_top1, CASE WHEN coalesce(list_position(h[:5], 1), 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_rate_top5, CASE WHEN coalesce(list_position(h[:5], 1), 0) > 0 THEN 1.0::DOUBLE / list_position(h[:5], 1) ELSE 0 END AS mrr, CASE WHEN len(g) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(range(1, len(h) + 1), lambda i: h[i]::DOUBLE / i)), 0) / list_sum(list_transform(range(1, len(g) + 1), lambda i: 1.0::DOUBLE / i)) END AS ndcg FROM (SELECT sample_id, g, list_transform(r, lambda x: CAST(list_contains(g, x) AS INTEGER)) AS h FROM (SELECT sample_id, {r} AS r, {g} AS g FROM {src}))"
 _PAIRS = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
 _STRIP = lambda c: f"regexp_replace(lower({c}), '^{q.SPACE}+|{q.SPACE}+$', '', 'g')"
-_GENERATION = "SELECT sample_id, CASE WHEN " + _STRIP("g") + " = " + _STRIP("r") + " THEN 1.0::DOUBLE ELSE 0 END AS exact_match, CASE WHEN p + c = 0 THEN 0 ELSE 2 * p * c / (p + c) END AS rouge_l, CASE WHEN len(rp) = 0 THEN 0 ELSE len(list_intersect(gp, rp)) / len(rp)::DOUBLE END AS bleu FROM (SELECT *, CASE WHEN len(gw) = 0 THEN 0 ELSE same / len(gw)::DOUBLE END AS p, CASE WHEN len(rw) = 0 THEN 0 ELSE same / len(rw)::DOUBLE END AS c, " + _PAIRS("gw") + " AS gp, " + _PAIRS("rw") + " AS rp FROM (SELECT *, len(list_filter(range(1, least(len(gw), len(rw)) + 1), lambda i: gw[i] = rw[i])) AS same FROM (SELECT sample_id, g, r, " + q.words("g") + " AS gw, " + q.words("r") + " AS rw FROM (SELECT sample_id, coalesce(generated_answer, '') AS g, coalesce(answer, '') AS r FROM {src}))))"
+_GENERATION = "SELECT sample_id, CASE WHEN " + _STRIP(
+    "g"
+) + " = " + _STRIP("r") + " THEN 1.0::DOUBLE ELSE 0 END AS exact_match, CASE WHEN p + c = 0 THEN 0 ELSE 2 * p * c / (p + c) END AS rouge_l, CASE WHEN len(rp) = 0 THEN 0 ELSE len(list_intersect(gp, rp)) / len(rp)::DOUBLE END AS bleu FROM (SELECT *, CASE WHEN len(gw) = 0 THEN 0 ELSE same / len(gw)::DOUBLE END AS p, CASE WHEN len(rw) = 0 THEN 0 ELSE same / len(rw)::DOUBLE END AS c, " + _PAIRS(
+    "gw"
+) + " AS gp, " + _PAIRS("rw") + " AS rp FROM (SELECT *, len(list_filter(range(1, least(len(gw), len(rw)) + 1), lambda i: gw[i] = rw[i])) AS same FROM (SELECT sample_id, g, r, " + q.words("g") + " AS gw, " + q.words("r") + " AS rw FROM (SELECT sample_id, coalesce(generated_answer, '') AS g, coalesce(answer, '') AS r FROM {src}))))"
 _ONE = "(SELECT * FROM rag_example QUALIFY row_number() OVER (PARTITION BY sample_id) = 1)"
 _RET = lambda src: _RETRIEVAL.replace("{r}", _IDS("retrieved_chunks")).replace("{g}", _IDS("gold_chunks")).replace("{src}", src)
 _SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -230,7 +278,9 @@ _QRELS = "(SELECT DISTINCT CAST(ord % 50 AS BIGINT) AS query_id, chunk_id AS doc
 SQL = {
     "eval_ner": _prf(_ENT),
     "eval_ner_by_type": f"SELECT s.*, count FROM ({_prf(_ENT, 'entity')}) s JOIN (SELECT entity, count(*) AS count FROM ({_ENT_R}) GROUP BY 1) r ON s.entity = r.entity",
-    "confusion_matrix": "SELECT reference, " + ", ".join(f"CAST(sum(CASE WHEN predicted = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x}" for x in ev.CLASSES) + f" FROM {_LABELS} GROUP BY 1",
+    "confusion_matrix": "SELECT reference, " + ", ".join(
+        f"CAST(sum(CASE WHEN predicted = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x}" for x in ev.CLASSES
+    ) + f" FROM {_LABELS} GROUP BY 1",
     "eval_sentiment_by_class": _CLASS + " SELECT label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support FROM f",
     "eval_sentiment": _CLASS + " SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(f1_score), 6) AS macro_f1, round(sum(f1_score * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS total FROM f",
     "sentiment_label_normalize": f"SELECT c_custkey, CASE WHEN s IN ('positive', 'pos', 'bullish', '2') THEN 'positive' WHEN s IN ('negative', 'neg', 'bearish', '0') THEN 'negative' WHEN s IN ('neutral', 'neu', '1') THEN 'neutral' END AS label FROM (SELECT c_custkey, lower(trim([{', '.join(q.quote(x) for x in _SPELLINGS)}][c_custkey % {len(_SPELLINGS)} + 1])) AS s FROM customer)",
@@ -242,16 +292,23 @@ SQL = {
     "finqa_program_parse": f"SELECT o_orderkey, CASE n WHEN 'add' THEN '+' WHEN 'subtract' THEN '-' WHEN 'multiply' THEN '*' ELSE '/' END AS operator, l AS left_operand, r AS right_operand, e AS expected FROM (SELECT o_orderkey, regexp_extract(trim(p), {q.quote(ev.PROGRAM)}, 1) AS n, {_AMOUNT(f'regexp_extract(trim(p), {q.quote(ev.PROGRAM)}, 2)')} AS l, {_AMOUNT(f'regexp_extract(trim(p), {q.quote(ev.PROGRAM)}, 3)')} AS r, {_AMOUNT('a')} AS e FROM ({_PROGRAM})) WHERE n <> '' AND l IS NOT NULL AND r IS NOT NULL AND e IS NOT NULL",
     "eval_rag_retrieval": f"SELECT sample_id, hit_rate_top1, hit_rate_top5, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM ({_RET('rag_example')})",
     "eval_rag_generation": f"SELECT sample_id, exact_match, round(rouge_l, 6) AS rouge_l, round(bleu, 6) AS bleu FROM ({_GENERATION.replace('{src}', 'rag_example')})",
-    "eval_rag": "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("hit_rate_top1", "hit_rate_top5", "mrr", "ndcg", "exact_match", "rouge_l", "bleu")) + f", count(*) AS samples FROM ({_RET(_ONE)}) a JOIN ({_GENERATION.replace('{src}', _ONE)}) b USING (sample_id)",
+    "eval_rag": "SELECT " + ", ".join(
+        f"round(avg({c}), 6) AS {c}" for c in ("hit_rate_top1", "hit_rate_top5", "mrr", "ndcg", "exact_match", "rouge_l", "bleu")
+    ) + f", count(*) AS samples FROM ({_RET(_ONE)}) a JOIN ({_GENERATION.replace('{src}', _ONE)}) b USING (sample_id)",
     "ir_metrics": f"WITH r AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SIM} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10), l AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND b.vec_id % 5 = 0 AND a.vec_id <> b.vec_id), n AS (SELECT query_id, count(*) AS n FROM l GROUP BY 1), h AS (SELECT r.query_id, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS best, count(*) AS found FROM r JOIN l ON r.query_id = l.query_id AND r.doc_id = l.doc_id GROUP BY 1) SELECT n.query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(1.0::DOUBLE / best, 0), 6) AS mrr, round(coalesce(found, 0) / n::DOUBLE, 6) AS recall, CASE WHEN best = 1 THEN 1.0::DOUBLE ELSE 0 END AS precision_at_1 FROM n LEFT JOIN h ON n.query_id = h.query_id",
     "span_to_iob2": f"WITH t AS (SELECT doc_id, {q.words('text')} AS w FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS token FROM t), o AS (SELECT doc_id, i, token, sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(token) - 1 AS s FROM x), e AS (SELECT * FROM (VALUES {', '.join(f'({n}, {a}, {b}, {q.quote(t)})' for n, (a, b, t) in enumerate(_MARKS))}) v(n, a, b, tag)), m AS (SELECT doc_id, i, n, tag, row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS k FROM o JOIN e ON s < b AND s + length(token) > a) SELECT o.doc_id, CAST(o.i AS INTEGER) AS i, token, coalesce(arg_max(CASE WHEN k = 1 THEN 'B-' ELSE 'I-' END || tag, n), 'O') AS tag FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND o.i = m.i GROUP BY o.doc_id, o.i, token",
     "iob2_spans": f"WITH {_TAGS} SELECT * FROM {_SPANS('reference')}",
-    "eval_finer": f"WITH {_TAGS} " + _prf(f"SELECT l_orderkey, entity, start, \"end\", max(p) AS in_p, max(r) AS in_r FROM (SELECT *, 1 AS p, 0 AS r FROM {_SPANS('predicted')} UNION ALL SELECT *, 0, 1 FROM {_SPANS('reference')}) GROUP BY ALL", "entity"),
+    "eval_finer": f"WITH {_TAGS} " + _prf(
+        f"SELECT l_orderkey, entity, start, \"end\", max(p) AS in_p, max(r) AS in_r FROM (SELECT *, 1 AS p, 0 AS r FROM {_SPANS('predicted')} UNION ALL SELECT *, 0, 1 FROM {_SPANS('reference')}) GROUP BY ALL",
+        "entity"
+    ),
     "corpus_dedupe": "SELECT chunk_id, arg_min(text, struct_pack(sample_id, i)) AS text FROM (SELECT sample_id, i, coalesce(nullif(c.chunk_id, ''), 'chunk-' || md5(c.text)) AS chunk_id, c.text AS text FROM (SELECT sample_id, unnest(range(0, len(gold_chunks))) AS i, unnest(gold_chunks) AS c FROM rag_example) WHERE c.text IS NOT NULL) GROUP BY 1",
     "training_pairs": f"SELECT r.query_id, r.doc_id, e.question AS query, c.passage FROM {_QRELS} r JOIN eval_item e ON r.query_id = e.item_id JOIN (SELECT chunk_id, max(text) AS passage FROM document_chunk GROUP BY 1) c ON c.chunk_id = r.doc_id WHERE score > 0",
     "ir_subsample": f"WITH c AS (SELECT DISTINCT chunk_id AS doc_id FROM document_chunk WHERE chunk_id IS NOT NULL), n AS (SELECT DISTINCT doc_id FROM {_QRELS} WHERE score > 0) SELECT doc_id, true AS needed FROM c WHERE doc_id IN (SELECT doc_id FROM n) UNION ALL (SELECT doc_id, false FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n) ORDER BY md5('42:' || doc_id), doc_id LIMIT 20000)",
     "timing_median": "SELECT event_type, round(median(value), 6) AS median_value, round((SELECT median(value) FROM events) / nullif(median(value), 0), 6) AS speedup FROM events GROUP BY 1",
-    "published_results": "SELECT * FROM (VALUES " + ", ".join(f"({q.quote(a)}, {q.quote(b)}, {v}::DOUBLE)" for a, b, v in ev.PUBLISHED) + ") t(benchmark, metric, value)",
+    "published_results": "SELECT * FROM (VALUES " + ", ".join(
+        f"({q.quote(a)}, {q.quote(b)}, {v}::DOUBLE)" for a, b, v in ev.PUBLISHED
+    ) + ") t(benchmark, metric, value)",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

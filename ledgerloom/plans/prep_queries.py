@@ -20,7 +20,13 @@ from ledgerloom.sources import documents as src
 def figure_spans(spark: SparkSession, d: str) -> DataFrame:
     """Entries as spans of a tagger; every fifth has no type and no score."""
     odd = F.col("entry_id") % 5 == 0
-    span = F.struct(F.col("raw_text").alias("word"), F.when(~odd, F.col("name")).alias("entity_group"), F.when(~odd, F.col("ord") / 8).alias("score"), F.lit(0).alias("start"), F.length("raw_text").alias("end"))
+    span = F.struct(
+        F.col("raw_text").alias("word"),
+        F.when(~odd, F.col("name")).alias("entity_group"),
+        F.when(~odd, F.col("ord") / 8).alias("score"),
+        F.lit(0).alias("start"),
+        F.length("raw_text").alias("end")
+    )
     rows = table(spark, d, "kpi_agent").select("entry_id", en.reshape_spans(F.array(span))[0].alias("f"))
     return rows.select("entry_id", "f.text", "f.tag", "f.value", F.round("f.score", 6).alias("score"), "f.start", "f.end")
 
@@ -31,13 +37,26 @@ class _Amounts:
     def tag(self, text: Column) -> Column:
         from ledgerloom.functions.text import regex_spans
 
-        return F.transform(regex_spans(text, r"\$[\d,]*\d"), lambda m: F.struct(F.substr(text, m["start"] + 1, m["end"] - m["start"]).alias("word"), F.lit("Revenues").alias("entity_group"), F.lit(0.5).alias("score"), m["start"].alias("start"), m["end"].alias("end")))
+        return F.transform(
+            regex_spans(text, r"\$[\d,]*\d"),
+            lambda m: F.struct(
+                F.substr(text, m["start"] + 1, m["end"] - m["start"]).alias("word"),
+                F.lit("Revenues").alias("entity_group"),
+                F.lit(0.5).alias("score"),
+                m["start"].alias("start"),
+                m["end"].alias("end")
+            )
+        )
 
 
 def tagged_figures(spark: SparkSession, d: str) -> DataFrame:
     """Amounts of all chunks of a filing, numbered in order of the chunks."""
-    chunks = table(spark, d, "document_chunk").groupBy("doc_id", "chunk_id").agg(F.max("ord").alias("ord"), F.max("text").alias("text"))
-    return en.tag_figures(chunks, "doc_id", ["ord", "chunk_id"], "text", _Amounts()).drop("start", "end").withColumn("ord", F.col("ord").cast("int"))
+    chunks = table(spark, d, "document_chunk").groupBy("doc_id", "chunk_id").agg(
+        F.max("ord").alias("ord"), F.max("text").alias("text")
+    )
+    return en.tag_figures(
+        chunks, "doc_id", ["ord", "chunk_id"], "text", _Amounts()
+    ).drop("start", "end").withColumn("ord", F.col("ord").cast("int"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +69,9 @@ def page_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_map(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: p["text"]).alias("pages"))
+    pages = _pages(spark, d).groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: p["text"]).alias("pages")
+    )
     return pages.select("doc_id", F.explode(src.page_map(F.col("pages"))).alias("page", "end"))
 
 
@@ -62,14 +83,31 @@ def report_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as a report shows them, a third of them without section, page and similarity."""
     odd = F.col("ord") % 3 == 0
     blank = lambda c: F.when(~odd, c)
-    hit = F.struct("chunk_id", "text", blank(F.col("metadata")["section"]).alias("section"), "chunk_type", blank(F.col("page_number")).alias("page_number"), blank(F.col("ord") / 16).alias("similarity"))
-    return table(spark, d, "document_chunk").where("chunk_id is not null").select(F.explode(rp.format_chunks(F.array(hit))).alias("h")).select("h.*")
+    hit = F.struct(
+        "chunk_id",
+        "text",
+        blank(F.col("metadata")["section"]).alias("section"),
+        "chunk_type",
+        blank(F.col("page_number")).alias("page_number"),
+        blank(F.col("ord") / 16).alias("similarity")
+    )
+    return table(spark, d, "document_chunk").where("chunk_id is not null").select(
+        F.explode(rp.format_chunks(F.array(hit))).alias("h")
+    ).select("h.*")
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the filings by the sections that their own section maps name."""
-    docs = table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(F.max(F.struct("cleaned_text", F.map_entries("section_map").alias("m"))).alias("r")).select("doc_id", "r.cleaned_text", "r.m")
-    sections = docs.select("doc_id", F.posexplode(F.array_sort("m")).alias("ord", "e")).select("doc_id", "ord", F.lower("e.key").alias("section"), F.col("e.value.start_char").alias("start"), F.col("e.value.end_char").alias("end"))
+    docs = table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(
+        F.max(F.struct("cleaned_text", F.map_entries("section_map").alias("m"))).alias("r")
+    ).select("doc_id", "r.cleaned_text", "r.m")
+    sections = docs.select("doc_id", F.posexplode(F.array_sort("m")).alias("ord", "e")).select(
+        "doc_id",
+        "ord",
+        F.lower("e.key").alias("section"),
+        F.col("e.value.start_char").alias("start"),
+        F.col("e.value.end_char").alias("end")
+    )
     chunks = ch.chunk_documents(docs.select("doc_id", "cleaned_text"), sections, snap=False)
     return chunks.select("doc_id", "section", "chunk_type", "ord", "text", "token_count", "local_start", "start_offset")
 
@@ -79,38 +117,80 @@ def entity_aliases(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.__main__ import _entities
 
     n = F.col("event_id")
-    word, kind = F.element_at(F.array(F.lit("word"), F.lit("text")), (n % 2 + 1).cast("int")), F.element_at(F.array(*[F.lit(x) for x in ("entity", "entity_group", "label", "kind")]), (n % 4 + 1).cast("int"))
-    body = F.concat(F.lit('[{"'), word, F.lit('": "w'), (n % 9).cast("string"), F.lit('", "'), kind, F.lit('": "'), F.col("event_type"), F.lit('"}]'))
+    word, kind = F.element_at(F.array(F.lit("word"), F.lit("text")), (n % 2 + 1).cast("int")), F.element_at(
+        F.array(*[F.lit(x) for x in ("entity", "entity_group", "label", "kind")]), (n % 4 + 1).cast("int")
+    )
+    body = F.concat(
+        F.lit('[{"'),
+        word,
+        F.lit('": "w'),
+        (n % 9).cast("string"),
+        F.lit('", "'),
+        kind,
+        F.lit('": "'),
+        F.col("event_type"),
+        F.lit('"}]')
+    )
     return table(spark, d, "events").select("event_id", F.explode(_entities(body)).alias("e")).select("event_id", "e.*")
 
 
 def sentiment_set(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.concat("event_type", F.col("event_id").cast("string")).alias("sentence"), (F.col("event_id") % 4).cast("int").alias("label"))
+    rows = table(spark, d, "events").select(
+        F.concat("event_type", F.col("event_id").cast("string")).alias("sentence"),
+        (F.col("event_id") % 4).cast("int").alias("label")
+    )
     return pr.sentiment_samples(rows)
 
 
 def evidence_set(spark: SparkSession, d: str) -> DataFrame:
-    rag = table(spark, d, "rag_example").groupBy("sample_id").agg(*[F.max(c).alias(c) for c in ("question", "answer", "gold_chunks")])
-    rows = pr.evidence_samples(rag.withColumn("texts", F.transform("gold_chunks", lambda c: c["text"])), "sample_id", "question", "answer", "texts")
-    return rows.select("id", "question", "answer", F.explode("gold_chunks").alias("g")).select("id", "question", "answer", F.col("g.chunk_id").alias("chunk_id"), F.col("g.text").alias("text"))
+    rag = table(spark, d, "rag_example").groupBy("sample_id").agg(
+        *[F.max(c).alias(c) for c in ("question", "answer", "gold_chunks")]
+    )
+    rows = pr.evidence_samples(
+        rag.withColumn("texts", F.transform("gold_chunks", lambda c: c["text"])), "sample_id", "question", "answer", "texts"
+    )
+    return rows.select("id", "question", "answer", F.explode("gold_chunks").alias("g")).select(
+        "id", "question", "answer", F.col("g.chunk_id").alias("chunk_id"), F.col("g.text").alias("text")
+    )
 
 
 def program_set(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("sample_id")
-    rag = table(spark, d, "rag_example").groupBy("sample_id").agg(*[F.max(c).alias(c) for c in ("question", "answer", "generated_answer")])
+    rag = table(spark, d, "rag_example").groupBy("sample_id").agg(
+        *[F.max(c).alias(c) for c in ("question", "answer", "generated_answer")]
+    )
     program = F.when(n % 3 == 0, "divide(12, 4)").when(n % 3 == 1, "subtract(1,250.5, 50.5)").otherwise("add(1, 2), divide(#0, 3)")
-    rows = rag.select(F.array("question", F.repeat(F.lit("long "), (n % 900).cast("int"))).alias("pre_text"), F.when(n % 2 == 0, F.array(F.coalesce("generated_answer", F.lit("")))).alias("post_text"), "question", program.alias("program"), F.lit("$3").alias("answer"))
+    rows = rag.select(
+        F.array("question", F.repeat(F.lit("long "), (n % 900).cast("int"))).alias("pre_text"),
+        F.when(n % 2 == 0, F.array(F.coalesce("generated_answer", F.lit("")))).alias("post_text"),
+        "question",
+        program.alias("program"),
+        F.lit("$3").alias("answer")
+    )
     out = pr.finqa_samples(rows).withColumn("s", F.col("calculation_steps")[0])
-    return out.select("text", "question", F.size("reference_kpis").alias("kpis"), F.col("s.operator").alias("operator"), F.col("s.operands")[0].alias("first"), F.col("s.expected_result").alias("expected"))
+    return out.select(
+        "text",
+        "question",
+        F.size("reference_kpis").alias("kpis"),
+        F.col("s.operator").alias("operator"),
+        F.col("s.operands")[0].alias("first"),
+        F.col("s.expected_result").alias("expected")
+    )
 
 
 def label_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Orders as sentences of words of two parts between special tokens, and their numbered tags."""
     words = (F.col("o_orderkey") % 5 + 1).cast("int")
-    ids = F.concat(F.array(F.lit(None).cast("int")), F.transform(F.sequence(F.lit(0), 2 * words - 1), lambda i: F.floor(i / 2).cast("int")), F.array(F.lit(None).cast("int")))
+    ids = F.concat(
+        F.array(F.lit(None).cast("int")),
+        F.transform(F.sequence(F.lit(0), 2 * words - 1), lambda i: F.floor(i / 2).cast("int")),
+        F.array(F.lit(None).cast("int"))
+    )
     tags = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.pmod(F.col("o_custkey") + i, F.lit(3)).cast("int"))
     rows = table(spark, d, "orders").select("o_orderkey", ids.alias("word_ids"), tags.alias("tags"))
-    return pr.align_labels(rows, "o_orderkey", "word_ids", "tags").select("o_orderkey", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+    return pr.align_labels(rows, "o_orderkey", "word_ids", "tags").select(
+        "o_orderkey", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels")
+    )
 
 
 _NAMES = ("O", "B-Revenues", "I-Revenues")
@@ -123,7 +203,9 @@ def label_decoding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def titled_passages(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).otherwise("").alias("title"), "p_type")
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).otherwise("").alias("title"), "p_type"
+    )
     return pr.titled_passages(rows, "p_partkey", "title", "p_type")
 
 
@@ -133,14 +215,25 @@ def relevant_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def benchmark_log(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_orderkey")
-    line = F.concat(F.lit("Sequential (median): "), (n % 90 + 1).cast("string"), F.lit(".5s\n"), F.when(n % 7 > 0, F.concat(F.lit("parallel (median): "), (n % 40 + 1).cast("string"), F.lit(".25 s"))).otherwise(""))
+    line = F.concat(
+        F.lit("Sequential (median): "),
+        (n % 90 + 1).cast("string"),
+        F.lit(".5s\n"),
+        F.when(n % 7 > 0, F.concat(F.lit("parallel (median): "), (n % 40 + 1).cast("string"), F.lit(".25 s"))).otherwise("")
+    )
     rows = table(spark, d, "orders").select("o_orderkey", line.alias("log"))
-    return pr.benchmark_log(rows, "log").groupBy("sequential", "parallel").agg(F.count(F.lit(1)).alias("runs"), F.round(F.max("speedup"), 6).alias("speedup"))
+    return pr.benchmark_log(rows, "log").groupBy("sequential", "parallel").agg(
+        F.count(F.lit(1)).alias("runs"), F.round(F.max("speedup"), 6).alias("speedup")
+    )
 
 
 def metric_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Mean values by event type of two groups of users, as the metrics of two runs."""
-    side = lambda rest: table(spark, d, "events").where(F.col("user_id") % 2 == rest).groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+    side = lambda rest: table(spark, d, "events").where(F.col("user_id") % 2 == rest).groupBy(
+        F.col("event_type").alias("metric")
+    ).agg(
+        F.round(F.avg("value"), 6).alias("value")
+    )
     return ev.compare_runs(side(0), side(1)).withColumn("delta", F.round("delta", 6))
 
 

@@ -22,7 +22,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_dollars(spark: SparkSession, d: str) -> DataFrame:
     """Every recorded revenue in US dollars, with the segment of its history that it belongs to."""
-    return ru.segment_histories(_revenues(spark, d), ["doc_id", "kind", "source"], "at", "id", "value").select("doc_id", "kind", "id", "value", "currency", "scale", "usd", "segment", "level")
+    return ru.segment_histories(_revenues(spark, d), ["doc_id", "kind", "source"], "at", "id", "value").select(
+        "doc_id", "kind", "id", "value", "currency", "scale", "usd", "segment", "level"
+    )
 
 
 def p3_named(spark: SparkSession, d: str) -> DataFrame:
@@ -30,19 +32,27 @@ def p3_named(spark: SparkSession, d: str) -> DataFrame:
     agent = table(spark, d, "kpi_agent")
     alone = agent.withColumn("raw_text", F.lit(None).cast("string"))
     none = table(spark, d, "kpi_example").limit(0)
-    full = ru.revenue_records(none, alone).where("unit.currency is not null and unit.scale is not null").select(F.col("id").alias("entry_id"))
+    full = ru.revenue_records(none, alone).where(
+        "unit.currency is not null and unit.scale is not null"
+    ).select(F.col("id").alias("entry_id"))
     usd = ru.to_dollars(ru.revenue_records(none, agent), table(spark, d, "currency_rate"))
-    return usd.select(F.col("id").alias("entry_id"), "value", "currency", "usd").join(full.distinct(), "entry_id", "left_semi").withColumn("usd", F.round("usd", 2))
+    return usd.select(F.col("id").alias("entry_id"), "value", "currency", "usd").join(
+        full.distinct(), "entry_id", "left_semi"
+    ).withColumn("usd", F.round("usd", 2))
 
 
 def p3_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Unit changes by their factor: how many pairs of records each explains."""
     found = ru.unit_changes(_revenues(spark, d))
-    return found.groupBy(F.round(F.log10("unit_ratio"), 3).alias("log10_factor")).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("entry_id").alias("entries"))
+    return found.groupBy(F.round(F.log10("unit_ratio"), 3).alias("log10_factor")).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("entry_id").alias("entries")
+    )
 
 
 def _spelled(table_: dict) -> str:
-    return ", ".join(f"({q.quote(str(k)) if isinstance(k, str) else f'{k}::DOUBLE'}, {q.quote(n)})" for k, names in table_.items() for n in names)
+    return ", ".join(
+        f"({q.quote(str(k)) if isinstance(k, str) else f'{k}::DOUBLE'}, {q.quote(n)})" for k, names in table_.items() for n in names
+    )
 
 
 SQL = {

@@ -29,7 +29,9 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(df: DataFrame) -> DataFrame:
-    return df.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+    return df.select(
+        F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity")
+    )
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -43,13 +45,21 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(vx.search(table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "query_id", floor=LOOSE.similarity_floor, exclude_self=True))
+    return _hits(
+        vx.search(
+            table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "query_id", floor=LOOSE.similarity_floor, exclude_self=True
+        )
+    )
 
 
 def avg_similarity(spark: SparkSession, d: str) -> DataFrame:
-    hits = vx.search(table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "query_id", floor=LOOSE.similarity_floor, exclude_self=True)
+    hits = vx.search(
+        table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "query_id", floor=LOOSE.similarity_floor, exclude_self=True
+    )
     per = hits.groupBy(F.col("query").alias("query_id")).agg(F.count(F.lit(1)).alias("hits"), F.avg("similarity").alias("a"))
-    return _asked(spark, d).select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce("a", F.lit(0.0)), 5).alias("average"))
+    return _asked(spark, d).select("query_id").join(per, "query_id", "left").select(
+        "query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce("a", F.lit(0.0)), 5).alias("average")
+    )
 
 
 def requery_loop(spark: SparkSession, d: str) -> DataFrame:
@@ -66,14 +76,18 @@ def requery_loop(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Chunks indexed before 2022 are the old collection, later ones are put into it."""
-    rows = vx.collection_rows(table(spark, d, "document_chunk")).select("chunk_id", "doc_id", "ticker", "chunk_type", "page_number", F.size("embedding").alias("dim"), "indexed_at")
+    rows = vx.collection_rows(table(spark, d, "document_chunk")).select(
+        "chunk_id", "doc_id", "ticker", "chunk_type", "page_number", F.size("embedding").alias("dim"), "indexed_at"
+    )
     old, new = rows.where("indexed_at < timestamp'2022-01-01'"), rows.where("indexed_at >= timestamp'2022-01-01'")
     return vx.upsert(vx.upsert(old.limit(0), old, version="indexed_at"), new, version="indexed_at").drop("indexed_at")
 
 
 def vector_metadata_defaults(spark: SparkSession, d: str) -> DataFrame:
     odd = F.when(F.col("ord") % 7 == 0, F.lit("other")).otherwise(F.col("chunk_type"))
-    rows = table(spark, d, "document_chunk").withColumn("chunk_type", odd).withColumn("ticker", F.nullif("ticker", F.lit("unknown")))
+    rows = table(spark, d, "document_chunk").withColumn("chunk_type", odd).withColumn(
+        "ticker", F.nullif("ticker", F.lit("unknown"))
+    )
     return vx.collection_rows(rows).select("chunk_id", "ticker", "chunk_type", "page_number")
 
 
@@ -89,7 +103,9 @@ def query_reformulate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_hits(spark: SparkSession, d: str) -> DataFrame:
-    hit = lambda c, i: F.struct(c["text"].alias("text"), F.when(i == 0, F.lit("mda")).alias("section"), (F.lit(0.875) - i * 0.125).alias("similarity"))
+    hit = lambda c, i: F.struct(
+        c["text"].alias("text"), F.when(i == 0, F.lit("mda")).alias("section"), (F.lit(0.875) - i * 0.125).alias("similarity")
+    )
     return _rag(spark, d).select("sample_id", F.col("question").alias("query"), F.transform("retrieved_chunks", hit).alias("hits"))
 
 
@@ -102,13 +118,18 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def llm_response_parse(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("REASONING: "), "question", F.lit("\nANSWER: "), F.coalesce("answer", F.lit("")), F.lit(" "))).otherwise(F.coalesce("answer", F.lit("")))
+    said = F.when(
+        F.col("sample_id") % 3 == 0,
+        F.concat(F.lit("REASONING: "), "question", F.lit("\nANSWER: "), F.coalesce("answer", F.lit("")), F.lit(" "))
+    ).otherwise(F.coalesce("answer", F.lit("")))
     return _rag(spark, d).select("sample_id", rt.parse_response(said).alias("p")).select("sample_id", "p.*")
 
 
 def report_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings of users as documents: sentiment from their values, entities from their events."""
-    base = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.count_distinct("event_type").alias("kinds"))
+    base = table(spark, d, "events").groupBy("user_id").agg(
+        F.avg("value").alias("v"), F.count_distinct("event_type").alias("kinds")
+    )
     joined = base.join(top_entity_type(spark, d), "user_id", "left")
     label = F.when(F.col("v") > 50, "positive").when(F.col("v") < 48, "negative").otherwise("other")
     lines = rp.findings(label, F.col("entity_group"), F.col("n"), F.col("kinds"), F.signum(F.col("v") - 49))
@@ -118,13 +139,27 @@ def report_findings(spark: SparkSession, d: str) -> DataFrame:
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
     counts = entity_type_counts(spark, d).groupBy("user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
     label = F.when(F.col("user_id") % 2 == 0, "positive")
-    return counts.select("user_id", rp.summary(F.col("n"), F.col("types"), label, (F.col("user_id") % 8) / F.lit(8.0), F.col("types"), F.col("types") - 1, F.lit(1), F.repeat(F.lit("ab "), (F.col("user_id") % 50).cast("int"))).alias("summary"))
+    return counts.select(
+        "user_id",
+        rp.summary(
+            F.col("n"),
+            F.col("types"),
+            label,
+            (F.col("user_id") % 8) / F.lit(8.0),
+            F.col("types"),
+            F.col("types") - 1,
+            F.lit(1),
+            F.repeat(F.lit("ab "), (F.col("user_id") % 50).cast("int"))
+        ).alias("summary")
+    )
 
 
 def analysis_report(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline over the filings, with one question for each document that has a ticker."""
     docs = _filings(spark, d)
-    questions = docs.where("ticker is not null").select("doc_id", F.col("doc_id").alias("query_id"), F.lit(_QUESTION).alias("query"), "ticker")
+    questions = docs.where("ticker is not null").select(
+        "doc_id", F.col("doc_id").alias("query_id"), F.lit(_QUESTION).alias("query"), "ticker"
+    )
     return AnalysisPipeline(settings=LOOSE).analyze(docs, questions)
 
 
@@ -143,7 +178,9 @@ class LetterEmbedder:
 
 
 def _filings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("ticker", "doc_type", "fiscal_period", "cleaned_text")])
+    return table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(
+        *[F.max(c).alias(c) for c in ("ticker", "doc_type", "fiscal_period", "cleaned_text")]
+    )
 
 
 def report_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -152,13 +189,29 @@ def report_hits(spark: SparkSession, d: str) -> DataFrame:
     docs = _filings(spark, d)
     asked = docs.where("ticker is not null").select(F.col("doc_id").alias("query_id"), F.lit(_QUESTION).alias("query"), "ticker")
     hits = line.retrieve(checkpointed(line.chunks(docs)), asked)
-    return hits.select(F.col("query_id").alias("doc_id"), "attempt", "rank", F.col("id").alias("chunk_id"), F.round("similarity", 4).alias("similarity"))
+    return hits.select(
+        F.col("query_id").alias("doc_id"),
+        "attempt",
+        "rank",
+        F.col("id").alias("chunk_id"),
+        F.round("similarity", 4).alias("similarity")
+    )
 
 
 def report_figures(spark: SparkSession, d: str) -> DataFrame:
     """What the report says of each filing's figures and sentiment."""
     r = analysis_report(spark, d)
-    return r.select("doc_id", "metadata.ticker", "metadata.doc_type", "metadata.fiscal_period", "financial_metrics.kpi_count", "financial_metrics.total_kpis", F.col("sentiment_analysis.overall_sentiment").alias("sentiment"), F.round("sentiment_analysis.confidence_score", 6).alias("score"), "sentiment_analysis.is_positive")
+    return r.select(
+        "doc_id",
+        "metadata.ticker",
+        "metadata.doc_type",
+        "metadata.fiscal_period",
+        "financial_metrics.kpi_count",
+        "financial_metrics.total_kpis",
+        F.col("sentiment_analysis.overall_sentiment").alias("sentiment"),
+        F.round("sentiment_analysis.confidence_score", 6).alias("score"),
+        "sentiment_analysis.is_positive"
+    )
 
 
 _SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -176,7 +229,10 @@ def _topk(where: str = "true", floor: float | None = None, raw: bool = False) ->
 _DOCS = "(SELECT doc_id, max(ticker) AS ticker, max(doc_type) AS doc_type, max(fiscal_period) AS fiscal_period, max(cleaned_text) AS text FROM parsed_document WHERE cleaned_text IS NOT NULL GROUP BY 1)"
 _PIECE = "regexp_extract(piece, '(?s)^(.*[.!?])(?:\\s|$)', 1)"
 _LETTER_SQL = "[" + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
-_ASKED = ", ".join(f"({i}, {q.quote(x.lower())})" for i, x in enumerate((_QUESTION, f"Provide detailed information about: {_QUESTION}", "total revenue net income")))
+_ASKED = ", ".join(
+    f"({i}, {q.quote(x.lower())})"
+    for i, x in enumerate((_QUESTION, f"Provide detailed information about: {_QUESTION}", "total revenue net income"))
+)
 _HITS = f"""
 WITH w AS (SELECT doc_id, ticker, text, string_split(text, ' ') AS w FROM {_DOCS} WHERE trim(text, ' ') <> ''),
 k AS (SELECT doc_id, ticker, text, w, len(w) AS n, unnest(range(0, CASE WHEN len(w) <= 512 THEN 1 ELSE CAST(ceil((len(w) - 512) / 448.0) AS BIGINT) + 1 END)) AS ord FROM w),

@@ -19,7 +19,15 @@ def fold(x: str) -> str:
 
 
 def entities(x: str) -> str:
-    for name, char in (("&nbsp;", "chr(160)"), ("&quot;", "'\"'"), ("&mdash;", "chr(8212)"), ("&#39;", "''''"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+    for name, char in (
+        ("&nbsp;", "chr(160)"),
+        ("&quot;", "'\"'"),
+        ("&mdash;", "chr(8212)"),
+        ("&#39;", "''''"),
+        ("&lt;", "'<'"),
+        ("&gt;", "'>'"),
+        ("&amp;", "'&'")
+    ):
         x = f"replace({x}, '{name}', {char})"
     return x
 

@@ -37,11 +37,17 @@ def clean_money(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_percent(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.normalize_amounts(F.regexp_replace("text", r"\$", "USD ")).alias("text"))
+    return table(spark, d, "documents").select(
+        "doc_id", tx.normalize_amounts(F.regexp_replace("text", r"\$", "USD ")).alias("text")
+    )
 
 
 def boilerplate_flags(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 3 == 0, "Forward-looking statements apply.").when(F.col("doc_id") % 5 == 0, "Copyright 2024"))
+    text = F.concat_ws(
+        " ",
+        "text",
+        F.when(F.col("doc_id") % 3 == 0, "Forward-looking statements apply.").when(F.col("doc_id") % 5 == 0, "Copyright 2024")
+    )
     return table(spark, d, "documents").select("doc_id", tx.boilerplate_flags(text).alias("f")).select("doc_id", "f.*")
 
 
@@ -56,13 +62,20 @@ def filename_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def earnings_call_flag(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("Operator: Welcome to the earnings call. "), F.col("raw_text"))
-    return table(spark, d, "parsed_document").select("doc_id", tx.earnings_call_flag(text).alias("as_written"), tx.earnings_call_flag(text, fixed=True).alias("ignoring_case"))
+    return table(spark, d, "parsed_document").select(
+        "doc_id", tx.earnings_call_flag(text).alias("as_written"), tx.earnings_call_flag(text, fixed=True).alias("ignoring_case")
+    )
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
     line = lambda who, c: F.concat(F.lit(f"{who}: "), F.coalesce(tx.collapse_whitespace(F.col(c)), F.lit("")), F.lit(";\n"))
-    rag = table(spark, d, "rag_example").groupBy("sample_id").agg(*[F.max(c).alias(c) for c in ("question", "answer", "generated_answer")])
-    return rag.select(F.col("sample_id").alias("doc_id"), F.concat(line("Operator", "question"), line("Jane Roe", "answer"), line("Operator", "generated_answer")).alias("raw_text"))
+    rag = table(spark, d, "rag_example").groupBy("sample_id").agg(
+        *[F.max(c).alias(c) for c in ("question", "answer", "generated_answer")]
+    )
+    return rag.select(
+        F.col("sample_id").alias("doc_id"),
+        F.concat(line("Operator", "question"), line("Jane Roe", "answer"), line("Operator", "generated_answer")).alias("raw_text")
+    )
 
 
 def speaker_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +85,18 @@ def speaker_sections(spark: SparkSession, d: str) -> DataFrame:
 def _filings(spark: SparkSession, d: str) -> DataFrame:
     """Whole filing texts with an item heading before each third of their length."""
     x, third = F.col("cleaned_text"), F.floor(F.length("cleaned_text") / 3).cast("int")
-    parts = [F.lit("Contents\n"), F.lit("Item 7. "), F.substr(x, F.lit(1), third), F.lit("\nItem 1A. "), F.substr(x, third + 1, third), F.lit("\nITEM 8 "), F.substr(x, 2 * third + 1)]
-    docs = table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(F.max("cleaned_text").alias("cleaned_text"))
+    parts = [
+        F.lit("Contents\n"),
+        F.lit("Item 7. "),
+        F.substr(x, F.lit(1), third),
+        F.lit("\nItem 1A. "),
+        F.substr(x, third + 1, third),
+        F.lit("\nITEM 8 "),
+        F.substr(x, 2 * third + 1)
+    ]
+    docs = table(spark, d, "parsed_document").where("cleaned_text is not null").groupBy("doc_id").agg(
+        F.max("cleaned_text").alias("cleaned_text")
+    )
     return docs.select("doc_id", F.concat(*parts).alias("raw_text"))
 
 
@@ -106,18 +129,32 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
     """Length and text of the sections that the filings' own section maps name."""
     docs = table(spark, d, "parsed_document").where("cleaned_text is not null").dropDuplicates(["doc_id"])
     rows = docs.select("doc_id", "cleaned_text", F.explode("section_map").alias("section", "s"))
-    return rows.select("doc_id", F.lower("section").alias("section"), ch.section_text(F.col("cleaned_text"), F.col("s.start_char"), F.col("s.end_char")).alias("text"))
+    return rows.select(
+        "doc_id",
+        F.lower("section").alias("section"),
+        ch.section_text(F.col("cleaned_text"), F.col("s.start_char"), F.col("s.end_char")).alias("text")
+    )
 
 
 def document_summary(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "parsed_document").groupBy("doc_id").agg(F.max(F.length("raw_text")).alias("raw_chars"), F.max(F.length("cleaned_text")).alias("clean_chars"), F.max(F.size(F.map_keys("section_map"))).alias("sections"))
+    docs = table(spark, d, "parsed_document").groupBy("doc_id").agg(
+        F.max(F.length("raw_text")).alias("raw_chars"),
+        F.max(F.length("cleaned_text")).alias("clean_chars"),
+        F.max(F.size(F.map_keys("section_map"))).alias("sections")
+    )
     chunks = table(spark, d, "document_chunk").groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("chunks"))
-    return docs.join(chunks, "doc_id", "left").select("doc_id", "raw_chars", "clean_chars", "sections", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    return docs.join(chunks, "doc_id", "left").select(
+        "doc_id", "raw_chars", "clean_chars", "sections", F.coalesce("chunks", F.lit(0)).alias("chunks")
+    )
 
 
 _MONEY_SQL = "raw_text"
 for _unit, _names in tx.MONEY.items():
-    _MONEY_SQL = q.substitute(_MONEY_SQL, rf"(?i)\$({q.SPACE}*[\d,]*\d[\d,]*(?:\.\d+)?){q.SPACE}*(?:{_names})({q.SPACE[:-1]}.,;)]|$)", f"'$' || format('{{:.2f}}', regexp_replace({{g1}}, '[^0-9.]', '', 'g')::DOUBLE) || '{_unit}' || {{g2}}")
+    _MONEY_SQL = q.substitute(
+        _MONEY_SQL,
+        rf"(?i)\$({q.SPACE}*[\d,]*\d[\d,]*(?:\.\d+)?){q.SPACE}*(?:{_names})({q.SPACE[:-1]}.,;)]|$)",
+        f"'$' || format('{{:.2f}}', regexp_replace({{g1}}, '[^0-9.]', '', 'g')::DOUBLE) || '{_unit}' || {{g2}}"
+    )
 _PERCENT_SQL = q.substitute("{x}", rf"(?i)([\d,]+(?:\.\d+)?){q.SPACE}*(percent|percentage|%)", "replace({g1}, ',', '') || '%'")
 _FLAT_SQL = f"SELECT doc_id, {q.collapse('text')} AS text FROM documents WHERE text IS NOT NULL"
 _WINDOWS_SQL = f"""
@@ -140,7 +177,9 @@ def _sections_sql() -> str:
     for i, (item, section) in items:
         rest = f"substr(low, start + 1 + {len(item)})"
         others = ", ".join(at(rest, o) for _, (o, _s) in items if o != item)
-        out.append(f"SELECT doc_id, {i} AS ord, '{section}' AS section, CAST(start AS INTEGER) AS start, CAST(coalesce(start + {len(item)} + least({others}), n) AS INTEGER) AS \"end\" FROM (SELECT doc_id, low, length(low) AS n, {at('low', item)} AS start FROM t) WHERE start IS NOT NULL")
+        out.append(
+            f"SELECT doc_id, {i} AS ord, '{section}' AS section, CAST(start AS INTEGER) AS start, CAST(coalesce(start + {len(item)} + least({others}), n) AS INTEGER) AS \"end\" FROM (SELECT doc_id, low, length(low) AS n, {at('low', item)} AS start FROM t) WHERE start IS NOT NULL"
+        )
     base = "WITH t AS (SELECT doc_id, lower('Contents' || chr(10) || 'Item 7. ' || substr(x, 1, k) || chr(10) || 'Item 1A. ' || substr(x, k + 1, k) || chr(10) || 'ITEM 8 ' || substr(x, 2 * k + 1)) AS low FROM (SELECT doc_id, max(cleaned_text) AS x, CAST(floor(length(max(cleaned_text)) / 3) AS INTEGER) AS k FROM parsed_document WHERE cleaned_text IS NOT NULL GROUP BY doc_id))"
     return base + " UNION ALL ".join(out)
 
@@ -155,15 +194,28 @@ SQL = {
     "clean_entities_named": f"SELECT doc_id, {q.entities('text')} AS text FROM documents",
     "clean_entities": f"SELECT doc_id, {q.entities('text')} AS text FROM documents",
     "clean_money": f"SELECT doc_id, CASE WHEN raw_text IS NOT NULL THEN {_PERCENT_SQL.replace('{x}', _MONEY_SQL)} END AS text FROM parsed_document",
-    "clean_percent": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN " + _PERCENT_SQL.replace("{x}", "replace(text, '$', 'USD ')") + " END AS text FROM documents",
+    "clean_percent": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN " + _PERCENT_SQL.replace(
+        "{x}", "replace(text, '$', 'USD ')"
+    ) + " END AS text FROM documents",
     "boilerplate_flags": f"SELECT doc_id, regexp_matches(t, {q.quote(tx.SAFE_HARBOUR)}) AS safe_harbour, regexp_matches(t, {q.quote(tx.COPYRIGHT)}) AS copyright FROM (SELECT doc_id, concat_ws(' ', text, CASE WHEN doc_id % 3 = 0 THEN 'Forward-looking statements apply.' WHEN doc_id % 5 = 0 THEN 'Copyright 2024' END) AS t FROM documents)",
-    "clean_document": "SELECT doc_id, CASE WHEN raw_text IS NOT NULL THEN " + q.collapse(_PERCENT_SQL.replace("{x}", _MONEY_SQL.replace("raw_text", q.fold("regexp_replace(" + q.entities("raw_text") + ", '<[^>]+>', '', 'g')")))) + " END AS text FROM parsed_document",
+    "clean_document": "SELECT doc_id, CASE WHEN raw_text IS NOT NULL THEN " + q.collapse(
+        _PERCENT_SQL.replace(
+            "{x}", _MONEY_SQL.replace("raw_text", q.fold("regexp_replace(" + q.entities("raw_text") + ", '<[^>]+>', '', 'g')"))
+        )
+    ) + " END AS text FROM parsed_document",
     "filename_metadata": f"SELECT doc_id, nullif(upper(regexp_extract(s, {q.quote(tx.TICKER_IN_NAME)}, 1)), '') AS ticker, nullif(upper(regexp_extract(s, {q.quote(tx.PERIOD_IN_NAME)}, 1)) || regexp_extract(s, {q.quote(tx.PERIOD_IN_NAME)}, 2), '') AS fiscal_period, CASE WHEN upper(regexp_extract(s, {q.quote(tx.TYPE_IN_NAME)}, 1)) IN ('10-K', '10-Q') THEN upper(regexp_extract(s, {q.quote(tx.TYPE_IN_NAME)}, 1)) ELSE 'unknown' END AS doc_type FROM (SELECT doc_id, {_STEM} AS s FROM parsed_document)",
-    "earnings_call_flag": "SELECT doc_id, " + ", ".join("(" + " + ".join(f"coalesce(CAST(regexp_matches(s, {q.quote(i + p)}) AS INTEGER), 0)" for p in tx.CALL_SIGNS) + f") >= 2 AS {name}" for i, name in (("", "as_written"), ("(?i)", "ignoring_case"))) + " FROM (SELECT doc_id, lower(substr('Operator: Welcome to the earnings call. ' || raw_text, 1, 5000)) AS s FROM parsed_document)",
+    "earnings_call_flag": "SELECT doc_id, " + ", ".join(
+        "(" + " + ".join(
+            f"coalesce(CAST(regexp_matches(s, {q.quote(i + p)}) AS INTEGER), 0)" for p in tx.CALL_SIGNS
+        ) + f") >= 2 AS {name}"
+        for i, name in (("", "as_written"), ("(?i)", "ignoring_case"))
+    ) + " FROM (SELECT doc_id, lower(substr('Operator: Welcome to the earnings call. ' || raw_text, 1, 5000)) AS s FROM parsed_document)",
     "speaker_sections": f"WITH t AS ({_TURNS}), e AS (SELECT doc_id, length(a) + 12 AS e1, length(a) + 12 + length(b) + 12 AS e2, length(a) + 12 + length(b) + 12 + length(c) + 12 AS e3 FROM t) SELECT doc_id, CAST(o AS INTEGER) AS ord, s AS section, CAST(x AS INTEGER) AS start, CAST(y AS INTEGER) AS \"end\" FROM (SELECT doc_id, 0 AS o, 'operator' AS s, 0 AS x, e1 AS y FROM e UNION ALL SELECT doc_id, 1, 'jane roe', e1, e2 FROM e UNION ALL SELECT doc_id, 2, 'operator_1', e2, e3 FROM e)",
     "sec_sections": _sections_sql(),
     "token_chunks": _windows_sql("piece"),
-    "chunk_sentence_snap": _windows_sql("CASE WHEN regexp_extract(piece, '(?s)^(.*[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(piece, '(?s)^(.*[.!?])(?:\\s|$)', 1) ELSE piece END"),
+    "chunk_sentence_snap": _windows_sql(
+        "CASE WHEN regexp_extract(piece, '(?s)^(.*[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(piece, '(?s)^(.*[.!?])(?:\\s|$)', 1) ELSE piece END"
+    ),
     "chunk_stats": f"SELECT doc_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, max(token_count) AS largest FROM ({_windows_sql('piece')}) GROUP BY doc_id",
     "char_slices": "SELECT doc_id, CAST(s AS INTEGER) AS slice, substr(text, s * 2048 + 1, 2048) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 2048.0) AS BIGINT))) AS s FROM documents WHERE length(text) > 0)",
     "section_texts": "SELECT doc_id, lower(e.key) AS section, substr(t, e.value.start_char + 1, greatest(e.value.end_char - e.value.start_char, 0)) AS text FROM (SELECT doc_id, t, unnest(map_entries(m)) AS e FROM (SELECT doc_id, any_value(cleaned_text) AS t, any_value(section_map) AS m FROM parsed_document WHERE cleaned_text IS NOT NULL GROUP BY doc_id))",

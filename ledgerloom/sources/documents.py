@@ -155,7 +155,9 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return live.mapInPandas(run, f"{key} {kind}, table_ord int, row_ord int, cells array<string>")
 
 
-def read_documents(spark: SparkSession, path: str, pdf: PdfReader | None = None, fixed: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_documents(
+    spark: SparkSession, path: str, pdf: PdfReader | None = None, fixed: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of a file, folder or glob; the format is the lower-cased suffix.
 
     Without a PDF reader, PDF files are rejects. ``fixed`` mends file types without hyphen and the detection of calls.
@@ -168,20 +170,31 @@ def parse_files(found: DataFrame, pdf: PdfReader | None = None, fixed: bool = Fa
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
     files = found.withColumn("format", F.coalesce(*[F.when(suffix == s, F.lit(f)) for s, f in FORMATS.items()]))
     raw = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
-    text = F.when(F.col("format") == "html", html_text(raw)).when(F.col("format") == "json", json_text(raw)).when(F.col("format") == "txt", raw)
+    text = F.when(F.col("format") == "html", html_text(raw)).when(
+        F.col("format") == "json", json_text(raw)
+    ).when(F.col("format") == "txt", raw)
     readable = F.col("format").isin("html", "json", "txt")
     if pdf is not None:
-        text = text.when(F.col("format") == "pdf", F.array_join(F.transform(pdf_pages(F.col("content"), pdf), lambda p: F.coalesce(p, F.lit(""))), "\n"))
+        text = text.when(
+            F.col("format") == "pdf",
+            F.array_join(F.transform(pdf_pages(F.col("content"), pdf), lambda p: F.coalesce(p, F.lit(""))), "\n")
+        )
         readable = F.col("format").isNotNull()
     named = files.where(readable).select("path", "content", "format").withColumn("raw_text", text)
     call = earnings_call_flag(F.col("raw_text"), fixed) & (F.col("format") == "txt")
     meta = filename_metadata(F.col("path"), F.when(call, "earnings_call").otherwise("unknown"), fixed)
-    docs = named.where("raw_text is not null").select(F.sha2("path", 256).alias("doc_id"), F.col("path").alias("source_path"), meta.alias("m"), "raw_text", "format")
+    docs = named.where("raw_text is not null").select(
+        F.sha2("path", 256).alias("doc_id"), F.col("path").alias("source_path"), meta.alias("m"), "raw_text", "format"
+    )
     # contents are read again only for the formats whose parsing can fail
     reason = F.when(F.col("format").isNull(), "unsupported format").otherwise("no PDF reader")
     refused = files.where(~F.coalesce(readable, F.lit(False))).select("path", reason.alias("reason"))
-    failed = named.where(F.col("format").isin("json", "pdf") & F.col("raw_text").isNull()).select("path", F.lit("not readable").alias("reason"))
-    return docs.select("doc_id", "source_path", "m.doc_type", "m.ticker", "m.fiscal_period", "raw_text", "format"), refused.unionByName(failed)
+    failed = named.where(F.col("format").isin("json", "pdf") & F.col("raw_text").isNull()).select(
+        "path", F.lit("not readable").alias("reason")
+    )
+    return docs.select(
+        "doc_id", "source_path", "m.doc_type", "m.ticker", "m.fiscal_period", "raw_text", "format"
+    ), refused.unionByName(failed)
 
 
 def pdf_pages(content: Column, pdf: PdfReader) -> Column:
@@ -203,7 +216,15 @@ def pdf_pages(content: Column, pdf: PdfReader) -> Column:
 def page_map(pages: Column) -> Column:
     """page_1, page_2, ... -> characters on the pages up to it; the separators between pages don't count."""
     lengths = F.transform(pages, lambda p: F.length(F.coalesce(p, F.lit(""))))
-    return F.map_from_entries(F.transform(pages, lambda p, i: F.struct(F.concat(F.lit("page_"), (i + 1).cast("string")), F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda t, n: t + n))))
+    return F.map_from_entries(
+        F.transform(
+            pages,
+            lambda p, i: F.struct(
+                F.concat(F.lit("page_"), (i + 1).cast("string")),
+                F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda t, n: t + n)
+            )
+        )
+    )
 
 
 def page_offsets(pages: DataFrame, key: str, number: str, text: str) -> DataFrame:
@@ -262,7 +283,9 @@ def read_eval_set(spark: SparkSession, path: str, limit: int | None = None) -> D
     # files in the order of their names; one small row a file decides where its numbers start
     names = files.select("_f", F.size("_s").alias("_n"))
     start = names.select("_f", (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_b"))
-    rows = files.join(F.broadcast(start), "_f").select("_b", F.posexplode("_s").alias("_i", "sample")).select((F.col("_b") + F.col("_i")).cast("int").alias("sample_id"), "sample")
+    rows = files.join(F.broadcast(start), "_f").select("_b", F.posexplode("_s").alias("_i", "sample")).select(
+        (F.col("_b") + F.col("_i")).cast("int").alias("sample_id"), "sample"
+    )
     return rows if limit is None else rows.where(F.col("sample_id") < limit)
 
 

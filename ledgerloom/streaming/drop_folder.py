@@ -15,7 +15,16 @@ from ledgerloom.sources.documents import parse_files
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def index_drop_folder(spark: SparkSession, folder: str, index: VectorIndex, checkpoint: str, pattern: str = "*", available_now: bool = True, pdf: PdfReader | None = None, rejects: str | None = None) -> StreamingQuery:
+def index_drop_folder(
+    spark: SparkSession,
+    folder: str,
+    index: VectorIndex,
+    checkpoint: str,
+    pattern: str = "*",
+    available_now: bool = True,
+    pdf: PdfReader | None = None,
+    rejects: str | None = None
+) -> StreamingQuery:
     """Files of all known formats in ``folder`` as a stream; each batch is upserted, so a batch that is repeated changes
     nothing. Files that can't be read are added to the folder ``rejects`` (a batch's own subfolder), where given."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)

@@ -14,7 +14,14 @@ def samples(spark, tmp_path, rows):
 
 
 def test_ner(spark, tmp_path):
-    rows = [{"text": "x", "references": [{"word": "a", "entity": "ORG"}, {"text": "b", "label": "LOC"}], "predictions": [{"word": "a", "entity_group": "ORG"}]}, {"text": "y", "entities": []}]
+    rows = [
+        {
+            "text": "x",
+            "references": [{"word": "a", "entity": "ORG"}, {"text": "b", "label": "LOC"}],
+            "predictions": [{"word": "a", "entity_group": "ORG"}]
+        },
+        {"text": "y", "entities": []}
+    ]
     r = evaluate(samples(spark, tmp_path, rows), "ner").first()
     assert (r.tp, r.fp, r.fn) == (1, 0, 1)
 
@@ -26,14 +33,24 @@ def test_sentiment(spark, tmp_path):
 
 
 def test_kpi(spark, tmp_path):
-    rows = [{"text": "revenue of 119.6 and EPS of 2", "reference_kpis": {"revenue": 120.0, "eps": 2}, "predictions": {"revenue": 100}}]
+    rows = [
+        {"text": "revenue of 119.6 and EPS of 2", "reference_kpis": {"revenue": 120.0, "eps": 2}, "predictions": {"revenue": 100}}
+    ]
     assert evaluate(samples(spark, tmp_path, rows), "kpi").first().numeric_accuracy == 0.0
     r = evaluate(samples(spark, tmp_path, rows), "kpi", predict=True).first()
     assert (r.numeric_accuracy, r.extraction_recall) == (1.0, 1.0)
 
 
 def test_rag(spark, tmp_path):
-    rows = [{"question": "q", "answer": "a b", "generated_answer": "a b", "gold": ["x  Y"], "retrieved_chunks": [{"chunk_id": "1", "text": "z"}, {"text": "x y"}]}]
+    rows = [
+        {
+            "question": "q",
+            "answer": "a b",
+            "generated_answer": "a b",
+            "gold": ["x  Y"],
+            "retrieved_chunks": [{"chunk_id": "1", "text": "z"}, {"text": "x y"}]
+        }
+    ]
     r = evaluate(samples(spark, tmp_path, rows), "rag").first()
     assert (r.hit_rate_top1, r.mrr, r.exact_match, r.bleu) == (0.0, 0.5, 1.0, 1.0)
 

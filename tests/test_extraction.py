@@ -14,8 +14,14 @@ def test_kpis_of_a_sentence(spark):
 
 
 def test_override_takes_the_best_score(spark):
-    kpis = spark.createDataFrame([(1, "revenue", 0, "sales", 5.0, "M", "sales 5 M", "regex"), (1, "eps", 0, "EPS", 1.0, "", "EPS 1", "regex")], "k int, kpi_type string, ord int, name string, value double, unit string, raw_text string, source string")
-    tagged = spark.createDataFrame([(1, 0, "Revenues", 7.0, 0.5, "7"), (1, 1, "Revenues", 9.0, 0.9, "9"), (1, 2, "Debt", 1.0, 1.0, "1")], "k int, ord int, tag string, value double, score double, text string")
+    kpis = spark.createDataFrame(
+        [(1, "revenue", 0, "sales", 5.0, "M", "sales 5 M", "regex"), (1, "eps", 0, "EPS", 1.0, "", "EPS 1", "regex")],
+        "k int, kpi_type string, ord int, name string, value double, unit string, raw_text string, source string"
+    )
+    tagged = spark.createDataFrame(
+        [(1, 0, "Revenues", 7.0, 0.5, "7"), (1, 1, "Revenues", 9.0, 0.9, "9"), (1, 2, "Debt", 1.0, 1.0, "1")],
+        "k int, ord int, tag string, value double, score double, text string"
+    )
     got = {(r.kpi_type, r.value) for r in kpi.override_revenue(kpis, tagged, "k").collect()}
     assert got == {("revenue", 9.0), ("eps", 1.0)}
 
@@ -64,4 +70,6 @@ def test_eval_sets(spark, tmp_path):
     for i, body in enumerate(['[{"a": 1}, {"a": 2}]', '{"data": [{"a": 1}]}', '{"a": 1}']):
         (tmp_path / f"{i}.json").write_text(body)
     assert [read_eval_set(spark, str(tmp_path / f"{i}.json")).count() for i in range(3)] == [2, 1, 1]
-    assert read_eval_set(spark, str(tmp_path / "0.json"), limit=1).select(F.get_json_object("sample", "$.a").alias("a")).first().a == "1"
+    assert read_eval_set(spark, str(tmp_path / "0.json"), limit=1).select(
+        F.get_json_object("sample", "$.a").alias("a")
+    ).first().a == "1"

@@ -14,7 +14,10 @@ def test_settings_guard():
         Settings(similarity_floor=0.6, routing_similarity=0.6)
 
 
-@pytest.mark.parametrize(("n", "score", "retries", "again"), [(0, 0.2, 0, True), (5, 0.9, 0, False), (5, 0.55, 0, True), (1, 0.95, 0, True), (0, 0.0, 2, False)])
+@pytest.mark.parametrize(
+    ("n", "score", "retries", "again"),
+    [(0, 0.2, 0, True), (5, 0.9, 0, False), (5, 0.55, 0, True), (1, 0.95, 0, True), (0, 0.0, 2, False)]
+)
 def test_routing(spark, n, score, retries, again):
     assert spark.range(1).select(rt.routing(F.lit(n), F.lit(score), F.lit(retries)).alias("x")).first().x is again
 
@@ -32,7 +35,9 @@ def test_search_is_exact(spark, monkeypatch, queries, rows):
     monkeypatch.setattr(vx, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
-    data = [(i, x[i].astype("float32").tolist(), i % 3) for i in range(300)] + [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 1), (903, [1.0], 1), (904, [1.0] * 8, None)]
+    data = [(i, x[i].astype("float32").tolist(), i % 3) for i in range(300)] + [
+        (900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 1), (903, [1.0], 1), (904, [1.0] * 8, None)
+    ]
     df = spark.createDataFrame(data, "id int, embedding array<float>, g int").repartition(5)
     asked = df.where("id < 20").select(F.col("id").alias("q"), "embedding", F.when(F.col("id") < 10, F.col("g")).alias("g"))
     got = vx.search(df, asked, "id", "q", k=4, group="g", exclude_self=True, block_queries=queries).collect()
@@ -49,7 +54,9 @@ def test_search_is_exact(spark, monkeypatch, queries, rows):
 
 def test_index_upserts_and_clears(spark, tmp_path):
     index = vx.VectorIndex(spark, str(tmp_path / "index"))
-    make = lambda rows: spark.createDataFrame(rows, "chunk_id string, doc_id string, ticker string, chunk_type string, page_number int, text string")
+    make = lambda rows: spark.createDataFrame(
+        rows, "chunk_id string, doc_id string, ticker string, chunk_type string, page_number int, text string"
+    )
     index.upsert(make([("a", "d", None, "odd", None, "net sales rose"), ("b", "d", "T", "mda", 3, "costs fell")]))
     index.upsert(make([("b", "d", "T", "mda", 4, "costs fell again")]))
     rows = {r.chunk_id: r for r in index.read().collect()}
@@ -63,9 +70,17 @@ def test_index_upserts_and_clears(spark, tmp_path):
 def test_upserts_touch_only_their_buckets(spark, tmp_path):
     index = vx.VectorIndex(spark, str(tmp_path / "index"), buckets=8)
     rows = [(f"c{i}", f"text {i}", 1) for i in range(200)]
-    index.upsert(spark.createDataFrame(rows, "chunk_id string, text string, v int").selectExpr("*", "'T' AS ticker", "'mda' AS chunk_type", "1 AS page_number"))
+    index.upsert(
+        spark.createDataFrame(rows, "chunk_id string, text string, v int").selectExpr(
+            "*", "'T' AS ticker", "'mda' AS chunk_type", "1 AS page_number"
+        )
+    )
     _, first = index._current()
-    again = spark.createDataFrame([("c7", "old", 2), ("c7", "new", 3), (None, "x", 1)], "chunk_id string, text string, v int").selectExpr("*", "'U' AS ticker", "'mda' AS chunk_type", "2 AS page_number", "'more' AS extra")
+    again = spark.createDataFrame(
+        [("c7", "old", 2), ("c7", "new", 3), (None, "x", 1)], "chunk_id string, text string, v int"
+    ).selectExpr(
+        "*", "'U' AS ticker", "'mda' AS chunk_type", "2 AS page_number", "'more' AS extra"
+    )
     index.upsert(again, version="v")
     _, second = index._current()
     assert sum(first["files"][b] != second["files"][b] for b in first["files"]) == 1
@@ -83,11 +98,20 @@ def test_upserts_touch_only_their_buckets(spark, tmp_path):
 
 def test_a_node_takes_supplied_hits_first(spark):
     line = AnalysisPipeline()
-    docs = spark.createDataFrame([(f"d{i}", "T", f"net sales rose in region {i} and margins grew") for i in range(6)], "doc_id string, ticker string, cleaned_text string")
+    docs = spark.createDataFrame(
+        [(f"d{i}", "T", f"net sales rose in region {i} and margins grew") for i in range(6)],
+        "doc_id string, ticker string, cleaned_text string"
+    )
     chunks = line.chunks(docs)
     ids = [r.chunk_id for r in chunks.orderBy("chunk_id").collect()]
-    asked = spark.createDataFrame([("q1", "net sales rose in region", "T"), ("q2", "net sales rose in region", "T"), ("q3", "xyz", "T")], "query_id string, query string, ticker string")
-    given = spark.createDataFrame([("q1", i + 1, c, 0.9) for i, c in enumerate(ids[:3])] + [("q3", 1, ids[0], 0.1)], "query_id string, rank int, id string, similarity double")
+    asked = spark.createDataFrame(
+        [("q1", "net sales rose in region", "T"), ("q2", "net sales rose in region", "T"), ("q3", "xyz", "T")],
+        "query_id string, query string, ticker string"
+    )
+    given = spark.createDataFrame(
+        [("q1", i + 1, c, 0.9) for i, c in enumerate(ids[:3])] + [("q3", 1, ids[0], 0.1)],
+        "query_id string, rank int, id string, similarity double"
+    )
     hits = {}
     for r in line.retrieve(chunks, asked, given).collect():
         hits.setdefault((r.query_id, r.attempt), []).append(r.id)
@@ -106,7 +130,9 @@ def test_requery_stops(spark):
 
     def search(left, attempt):
         seen.append((attempt, left.count()))
-        return left.join(spark.range(5).select(F.col("id").alias("rank")), F.lit(True)).select("query", "rank", F.col("rank").alias("id"), F.when((F.col("query") == 1), 0.9).otherwise(0.1).alias("similarity"))
+        return left.join(spark.range(5).select(F.col("id").alias("rank")), F.lit(True)).select(
+            "query", "rank", F.col("rank").alias("id"), F.when((F.col("query") == 1), 0.9).otherwise(0.1).alias("similarity")
+        )
 
     out = rt.requery(asked, search)
     assert {(r.query, r.attempt) for r in out.collect()} == {(1, 0), (2, 2)}
@@ -114,7 +140,10 @@ def test_requery_stops(spark):
 
 
 def test_pipeline_makes_a_report_for_each_question(spark):
-    docs = spark.createDataFrame([("d", "TICK", "earnings_call", "FY2024", "Revenue of $5.00B rose. Velholm Energy grew."), ("e", None, "10-K", None, "")], "doc_id string, ticker string, doc_type string, fiscal_period string, cleaned_text string")
+    docs = spark.createDataFrame(
+        [("d", "TICK", "earnings_call", "FY2024", "Revenue of $5.00B rose. Velholm Energy grew."), ("e", None, "10-K", None, "")],
+        "doc_id string, ticker string, doc_type string, fiscal_period string, cleaned_text string"
+    )
     asked = docs.select("doc_id", F.col("doc_id").alias("query_id"), F.lit("What was revenue?").alias("query"), "ticker")
     rows = {r.doc_id: r for r in AnalysisPipeline().analyze(docs, asked).collect()}
     assert rows["d"].financial_metrics.kpi_count == 1

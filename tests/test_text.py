@@ -11,7 +11,9 @@ from ledgerloom.plans import text_queries
 
 
 def one(spark, f, *values):
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").select("i", f(F.col("t")).alias("x")).orderBy("i").collect()
+    rows = spark.createDataFrame(
+        [(i, v) for i, v in enumerate(values)], "i int, t string"
+    ).select("i", f(F.col("t")).alias("x")).orderBy("i").collect()
     return [r.x for r in rows]
 
 
@@ -41,8 +43,26 @@ def test_unescape_is_exact(spark):
 
 
 def test_filename_metadata(spark):
-    got = one(spark, tx.filename_metadata, "x/AAPL_10K_FY2023.txt", "MSFT_10-Q_Q2_2024.htm", "GOOG_10-K_FY2024.pdf", "small_filing.txt", "medium_filing.txt", "uploaded_document.pdf", None)
-    want = [("AAPL", "FY2023", "unknown"), ("MSFT", "Q22024", "10-Q"), ("GOOG", "FY2024", "10-K"), ("SMALL", None, "unknown"), (None, None, "unknown"), (None, None, "unknown"), (None, None, "unknown")]
+    got = one(
+        spark,
+        tx.filename_metadata,
+        "x/AAPL_10K_FY2023.txt",
+        "MSFT_10-Q_Q2_2024.htm",
+        "GOOG_10-K_FY2024.pdf",
+        "small_filing.txt",
+        "medium_filing.txt",
+        "uploaded_document.pdf",
+        None
+    )
+    want = [
+        ("AAPL", "FY2023", "unknown"),
+        ("MSFT", "Q22024", "10-Q"),
+        ("GOOG", "FY2024", "10-K"),
+        ("SMALL", None, "unknown"),
+        (None, None, "unknown"),
+        (None, None, "unknown"),
+        (None, None, "unknown")
+    ]
     assert [tuple(x) for x in got] == want
     assert one(spark, lambda c: tx.filename_metadata(c, fixed=True), "AAPL_10K_FY2023.txt")[0].doc_type == "10-K"
 
@@ -67,15 +87,21 @@ def test_windows_of_nothing_and_sections(spark):
     df = spark.createDataFrame([("a", None), ("b", " "), ("c", "x")], "doc_id string, t string")
     assert [r.doc_id for r in ch.token_windows(df, ["doc_id"], "t").collect()] == ["c"]
     text = "Item 7. outlook item 1a risks ITEM 8 numbers"
-    got = ch.sec_sections(spark.createDataFrame([("d", text), ("n", None)], "doc_id string, raw_text string")).orderBy("ord").collect()
-    assert [(r.section, text[r.start : r.end]) for r in got] == [("risk_factors", "item 1a risks "), ("mda", "Item 7. outlook "), ("financial_statements", "ITEM 8 numbers")]
+    got = ch.sec_sections(
+        spark.createDataFrame([("d", text), ("n", None)], "doc_id string, raw_text string")
+    ).orderBy("ord").collect()
+    assert [(r.section, text[r.start : r.end]) for r in got] == [
+        ("risk_factors", "item 1a risks "), ("mda", "Item 7. outlook "), ("financial_statements", "ITEM 8 numbers")
+    ]
 
 
 def test_sections_of_whole_filings(spark, tmp_path):
     rows = [("d", "ab " * 1000), ("late", "x" * 900 + " item 1b " + "y" * 91), ("tiny", "z"), ("n", None)]
     spark.createDataFrame(rows, "doc_id string, cleaned_text string").write.parquet(f"{tmp_path}/parsed_document.parquet")
     got = {(r.doc_id, r.section): (r.start, r.end) for r in text_queries.sec_sections(spark, str(tmp_path)).collect()}
-    assert {k: v for k, v in got.items() if k[0] == "d"} == {("d", "mda"): (9, 1018), ("d", "risk_factors"): (1018, 2028), ("d", "financial_statements"): (2028, 3035)}
+    assert {k: v for k, v in got.items() if k[0] == "d"} == {
+        ("d", "mda"): (9, 1018), ("d", "risk_factors"): (1018, 2028), ("d", "financial_statements"): (2028, 3035)
+    }
     assert got["late", "financial_statements"] == (694, 936) and got["late", "unresolved_staff_comments"] == (936, 1035)
     assert got["tiny", "financial_statements"] == (28, 36)
 
