@@ -141,8 +141,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of all chunks for every chunk whose hashed id is divisible by 100."""
     chunks = table(spark, d, "document_chunk")
-    asked = chunks.where(F.pmod(F.crc32(F.col("chunk_id").cast("binary")), F.lit(100)) == 0)
-    return quantised_search.search(chunks, asked, "chunk_id", "embedding")
+    number = F.conv(F.substring(F.md5(F.col("chunk_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    near = quantised_search.search(chunks, chunks.where(F.pmod(number, F.lit(100)) == 0), "chunk_id", "embedding")
+    return near.select(F.col("record").alias("chunk_id"), "rank", F.round("similarity", 4).alias("similarity"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -260,6 +261,8 @@ def _near_report(name: str) -> str:
 _CONTENT = "replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1' || chr(1) || '\\2', 'g'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{{L}}\\p{{N}}\\x01]+', '', 'g'), chr(1), '.')".replace("{{", "{").replace("}}", "}")
 _LEAKS = f"WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(12)}) AS g FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12), i AS (SELECT DISTINCT item_id, unnest({_GRAMS.format(12)}) AS g FROM (SELECT item_id, {_WORDS.format('t')} AS w FROM (SELECT item_id, unnest([question, passage]) AS t FROM eval_item) WHERE t IS NOT NULL) WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g"
 
+_VECTORS = "SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM document_chunk WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND chunk_id IS NOT NULL GROUP BY 1"
+
 SQL = {
     "p4_found": f"SELECT DISTINCT record_kind, record_key FROM (SELECT 'document' AS record_kind, doc_id AS record_key, cleaned_text AS t FROM parsed_document UNION ALL SELECT 'chunk', chunk_id, text FROM document_chunk) WHERE len(regexp_extract_all(t, '[^{_SPACE}]+')) > 512",
     "p5_found": f"WITH s AS (SELECT DISTINCT chunk_id, unnest({_GRAMS.format(3)}) AS g FROM (SELECT chunk_id, {_WORDS.format('text')} AS w FROM document_chunk WHERE text IS NOT NULL AND chunk_id IS NOT NULL) WHERE len(w) >= 3), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2) SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.5",
@@ -270,7 +273,8 @@ SQL = {
     "p9_cover": "WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300), w AS (SELECT doc_id, unnest(range(1, length(text) - 298)) AS i, unnest(list_transform(range(1, length(text) - 298), lambda i: hash(text[i : i + 299]))) AS s FROM t), h AS (SELECT s FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1), x AS (SELECT doc_id, i, max(i + 300) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM w WHERE s IN (SELECT s FROM h)), c AS (SELECT doc_id, sum(i + 300 - greatest(i, coalesce(e, 0))) AS n FROM x GROUP BY 1), k AS (SELECT text, count(*) AS copies FROM t GROUP BY 1) SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(coalesce(n, 0) AS INTEGER) AS shared_chars, copies FROM t JOIN k USING (text) LEFT JOIN c USING (doc_id)",
     "p5_classes": _near_report("s"),
     "p5_multisets": _near_report("s || ' ' || x"),
-    "p6_found": "WITH v AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM document_chunk WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1), r AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY s DESC, b.chunk_id) <= 10) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE s >= 0.9",
+    "p6_found": f"WITH v AS ({_VECTORS}), r AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY s DESC, b.chunk_id) <= 10) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE s >= 0.9",
+    "p6_topk": f"WITH v AS ({_VECTORS}), r AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE ('0x' || substr(md5(a.chunk_id), 1, 8))::BIGINT % 100 = 0) SELECT a AS chunk_id, CAST(row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS INTEGER) AS rank, round(s, 4) AS similarity FROM r QUALIFY rank <= 10",
     "p7_found": _LEAKS,
     "p9_found": "WITH w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 298), lambda i: text[i : i + 299])) AS s FROM documents WHERE length(text) >= 300) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",
 }
