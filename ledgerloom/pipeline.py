@@ -40,36 +40,38 @@ class AnalysisPipeline:
             index, vectors_, "chunk_id", "query_id", k=self.s.top_k, floor=self.s.similarity_floor, group="ticker"
         ).withColumnRenamed("query", "query_id")
 
-    def retrieve(self, index: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = True) -> DataFrame:
-        """Hits (query_id, attempt, rank, id, similarity) of (query_id, query, ticker); by the re-query loop, or of one
-        attempt without it.
-
-        Questions that say the same of the same ticker are asked once. The first attempt takes the ``supplied`` hits
-        (query_id, rank, id, similarity) of those questions that have any; later ones always search.
-        """
+    def _once(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The questions with ``_same``, and each different one (query_id, query, ticker) once, with ``_same`` as its id."""
         text = F.struct("query", "ticker")
         # every attempt starts from the questions again
-        named = checkpointed(questions.select("query_id", "query", "ticker", F.sha2(F.to_json(text), 256).alias("_same")))
-        if supplied is None:
-            once = named.groupBy(F.col("_same").alias("query_id")).agg(
-                F.first("query").alias("query"), F.first("ticker").alias("ticker")
-            )
-            hits = retrieval.requery(once, lambda left, n: self._search(index, left, n), key="query_id", s=self.s, loop=loop)
-            return hits.withColumnRenamed("query_id", "_same").join(
-                named.select("query_id", "_same"), "_same"
-            ).drop("_same").select(
-                "query_id", "attempt", "rank", "id", "similarity"
-            )
+        named = checkpointed(questions.withColumn("_same", F.sha2(F.to_json(text), 256)))
+        once = named.groupBy(F.col("_same").alias("query_id")).agg(F.first("query").alias("query"), F.first("ticker").alias("ticker"))
+        return named, once
 
+    def _hits(self, index: DataFrame, asked: DataFrame, supplied: DataFrame | None, loop: bool) -> DataFrame:
         def attempt(left: DataFrame, n: int) -> DataFrame:
-            if n:
+            if n or supplied is None:
                 return self._search(index, left, n)
             given = supplied.select("query_id", "rank", "id", "similarity").join(left.select("query_id"), "query_id", "left_semi")
             return given.unionByName(
                 self._search(index, left.join(supplied.select("query_id"), "query_id", "left_anti"), 0).select(given.columns)
             )
 
-        return retrieval.requery(named.drop("_same"), attempt, key="query_id", s=self.s, loop=loop)
+        return retrieval.requery(asked.select("query_id", "query", "ticker"), attempt, key="query_id", s=self.s, loop=loop)
+
+    def retrieve(self, index: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = True) -> DataFrame:
+        """Hits (query_id, attempt, rank, id, similarity) of (query_id, query, ticker); by the re-query loop, or of one
+        attempt without it.
+
+        Questions that say the same of the same ticker are asked once. The first attempt takes the ``supplied`` hits
+        (query_id, rank, id, similarity) of those questions that have any; later ones always search.
+        """
+        fields = ["query_id", "attempt", "rank", "id", "similarity"]
+        if supplied is not None:
+            return self._hits(index, checkpointed(questions.select("query_id", "query", "ticker")), supplied, loop).select(fields)
+        named, once = self._once(questions.select("query_id", "query", "ticker"))
+        hits = self._hits(index, once, None, loop).withColumnRenamed("query_id", "_same")
+        return named.select("query_id", "_same").join(hits, "_same").select(fields)
 
     def _full(self, chunks: DataFrame, hits: DataFrame) -> DataFrame:
         """(query_id, hits, attempt, average): the hits of each question with their texts, in order."""
@@ -81,13 +83,22 @@ class AnalysisPipeline:
             F.avg("similarity").alias("average")
         )
 
+    def _said(self, chunks: DataFrame, asked: DataFrame, supplied: DataFrame | None, loop: bool) -> DataFrame:
+        """(query_id, hits, attempt, average, reasoning, answer) of each question."""
+        found = self._full(chunks, self._hits(chunks, asked, supplied, loop))
+        empty = F.array().cast(found.schema["hits"].dataType)
+        joined = asked.select("query_id", "query").join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", empty))
+        return retrieval.generate(joined, self.llm).drop("query")
+
     def answer(self, chunks: DataFrame, questions: DataFrame, supplied: DataFrame | None = None, loop: bool = False) -> DataFrame:
         """questions with hits, attempt, average, reasoning and answer: one search (``loop`` for the re-query loop) and the
-        answer from what it finds."""
-        found = self._full(chunks, self.retrieve(chunks, questions, supplied, loop))
-        empty = F.array().cast(found.schema["hits"].dataType)
-        joined = questions.join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", empty))
-        return retrieval.generate(joined, self.llm)
+        answer from what it finds. Equal questions about a ticker are asked and answered once, but for supplied hits."""
+        if supplied is not None:
+            asked = checkpointed(questions)
+            return asked.join(self._said(chunks, asked, supplied, loop), "query_id")
+        named, once = self._once(questions)
+        said = self._said(chunks, once, None, loop).withColumnRenamed("query_id", "_same")
+        return named.join(said, "_same").drop("_same")
 
     def analyze(
         self, docs: DataFrame, questions: DataFrame, sections: DataFrame | None = None, tagged: DataFrame | None = None
@@ -95,7 +106,20 @@ class AnalysisPipeline:
         """docs (doc_id, ticker, doc_type, fiscal_period, cleaned_text), questions (doc_id, query_id, query, ticker)."""
         s = self.s
         chunks = checkpointed(self.chunks(docs, sections))  # read by every attempt of the search and by the sentiment
-        asked = self.answer(chunks, questions, loop=True)
+        named, once = self._once(questions)
+        # what the report shows of the hits, before it is joined to every filing
+        said = self._said(chunks, once, None, True).select(
+            F.col("query_id").alias("_same"),
+            F.struct(
+                F.size("hits").alias("chunks_retrieved"),
+                F.coalesce("average", F.lit(0.0)).alias("average_similarity"),
+                F.coalesce("attempt", F.lit(s.max_retries)).alias("retries_performed"),
+                report.format_chunks(F.col("hits")).alias("chunks"),
+            ).alias("retrieval"),
+            "reasoning",
+            "answer",
+        )
+        asked = named.join(said, "_same").drop("_same")
 
         ents = entities.extract_entities(docs, "doc_id", "cleaned_text", self.tagger)
         types = entities.entity_type_counts(ents, "doc_id")
@@ -129,12 +153,7 @@ class AnalysisPipeline:
             F.struct(
                 F.coalesce("ticker", F.lit("unknown")).alias("ticker"), "doc_type", "fiscal_period", "query"
             ).alias("metadata"),
-            F.struct(
-                F.size("hits").alias("chunks_retrieved"),
-                F.coalesce("average", F.lit(0.0)).alias("average_similarity"),
-                F.coalesce("attempt", F.lit(s.max_retries)).alias("retries_performed"),
-                report.format_chunks(F.col("hits")).alias("chunks")
-            ).alias("retrieval"),
+            "retrieval",
             F.struct(
                 zero(F.col("entities")).alias("total_entities"), F.col("type_counts").alias("entity_types")
             ).alias("named_entities"),
