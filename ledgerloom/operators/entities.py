@@ -30,6 +30,20 @@ def top_entity_type(counts: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
+def entity_summary(counts: DataFrame, key: str) -> DataFrame:
+    """(key, entities, entity_types, type_counts, top_type, top_count): what a report says of the counts by type."""
+    best = F.max_by(F.struct("entity_group", "n"), F.struct(F.col("n"), -F.col("first_ord")))
+    found = counts.groupBy(key).agg(
+        F.sum("n").alias("entities"),
+        F.count(F.lit(1)).alias("entity_types"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_group", "n")))).alias("type_counts"),
+        best.alias("_b"),
+    )
+    return found.select(
+        key, "entities", "entity_types", "type_counts", F.col("_b.entity_group").alias("top_type"), F.col("_b.n").alias("top_count")
+    )
+
+
 def tag_counts(figures: DataFrame, key: str, sample: int = 15) -> DataFrame:
     """(key, total_tagged, tag_counts, sample): counts by tag and the first figures in order."""
     by_tag = figures.groupBy(key, F.coalesce("tag", F.lit("unknown")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))

@@ -105,3 +105,15 @@ def kpi_totals(kpis: DataFrame, margins: DataFrame, key: str) -> DataFrame:
         F.coalesce("_c", F.lit(0)).alias("calculated"),
         (F.col("kpi_count") + F.coalesce("_c", F.lit(0))).alias("total_kpis")
     )
+
+
+def kpi_summary(kpis: DataFrame, key: str) -> DataFrame:
+    """As ``kpi_totals`` with the derived margins, in one pass over the figures."""
+    first = lambda kind: F.min_by(
+        F.when(F.col("kpi_type") == kind, F.struct("value", "unit")), F.when(F.col("kpi_type") == kind, F.col("ord"))
+    )
+    kinds = F.size(F.collect_set("kpi_type")).cast("long")  # at most as many as there are phrases
+    found = kpis.groupBy(key).agg(kinds.alias("kpi_count"), first("gross_margin").alias("_g"), first("revenue").alias("_r"))
+    ok = F.col("_g").isNotNull() & F.col("_r").isNotNull() & (F.trim("_g.unit") != "%") & (F.col("_r.value") != 0)
+    counted = found.withColumn("calculated", F.coalesce(ok, F.lit(False)).cast("int"))
+    return counted.select(key, "kpi_count", "calculated", (F.col("kpi_count") + F.col("calculated")).alias("total_kpis"))

@@ -122,21 +122,13 @@ class AnalysisPipeline:
         asked = named.join(said, "_same").drop("_same")
 
         ents = entities.extract_entities(docs, "doc_id", "cleaned_text", self.tagger)
-        types = entities.entity_type_counts(ents, "doc_id")
-        top = entities.top_entity_type(types, "doc_id").select(
-            "doc_id", F.col("entity_group").alias("top_type"), F.col("n").alias("top_count")
-        )
-        per_doc = types.groupBy("doc_id").agg(
-            F.sum("n").alias("entities"),
-            F.count(F.lit(1)).alias("entity_types"),
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_group", "n")))).alias("type_counts")
-        ).join(top, "doc_id")
+        per_doc = entities.entity_summary(entities.entity_type_counts(ents, "doc_id"), "doc_id")
         if tagged is None and self.figures is not None:
             tagged = entities.tag_figures(chunks, "doc_id", ["section", "ord"], "text", self.figures)
         figures = kpi.extract_kpis(docs, "doc_id", "cleaned_text")
         if tagged is not None:
             figures = kpi.override_revenue(figures, tagged, "doc_id")
-        totals = kpi.kpi_totals(figures, kpi.derived_margin(figures, "doc_id"), "doc_id")
+        totals = kpi.kpi_summary(figures, "doc_id")
         feeling = sentiment.document_sentiment(
             docs, "doc_id", "cleaned_text", self.model, s
         ).withColumnRenamed("score", "sentiment_score")

@@ -54,6 +54,15 @@ def kpi_totals(spark: SparkSession, d: str) -> DataFrame:
     return kp.kpi_totals(kpis, kp.derived_margin(kpis, "o_orderkey"), "o_orderkey")
 
 
+def kpi_summary(spark: SparkSession, d: str) -> DataFrame:
+    return kp.kpi_summary(_order_kpis(spark, d), "o_orderkey")
+
+
+def entity_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many entities and types each user has, and the most frequent type."""
+    return en.entity_summary(entity_type_counts(spark, d), "user_id").drop("type_counts")
+
+
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """Line items as tagged figures of their orders; every third order has none of revenue."""
     tag = F.when(F.col("l_linenumber") % 3 == 0, "Revenues").when(
@@ -239,4 +248,11 @@ SQL = {
     "html_tables": "SELECT p_partkey, 0 AS table_ord, r AS row_ord, CASE WHEN r = 0 THEN 'name|size' ELSE p_name || '|' || p_size END AS cells FROM part, (VALUES (0), (1)) t(r)",
 }
 
+SQL["kpi_summary"] = SQL["kpi_totals"]
+SQL["entity_summary"] = (
+    f"SELECT t.user_id, c.entities, c.entity_types, entity_group AS top_type, n AS top_count FROM ({SQL['top_entity_type']}) t JOIN"
+    f" (SELECT user_id, CAST(sum(n) AS BIGINT) AS entities, count(*) AS entity_types FROM ({SQL['entity_type_counts']}) GROUP BY 1) c"
+    " ON t.user_id = c.user_id"
+)
+
 QUERIES = {name: globals()[name] for name in [*SQL, "ner_entities"]}
