@@ -82,6 +82,11 @@ class LexiconSentiment:
     def classify(self, text: Column) -> Column:
         low = F.lower(F.coalesce(text, F.lit("")))
         p, n = (F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{'|'.join(x)})(?![a-z])")) for x in (POSITIVE, NEGATIVE))
+        # as the fields of a struct the counts are taken once, however often they are used
+        return F.transform(F.array(F.struct(p.alias("p"), n.alias("n"))), lambda x: self._judge(x["p"], x["n"]))[0]
+
+    @staticmethod
+    def _judge(p: Column, n: Column) -> Column:
         label = F.when(p > n, "positive").when(p < n, "negative").otherwise("neutral")
         confidence = F.when(p == n, F.lit(1.0)).otherwise(F.abs(p - n) / (p + n))
         return F.struct(label.alias("label"), confidence.alias("confidence"))
